@@ -38,6 +38,18 @@ def with_missing(df: DataFrame, names: list[str], kind: str = "string") -> DataF
     return df.withColumns(absent) if absent else df
 
 
+def settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that later filters refer to by name instead of by their whole definition.
+
+    A filter is normally moved below a projection by writing out the projected expressions. Across a chain
+    of rule steps that copies every rule into the filter many times over. A one-row generator stops this for
+    its own columns, while filters on other columns still reach the scan.
+    """
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    kept = [column(c) for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(row)))
+
+
 # --- network ---------------------------------------------------------------------------------------------------
 
 def street_filter(ways: DataFrame) -> DataFrame:
@@ -158,7 +170,7 @@ def cascade(df: DataFrame, prefix: str, rules: list[sr.Rule], default: object, s
             present: set[str] | None = None) -> DataFrame:
     """First match wins: the value, and the winner's number for :func:`provenance`."""
     win = f"{prefix}_win{suffix}"
-    return df.withColumn(win, F.expr(first_match(df, rules, present))).withColumn(
+    return settled(df, {win: F.expr(first_match(df, rules, present))}).withColumn(
         f"{prefix}{suffix}", lookup([default, *[r.value for r in rules]], win))
 
 
@@ -217,7 +229,7 @@ def mark_lane_rules(edges: DataFrame, rules: list[sr.LaneRule], present: set[str
     bits = [f"if({condition_sql(r.condition, known)}, {1 << i}L, 0L)" for i, (r, run) in enumerate(zip(rules, runs)) if run]
     # a few rules per expression: the JVM does not compile a generated method past 8 kB of bytecode
     parts = {f"_mask{i}": F.expr(" | ".join(bits[i:i + 4])) for i in range(0, len(bits), 4)}
-    return ready.withColumns(parts).withColumn("lane_rules", F.expr(" | ".join(parts))).drop(*parts)
+    return settled(ready.withColumns(parts), {"lane_rules": F.expr(" | ".join(parts))}).drop(*parts)
 
 
 def _hit(mask: int) -> str:

@@ -102,7 +102,7 @@ def combine_lts(edges: DataFrame) -> DataFrame:
     for way in st.WAYS:
         names = [c for c in edges.columns if c.startswith("LTS_") and c.endswith(f"_{way}") and c != f"LTS_{way}"]
         lows[f"LTS_{way}"] = _least(names)
-    return edges.withColumns(lows).withColumn("LTS", F.greatest("LTS_fwd", "LTS_rev"))
+    return st.settled(edges, lows).withColumn("LTS", F.greatest("LTS_fwd", "LTS_rev"))
 
 
 def node_lts(nodes: DataFrame, edges: DataFrame, both_ends: bool = False) -> DataFrame:
