@@ -301,7 +301,7 @@ WHERE d <= 600 QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY d, osmi
 cte("greach", """/*RECURSIVE*/
 SELECT DISTINCT lvl AS level, osmid AS origin, osmid AS node, 0::BIGINT AS spent FROM (VALUES (1), (2), (3), (4)) l(lvl), snapped
 UNION SELECT r.level, r.origin, g.v, r.spent + g.len FROM greach r JOIN graph g ON g.u = r.node AND g.LTS BETWEEN 1 AND r.level
-WHERE r.spent + g.len <= 1500""")
+WHERE r.spent + g.len <= 1507""")
 add("x4_isochrone_grid", """
 SELECT point_id, lon, lat, osmid AS origin, """ + ", ".join(f"c.lts{k}" for k in (1, 2, 3, 4)) + """ FROM snapped JOIN (
 SELECT origin, """ + ", ".join(f"count(DISTINCT node) FILTER (level = {k}) AS lts{k}" for k in (1, 2, 3, 4)) + " FROM greach GROUP BY ALL) c ON c.origin = osmid")
@@ -398,3 +398,20 @@ add("c6_route_segments", """
 SELECT route_id, direction_id, stop_id, CASE WHEN n < 2 AND pidx IS NOT NULL THEN n + 2 ELSE n END AS n_points,
        round(CASE WHEN n < 2 AND pidx IS NOT NULL THEN plon ELSE CAST(-71.1195 + coalesce(pidx, 0) * 0.002 AS DOUBLE) END, 6) AS first_lon
 FROM (SELECT *, abs(idx - coalesce(pidx, 0)) + 1 AS n FROM seg_stops)""")
+
+# --- written and read back -----------------------------------------------------------------------------------
+METRIC = "route_id, stop_id, direction_id, time_point_order, on_time_rate, bunching_rate, n_obs"
+add("k3_stop_metric_documents", f"SELECT {METRIC} FROM stopm")
+add("s11_stop_metric_hour", f"SELECT {METRIC} FROM hourly WHERE hour = 8")
+add("s10_annotations", """
+SELECT stop_id, route_id, CASE WHEN event_id % 2 = 0 THEN 'crowding' ELSE 'denied_boardings' END AS type, count(*) AS n
+FROM (SELECT *, 'S' || (user_id // 4) % 5 AS stop_id, CASE user_id % 4 WHEN 0 THEN '28' WHEN 1 THEN '1' WHEN 2 THEN '39' ELSE '66' END AS route_id FROM events)
+WHERE event_type = 'error' AND user_id % 3 = 0 GROUP BY ALL""")
+add("s12_photo_points", """
+SELECT CAST(-71.1 + user_id * 0.0001 AS DOUBLE) AS lon, CAST(42.3 + user_id * 0.0001 AS DOUBLE) AS lat, event_id || '.jpg' AS filename,
+       strftime(ts, '%Y:%m:%d %H:%M:%S') AS datetime, '' AS make FROM events WHERE event_id % 7 <> 0""")
+STAMP = "CASE WHEN spaced THEN '1900-01-01 ' || {0} || '.000' ELSE '1900-01-01T' || {0} || 'Z' END"
+S_TEXT, A_TEXT = (STAMP.format(HMS.format(f"CAST({c} AS BIGINT)")) for c in ("s_sec", "a_sec"))
+add("s6_arrivals_csv", f"""
+SELECT service_date, route_id, direction_id, half_trip_id, stop_id, time_point_id, time_point_order, point_type, standard_type,
+       {S_TEXT} AS scheduled, CASE WHEN a_sec IS NOT NULL THEN {A_TEXT} END AS actual, scheduled_headway, headway FROM arrivals""")

@@ -234,7 +234,7 @@ def _(s, d):
     path = work_path(s, "notes")
     item = F.to_json(F.struct(F.col("stop_id").alias("stopId"), F.col("route_id").alias("routeId"), "type"))
     qt.notes(s, d).select(item.alias("value")).write.text(path)
-    return tsrc.read_annotations(s, path).groupBy("stop_id", "route_id", "type").agg(F.count(F.lit(1)).alias("n"))
+    return tsrc.read_annotations(s, path, multi_line=False).groupBy("stop_id", "route_id", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("s12_photo_points")
@@ -246,7 +246,7 @@ def _(s, d):
         F.when(F.col("event_id") % 7 != 0, 42.3 + uid * 0.0001).alias("GPSLatitude"),
         (-71.1 + uid * 0.0001).alias("GPSLongitude"), F.date_format("ts", "yyyy:MM:dd HH:mm:ss").alias("CreateDate"),
     ).write.json(path)
-    return src.photo_points(src.read_photo_meta(s, path)).select("lon", "lat", "filename", "datetime", "make")
+    return src.photo_points(src.read_photo_meta(s, path, multi_line=False)).select("lon", "lat", "filename", "datetime", "make")
 
 
 # --- raw map documents -----------------------------------------------------------------------------------------
@@ -268,7 +268,7 @@ def osm_ways(s, d) -> DataFrame:
     docs = ways.select(F.floor(way / 500).alias("doc"), element.alias("e")).groupBy("doc").agg(
         F.collect_list("e").alias("elements")).select("elements")
     docs.write.json(path)
-    return src.read_osm_ways(s, path)
+    return src.read_osm_ways(s, path, multi_line=False)
 
 
 QUERIES["s1_osm_ways"] = lambda s, d: osm_ways(s, d).select(
@@ -317,7 +317,7 @@ def _(s, d):
 @query("x4_isochrone_grid")
 def _(s, d):
     edges = ad.graph(s, d)
-    return gr.isochrone_grid(gr.level_edges(gr.travel_minutes(edges, 15)), ad.graph_nodes(edges), 4, 6.0, 600.0)
+    return gr.isochrone_grid(gr.level_edges(gr.travel_minutes(edges, 15)), ad.graph_nodes(edges), 4, 6.03, 600.0)
 
 
 # --- timelines -------------------------------------------------------------------------------------------------

@@ -2,33 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from kerbflow.functions.skew import bucketed_row_number
 from kerbflow.operators.streets import edge_schema
 
 OSM_ELEMENT = "elements array<struct<type: string, id: bigint, nodes: array<bigint>, lat: double, lon: double, tags: map<string, string>>>"
 NODE_SCHEMA = "osmid bigint, x double, y double, street_count int, highway string, ref string"
 
 
-def read_osm_elements(spark: SparkSession, path: str) -> DataFrame:
-    docs = spark.read.schema(OSM_ELEMENT).json(path, multiLine=True)
+def read_osm_elements(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Elements of map documents: one document per file, or one per line with ``multi_line=False``."""
+    docs = spark.read.schema(OSM_ELEMENT).json(path, multiLine=multi_line)
     return docs.select(F.explode("elements").alias("e")).select("e.*")
 
 
-def read_osm_ways(spark: SparkSession, path: str) -> DataFrame:
+def read_osm_ways(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Ways of map documents with their tags; give a folder of documents to read them in parallel."""
-    return read_osm_elements(spark, path).where(F.col("type") == "way").select(
+    return read_osm_elements(spark, path, multi_line).where(F.col("type") == "way").select(
         F.col("id").alias("way_id"), "nodes", F.coalesce("tags", F.create_map().cast("map<string,string>")).alias("tags"))
 
 
-def read_osm_nodes(spark: SparkSession, path: str) -> DataFrame:
-    return read_osm_elements(spark, path).where(F.col("type") == "node").select(
+def read_osm_nodes(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    return read_osm_elements(spark, path, multi_line).where(F.col("type") == "node").select(
         F.col("id").alias("osmid"), F.col("lon").alias("x"), F.col("lat").alias("y"),
         F.try_element_at("tags", F.lit("highway")).alias("highway"))
 
 
-def parse_wkt_line(wkt) -> object:
+def parse_wkt_line(wkt: Column) -> Column:
     """``LINESTRING (lon lat, ...)`` to an array of (lon, lat)."""
     inside = F.regexp_extract(wkt, r"\(([^)]*)\)", 1)
     pair = lambda p: F.split(F.trim(p), r"\s+")
@@ -36,7 +39,7 @@ def parse_wkt_line(wkt) -> object:
         pair(p)[0].try_cast("double").alias("lon"), F.get(pair(p), F.lit(1)).try_cast("double").alias("lat")))
 
 
-def wkt_line(points) -> object:
+def wkt_line(points: Column) -> Column:
     text = F.transform(points, lambda p: F.concat(p["lon"].cast("string"), F.lit(" "), p["lat"].cast("string")))
     return F.concat(F.lit("LINESTRING ("), F.array_join(text, ", "), F.lit(")"))
 
@@ -47,14 +50,12 @@ def read_edges(spark: SparkSession, path: str, tags: list[str], header: list[str
     ``header`` is the file's column order: only listed columns are parsed.
     """
     wanted = {f.name: f for f in edge_schema(tags).fields}
-    schema = edge_schema([c for c in header if c not in wanted]).__class__(
-        [wanted[c] if c in wanted else edge_schema([c])[c] for c in header])
+    schema = T.StructType([wanted.get(c, T.StructField(c, T.StringType())) for c in header])
     raw = spark.read.schema(schema).csv(path, header=True, nullValue="''", quote='"', escape='"')
-    kept = raw.select(*[F.col(f"`{c}`") for c in header if c in wanted])
+    kept = [F.col(f"`{c}`") for c in header if c in wanted]
     if "geometry" in header:
-        kept = raw.select(*kept.columns and [F.col(f"`{c}`") for c in kept.columns],
-                          parse_wkt_line(F.col("geometry")).alias("geometry"))
-    return kept
+        kept.append(parse_wkt_line(F.col("geometry")).alias("geometry"))
+    return raw.select(*kept)
 
 
 def read_nodes(spark: SparkSession, path: str) -> DataFrame:
@@ -67,8 +68,6 @@ def photo_points(meta: DataFrame) -> DataFrame:
     ``meta`` has ``entry_no`` (position in the source) and the metadata fields. The number of photos before
     an entry comes from bucket counts, so no single task numbers the whole collection.
     """
-    from kerbflow.functions.skew import bucketed_row_number
-
     located = meta.where(F.col("GPSLatitude").isNotNull() & F.col("GPSLongitude").isNotNull()).withColumn("_all", F.lit(0))
     numbered = bucketed_row_number(located, ["_all"], F.floor(F.col("entry_no") / 1024), ["entry_no"], "_n")
     taken = F.coalesce("DateTimeOriginal", "CreateDate", F.lit(""))
@@ -85,7 +84,7 @@ PHOTO_SCHEMA = ("SourceFile string, FileName string, GPSLatitude double, GPSLong
                 "DateTimeOriginal string, CreateDate string, Make string, Model string")
 
 
-def read_photo_meta(spark: SparkSession, path: str) -> DataFrame:
+def read_photo_meta(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Extracted photo metadata documents; ``entry_no`` follows file and position."""
-    rows = spark.read.schema(PHOTO_SCHEMA).json(path, multiLine=True)
+    rows = spark.read.schema(PHOTO_SCHEMA).json(path, multiLine=multi_line)
     return rows.withColumn("entry_no", F.monotonically_increasing_id())

@@ -95,14 +95,14 @@ def read_gtfs(spark: SparkSession, folder: str, suffix: str = ".txt") -> dict[st
     return feed
 
 
-def read_annotations(spark: SparkSession, path: str) -> DataFrame:
+def read_annotations(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Crowding notes from a JSON array or ``{"annotations": [...]}``; malformed entries are skipped."""
     entry = "struct<stopId: string, routeId: string, type: string>"
     schema = f"stopId string, routeId string, type string, annotations array<{entry}>"
     empty = "stop_id string, route_id string, type string"
     if not _exists(spark, path):
         return spark.createDataFrame([], empty)
-    docs = spark.read.schema(schema).json(path, multiLine=True)
+    docs = spark.read.schema(schema).json(path, multiLine=multi_line)
     own = F.when(F.col("annotations").isNull(), F.array(F.struct("stopId", "routeId", "type")))
     rows = docs.select(F.explode(F.coalesce("annotations", own)).alias("e"))
     return rows.select(F.col("e.stopId").alias("stop_id"), F.col("e.routeId").alias("route_id"), F.col("e.type").alias("type")
