@@ -11,8 +11,6 @@ from kerbflow.rules import street_rules as sr
 from kerbflow.rules.conditions import All, Any, Condition, Not, describe
 from kerbflow.rules.stress_tables import SPEED_BANDS, TABLES
 
-assert ORACLE is not None and HMS
-
 COLUMNS = {"highway", "oneway", "lanes", "maxspeed", "cycleway:right", "cycleway:left", "bicycle", "parking:both",
            "parking:right", "parking:left", "width", "cycleway:right:width", "cycleway:right:separation", "lane_count",
            "centerline", "street_narrow_wide", "LTS"}
@@ -144,8 +142,9 @@ for table in TABLES:
                 inside = f"{column} >= {lo}" + ("" if hi is None else f" AND {column} < {hi}")
                 for k, level in enumerate(levels):
                     arms.append(f"WHEN {inside} AND speed > {LOWS[k]} AND speed < {SPEED_BANDS[k]} THEN {level}")
-                    for i, c in enumerate(part.conditions, 1):
-                        hits.append((part.name, way, i, b - 1, k + 1, f"{cond(c)} AND {need} AND {inside} AND speed > {LOWS[k]} AND speed < {SPEED_BANDS[k]}"))
+            where = [f"{column} >= {lo}" + ("" if hi is None else f" AND {column} < {hi}") for lo, hi in part.buckets]
+            bucket = "CASE " + " ".join(f"WHEN {w} THEN {b}" for b, w in enumerate(where)) + " END"
+            hits += [(part.name, way, i, bucket, f"{cond(c)} AND {need}") for i, c in enumerate(part.conditions, 1)]
             layout = " OR ".join(cond(c) for c in part.conditions)
             cells.append(f"CASE WHEN ({layout}) AND {need} THEN CASE {' '.join(arms)} END END AS LTS_{part.name}_{way}")
             names[way].append(f"LTS_{part.name}_{way}")
@@ -211,10 +210,13 @@ add("g10_value_counts", "SELECT * FROM (" + " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value, count(*) AS n FROM adt GROUP BY ALL"
     for c in ["bike_allowed_fwd", "bike_allowed_rev", "centerline", "lane_count", "oneway", "street_narrow_wide", "bike_lane_fwd",
               "bike_lane_rev", "parking_fwd", "parking_rev", "ADT"]) + ")")
-by_hit = " UNION ALL ".join(
-    f"SELECT '{n}' AS sub_table, '{w}' AS way, {i} AS condition, {b} AS bucket, {k} AS band, count(*) AS n FROM adt WHERE {c}"
-    for n, w, i, b, k, c in hits)
-add("g12_table_hits", f"SELECT * FROM ({by_hit}) WHERE n > 0")
+BAND = "CASE " + " ".join(f"WHEN speed > {lo} AND speed < {hi} THEN {k}" for k, (lo, hi) in enumerate(zip(LOWS, SPEED_BANDS), 1)) + " END"
+by_hit = ", ".join(
+    f"CASE WHEN {c} AND ({bucket}) IS NOT NULL AND band IS NOT NULL THEN {{'sub_table': '{n}', 'way': '{w}', 'condition': {i}, 'bucket': {bucket}, 'band': band}} END"
+    for n, w, i, bucket, c in hits)
+add("g12_table_hits", f"""
+SELECT h.sub_table AS sub_table, h.way AS way, h.condition AS condition, h.bucket AS bucket, h.band AS band, count(*) AS n
+FROM (SELECT unnest([{by_hit}]) AS h FROM (SELECT *, {BAND} AS band FROM adt)) WHERE h IS NOT NULL GROUP BY ALL""")
 add("u1_union_regions", """
 SELECT 'north' AS region, highway, count(*) AS n, count(width) AS with_width FROM edges WHERE u % 2 = 0 GROUP BY ALL
 UNION ALL SELECT 'south', highway, count(*), 0 FROM edges WHERE u % 2 = 1 GROUP BY ALL""")

@@ -308,9 +308,9 @@ add("g19_heatmap_cells", "SELECT * FROM cells")
 add("g20_on_time_day", """
 SELECT stop_id, on_time_rate, total_trips AS n_obs FROM cells WHERE route_id = '28' AND service_date = DATE '2024-01-10'""")
 DATES = [f"2024-01-{i:02d}" for i in range(1, 31)]
-cells_sql = ", ".join(f"avg(on_time_rate) FILTER (service_date = DATE '{d}') AS \"{d}\"" for d in DATES)
+cells_sql = ", ".join(f"round(avg(on_time_rate) FILTER (service_date = DATE '{d}'), 6) AS \"{d}\"" for d in DATES)
 add("g21_heatmap_pivot", f"SELECT route_id, direction_id, stop_id, {cells_sql} FROM daily WHERE n_obs >= 5 GROUP BY ALL")
-hours_sql = ", ".join(f"avg(on_time_rate) FILTER (hour = {h}) AS h{h:02d}" for h in range(24))
+hours_sql = ", ".join(f"round(avg(on_time_rate) FILTER (hour = {h}), 6) AS h{h:02d}" for h in range(24))
 add("g22_heatmap_hour_pivot", f"SELECT route_id, direction_id, stop_id, {hours_sql} FROM hourly GROUP BY ALL")
 add("r6_filter_routes", "SELECT route_id, count(*) AS n FROM arrivals WHERE route_id IN ('28', '1', '39') GROUP BY ALL")
 add("r7_hour_slice", """
