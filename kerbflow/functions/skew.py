@@ -8,6 +8,8 @@ equals the plain window's.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ def bucketed_lag(
     """``lag`` of ``values`` (output name → source column) over ``keys`` ordered by ``order``.
 
     ``bucket`` must never decrease along ``order``. Adds ``_has_prev`` telling a missing previous row from a
-    previous row whose value is NULL.
+    previous row whose value is NULL. Rows with a missing key belong to no group and have no previous row.
     """
     tagged = df.withColumn("_bucket", bucket)
     local = Window.partitionBy(*keys, "_bucket").orderBy(*order)
@@ -30,16 +32,11 @@ def bucketed_lag(
                       F.struct(*order)).alias("_last"))
     )
     chain = Window.partitionBy(*keys).orderBy("_bucket")
-    carry = last.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.col("_bucket").alias("_k_bucket"),
-        F.lag("_last").over(chain).alias("_carry"),
-    ).where(F.col("_carry").isNotNull())
-    same = F.col("_bucket").eqNullSafe(F.col("_k_bucket"))
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    prev = F.coalesce("_prev", "_carry")
-    joined = tagged.join(carry, same, "left").withColumn("_p", prev)
+    carry = last.select(*keys, "_bucket", F.lag("_last").over(chain).alias("_carry")).where(F.col("_carry").isNotNull())
+    # plain equality keeps the window's partitioning for the join; rows with a missing key join nothing
+    joined = tagged.join(carry, [*keys, "_bucket"], "left")
+    grouped = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys])
+    joined = joined.withColumn("_p", F.when(grouped, F.coalesce("_prev", "_carry")))
     return joined.select(
         *df.columns,
         *[F.col(f"_p.{out}").alias(out) for out in values],
