@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kerbflow.llm import bitplane, digest_index, heap_bpe
+from kerbflow.llm import bitplane, digest_index, heap_bpe, phrase_index, string_kernel
 from kerbflow.llm.common import table
 from kerbflow.session import work_path
 
@@ -24,4 +25,15 @@ def op5_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_index.deduplicate(table(spark, sf_dir, "documents"), index)
 
 
-QUERIES = {f.__name__: f for f in (op3_bitplane_ids, op4_heap_bpe_counts, op5_digest_index)}
+def op6_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = phrase_index.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items",
+                        F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), "contaminated")
+
+
+def op7_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return string_kernel.identify(docs, string_kernel.train(docs))
+
+
+QUERIES = {f.__name__: f for f in (op3_bitplane_ids, op4_heap_bpe_counts, op5_digest_index, op6_phrase_index, op7_string_kernel)}
