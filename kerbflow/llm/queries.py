@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbflow.llm import bitplane, digest_index, heap_bpe, phrase_index, string_kernel
+from kerbflow.llm import bitplane, digest_index, heap_bpe, multi_order_join, phrase_index, string_kernel
 from kerbflow.llm.common import table
 from kerbflow.session import work_path
 
@@ -36,4 +36,9 @@ def op7_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return string_kernel.identify(docs, string_kernel.train(docs))
 
 
-QUERIES = {f.__name__: f for f in (op3_bitplane_ids, op4_heap_bpe_counts, op5_digest_index, op6_phrase_index, op7_string_kernel)}
+def op10_multi_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_order_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_bitplane_ids, op4_heap_bpe_counts, op5_digest_index, op6_phrase_index, op7_string_kernel,
+                                 op10_multi_order_join)}
