@@ -40,4 +40,67 @@ e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
 r AS (SELECT doc_id, doc_id AS root FROM d UNION SELECT e.y, r.root FROM r JOIN e ON r.doc_id = e.x)
 SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(root) AS component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN r USING (doc_id) GROUP BY d.doc_id""",
+    "op1_chat_snapshots": r"""
+WITH t AS (
+  SELECT DISTINCT conv_id, turn, role, text,
+         md5(concat(coalesce(length(role) || '=' || role, '-'), '|', coalesce(length(text) || '=' || text, '-'))) AS d
+  FROM conversations),
+o AS (SELECT *, row_number() OVER w AS pos, count(*) OVER (PARTITION BY conv_id) AS n,
+             string_agg(d, '') OVER (w ROWS UNBOUNDED PRECEDING) AS h
+      FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, d)),
+kept AS (
+  SELECT min(conv_id) AS conv_id FROM o AS e
+  WHERE pos = n AND NOT EXISTS (SELECT 1 FROM o AS p WHERE p.h = e.h AND p.pos < p.n) GROUP BY h)
+SELECT conv_id, n AS n_turns, (pos - 1) // 64 AS segment,
+       string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY pos)
+         AS rendered
+FROM o SEMI JOIN kept USING (conv_id) GROUP BY ALL""",
+    "op2_temperature_mixing": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, greatest(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')), 1) AS tokens FROM documents),
+s AS (SELECT source, sum(tokens)::BIGINT AS tokens, sum(tokens) / sum(sum(tokens)) OVER () AS p FROM d GROUP BY source),
+a AS (SELECT sum(tokens)::DOUBLE AS total, count(*) AS k FROM s),
+-- the largest exponent that reaches 95 % of the largest entropy, and the largest that repeats a source over four times
+e(step, lo, width) AS (
+  SELECT 0, 0::DOUBLE, 1::DOUBLE
+  UNION ALL
+  SELECT step + 1, CASE WHEN (SELECT ln(sum(pow(p, lo + width / 2))) - (lo + width / 2) * sum(pow(p, lo + width / 2) * ln(p))
+      / sum(pow(p, lo + width / 2)) FROM s) >= 0.95 * (SELECT ln(k) FROM a) - 1e-12 THEN lo + width / 2 ELSE lo END, width / 2
+  FROM e WHERE step < 24),
+r(step, lo, width) AS (
+  SELECT 0, 0::DOUBLE, 1::DOUBLE
+  UNION ALL
+  SELECT step + 1, CASE WHEN (SELECT max(pow(p, lo + width / 2 - 1)) / sum(pow(p, lo + width / 2)) FROM s) > 4 * (1 + 1e-12)
+      THEN lo + width / 2 ELSE lo END, width / 2
+  FROM r WHERE step < 24),
+tau AS (
+  SELECT greatest(
+    CASE WHEN (SELECT -sum(p * ln(p)) FROM s) >= 0.95 * (SELECT ln(k) FROM a) - 1e-12 THEN 1.0
+         ELSE (SELECT lo FROM e WHERE step = 24) END,
+    CASE WHEN (SELECT lo FROM r WHERE step = 24) > 0 OR (SELECT max(1 / p) / count(*) FROM s) > 4 * (1 + 1e-12)
+         THEN (SELECT lo + width FROM r WHERE step = 24) ELSE 0 END) AS tau),
+q AS (
+  SELECT source, tokens AS alltok, pow(p, tau) / sum(pow(p, tau)) OVER () AS weight,
+         round(tokens * pow(p, tau - 1) / sum(pow(p, tau)) OVER ())::BIGINT AS quota,
+         ceil(tokens / 100000)::BIGINT AS blocks
+  FROM s, tau),
+dealt AS (
+  SELECT d.*, alltok, weight, quota, CAST('0x' || substr(md5('mix|' || doc_id), 1, 15) AS BIGINT) % blocks AS block
+  FROM d JOIN q USING (source)),
+b AS (
+  SELECT source, block, unnest(range(0, greatest(ceil(any_value(quota) / any_value(alltok)), 1)::BIGINT)) AS epoch,
+         sum(tokens) AS size FROM dealt WHERE quota > 0 GROUP BY source, block),
+bs AS (
+  SELECT source, block, epoch, sum(size) OVER (PARTITION BY source, epoch
+      ORDER BY CAST('0x' || substr(md5('mix|=' || source || '|' || epoch || '|' || block), 1, 15) AS BIGINT), block
+      ROWS UNBOUNDED PRECEDING) - size AS f FROM b),
+x AS (
+  SELECT doc_id, source, tokens, epoch, block, weight, quota, epoch * alltok + f + sum(tokens) OVER (
+      PARTITION BY source, block, epoch
+      ORDER BY CAST('0x' || substr(md5('mix|' || epoch || '|' || doc_id), 1, 15) AS BIGINT), doc_id
+      ROWS UNBOUNDED PRECEDING) - tokens AS start
+  FROM dealt JOIN bs USING (source, block))
+SELECT doc_id, source, tokens, epoch, block, CAST(start AS BIGINT) AS start, round(weight, 9) AS weight,
+       round(start / quota, 9) AS place
+FROM x WHERE start < quota""",
 }

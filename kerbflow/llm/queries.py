@@ -6,11 +6,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbflow.llm import bitplane, digest_index, heap_bpe, multi_order_join, phrase_index, string_kernel
+from kerbflow.llm import (
+    bitplane, chat_snapshots, digest_index, heap_bpe, mixing, multi_order_join, phrase_index, string_kernel,
+)
 from kerbflow.llm.common import table
 from kerbflow.session import work_path
 
 
+def op1_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_snapshots.rendered(table(spark, sf_dir, "conversations"))
+
+
+def op2_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mixture of as many tokens as the corpus has, at 95 % of the largest entropy, no source more than four times."""
+    docs = table(spark, sf_dir, "documents")
+    budget = docs.agg(F.sum(mixing.n_tokens(F.col("text")))).first()[0]
+    return mixing.mixture(docs, entropy=0.95, repetitions=4.0, budget=budget).select(
+        "doc_id", "source", "tokens", "epoch", "block", "start", F.round("weight", 9).alias("weight"), F.round("place", 9).alias("place"))
+
+
 def op3_bitplane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = bitplane.write_planes(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return bitplane.read_documents(chunks)
@@ -40,5 +54,6 @@ def op10_multi_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_order_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_bitplane_ids, op4_heap_bpe_counts, op5_digest_index, op6_phrase_index, op7_string_kernel,
-                                 op10_multi_order_join)}
+QUERIES = {f.__name__: f for f in (
+    op1_chat_snapshots, op2_temperature_mixing, op3_bitplane_ids, op4_heap_bpe_counts, op5_digest_index, op6_phrase_index,
+    op7_string_kernel, op10_multi_order_join)}
