@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbflow.llm import (
-    bitplane, chat_snapshots, digest_index, heap_bpe, mixing, multi_order_join, phrase_index, string_kernel,
+    bitplane, chat_snapshots, digest_index, heap_bpe, license_compression, masked_lm, mixing, multi_order_join, phrase_index,
+    string_kernel,
 )
 from kerbflow.llm.common import table
 from kerbflow.session import work_path
@@ -50,10 +51,19 @@ def op7_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return string_kernel.identify(docs, string_kernel.train(docs))
 
 
+def op8_license_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_compression.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return masked_lm.score(docs, *masked_lm.train(docs))
+
+
 def op10_multi_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_order_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_chat_snapshots, op2_temperature_mixing, op3_bitplane_ids, op4_heap_bpe_counts, op5_digest_index, op6_phrase_index,
-    op7_string_kernel, op10_multi_order_join)}
+    op7_string_kernel, op8_license_compression, op9_masked_lm, op10_multi_order_join)}
