@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+import types
+from collections.abc import Callable
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,3 +37,11 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, every other character as it is. ``lower`` is used where it does just that."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
+def worker_state(key: str, make: Callable[[], Any]) -> Any:
+    """What ``make`` returns, made once in this Python worker and kept for the tasks that it runs later."""
+    kept = sys.modules.setdefault("_kerbflow_worker", types.ModuleType("_kerbflow_worker")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]

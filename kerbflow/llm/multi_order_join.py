@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbflow.llm.common import LOWER, UPPER, bounded_batches, stored
+from kerbflow.llm.common import LOWER, UPPER, bounded_batches, stored, worker_state
 from kerbflow.operators.graph import components
 from kerbflow.session import work_path
 
@@ -110,7 +110,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     names = [c.split()[0] for c in SETS.split(", ")]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, src, held = Shingler(), TaskContext.get().partitionId() << 32, 0
+        shingles, src, held = worker_state("shingles", Shingler), TaskContext.get().partitionId() << 32, 0
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbflow.llm.common import bounded_batches
+from kerbflow.llm.common import bounded_batches, worker_state
 
 UNKNOWN = "und"
 ORDERS = (1, 2, 3)
@@ -193,7 +193,7 @@ def predict(text: Column, model: Model | None) -> Column:
         return F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
 
     def batches(texts):
-        letters = letter_table()
+        letters = worker_state("letters", letter_table)
         for series in texts:
             values, has = model.decide(list(series), letters)
             best = values.argmax(axis=1)
