@@ -79,6 +79,8 @@ DOUBLES = {
 }
 
 
-def digits_of(column: str) -> int:
-    """Metres are compared to the millimetre, everything else to six digits."""
+def digits_of(column: str, query: str = "") -> int:
+    """Computed metres are compared to the millimetre, everything else, and what is only passed through, to six digits."""
+    if query == "s4_edge_csv":
+        return 6
     return 3 if column in ("length", "distance") or column.endswith("dist_m") else 6

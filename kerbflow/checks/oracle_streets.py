@@ -264,6 +264,7 @@ SELECT osmid, CAST(-71.12 + osmid % 41 * 0.002 AS DOUBLE) AS x, CAST(42.30 + osm
        CASE WHEN osmid % 50 = 49 THEN 4 ELSE 1 END AS LTS FROM (SELECT u AS osmid FROM graph UNION SELECT v FROM graph)""")
 cte("reach", """/*RECURSIVE*/
 SELECT lvl AS level, o AS origin, o AS node, 0::BIGINT AS spent FROM (VALUES (1), (2), (3), (4)) l(lvl), (VALUES (0), (7), (13)) s(o)
+WHERE EXISTS (SELECT 1 FROM graph g WHERE g.LTS BETWEEN 1 AND lvl AND o IN (g.u, g.v))
 UNION SELECT r.level, r.origin, g.v, r.spent + g.len FROM reach r JOIN graph g ON g.u = r.node AND g.LTS BETWEEN 1 AND r.level
 WHERE r.spent + g.len <= 3750""")
 cte("reached", "SELECT level, origin, node, min(spent) / 250 AS minutes FROM reach GROUP BY ALL")
@@ -410,7 +411,7 @@ SELECT stop_id, route_id, CASE WHEN event_id % 2 = 0 THEN 'crowding' ELSE 'denie
 FROM (SELECT *, 'S' || (user_id // 4) % 5 AS stop_id, CASE user_id % 4 WHEN 0 THEN '28' WHEN 1 THEN '1' WHEN 2 THEN '39' ELSE '66' END AS route_id FROM events)
 WHERE event_type = 'error' AND user_id % 3 = 0 GROUP BY ALL""")
 add("s12_photo_points", """
-SELECT CAST(-71.1 + user_id * 0.0001 AS DOUBLE) AS lon, CAST(42.3 + user_id * 0.0001 AS DOUBLE) AS lat, event_id || '.jpg' AS filename,
+SELECT row_number() OVER (ORDER BY event_id) - 1 AS id, CAST(-71.1 + user_id * 0.0001 AS DOUBLE) AS lon, CAST(42.3 + user_id * 0.0001 AS DOUBLE) AS lat, event_id || '.jpg' AS filename,
        strftime(ts, '%Y:%m:%d %H:%M:%S') AS datetime, '' AS make FROM events WHERE event_id % 7 <> 0""")
 STAMP = "CASE WHEN spaced THEN '1900-01-01 ' || {0} || '.000' ELSE '1900-01-01T' || {0} || 'Z' END"
 S_TEXT, A_TEXT = (STAMP.format(HMS.format(f"CAST({c} AS BIGINT)")) for c in ("s_sec", "a_sec"))

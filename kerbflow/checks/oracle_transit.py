@@ -306,7 +306,7 @@ OVERLAY_COLS = "route_id, stop_id, direction_id, time_point_order, scheduled_med
 add("g18_route_stop_headways", f"SELECT {OVERLAY_COLS} FROM overlay_base")
 add("g19_heatmap_cells", "SELECT * FROM cells")
 add("g20_on_time_day", """
-SELECT stop_id, on_time_rate, total_trips AS n_obs FROM cells WHERE route_id = '28' AND service_date = DATE '2024-01-10'""")
+SELECT route_id, stop_id, on_time_rate, total_trips AS n_obs FROM cells WHERE route_id = '28' AND service_date = DATE '2024-01-10'""")
 DATES = [f"2024-01-{i:02d}" for i in range(1, 31)]
 cells_sql = ", ".join(f"round(avg(on_time_rate) FILTER (service_date = DATE '{d}'), 6) AS \"{d}\"" for d in DATES)
 add("g21_heatmap_pivot", f"SELECT route_id, direction_id, stop_id, {cells_sql} FROM daily WHERE n_obs >= 5 GROUP BY ALL")
@@ -394,6 +394,25 @@ NORM = ("trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp
         "'\\bstreet\\b', 'st', 'g'), '\\bboulevard\\b', 'blvd', 'g'), '\\bsquare\\b', 'sq', 'g'), '\\bopposite\\b', 'opp', 'g'), "
         "'^[0-9]+ +', ''), ' +', ' ', 'g'))")
 add("p18_norm_stop_name", f"SELECT stop_id, {NORM} AS name FROM names18")
+cte("corridor", f"""
+SELECT pos, direction, raw AS expected_name, stop_id, {NORM} AS want FROM (
+  SELECT i AS pos, CASE WHEN i % 2 = 1 THEN 'Inbound' ELSE 'Outbound' END AS direction,
+         printf(CASE WHEN i % 3 <> 0 THEN 'Supplier#%09d' ELSE 'Suplier %08d' END, i) AS raw,
+         CASE WHEN i % 4 <> 0 THEN 'S' ELSE 'X' END || i AS stop_id FROM range(12) t(i))""")
+cte("named", f"""
+SELECT stop_id, raw AS stop_name, {NORM} AS norm FROM (
+  SELECT stop_id, coalesce(nullif(trim(stop_name), ''), stop_id) AS raw FROM stops)""")
+cte("similar_names", """
+SELECT pos, g.stop_id, g.stop_name, 1 - levenshtein(want, norm) / greatest(length(want), length(norm), 1) AS score
+FROM corridor, (SELECT norm, min(stop_id) AS stop_id, arg_min(stop_name, stop_id) AS stop_name FROM named GROUP BY norm) g
+WHERE 1 - levenshtein(want, norm) / greatest(length(want), length(norm), 1) >= 0.6
+QUALIFY row_number() OVER (PARTITION BY pos ORDER BY score DESC, g.stop_id) <= 3""")
+add("j15_validate_corridor", """
+SELECT direction, expected_name, c.stop_id, n.stop_name,
+       CASE WHEN n.stop_name IS NULL THEN 'missing' WHEN want <> norm THEN 'mismatched' ELSE 'ok' END AS status,
+       CASE WHEN n.stop_name IS NULL THEN coalesce((SELECT string_agg(s.stop_name || ' (stop_id=' || s.stop_id || ')', '; ' ORDER BY score DESC, s.stop_id)
+         FROM similar_names s WHERE s.pos = c.pos), '') ELSE '' END AS matches
+FROM corridor c LEFT JOIN named n ON n.stop_id = c.stop_id""")
 add("w8_axis_rank", """
 SELECT route_id, stop_id, row_number() OVER (PARTITION BY route_id ORDER BY direction_id, min_order, stop_id) - 1 AS rank FROM (
   SELECT * FROM pairs_min QUALIFY row_number() OVER (PARTITION BY route_id, stop_id ORDER BY direction_id, min_order) = 1)""")

@@ -244,9 +244,9 @@ def _(s, d):
     ad.table(s, d, "events").select(
         F.concat(F.lit("/p/"), F.col("event_id").cast("string"), F.lit(".jpg")).alias("SourceFile"),
         F.when(F.col("event_id") % 7 != 0, 42.3 + uid * 0.0001).alias("GPSLatitude"),
-        (-71.1 + uid * 0.0001).alias("GPSLongitude"), F.date_format("ts", "yyyy:MM:dd HH:mm:ss").alias("CreateDate"),
-    ).write.json(path)
-    return src.photo_points(src.read_photo_meta(s, path, multi_line=False)).select("lon", "lat", "filename", "datetime", "make")
+        (-71.1 + uid * 0.0001).alias("GPSLongitude"), F.date_format("ts", "yyyy:MM:dd HH:mm:ss").alias("CreateDate"), "event_id",
+    ).repartitionByRange(3, "event_id").sortWithinPartitions("event_id").drop("event_id").write.json(path)
+    return src.photo_points(src.read_photo_meta(s, path, multi_line=False)).select("id", "lon", "lat", "filename", "datetime", "make")
 
 
 # --- raw map documents -----------------------------------------------------------------------------------------

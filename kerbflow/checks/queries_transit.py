@@ -16,11 +16,12 @@ from kerbflow.operators import reliability as r
 from kerbflow.operators import ridership as rd
 from kerbflow.operators import scorecard as sc
 from kerbflow.plans.reliability_report import reliability_report
+from kerbflow.session import work_path
+from kerbflow.sources import transit as src
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 AM = {"AM": ad.WINDOW}
-DATES = [f"2024-01-{i:02d}" for i in range(1, 31)]
 OTHERS = ["1", "39", "66"]
 
 
@@ -149,7 +150,7 @@ QUERIES["g18_route_stop_headways"] = lambda s, d: sc.overlay_order(sc.route_stop
 QUERIES["g19_heatmap_cells"] = lambda s, d: r.heatmap_cells(clean(s, d))
 QUERIES["g20_on_time_day"] = lambda s, d: r.on_time_day(clean(s, d), "28", ad.SERVICE_DAY)
 QUERIES["g21_heatmap_pivot"] = lambda s, d: r.heatmap_pivot(
-    daily(s, d), "on_time_rate", DATES, ["route_id", "direction_id", "stop_id"])
+    daily(s, d), "on_time_rate", ["route_id", "direction_id", "stop_id"], clean(s, d))
 QUERIES["g22_heatmap_hour_pivot"] = lambda s, d: r.heatmap_hour_pivot(
     r.stop_metrics_by_hour(filled(s, d)), "on_time_rate")
 QUERIES["r6_filter_routes"] = lambda s, d: a.filter_routes(ad.arrivals(s, d), "28", ["1", "39"]).groupBy(
@@ -210,7 +211,11 @@ def one_day(s, day: str) -> DataFrame:
 
 @query("s7_gtfs_feed")
 def _(s, d):
-    return ad.gtfs(s, d)["stop_times"].select("trip_id", "stop_id", "stop_sequence",
+    folder = work_path(s, "feed")
+    for name, rows in ad.gtfs(s, d).items():
+        if name != "calendar_dates":  # a feed may lack a file
+            rows.write.csv(f"{folder}/{name}.txt", header=True, quoteAll=True, escape='"')
+    return src.read_gtfs(s, folder)["stop_times"].select("trip_id", "stop_id", "stop_sequence",
                                               clock.gtfs_seconds(F.col("departure_time")).alias("dep"))
 
 
@@ -371,7 +376,13 @@ def _(s, d):
 
 
 # --- ridership -------------------------------------------------------------------------------------------------
-QUERIES["s9_ridership"] = lambda s, d: ad.ridership(s, d).select(
+@query("s9_ridership")
+def _(s, d):
+    path = work_path(s, "ridership")
+    rows = ad.ridership(s, d)
+    rows.select(*[(F.col(c) if c in rows.columns else F.lit("a, b")).cast("string").alias(c) for c in src.RIDERSHIP_COLUMNS]
+                ).write.csv(path, header=True, quoteAll=True, escape='"')
+    return src.read_ridership(s, path).select(
     "route_id", "stop_id", "stop_sequence", "boardings", "alightings", "load", "sample_size")
 QUERIES["g23_avg_load"] = lambda s, d: rd.avg_load(ad.ridership(s, d))
 QUERIES["g24_ridership_trips"] = lambda s, d: rd.ridership_trips(ad.ridership(s, d))

@@ -58,8 +58,8 @@ def metric_class(metric: str, value: Column) -> Column:
 def floor_index(column: str, share: float) -> Column:
     """Aggregate: the element at 0-based position ``floor(n * share)`` of the sorted non-null values.
 
-    ``percentile_disc`` returns position ``ceil(n * share)`` counted from 1. A nudge far below ``1 / n``
-    turns that into ``floor(n * share) + 1`` for every n up to 1e9, and the aggregate keeps a value to count
-    map that is combined before the shuffle instead of the whole group.
+    ``percentile_disc`` returns position ``ceil(n * share)`` counted from 1; counted from the other end with the
+    other share that is the position wanted, for groups of any size. The aggregate keeps a value to count map that is
+    combined before the shuffle instead of the whole group.
     """
-    return F.expr(f"percentile_disc({share + 1e-11!r}) WITHIN GROUP (ORDER BY `{column}`)")
+    return F.expr(f"percentile_disc({1 - share!r}) WITHIN GROUP (ORDER BY `{column}` DESC)")

@@ -105,8 +105,8 @@ def salted_lookup(big: DataFrame, small: DataFrame, big_key: str, small_key: str
                   heavy_rows: int = 1_000_000) -> DataFrame:
     """Left join of ``big`` to ``small`` (one row per key) that splits keys with very many rows.
 
-    Keys holding more than ``heavy_rows`` rows are listed; there are at most rows / ``heavy_rows`` of them, so
-    the list can be sent to every task. Their rows are spread over several salts by a hash of ``spread`` and
+    Keys holding more than ``heavy_rows`` rows are listed; there are at most rows / ``heavy_rows`` of them. Whether the
+    list is sent to every task or shuffled is left to Spark's check of its size. Their rows are spread over several salts by a hash of ``spread`` and
     their ``small`` row is repeated once per salt.
     """
     heavy = (
@@ -115,9 +115,9 @@ def salted_lookup(big: DataFrame, small: DataFrame, big_key: str, small_key: str
         .select("_hk", F.ceil(F.col("_hn") / heavy_rows).alias("_parts"))
     )
     parts = F.coalesce("_parts", F.lit(1))
-    left = big.join(F.broadcast(heavy), F.col(big_key) == F.col("_hk"), "left").withColumn(
+    left = big.join(heavy, F.col(big_key) == F.col("_hk"), "left").withColumn(
         "_salt", F.pmod(F.xxhash64(*spread), parts)).drop("_hk", "_parts")
-    right = small.join(F.broadcast(heavy), F.col(small_key) == F.col("_hk"), "left").withColumn(
+    right = small.join(heavy, F.col(small_key) == F.col("_hk"), "left").withColumn(
         "_rsalt", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))).drop("_hk", "_parts")
     same = (F.col(big_key) == F.col(small_key)) & (F.col("_salt") == F.col("_rsalt"))
     return left.join(right, same, "left").drop("_salt", "_rsalt")

@@ -29,11 +29,6 @@ def travel_minutes(edges: DataFrame, kmh: float) -> DataFrame:
     return edges.withColumn("minutes", F.col("length") / (kmh * 1000 / 60))
 
 
-def _signature(links: DataFrame) -> tuple:
-    row = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return tuple(row)
-
-
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Weakly connected component of every node, named by its smallest node id.
 
@@ -45,8 +40,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     links = edges.where(F.col("u") != F.col("v")).select(
         F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct()
     links = cut_lineage(links)
-    before = _signature(links)
     while True:
+        earlier = links
         lowest = links.groupBy("a").agg(F.min("b").alias("m"))
         # large star: every larger neighbour of a node is linked to the lowest neighbour of that node
         seen = lowest.select(F.col("a").alias("_node"), F.col("m").alias("_m"))
@@ -57,10 +52,9 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         sideways = salted_lookup(star, low.select(F.col("a").alias("_node"), F.col("m").alias("_m")), "a", "_node", ["b"])
         sideways = sideways.where(F.col("b") != F.col("_m")).select(F.col("b").alias("a"), F.col("_m").alias("b"))
         links = cut_lineage(low.select("a", F.col("m").alias("b")).unionByName(sideways).distinct())
-        after = _signature(links)
-        if after == before:
+        # both are distinct; equal sizes and nothing new mean equal sets
+        if links.count() == earlier.count() and links.join(earlier, ["a", "b"], "left_anti").isEmpty():
             break
-        before = after
     roots = links.select(F.col("a").alias("osmid"), F.col("b").alias("component"))
     return nodes.select("osmid").distinct().join(roots, "osmid", "left").withColumn(
         "component", F.coalesce("component", "osmid"))
@@ -119,7 +113,9 @@ def isochrone(edges: DataFrame, origins: DataFrame, budget: float) -> DataFrame:
     state = origins.select("origin").distinct().select(
         F.explode(F.array(*[F.lit(k) for k in LEVELS])).alias("level"), "origin", F.col("origin").alias("node"),
         F.lit(0.0).alias("minutes"), F.lit(True).alias("moved"))
-    state = cut_lineage(state)
+    # an origin starts only on the levels whose network has it
+    there = roads.select("level", F.col("u").alias("node")).unionAll(roads.select("level", F.col("v").alias("node"))).distinct()
+    state = cut_lineage(state.join(there, ["level", "node"], "left_semi").select(*keys, "minutes", "moved"))
     while True:
         front = state.where("moved").select("level", "origin", F.col("node").alias("u"), F.col("minutes").alias("spent"))
         step = front.join(roads, ["level", "u"]).withColumn("new", F.col("spent") + F.col("minutes")).where(

@@ -89,11 +89,10 @@ def worst_stops(daily: DataFrame, focus: str, k: int = 5) -> DataFrame:
     ).select("stop_id", "_w.bunching_rate", "_w.n_obs")
 
 
-def trip_summaries(points: DataFrame, strict: bool = False) -> DataFrame:
-    """First and last time point of every half-trip.
+def trip_summaries(points: DataFrame) -> DataFrame:
+    """First and last time point of every half-trip; only these two need an actual clock.
 
-    ``strict`` is the variant for rows that may lack an actual clock: only the first and the last point need
-    one. Input is one row per time point.
+    Input is one row per time point.
     """
     ends = points.groupBy("route_id", *TRIP_KEY).agg(
         F.count(F.lit(1)).alias("n_points"),
@@ -146,7 +145,7 @@ def heatmap_cells(clean: DataFrame) -> DataFrame:
 
 def on_time_day(clean: DataFrame, route: str, date: str) -> DataFrame:
     day = clean.where((F.col("route_id") == route) & (F.col("service_date") == F.lit(date).cast("date")))
-    return heatmap_cells(day).select("stop_id", "on_time_rate", F.col("total_trips").alias("n_obs"))
+    return heatmap_cells(day).select("route_id", "stop_id", "on_time_rate", F.col("total_trips").alias("n_obs"))
 
 
 def guarded_semi(cells: DataFrame, pattern: DataFrame, by: list[str]) -> DataFrame:
@@ -198,11 +197,16 @@ def heatmap_axis(cells: DataFrame, pairs: DataFrame, axis: DataFrame) -> DataFra
     )
 
 
-def heatmap_pivot(daily: DataFrame, value: str, dates: list[str], keys: list[str]) -> DataFrame:
+def heatmap_pivot(daily: DataFrame, value: str, keys: list[str], days: DataFrame | None = None) -> DataFrame:
     """(stop × date) matrix of mean rates; rows with no value on any date are dropped.
 
-    The date list is an argument so that the pivot needs no extra pass over the data.
+    Every date of ``daily`` is a column. They are read from ``days`` (``service_date``; bounded by the calendar) where
+    that is cheaper to compute than ``daily`` and has at least its dates.
     """
+    seen = (daily if days is None else days).select(F.date_format("service_date", "yyyy-MM-dd").alias("d"))
+    dates = sorted(r["d"] for r in seen.where(F.col("d").isNotNull()).distinct().collect())
+    if not dates:
+        return daily.select(*keys).limit(0)
     grid = (
         min_samples(daily).withColumn("_d", F.date_format("service_date", "yyyy-MM-dd"))
         .groupBy(*keys).pivot("_d", dates).agg(F.avg(value))

@@ -186,7 +186,7 @@ def route_overlay(
     known = known.select("route_id", "stop_id", "direction_id", "s.on_time_rate", "s.bunching_rate")
     out = headways.join(position, "stop_id").join(known, ["route_id", "stop_id", "direction_id"], "left")
     if day is not None:
-        out = out.drop("on_time_rate").join(day.select("stop_id", "on_time_rate"), "stop_id", "left")
+        out = out.drop("on_time_rate").join(day.select("route_id", "stop_id", "on_time_rate"), ["route_id", "stop_id"], "left")
     return pick_load(out, loads)
 
 

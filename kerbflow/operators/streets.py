@@ -217,23 +217,41 @@ def label_filters(edges: DataFrame, filters: list[tuple[str, Condition]]) -> Dat
 
 
 def mark_lane_rules(edges: DataFrame, rules: list[sr.LaneRule], present: set[str] | None = None) -> DataFrame:
-    """Add ``lane_rules``: one bit per rule that matches.
+    """Add ``lane_rules`` (and ``lane_rules2``, ... beyond 62 rules): one bit per rule that matches.
 
     Each condition is evaluated once, and one number instead of a column per rule goes on to the targets.
     """
-    if len(rules) > 63:
-        raise ValueError("at most 63 rules fit in one mask")
     ready = with_missing(edges, LANE_COLUMNS)
     known = set(ready.columns)
     runs = usable([r.condition for r in rules], present)
-    bits = [f"if({condition_sql(r.condition, known)}, {1 << i}L, 0L)" for i, (r, run) in enumerate(zip(rules, runs)) if run]
-    # a few rules per expression: the JVM does not compile a generated method past 8 kB of bytecode
-    parts = {f"_mask{i}": F.expr(" | ".join(bits[i:i + 4])) for i in range(0, len(bits), 4)}
-    return settled(ready.withColumns(parts), {"lane_rules": F.expr(" | ".join(parts))}).drop(*parts)
+    parts: dict[str, Column] = {}
+    masks = {}
+    for k, name in enumerate(mask_columns(rules)):
+        span = range(k * MASK_BITS, min((k + 1) * MASK_BITS, len(rules)))
+        bits = [f"if({condition_sql(rules[i].condition, known)}, {1 << i - span.start}L, 0L)" for i in span if runs[i]]
+        # a few rules per expression: the JVM does not compile a generated method past 8 kB of bytecode
+        some = {f"_mask{k}_{i}": F.expr(" | ".join(bits[i:i + 4])) for i in range(0, len(bits), 4)}
+        parts |= some
+        masks[name] = F.expr(" | ".join(some) or "0L")
+    return settled(ready.withColumns(parts), masks).drop(*parts)
+
+
+MASK_BITS = 62
+
+
+def mask_columns(rules: list[sr.LaneRule]) -> list[str]:
+    """Names of the columns that tell which rules matched, ``MASK_BITS`` rules in each."""
+    return [f"lane_rules{k + 1 if k else ''}" for k in range(-(-len(rules) // MASK_BITS) or 1)]
 
 
 def _hit(mask: int) -> str:
-    return f"(lane_rules & {mask}L) != 0"
+    """Whether one of the rules in ``mask`` (bit i for rule i) matched."""
+    tests, k = [], 0
+    while mask >> k * MASK_BITS:
+        if own := mask >> k * MASK_BITS & (1 << MASK_BITS) - 1:
+            tests.append(f"(lane_rules{k + 1 if k else ''} & {own}L) != 0")
+        k += 1
+    return tests[0] if len(tests) == 1 else f"({' OR '.join(tests)})"
 
 
 def _setters(rules: list[sr.LaneRule], target: str, known: set[str]) -> list[tuple[int, str, bool]]:
@@ -310,7 +328,7 @@ def parse_hits(edges: DataFrame, rules: list[sr.LaneRule] | None = None) -> Data
     known = set(marked.columns)
     sources = sorted({v.column for r in rules for v in r.sets.values() if isinstance(v, sr.Source)} & known)
     flags = {c: f"_has{i}" for i, c in enumerate(sources)}
-    combos = marked.groupBy("lane_rules", *[column(c).isNotNull().alias(f) for c, f in flags.items()]).agg(
+    combos = marked.groupBy(*mask_columns(rules), *[column(c).isNotNull().alias(f) for c, f in flags.items()]).agg(
         F.count(F.lit(1)).alias("n"))
     items = []
     for target in sr.LANE_TARGETS:

@@ -13,6 +13,8 @@ REQUIRED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # checkpoint files go when the table they hold is no longer used
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # wide rule projections: past 8 kB of bytecode the JVM runs a fused method uncompiled, so split it instead
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }

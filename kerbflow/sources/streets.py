@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,6 +85,15 @@ PHOTO_SCHEMA = ("SourceFile string, FileName string, GPSLatitude double, GPSLong
 
 
 def read_photo_meta(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Extracted photo metadata documents; ``entry_no`` follows file and position."""
-    rows = spark.read.schema(PHOTO_SCHEMA).json(path, multiLine=multi_line)
-    return rows.withColumn("entry_no", F.monotonically_increasing_id())
+    """Extracted photo metadata documents; ``entry_no`` follows file path and position.
+
+    A task reads one stretch of a file in order, but tasks do not follow the order of the files. So stretches are
+    numbered by path and offset (one row each), and rows by their place within the stretch.
+    """
+    rows = spark.read.schema(PHOTO_SCHEMA).json(path, multiLine=multi_line).select(
+        "*", F.struct("_metadata.file_path", "_metadata.file_block_start").alias("_stretch"),
+        F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_place"))
+    number = F.row_number().over(Window.orderBy("_stretch"))
+    stretches = rows.select("_stretch").distinct().withColumn("_number", number.cast("bigint"))
+    return rows.join(stretches, "_stretch").withColumn("entry_no", F.shiftleft("_number", 33) + F.col("_place")).drop(
+        "_stretch", "_number", "_place")

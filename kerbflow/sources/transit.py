@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,8 +40,9 @@ def _positional(spark: SparkSession, path: str, names: list[str], **options: str
     schema = _text_schema(names).add("_short", T.StringType())
     rows = spark.read.schema(schema).csv(
         path, header=True, enforceSchema=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_short", **options)
-    # a row with more fields than listed is complete; only a row with fewer is dropped
-    fields = F.size(F.split("_short", ","))
+    # a row with more fields than listed is complete; only a row with fewer is dropped. Commas within quotes don't count
+    unquoted = F.regexp_replace("_short", '"(?:[^"]|"")*"', "")
+    fields = F.size(F.split(unquoted, ","))
     return rows.where(F.col("_short").isNull() | (fields >= len(names))).select(*names)
 
 
@@ -61,10 +65,14 @@ def read_ridership(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumns(number | whole)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+def _or_none(read: Callable[[], DataFrame]) -> DataFrame | None:
+    """What ``read`` gives, or None where its path is not there."""
+    try:
+        return read()
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def read_gtfs(spark: SparkSession, folder: str, suffix: str = ".txt") -> dict[str, DataFrame]:
@@ -74,12 +82,11 @@ def read_gtfs(spark: SparkSession, folder: str, suffix: str = ".txt") -> dict[st
     """
     feed = {}
     for name, wanted in GTFS_COLUMNS.items():
-        path = f"{folder}/{name}{suffix}"
-        if not _exists(spark, path):
+        raw = _or_none(lambda path=f"{folder}/{name}{suffix}": spark.read.csv(
+            path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True))
+        if raw is None:
             feed[name] = spark.createDataFrame([], _text_schema(wanted))
             continue
-        raw = spark.read.csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=True,
-                             ignoreTrailingWhiteSpace=True)
         plain = {c.strip().lstrip("﻿"): c for c in raw.columns}
         table = raw.select(*[(F.col(f"`{plain[c]}`") if c in plain else F.lit(None)).cast("string").alias(c)
                              for c in wanted])
@@ -100,9 +107,9 @@ def read_annotations(spark: SparkSession, path: str, multi_line: bool = True) ->
     entry = "struct<stopId: string, routeId: string, type: string>"
     schema = f"stopId string, routeId string, type string, annotations array<{entry}>"
     empty = "stop_id string, route_id string, type string"
-    if not _exists(spark, path):
+    docs = _or_none(lambda: spark.read.schema(schema).json(path, multiLine=multi_line))
+    if docs is None:
         return spark.createDataFrame([], empty)
-    docs = spark.read.schema(schema).json(path, multiLine=multi_line)
     own = F.when(F.col("annotations").isNull(), F.array(F.struct("stopId", "routeId", "type")))
     rows = docs.select(F.explode(F.coalesce("annotations", own)).alias("e"))
     return rows.select(F.col("e.stopId").alias("stop_id"), F.col("e.routeId").alias("route_id"), F.col("e.type").alias("type")
