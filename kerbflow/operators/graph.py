@@ -52,8 +52,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         sideways = salted_lookup(star, low.select(F.col("a").alias("_node"), F.col("m").alias("_m")), "a", "_node", ["b"])
         sideways = sideways.where(F.col("b") != F.col("_m")).select(F.col("b").alias("a"), F.col("_m").alias("b"))
         links = cut_lineage(low.select("a", F.col("m").alias("b")).unionByName(sideways).distinct())
-        # both are distinct; equal sizes and nothing new mean equal sets
-        if links.count() == earlier.count() and links.join(earlier, ["a", "b"], "left_anti").isEmpty():
+        # both are distinct: a link that is in one of them only is a change
+        if links.unionAll(earlier).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n < 2").isEmpty():
             break
     roots = links.select(F.col("a").alias("osmid"), F.col("b").alias("component"))
     return nodes.select("osmid").distinct().join(roots, "osmid", "left").withColumn(
