@@ -398,9 +398,10 @@ JOIN (SELECT shape_id, stop_id, shape_pt_sequence FROM shapes, stops WHERE stop_
   ON p.shape_id = m.shape_id AND p.stop_id = o.stop_id
 WINDOW w AS (PARTITION BY o.route_id, o.direction_id ORDER BY time_point_order, o.stop_id)""")
 add("c6_route_segments", """
-SELECT route_id, direction_id, stop_id, CASE WHEN n < 2 AND pidx IS NOT NULL THEN n + 2 ELSE n END AS n_points,
-       round(CASE WHEN n < 2 AND pidx IS NOT NULL THEN plon ELSE CAST(-71.1195 + coalesce(pidx, 0) * 0.002 AS DOUBLE) END, 6) AS first_lon
-FROM (SELECT *, abs(idx - coalesce(pidx, 0)) + 1 AS n FROM seg_stops)""")
+SELECT route_id, direction_id, stop_id, CASE WHEN alone THEN 1 WHEN n < 2 AND pidx IS NOT NULL THEN n + 2 ELSE n END AS n_points,
+       CASE WHEN ratio IS NULL THEN '#6b7280' WHEN ratio <= 1 THEN '#16a34a' WHEN ratio <= 1.2 THEN '#ca8a04' ELSE '#dc2626' END AS color,
+       round(CASE WHEN alone THEN lon WHEN n < 2 AND pidx IS NOT NULL THEN plon ELSE CAST(-71.1195 + coalesce(pidx, 0) * 0.002 AS DOUBLE) END, 6) AS first_lon
+FROM (SELECT *, abs(idx - coalesce(pidx, 0)) + 1 AS n, count(*) OVER (PARTITION BY route_id, direction_id) = 1 AS alone FROM seg_stops)""")
 
 # --- written and read back -----------------------------------------------------------------------------------
 METRIC = "route_id, stop_id, direction_id, time_point_order, on_time_rate, bunching_rate, n_obs"

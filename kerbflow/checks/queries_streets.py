@@ -365,5 +365,5 @@ def _(s, d):
 def _(s, d):
     feed = ad.gtfs(s, d)
     lines = ps.route_segments(qt.overlay(s, d), feed["trips"], feed["shapes"], feed["stops"])
-    return lines.select("route_id", "direction_id", "stop_id", F.size("coordinates").alias("n_points"),
+    return lines.select("route_id", "direction_id", "stop_id", F.size("coordinates").alias("n_points"), "color",
                         F.round(F.col("coordinates")[0]["lon"], 6).alias("first_lon"))

@@ -80,7 +80,8 @@ def nearest(
     ``target_order`` (tie order) and ``keep``; ``by`` lists columns both sides must share. A grid of cells
     is searched in the 3 x 3 block around each point: a hit closer than anything outside the block can be
     is final, the other points go on to a grid four times as coarse. Cells start small so that dense areas
-    are settled while a cell still holds few targets.
+    are settled while a cell still holds few targets. Cells do not wrap: points and targets on the two sides of
+    longitude 180 do not see each other until the coarsest grid.
     """
     by = by or []
     lat, lon = F.col("lat"), F.col("lon")

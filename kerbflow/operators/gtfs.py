@@ -146,10 +146,14 @@ def longest_trip_axis(feed: Feed) -> DataFrame:
 def display_rank(feed: Feed, first_names: str, last_names: str) -> DataFrame:
     """Display order of a route's stops from the median stop sequence per direction.
 
+    Under a name count the trips of the route with that id and of all routes with that short name.
     Each direction is a chain of stops ordered by median sequence. Chains whose first stop name matches
     ``first_names`` come first, those matching ``last_names`` last; a stop keeps its first place.
     """
-    trips = feed["trips"].select("trip_id", "route_id", F.coalesce("direction_id", F.lit("")).alias("direction_id"))
+    names = feed["routes"].select(F.col("route_id").alias("_id"), F.explode(F.array_distinct(F.array(
+        F.col("route_id"), F.coalesce("route_short_name", "route_id")))).alias("route_id"))
+    trips = feed["trips"].select("trip_id", F.col("route_id").alias("_id"), F.coalesce("direction_id", F.lit("")).alias(
+        "direction_id")).join(names, "_id").drop("_id")
     seq = F.coalesce(F.col("stop_sequence").cast("string").try_cast("int"), F.lit(0))
     medians = feed["stop_times"].select("trip_id", "stop_id", seq.alias("seq")).join(trips, "trip_id").groupBy(
         "route_id", "direction_id", "stop_id").agg(F.median("seq").alias("m"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbflow.functions import clock, text
+from kerbflow.functions import metrics as m
 from kerbflow.functions.metrics import floor_index
 from kerbflow.operators import arrivals as a
 from kerbflow.operators import gtfs as g
@@ -186,30 +187,40 @@ def positions_at(points: DataFrame, trips: DataFrame, shapes: DataFrame, step: i
     return on_shape(where, shapes, "actual_dist_m", "actual_lon", "actual_lat")
 
 
-def route_segments(overlay: DataFrame, trips: DataFrame, shapes: DataFrame, stops: DataFrame) -> DataFrame:
+def route_segments(overlay: DataFrame, trips: DataFrame, shapes: DataFrame, stops: DataFrame,
+                   metric: str = "ratio") -> DataFrame:
     """Line of every overlay stop: the shape from the previous stop's vertex to its own.
 
     The vertices run backwards where the index falls, and a straight line replaces a missing or too short
-    stretch. ``overlay``: route, direction, stop, ``time_point_order``, ``lat``, ``lon``.
+    stretch. A route and direction with a single stop is that stop's point. The colour is the stop's class of
+    ``metric``. ``overlay``: route, direction, stop, ``time_point_order``, ``lat``, ``lon`` and the metrics.
     """
     shape = g.majority_shape(trips).select("route_id", F.col("direction_id").alias("_code"), "shape_id")
     placed = overlay.withColumn("_code", text.direction_code(F.col("direction_id"))).join(
         shape, ["route_id", "_code"], "left")
     wanted = placed.where(F.col("shape_id").isNotNull()).select("shape_id", "stop_id").distinct().join(stops, "stop_id")
     vertex = g.project_stops(wanted, shapes).select("shape_id", "stop_id", F.col("shape_pt_sequence").alias("_idx"))
-    # the vertex list of one shape
-    line = shapes.groupBy("shape_id").agg(F.array_sort(F.collect_list(F.struct(
-        "shape_pt_sequence", F.col("shape_pt_lon").alias("lon"), F.col("shape_pt_lat").alias("lat")))).alias("_line"))
-    w = Window.partitionBy("route_id", "direction_id").orderBy("time_point_order", "stop_id")
+    key = ["route_id", "direction_id", "stop_id"]
+    group = Window.partitionBy("route_id", "direction_id")  # the stops of one route
+    w = group.orderBy("time_point_order", "stop_id")
     here = F.struct("lon", "lat")
-    rows = placed.join(vertex, ["shape_id", "stop_id"], "left").join(line, "shape_id", "left").withColumns({
-        "_pidx": F.lag("_idx").over(w), "_prev": F.lag(here).over(w)})
+    rows = placed.join(vertex, ["shape_id", "stop_id"], "left").withColumns({
+        "_pidx": F.lag("_idx").over(w), "_prev": F.lag(here).over(w), "_alone": F.count(F.lit(1)).over(group) == 1})
     low, high = F.least(F.coalesce("_pidx", F.lit(0)), "_idx"), F.greatest(F.coalesce("_pidx", F.lit(0)), "_idx")
-    cut = F.transform(F.filter("_line", lambda p: (p["shape_pt_sequence"] >= low) & (p["shape_pt_sequence"] <= high)),
+    # only the vertices of a stretch meet its stop
+    stretch = rows.select(*key, "shape_id", low.alias("_low"), high.alias("_high")).alias("r")
+    on = (F.col("r.shape_id") == F.col("p.shape_id")) & F.col("p.shape_pt_sequence").between(F.col("_low"), F.col("_high"))
+    point = F.struct(F.col("p.shape_pt_sequence").alias("seq"), F.col("p.shape_pt_lon").alias("lon"), F.col("p.shape_pt_lat").alias("lat"))
+    lines = stretch.join(shapes.alias("p"), on).groupBy(*key).agg(F.array_sort(F.collect_list(point)).alias("_line"))
+    rows = rows.join(lines, key, "left")
+    cut = F.transform(F.coalesce("_line", F.array().cast("array<struct<seq:int,lon:double,lat:double>>")),
                       lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat")))
     cut = F.when(F.col("_pidx") > F.col("_idx"), F.reverse(cut)).otherwise(cut)
     short = (F.size(cut) < 2) & F.col("_prev").isNotNull()
     along = F.when(short, F.concat(F.array("_prev"), cut, F.array(here))).otherwise(cut)
     straight = F.array(F.coalesce("_prev", here), here)
-    coords = F.when(F.col("shape_id").isNotNull(), along).otherwise(straight)
-    return rows.select("route_id", "direction_id", "stop_id", "time_point_order", coords.alias("coordinates"))
+    with_shape = F.when(F.col("_alone"), F.array(here)).otherwise(along)
+    coords = F.when(F.col("shape_id").isNotNull(), with_shape).otherwise(straight)
+    value = {"ratio": "ratio", "on_time": "on_time_rate", "bunching": "bunching_rate", "load": "ridership_load"}[metric]
+    return rows.select("route_id", "direction_id", "stop_id", "time_point_order", coords.alias("coordinates"),
+                       m.metric_class(metric, F.col(value)).alias("color"))

@@ -296,7 +296,8 @@ def parse_directions(edges: DataFrame, rules: list[sr.LaneRule] | None = None,
         setters = _setters(rules, target, known)
         arms = " ".join(f"WHEN {_hit(bits)}{f' AND {value} IS NOT NULL' if copied else ''} THEN {value}"
                         for bits, value, copied in setters)
-        targets[target] = F.expr(f"cast(CASE {arms} END AS {_target_type(target)})")
+        chosen = f"CASE {arms} END" if arms else "NULL"
+        targets[target] = F.expr(f"cast({chosen} AS {_target_type(target)})")
     levels: list[tuple[int, int]] = []
     for i, rule in enumerate(rules):
         if rule.lts is not None:
@@ -304,7 +305,7 @@ def parse_directions(edges: DataFrame, rules: list[sr.LaneRule] | None = None,
                 levels[-1] = (levels[-1][0] | 1 << i, rule.lts)
             else:
                 levels.append((1 << i, rule.lts))
-    access = F.expr("CASE " + " ".join(f"WHEN {_hit(bits)} THEN {lts}" for bits, lts in levels) + " END")
+    access = F.expr(f"CASE {' '.join(f'WHEN {_hit(bits)} THEN {lts}' for bits, lts in levels)} END" if levels else "CAST(NULL AS INT)")
     targets |= {f"LTS_bike_access_{way}": access for way in WAYS}
     kept = [c for c in marked.columns if c not in targets]
     return marked.select(*[column(c) for c in kept], *[v.alias(k) for k, v in targets.items()])
@@ -339,7 +340,8 @@ def parse_hits(edges: DataFrame, rules: list[sr.LaneRule] | None = None) -> Data
                 continue
             extra = f" AND {flags[value.column]}" if isinstance(value, sr.Source) else ""
             arms.append(f"WHEN {_hit(1 << i)}{extra} THEN '{rule.rule_id}'")
-        items.append(f"struct('{target}' AS target, CASE {' '.join(arms)} END AS rule_id)")
+        rule = f"CASE {' '.join(arms)} END" if arms else "CAST(NULL AS STRING)"
+        items.append(f"struct('{target}' AS target, {rule} AS rule_id)")
     hits = combos.select("n", F.explode(F.expr(f"array({', '.join(items)})")).alias("w")).select("n", "w.rule_id", "w.target")
     return hits.where(F.col("rule_id").isNotNull()).groupBy("rule_id", "target").agg(F.sum("n").alias("n"))
 

@@ -201,3 +201,39 @@ def test_only_largest_part_of_each_level(spark):
                                   "u bigint, v bigint, length double, LTS int")
     got = gr.level_edges(roads, only_largest=True).groupBy("level").count().collect()
     assert {x.level: x["count"] for x in got} == {1: 2, 2: 2, 3: 4, 4: 4}
+
+
+def test_more_rules_than_one_mask_holds(spark):
+    """Rules beyond the first mask decide, are named and are counted like the others."""
+    never = [sr.LaneRule(f"n{i}", tag("highway") == f"none{i}", {}) for i in range(68)]
+    rules = [*never[:66], sr.LaneRule("late", tag("highway") == "primary", {"bike_lane_fwd": True}, 2), *never[66:]]
+    target = next(t for t in sr.LANE_TARGETS if t.startswith("bike_lane"))
+    rules[66] = sr.LaneRule("late", tag("highway") == "primary", {target: True}, 2)
+    df = edges(spark, {"highway": "primary"}, {"highway": "residential"}, {"highway": "none3"})
+    got = {r.u: r for r in st.parse_directions(df, rules).select("u", target, "LTS_bike_access_fwd", st.parse_text(rules).alias("ids")).collect()}
+    assert (got[0][target], got[0].LTS_bike_access_fwd, got[0].ids) == (True, 2, "late")
+    assert (got[1][target], got[1].ids, got[2].ids) == (None, "", "n3")
+    assert [tuple(r) for r in st.parse_hits(df, rules).select("rule_id", "target", "n").collect()] == [("late", target, 1)]
+
+
+def test_photos_are_numbered_by_file_and_position(spark, tmp_path):
+    """A larger file that Spark reads first does not change the numbers."""
+    entry = '{{"SourceFile": "/p/{0}.jpg", "GPSLatitude": 1.0, "GPSLongitude": 2.0, "CreateDate": "2024"}}\n'
+    (tmp_path / "a.json").write_text("".join(entry.format(f"a{i}") for i in range(2)))
+    (tmp_path / "b.json").write_text("".join(entry.format(f"b{i}") for i in range(200)))
+    got = src.photo_points(src.read_photo_meta(spark, str(tmp_path), multi_line=False)).orderBy("id").collect()
+    assert [r.id for r in got] == list(range(202))
+    assert [r.filename for r in got] == ["a0.jpg", "a1.jpg", *[f"b{i}.jpg" for i in range(200)]]
+
+
+def test_origin_counts_only_where_its_level_has_it(spark):
+    roads = spark.createDataFrame([(3, 1, 2, 1.0), (4, 1, 2, 1.0)], "level int, u bigint, v bigint, minutes double")
+    counts = gr.isochrone_counts(gr.isochrone(roads, spark.createDataFrame([(1,)], "origin bigint"), 5.0)).first()
+    assert (counts.lts1, counts.lts2, counts.lts3, counts.lts4) == (0, 0, 2, 2)
+
+
+def test_line_geometry_both_ways(spark):
+    df = spark.createDataFrame([("LINESTRING (-71.5 42.25, -71.25 42.5)",), ("LINESTRING (1 2)",)], "w string")
+    points = src.parse_wkt_line(F.col("w"))
+    assert [[tuple(p) for p in r[0]] for r in df.select(points).collect()] == [[(-71.5, 42.25), (-71.25, 42.5)], [(1.0, 2.0)]]
+    assert df.select(src.wkt_line(points)).first()[0] == "LINESTRING (-71.5 42.25, -71.25 42.5)"

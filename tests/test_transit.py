@@ -229,3 +229,34 @@ def test_sample_times_are_inclusive(spark):
     closed = [x[0] for x in df.select(ps.sample_times(F.col("a"), F.col("b"), 10)).collect()]
     half = [x[0] for x in df.select(ps.sample_times(F.col("a"), F.col("b"), 10, open_end=True)).collect()]
     assert closed == [[10, 20, 30], []] and half == [[10, 20], []]
+
+
+def test_pivot_takes_every_date_of_the_data(spark):
+    daily = spark.createDataFrame([("28", "S1", dt.date(2024, 2, 3), 9, 0.5), ("28", "S1", dt.date(2024, 1, 30), 9, 1.0),
+                                   ("28", "S2", dt.date(2024, 2, 3), 1, 0.5)],
+                                  "route_id string, stop_id string, service_date date, n_obs bigint, on_time_rate double")
+    got = r.heatmap_pivot(daily, "on_time_rate", ["route_id", "stop_id"])
+    assert got.columns == ["route_id", "stop_id", "2024-01-30", "2024-02-03"]
+    assert [tuple(x) for x in got.collect()] == [("28", "S1", 1.0, 0.5)]
+    assert r.heatmap_pivot(daily.where("false"), "on_time_rate", ["stop_id"]).count() == 0
+
+
+def test_floor_index_at_every_size(spark):
+    for share in (0.25, 0.5, 0.75):
+        rows = [(n, i) for n in range(1, 41) for i in range(n)]
+        got = spark.createDataFrame(rows, "n int, x int").groupBy("n").agg(metrics.floor_index("x", share).alias("v")).collect()
+        assert {x.n: x.v for x in got} == {n: int(n * share) for n in range(1, 41)}
+
+
+def test_commas_in_quotes_are_no_fields(spark, tmp_path):
+    whole = '"s","28","v","1","08:00","d","wk","A, B, C","S1","1","5","1","4","7"'
+    short = '"s","28","v","1","08:00","d","wk","A, B, C","S1","1","5","1","4"'
+    (tmp_path / "r.csv").write_text(",".join(src.RIDERSHIP_COLUMNS) + f"\n{whole}\n{short}\n{whole},extra\n")
+    got = src.read_ridership(spark, str(tmp_path / "r.csv")).collect()
+    assert [(x.stop_name, x.load, x.sample_size) for x in got] == [("A, B, C", 4.0, 7)] * 2
+
+
+def test_missing_feed_file_is_an_empty_table(spark, tmp_path):
+    (tmp_path / "stops.txt").write_text('stop_id,stop_name,stop_lat\n"A","x, y",1\n')
+    read = src.read_gtfs(spark, str(tmp_path))
+    assert [tuple(x) for x in read["stops"].collect()] == [("A", "x, y", 1.0, None)] and read["trips"].count() == 0
