@@ -11,8 +11,8 @@
    document count in the first order, by two independent hashes in the others. Two sets with Jaccard 0.75 share a
    shingle among the first n - ceil(0.75 n) + 1 of each order. Unshared shingles match nothing, so only the shared
    ones that still fit in are kept; a document with less than 75 % shared shingles has none and is linked with nothing.
-4. *Candidates and verification.* Candidates share a prefix shingle in the first order, and must also share one in every
-   other order before their whole sets are compared. Pairs are not listed within a shingle's group. In a first step each
+4. *Candidates and verification.* Candidates share a prefix shingle in the first order, at places that leave enough
+   shingles for a link, and must also share one in every other order before their whole sets are compared. Pairs are not listed within a shingle's group. In a first step each
    document meets one pivot, the most central document of its groups; then pairs are listed only between documents of
    one group that are not yet known to be connected. Rounds of new pivots go on while those are many; in the end every
    pair that shares a prefix shingle is connected, or was compared, or fails a filter. No cap, nothing is dropped.
@@ -36,7 +36,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbflow.llm.common import LOWER, UPPER, bounded_batches, stored, worker_state
@@ -185,7 +185,7 @@ def shared_shingles(sets: DataFrame, bits: int) -> DataFrame:
     return asked.groupBy("part").applyInPandas(answer, "src bigint, part bigint, tail binary, df binary")
 
 
-LINKABLE = "doc_id bigint, n bigint, sig binary, central double, tokens binary, p1 array<bigint>, p2 array<bigint>, p3 array<bigint>"
+LINKABLE = "doc_id bigint, n bigint, shared bigint, sig binary, central double, tokens binary, p1 array<bigint>, p2 array<bigint>, p3 array<bigint>"
 
 
 def linkable(sets: DataFrame, shared: DataFrame, bits: int) -> DataFrame:
@@ -205,12 +205,13 @@ def linkable(sets: DataFrame, shared: DataFrame, bits: int) -> DataFrame:
                 prefix = tokens >> drop
                 at = np.minimum(np.searchsorted(known, prefix), len(known) - 1)
                 hit = known[at] == prefix
-                keep = int(hit.sum()) - -(-PERCENT * n // 100) + 1
+                held = int(hit.sum())
+                keep = held - -(-PERCENT * n // 100) + 1
                 if n and keep > 0:
                     df, own = count[at[hit]], tokens[hit]
                     first = own[np.lexsort((own, df))[:keep]]
                     rest = [own[np.argsort(mixed(own, k), kind="stable")[:keep]] for k in (2, 3)]
-                    out.append((doc_id, n, sig, float(df.sum()) / n, data, *[p.astype(np.int64) for p in (first, *rest)]))
+                    out.append((doc_id, n, held, sig, float(df.sum()) / n, data, *[p.astype(np.int64) for p in (first, *rest)]))
         return pd.DataFrame(out, columns=names)
 
     return stored(sets.groupBy("src").cogroup(shared.groupBy("src")).applyInPandas(choose, LINKABLE), "linkable")
@@ -239,15 +240,37 @@ def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
             .where(similar("xtokens", "ytokens")).select("a", "b"))
 
 
-def links(rows: DataFrame, max_rounds: int = 6) -> DataFrame:
-    """Links (a, b) between different sets, enough to connect every component."""
-    spark = rows.sparkSession
-    nodes = rows.select("doc_id")
-    groups = stored(rows.select("doc_id", "central", F.explode("p1").alias("t")), "prefixes")
+def relabelled(label: DataFrame, links: DataFrame) -> DataFrame:
+    """``label`` (doc_id, component) after ``links`` (a, b) have connected its components."""
+    own = label.select("doc_id", "component")
+    ends = links.join(own.toDF("a", "u"), "a").join(own.toDF("b", "v"), "b").where("u <> v").select("u", "v").distinct()
+    ends = stored(ends, "component-links")
+    if ends.isEmpty():
+        return label
+    nodes = ends.select(F.col("u").alias("osmid")).unionAll(ends.select(F.col("v").alias("osmid")))
+    roots = components(nodes, ends).toDF("component", "root")
+    return stored(own.join(roots, "component", "left").select("doc_id", F.coalesce("root", "component").alias("component")), "labels")
+
+
+def may_link(n: str, at: str, m: str, to: str) -> Column:
+    """Whether sets of n and m shingles may link whose first common shingle stands at places ``at`` and ``to``.
+
+    They have at most what is left from there on in common, and need 75/175 of their added sizes. Every linked pair
+    passes at its first common shingle, which is in both prefixes.
+    """
+    left = F.least(F.col(n) - F.col(at), F.col(m) - F.col(to))
+    return (100 + PERCENT) * left >= PERCENT * (F.col(n) + F.col(m))
+
+
+def connected(rows: DataFrame, max_rounds: int = 6) -> DataFrame:
+    """doc_id and component of the documents of ``rows`` that share a prefix shingle with another one."""
+    # a shingle's place counts the unshared ones before it
+    groups = stored(rows.select("doc_id", "central", "n", "shared", F.posexplode("p1").alias("at", "t")).withColumn(
+        "at", F.col("n") - F.col("shared") + F.col("at")).drop("shared"), "prefixes")
     shared = stored(groups.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("t"), "shared-prefixes")
     groups = stored(groups.join(shared, "t", "left_semi"), "prefix-groups")
-    found = compared = None
-    label = groups.select("doc_id").distinct().withColumn("component", F.col("doc_id"))
+    compared = None
+    label = stored(groups.select("doc_id").distinct().withColumn("component", F.col("doc_id")), "labels")
     for turn in itertools.count():
         members = stored(groups.join(label, "doc_id"), "members")
         # groups whose members are not all connected yet; tables are written before they meet many rows of a group, so
@@ -263,13 +286,15 @@ def links(rows: DataFrame, max_rounds: int = 6) -> DataFrame:
         last = turn > 0 and (cost <= 20 * size or turn >= max_rounds)
         if last:
             # all pairs between parts of a group: members outside its largest part meet the whole group
-            minor = members.where(outside).select("t", F.col("doc_id").alias("x"), F.col("component").alias("xc"))
-            pairs = minor.join(members.select("t", F.col("doc_id").alias("y"), F.col("component").alias("yc")), "t").where(
-                "xc <> yc").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            side = lambda rows, s: rows.select("t", *[F.col(c).alias(s + c) for c in ("doc_id", "component", "n", "at")])
+            pairs = side(members.where(outside), "x_").join(side(members, "y_"), "t").where(
+                (F.col("x_component") != F.col("y_component")) & may_link("x_n", "x_at", "y_n", "y_at")).select(
+                F.col("x_doc_id").alias("x"), F.col("y_doc_id").alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         else:
             rank = F.struct(-F.col("central"), "doc_id") if turn == 0 else F.struct(F.xxhash64("doc_id", F.lit(turn)), "doc_id")
-            pivot = stored(members.groupBy("t").agg(F.min_by(F.struct("doc_id", "component"), rank).alias("p")), "pivots")
-            meets = members.join(pivot, "t").where(F.col("component") != F.col("p.component")).groupBy(
+            pivot = stored(members.groupBy("t").agg(F.min_by(F.struct("doc_id", "component", "n", "at"), rank).alias("p")), "pivots")
+            meets = members.join(pivot, "t").where(
+                (F.col("component") != F.col("p.component")) & may_link("n", "at", "p.n", "p.at")).groupBy(
                 "doc_id", F.col("p.doc_id").alias("pivot")).agg(F.count(F.lit(1)).alias("k"))
             pairs = meets.groupBy("doc_id").agg(F.max_by("pivot", F.struct("k", -F.col("pivot"))).alias("pivot")).select(
                 F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct()
@@ -277,13 +302,10 @@ def links(rows: DataFrame, max_rounds: int = 6) -> DataFrame:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
         compared = pairs if compared is None else compared.unionAll(pairs)
-        new = stored(verified(pairs, rows), "links")
-        found = new if found is None else found.unionAll(new)
+        label = relabelled(label, stored(verified(pairs, rows), "links"))
         if last:
             break
-        label = stored(components(nodes.withColumnRenamed("doc_id", "osmid"), found.select(
-            F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("osmid", "doc_id"), "labels")
-    return found if found is not None else spark.createDataFrame([], "a bigint, b bigint")
+    return label
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -299,10 +321,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = stored(rows.select("doc_id", "sig", "n").join(first, ["sig", "n"]).groupBy("doc_id").agg(
         F.min("first").alias("first"), F.collect_set("first").alias("firsts")), "named")
     # an id with several texts connects their sets
-    several = named.where(F.size("firsts") > 1).select(F.col("first").alias("u"), F.explode("firsts").alias("v")).where("u <> v")
-    edges = stored(links(chosen).select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(several), "edges")
-    ends = edges.select(F.col("u").alias("osmid")).unionAll(edges.select(F.col("v").alias("osmid")))
-    label = stored(components(ends, edges).withColumnRenamed("osmid", "first"), "components")
+    several = named.where(F.size("firsts") > 1).select(F.col("first").alias("a"), F.explode("firsts").alias("b")).where("a <> b")
+    label = connected(chosen)
+    if not several.isEmpty():
+        lone = first.select(F.col("first").alias("doc_id")).join(label, "doc_id", "left_anti").select("doc_id", F.col("doc_id").alias("component"))
+        label = relabelled(label.unionAll(lone.distinct()), several)
+    label = label.withColumnRenamed("doc_id", "first")
     label = stored(named.select("doc_id", "first").join(label, "first", "left").select(
         "doc_id", F.coalesce("component", "first").alias("component_id")), "document-components")
     counted = sets.select("doc_id", F.col("n").alias("n_shingles")).join(label, "doc_id", "left").select(

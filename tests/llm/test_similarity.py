@@ -94,8 +94,8 @@ def expected_components(texts):
 @pytest.mark.parametrize("rounds", [0, 6])
 def test_near_duplicates(docs, texts, monkeypatch, rounds):
     monkeypatch.setattr(multi_order_join, "BLOCK", 3000)  # several blocks in a partition
-    plain = multi_order_join.links
-    monkeypatch.setattr(multi_order_join, "links", lambda rows: plain(rows, max_rounds=rounds))
+    plain = multi_order_join.connected
+    monkeypatch.setattr(multi_order_join, "connected", lambda rows: plain(rows, max_rounds=rounds))
     got = Counter(tuple(r) for r in multi_order_join.near_duplicates(docs).collect())
     assert got == expected_components(texts)
 
