@@ -17,6 +17,7 @@ table gives an empty dataset. Other columns are not looked at.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbflow.llm.common import bounded_batches, stored
+from kerbflow.llm.common import bounded_batches, stored, worker_state
 
 CHUNKS = ("shard int, chunk int, first bigint, n_ids int, doc_ids array<bigint>, seqs array<bigint>, "
           "firsts array<bigint>, totals array<bigint>, counts array<bigint>, layout string, planes array<binary>")
@@ -57,26 +58,71 @@ def from_planes(planes: list[bytes], n: int, layout: str) -> np.ndarray:
     return rows.reshape(-1).view("<u4")
 
 
+#: Stands between words that are encoded in one call; a word with this character is encoded by itself.
+BREAK = "\x01"
+#: The vocabulary's pattern for the pieces of a lower-case ASCII word.
+WORD_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+
+
 class WordEncoder:
-    """Ids of a text as bytes. Words between ASCII white space are encoded by the library once and remembered.
+    """Ids of a text as bytes. Each word between ASCII white space is encoded by the library once and remembered.
 
-    The vocabulary drops white space and never joins words across it, so the ids of a text are those of its words.
+    The vocabulary lowers case, drops white space and never joins anything across it, so the ids of a text are those
+    of its words; ASCII words are also taken apart into the pieces that the vocabulary encodes alone. The library gets
+    many of them in one call.
     """
 
-    def __init__(self, path: str, remember: int = 300_000):
+    def __init__(self, path: str, remember: int = 400_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer, self.known, self.remember = Tokenizer.from_file(path), {}, remember
+        self.tokenizer, self.remember = Tokenizer.from_file(path), remember
+        self.words: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.stop = self.library([BREAK])[0]
+        marks = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join([re.escape(BREAK), *marks]))
+
+    def library(self, texts: list[str]) -> list[bytes]:
+        made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in made]
+
+    def each(self, parts: list[str]) -> list[bytes]:
+        """The ids of every part; none has a BREAK."""
+        out = []
+        for k in range(0, len(parts), 1000):
+            some = parts[k:k + 1000]
+            data = self.library([f" {BREAK} ".join(some)])[0]
+            cuts = np.flatnonzero(np.frombuffer(data, "<u4") == np.frombuffer(self.stop, "<u4")[0]) * 4
+            out += [data[a:b] for a, b in zip([0, *(cuts + 4)], [*cuts, len(data)])]
+        return out
+
+    def learn(self, missing: list[bytes]) -> None:
+        by_pieces, whole, alone = [], [], []
+        for w in missing:
+            text = w.decode()
+            if BREAK in text:
+                alone.append((w, text))
+            elif text.isascii() and not self.special.search(text):
+                by_pieces.append((w, WORD_PIECES.findall(text.lower())))
+            else:
+                whole.append((w, text))
+        self.words.update(zip([w for w, _ in alone], self.library([t for _, t in alone])))
+        self.words.update(zip([w for w, _ in whole], self.each([t for _, t in whole])))
+        known = self.pieces
+        if len(known) > self.remember:
+            known.clear()
+        new = list({p for _, found in by_pieces for p in found if p not in known})
+        known.update(zip(new, self.each(new)))
+        self.words.update((w, b"".join([known[p] for p in found])) for w, found in by_pieces)
 
     def __call__(self, text: str) -> bytes:
-        words, known = text.encode("utf-8", "replace").split(), self.known
+        words, known = text.encode("utf-8", "replace").split(), self.words
         if missing := [w for w in set(words) if w not in known]:
             if len(known) + len(missing) > self.remember:
                 known.clear()
                 missing = list(set(words))
-            made = self.tokenizer.encode_batch([w.decode() for w in missing], add_special_tokens=False)
-            known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(missing, made))
+            self.learn(missing)
         return b"".join([known[w] for w in words])
 
 
@@ -90,7 +136,8 @@ def write_planes(docs: DataFrame, tokenizer: str, end_id: int, chunk_ids: int =
         ("layout", pa.string()), ("planes", pa.list_(pa.binary()))])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, ids_of = TaskContext.get().partitionId(), WordEncoder(tokenizer)
+        shard = TaskContext.get().partitionId()
+        ids_of = worker_state(f"ids {tokenizer}", lambda: WordEncoder(tokenizer))
         parts: list[bytes] = []
         slices: list[tuple] = []
         held = first = chunk = seq = at = 0
@@ -168,8 +215,10 @@ def read_documents(chunks: DataFrame) -> DataFrame:
 
     @F.udf("bigint")
     def joined(parts):
-        crc = 0
-        for part in parts:
+        if parts is None:
+            return None
+        crc = parts[0]["crc"]
+        for part in parts[1:]:
             crc = crc32_join(crc, part["crc"], 4 * part["n"])
         return crc
 
@@ -180,6 +229,7 @@ def read_documents(chunks: DataFrame) -> DataFrame:
     docs = pieces.groupBy("shard", "seq").agg(
         F.first("doc_id").alias("doc_id"), F.first("first").alias("first"), F.first("total").alias("n_tokens"),
         F.sort_array(F.collect_list(F.struct("chunk", "crc", "n"))).alias("parts"))
-    crc = F.when(F.size("parts") == 1, F.col("parts")[0]["crc"]).otherwise(joined("parts"))
+    # Spark calls a Python function for every row, so it gets only what spans chunks
+    crc = F.coalesce(joined(F.when(F.size("parts") > 1, F.col("parts"))), F.col("parts")[0]["crc"])
     return docs.join(offsets, "shard").select(
         "doc_id", (F.col("before") + F.col("first")).alias("start"), "n_tokens", crc.alias("ids_crc32"), "shard")
