@@ -72,11 +72,12 @@ class WordEncoder:
     many of them in one call.
     """
 
-    def __init__(self, path: str, remember: int = 400_000):
+    def __init__(self, path: str, words: int = 200_000, pieces: int = 1_000_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer, self.remember = Tokenizer.from_file(path), remember
+        # at most so many are remembered; a piece costs the library far more than a word costs to put together
+        self.tokenizer, self.most_words, self.most_pieces = Tokenizer.from_file(path), words, pieces
         self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.stop = self.library([BREAK])[0]
@@ -110,7 +111,7 @@ class WordEncoder:
         self.words.update(zip([w for w, _ in alone], self.library([t for _, t in alone])))
         self.words.update(zip([w for w, _ in whole], self.each([t for _, t in whole])))
         known = self.pieces
-        if len(known) > self.remember:
+        if len(known) > self.most_pieces:
             known.clear()
         new = list({p for _, found in by_pieces for p in found if p not in known})
         known.update(zip(new, self.each(new)))
@@ -119,7 +120,7 @@ class WordEncoder:
     def __call__(self, text: str) -> bytes:
         words, known = text.encode("utf-8", "replace").split(), self.words
         if missing := [w for w in set(words) if w not in known]:
-            if len(known) + len(missing) > self.remember:
+            if len(known) + len(missing) > self.most_words:
                 known.clear()
                 missing = list(set(words))
             self.learn(missing)
