@@ -1,9 +1,14 @@
 """License scans by conditional compression.
 
-Sentences and lines with a license word, and what stands between them, form candidate blocks. A block is compressed
-alone and with each template as raw dictionary; templates are ranked by how much of the compressed size they save. The
-best ones are then compared with the block word by word: a template is confirmed when hardly any of its words is
-missing, and the differences are reported.
+Sentences and lines with a license word, and what stands between them, form candidate blocks. All templates are compared
+word by word with the blocks and the words around them: a template is confirmed for a span of words when hardly any of
+its words is missing there, and the differences are reported. A span is compressed alone and with each template as raw
+dictionary; the share of the compressed size that a template saves ranks it among the others.
+
+Every confirmed template and span is a row, so a text under two licenses gives both. Of confirmed templates that rest on
+the same words of the text, the one that lacks the smallest share of its own words is reported (then the longer one,
+then the one that saves more, then by name). A block that no confirmed span touches gives one unconfirmed row with the
+template that saves most.
 
 Defined results: NULL and empty texts, and texts without a license word, have no block. Every row is scanned by itself,
 whole (a sentence of more than ``UNIT_WORDS`` words is cut into several), so repeated rows give repeated blocks, told
@@ -14,8 +19,8 @@ text are read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import pyarrow as pa
 import zstandard
@@ -54,7 +59,7 @@ CUE = r"licen[cs]e|copyright|warrant(?:y|ies)|permission is hereby|redistribut|c
 UNIT = re.compile(r"\S[^\n]*?(?:[.:;!?](?=\s)|(?=\n)|$)", re.M)
 UNIT_WORDS, BLOCK_WORDS, GAP = 200, 400, 2
 WORD = re.compile(r"\S+")
-SCHEMA = ("doc_id bigint, block int, start bigint, length int, license string, saved double, missing int, extra int, "
+SCHEMA = ("doc_id bigint, block int, start bigint, length int, license string, rank int, saved double, missing int, extra int, "
           "confirmed boolean, differences string, text string")
 
 
@@ -84,12 +89,33 @@ def blocks(text: str) -> list[tuple[int, int]]:
     return [(units[a][0], units[b][1]) for a, b, _ in out]
 
 
+def aligned(want: list[str], have: list[str]) -> list[tuple[int, int]]:
+    """A longest common subsequence, as pairs of places."""
+    rest = [[0] * (len(have) + 1) for _ in range(len(want) + 1)]
+    for i in range(len(want) - 1, -1, -1):
+        row, below = rest[i], rest[i + 1]
+        for j in range(len(have) - 1, -1, -1):
+            row[j] = below[j + 1] + 1 if want[i] == have[j] else max(below[j], row[j + 1])
+    out, i, j = [], 0, 0
+    while i < len(want) and j < len(have):
+        if want[i] == have[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif rest[i + 1][j] >= rest[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
 class Scanner:
-    """Compressors for every template, and the comparison of a block with them."""
+    """Compressors for every template, and the comparison of a text with them."""
 
-    def __init__(self, templates: dict[str, str], winners: int = 2, least: float = 0.2, lost: float = 0.1):
+    def __init__(self, templates: dict[str, str], least: float = 0.2, lost: float = 0.1):
         self.templates = {name: plain(t) for name, t in sorted(templates.items())}
-        self.winners, self.least, self.lost = winners, least, lost
+        self.words = {name: t.split() for name, t in self.templates.items()}
+        self.least, self.lost = least, lost
+        self.around = 0
         how = zstandard.ZstdCompressionParameters.from_level(
             19, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False)
         self.alone = zstandard.ZstdCompressor(compression_params=how)
@@ -105,39 +131,110 @@ class Scanner:
 
     def differences(self, name: str, block: str) -> tuple[int, int, str]:
         """Words of the template that the block lacks, words it has besides, and each difference in wording."""
-        want, have = self.templates[name].split(), plain(block).split()
-        missing = extra = 0
-        shown = []
-        for kind, a, b, c, d in SequenceMatcher(None, want, have, autojunk=False).get_opcodes():
-            if kind != "equal":
-                missing, extra = missing + b - a, extra + d - c
-                shown.append(f"-[{' '.join(want[a:b])}] +[{' '.join(have[c:d])}]")
-        return missing, extra, "; ".join(shown)
+        want, have = self.words[name], plain(block).split()
+        same, shown, i, j = aligned(want, have), [], 0, 0
+        for a, b in [*same, (len(want), len(have))]:
+            if (i, j) != (a, b):
+                shown.append(f"-[{' '.join(want[i:a])}] +[{' '.join(have[j:b])}]")
+            i, j = a + 1, b + 1
+        return len(want) - len(same), len(have) - len(same), "; ".join(shown)
+
+    def spans(self, name: str, have: list[str]) -> list[tuple[int, int]]:
+        """Disjoint ranges of ``have`` that lack at most the share ``lost`` of the template's words, closest wording first.
+
+        For every place where such a range can begin, the common subsequence with the template is grown word by word (bits
+        of ``open``: template words not matched yet), and the end with the fewest missing and added words is taken.
+        """
+        want = self.words[name]
+        m, most = len(want), int(self.lost * len(want))
+        present = set(have)
+        if sum(w not in present for w in want) > most:
+            return []
+        places: dict[str, int] = {}
+        for i, w in enumerate(want):
+            places[w] = places.get(w, 0) | 1 << i
+        heads, full, reach = set(want[:most + 1]), (1 << m) - 1, max(BLOCK_WORDS, 3 * m)
+        found = []
+        for s, w in enumerate(have):
+            if w not in heads:
+                continue
+            open_, best = full, None
+            for e in range(s, min(s + reach, len(have))):
+                if (bits := places.get(have[e])) is None:
+                    continue
+                u = open_ & bits
+                open_ = ((open_ + u) | (open_ - u)) & full
+                missing = open_.bit_count()
+                if missing <= most and (best is None or 2 * missing + e + 1 - s - m < best[0]):
+                    best = (2 * missing + e + 1 - s - m, s, e + 1)
+            if best:
+                found.append(best)
+        out, taken = [], bytearray(len(have))
+        for _, s, e in sorted(found):
+            if not any(taken[s:e]):
+                taken[s:e] = b"\1" * (e - s)
+                out.append((s, e))
+        return out
+
+    def confirmed(self, text: str, found: list[tuple[int, int]]) -> list[tuple]:
+        """start, end, license, rank, saved, missing, extra, differences of every confirmed template and span around blocks."""
+        tokens = [(m.start(), m.end()) for m in WORD.finditer(text)]
+        starts, ends = [a for a, _ in tokens], [b for _, b in tokens]
+        regions: list[list[int]] = []
+        for start, end in found:
+            a, b = max(bisect_right(ends, start) - self.around, 0), min(bisect_left(starts, end) + self.around, len(tokens))
+            if regions and a <= regions[-1][1]:
+                regions[-1][1] = max(regions[-1][1], b)
+            else:
+                regions.append([a, b])
+        hits = []
+        for a, b in regions:
+            have = [text[s:e].lower() for s, e in tokens[a:b]]
+            for name, want in self.words.items():
+                for s, e in self.spans(name, have):
+                    start, end = tokens[a + s][0], tokens[a + e - 1][1]
+                    missing, extra, shown = self.differences(name, text[start:end])
+                    rank, saved = next((k, x) for k, (other, x) in enumerate(self.ranked(text[start:end]), 1) if other == name)
+                    if saved >= self.least:
+                        same = frozenset(a + s + j for _, j in aligned(want, have[s:e]))
+                        hits.append((missing / len(want), -len(want), -saved, name, same,
+                                     (start, end, name, rank, round(saved, 6), missing, extra, shown)))
+        kept: list[tuple] = []
+        owners: dict[int, list[frozenset]] = {}
+        for *_, same, row in sorted(hits, key=lambda h: h[:4]):
+            if not any(same <= other for other in owners.get(min(same), [])):
+                kept.append(row)
+                for at in same:
+                    owners.setdefault(at, []).append(same)
+        return sorted(kept)
 
     def scan(self, text: str) -> Iterator[tuple]:
-        """For each block (number, start, length, license, saved, missing, extra, confirmed, differences, text).
+        """Rows (block number, start, length, license, rank, saved, missing, extra, confirmed, differences, text).
 
-        The winner shown is the first confirmed one of the best ``winners``, or the best when none is.
+        One for each confirmed template and span, under the first block it touches (or the next one), and one for each
+        block without any.
         """
-        for number, (start, end) in enumerate(blocks(text)):
-            block, best = text[start:end], None
-            for name, saved in self.ranked(block)[:self.winners]:
+        found = blocks(text)
+        rows, touched = [], set()
+        for start, end, *row, shown in self.confirmed(text, found) if found else []:
+            number = min(bisect_right([b for _, b in found], start), len(found) - 1)
+            touched.update(k for k in range(number, len(found)) if found[k][0] < end and start < found[k][1])
+            rows.append((number, start, end - start, *row, True, shown, text[start:end]))
+        for number, (start, end) in enumerate(found):
+            if number not in touched:
+                block = text[start:end]
+                name, saved = self.ranked(block)[0]
                 missing, extra, shown = self.differences(name, block)
-                sure = saved >= self.least and missing <= self.lost * len(self.templates[name].split())
-                row = (number, start, end - start, name, round(saved, 6), missing, extra, sure, shown, block)
-                if best is None or sure:
-                    best = row
-                if sure:
-                    break
-            yield best
+                rows.append((number, start, end - start, name, 1, round(saved, 6), missing, extra, False, shown, block))
+        return iter(sorted(rows))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """One row per candidate block of ``docs``; see ``Scanner.scan``."""
+    """Confirmed licenses and unconfirmed blocks of ``docs``; see ``Scanner.scan``."""
     bounded_batches(docs.sparkSession)
     names = [c.split()[0] for c in SCHEMA.split(", ")]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.bool_(), pa.string(),
-             pa.string()]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.bool_(),
+             pa.string(), pa.string()]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates)

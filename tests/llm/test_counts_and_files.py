@@ -108,6 +108,18 @@ def test_license_cut_is_exact(spark):
     assert row.differences == "" and row.extra == 0
 
 
+def confirmed_licenses(text):
+    """License, words missing and words added of each confirmed row, in the order of the text."""
+    return [(r[3], r[-5], r[-4]) for r in license_compression.Scanner(license_compression.TEMPLATES).scan(text) if r[-3]]
+
+
+def test_every_license_of_a_text():
+    mit, gpl, cc = (license_compression.TEMPLATES[k] for k in ("MIT", "GPL-3.0", "CC-BY-NC-4.0"))
+    for gap in (" ", "\n", " Or, as you like, this one holds. "):
+        assert confirmed_licenses(mit + gap + gpl) == [("MIT", 0, 0), ("GPL-3.0", 0, 0)]
+    assert confirmed_licenses("\n".join([mit, gpl, cc, mit])) == [("MIT", 0, 0), ("GPL-3.0", 0, 0), ("CC-BY-NC-4.0", 0, 0), ("MIT", 0, 0)]
+
+
 def test_empty_tables(spark, nothing):
     index = digest_index.DigestIndex(spark, work_path(spark, "test-index"), buckets=2)
     assert digest_index.deduplicate(nothing, index).count() == 0
