@@ -115,7 +115,7 @@ class Scanner:
         self.templates = {name: plain(t) for name, t in sorted(templates.items())}
         self.words = {name: t.split() for name, t in self.templates.items()}
         self.least, self.lost = least, lost
-        self.around = 0
+        self.around = 3 * max(map(len, self.words.values()))
         how = zstandard.ZstdCompressionParameters.from_level(
             19, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False)
         self.alone = zstandard.ZstdCompressor(compression_params=how)
@@ -195,7 +195,8 @@ class Scanner:
                     start, end = tokens[a + s][0], tokens[a + e - 1][1]
                     missing, extra, shown = self.differences(name, text[start:end])
                     rank, saved = next((k, x) for k, (other, x) in enumerate(self.ranked(text[start:end]), 1) if other == name)
-                    if saved >= self.least:
+                    # a notice drawn out over many other words must also save enough of them
+                    if extra <= 2 * len(want) or saved >= self.least:
                         same = frozenset(a + s + j for _, j in aligned(want, have[s:e]))
                         hits.append((missing / len(want), -len(want), -saved, name, same,
                                      (start, end, name, rank, round(saved, 6), missing, extra, shown)))

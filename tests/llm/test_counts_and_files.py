@@ -1,6 +1,7 @@
 """Operators 3, 4, 5 and 8 against the libraries and plain Python."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -15,6 +16,8 @@ from tokenizers import Tokenizer
 from kerbflow.llm import bitplane, digest_index, heap_bpe, license_compression
 from kerbflow.session import work_path
 
+from .conftest import prose
+
 WORD, BYTE = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
 word, byte = Tokenizer.from_file(WORD), Tokenizer.from_file(BYTE)
 encoder, count = bitplane.WordEncoder(WORD), heap_bpe.counter(BYTE)
@@ -120,6 +123,23 @@ def test_every_license_of_a_text():
     assert confirmed_licenses("\n".join([mit, gpl, cc, mit])) == [("MIT", 0, 0), ("GPL-3.0", 0, 0), ("CC-BY-NC-4.0", 0, 0), ("MIT", 0, 0)]
 
 
+def test_license_wording_decides():
+    """Exact notices, whatever stands around them and however they are wrapped."""
+    scanner, rng = license_compression.Scanner(license_compression.TEMPLATES), random.Random(6)
+    for name, template in license_compression.TEMPLATES.items():
+        assert confirmed_licenses(template) == [(name, 0, 0)]
+        for width in (1, 5, 12):
+            words = template.split()
+            wrapped = "\n".join(" ".join(words[k:k + width]) for k in range(0, len(words), width))
+            assert confirmed_licenses(wrapped) == [(name, 0, 0)]
+        for before in (37, 199, 333):
+            text = prose(rng, before) + " " + template + " " + prose(rng, 150) + " whose license is another matter. " + prose(rng, 90)
+            assert confirmed_licenses(text) == [(name, 0, 0)]
+            row = next(r for r in scanner.scan(text) if r[-3])
+            assert text[row[1]:row[1] + row[2]] == row[-1] == template and row[4] == 1
+    assert confirmed_licenses("This LICENSE is of no known kind, released, and under review by the editors.") == []
+
+
 def test_empty_tables(spark, nothing):
     index = digest_index.DigestIndex(spark, work_path(spark, "test-index"), buckets=2)
     assert digest_index.deduplicate(nothing, index).count() == 0
