@@ -5,9 +5,10 @@ hash. The network predicts the word at a masked place from the ``SIDE`` words be
 word and place is summed, squashed, and a two-level softmax (group of words, word in the group) gives the probability.
 A document's score is the sum of the log-probabilities of all its words, each predicted from both sides.
 
-Training covers all documents: in each round every task masks an eighth of the words of its documents of that round and
-takes gradient steps from the shared weights, and the tasks' weights are averaged by a grouped shuffle, weighted by their
-number of masked words. What is gathered grows with the corpus; what comes to the driver is one set of weights, and the
+Training covers all words of all documents: each document belongs to one round, in which its words are dealt into masks by
+a hash of text, place and round, so that every word is masked once. Every task takes gradient steps over the masks of its
+documents from the shared weights, and the tasks' weights are averaged by a grouped shuffle, weighted by their number of
+masked words. What is gathered grows with the corpus; what comes to the driver is one set of weights, and the
 vocabulary, both of fixed size.
 
 Defined results: NULL, empty and white-space texts have 0 words, log-probability 0 and a NULL mean. Rows are scored one
@@ -50,6 +51,14 @@ def encode(text: str, known: dict[bytes, int]) -> np.ndarray:
     return np.array([i if (i := known.get(w)) is not None else WORDS + zlib.crc32(w) % BUCKETS for w in words], dtype=np.int64)
 
 
+def masks(text: str, places: np.ndarray, turn: int, mask: int) -> np.ndarray:
+    """Which of the ``mask`` masks of a round hides the word at each place."""
+    x = places.astype(np.uint64) + np.uint64((zlib.crc32(text.encode("utf-8", "replace")) << 32) + (turn << 24))
+    for factor in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(factor)
+    return (x >> np.uint64(33)) % np.uint64(mask)
+
+
 @dataclass
 class Network:
     """``place[k][w]``: embedding of word w at context place k; then weights and biases of the two softmax levels."""
@@ -154,20 +163,20 @@ def train(docs: DataFrame, rounds: int = 2, mask: int = 8, batch: int = 2048, ra
             net, seen, held, size = Network.start().load(begin), 0, [], 0
 
             def take() -> None:
-                context, target = np.concatenate([c for c, _ in held], axis=1), np.concatenate([t for _, t in held])
-                for k in range(0, len(target), batch):
-                    net.step(context[:, k:k + batch], target[k:k + batch], rate)
+                context, target, hidden = (np.concatenate(x, axis=-1) for x in zip(*held))
+                order = np.argsort(hidden, kind="stable")
+                for some in np.array_split(order, -(-len(order) // batch)):
+                    net.step(context[:, some], target[some], rate)
 
             for part in batches:
                 for text in part.column(0).to_pylist():
                     ids = encode(text, numbers)
                     for lo in range(0, len(ids), STRETCH):
-                        at = np.arange(lo + (lo + len(ids)) % mask, min(lo + STRETCH, len(ids)), mask)
-                        if len(at):
-                            held.append((net.contexts(ids, at), ids[at]))
-                            size += len(at)
-                            seen += len(at)
-                    if size >= 4 * batch:
+                        at = np.arange(lo, min(lo + STRETCH, len(ids)))
+                        held.append((net.contexts(ids, at), ids[at], masks(text, at, turn, mask)))
+                        size += len(at)
+                        seen += len(at)
+                    if size >= mask * batch:
                         take()
                         held, size = [], 0
             if held:

@@ -202,6 +202,20 @@ def test_masked_lm(spark):
     assert masked_lm.score(empty, *masked_lm.train(empty)).count() == 0
 
 
+def test_masks_reach_every_place(spark):
+    """Short texts and the last words of texts are trained, and so is the edge after them."""
+    df = spark.createDataFrame([(i, f"a{i % 7} b c d last") for i in range(600)], "doc_id bigint, text string").repartition(2)
+    known, weights = masked_lm.train(df)
+    start, net = masked_lm.Network.start(), masked_lm.Network.start().load(weights)
+    assert all((net.place[k][masked_lm.EDGE] != start.place[k][masked_lm.EDGE]).all() for k in range(4))
+    ids = masked_lm.encode("a1 b c d last", {w.encode(): i for w, i in known.items()})
+    at = np.arange(5)
+    assert (net.log_probs(net.contexts(ids, at), ids) > start.log_probs(start.contexts(ids, at), ids)).all()
+    hidden = masked_lm.masks("some text", np.arange(4000), 0, 8)
+    assert set(Counter(hidden.tolist())) == set(range(8)) and min(Counter(hidden.tolist()).values()) > 400
+    assert (hidden != masked_lm.masks("some text", np.arange(4000), 1, 8)).any()
+
+
 def test_gradient():
     """A step moves the loss as its gradient says."""
     rng = np.random.default_rng(1)
