@@ -1,7 +1,8 @@
 """Masked pseudo-likelihood of documents under a small bidirectional network trained in numpy.
 
-Words are counted over the whole corpus; the most frequent ones are the vocabulary, all others share some buckets by
-hash. The network predicts the word at a masked place from the ``SIDE`` words before and after it: one embedding per
+Words are counted over the whole corpus; the most frequent ones are the vocabulary of the network, all others share some
+buckets by hash. The full counts stay a stored table: a word of a bucket has the bucket's probability times its own share of
+the bucket, (count + 1) / (count of the bucket + distinct words + 1), where the last 1 is for all words never counted. The network predicts the word at a masked place from the ``SIDE`` words before and after it: one embedding per
 word and place is summed, squashed, and a two-level softmax (group of words, word in the group) gives the probability.
 A document's score is the sum of the log-probabilities of all its words, each predicted from both sides.
 
@@ -26,6 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,16 +41,23 @@ STRETCH, CHUNK = 16_384, 4096
 GAP = r"[\x20\x09-\x0D]+"
 
 
-def vocabulary(docs: DataFrame) -> dict[str, int]:
-    """The ``WORDS`` most frequent words of the corpus, numbered; equal counts go by the word."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """Stored table of all words of the corpus and how often they stand there: w, n."""
     words = docs.select(F.explode(F.split(ascii_lower(F.coalesce("text", F.lit(""))), GAP)).alias("w")).where("w <> ''")
-    counts = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    return stored(words.groupBy("w").agg(F.count(F.lit(1)).alias("n")), "word-counts")
+
+
+def vocabulary(counts: DataFrame) -> dict[str, int]:
+    """The ``WORDS`` most frequent words of the corpus, numbered; equal counts go by the word."""
     return {r["w"]: i for i, r in enumerate(counts.orderBy(F.desc("n"), "w").limit(WORDS).collect())}
 
 
+def split(text: str) -> list[bytes]:
+    return text.encode("utf-8", "replace").lower().split()
+
+
 def encode(text: str, known: dict[bytes, int]) -> np.ndarray:
-    words = text.encode("utf-8", "replace").lower().split()
-    return np.array([i if (i := known.get(w)) is not None else WORDS + zlib.crc32(w) % BUCKETS for w in words], dtype=np.int64)
+    return np.array([i if (i := known.get(w)) is not None else WORDS + zlib.crc32(w) % BUCKETS for w in split(text)], dtype=np.int64)
 
 
 def masks(text: str, places: np.ndarray, turn: int, mask: int) -> np.ndarray:
@@ -148,10 +157,11 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x / x.sum(axis=1, keepdims=True)
 
 
-def train(docs: DataFrame, rounds: int = 2, mask: int = 8, batch: int = 2048, rate: float = 1.0) -> tuple[dict[str, int], np.ndarray]:
+def train(docs: DataFrame, rounds: int = 2, mask: int = 8, batch: int = 2048, rate: float = 1.0,
+          counts: DataFrame | None = None) -> tuple[dict[str, int], np.ndarray]:
     """Vocabulary and averaged weights after ``rounds`` rounds, each over its share of all documents."""
     bounded_batches(docs.sparkSession)
-    known = vocabulary(docs)
+    known = vocabulary(word_counts(docs) if counts is None else counts)
     numbers = {w.encode("utf-8", "replace"): i for w, i in known.items()}
     weights = Network.start().flat()
     rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn(
@@ -203,9 +213,18 @@ def train(docs: DataFrame, rounds: int = 2, mask: int = 8, batch: int = 2048, ra
     return known, weights
 
 
-def score(docs: DataFrame, known: dict[str, int], weights: np.ndarray) -> DataFrame:
-    """doc_id, n_tokens, log_prob (sum over all words) and mean_log_prob of every row."""
+def score(docs: DataFrame, known: dict[str, int], weights: np.ndarray, counts: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_tokens, log_prob (sum over all words) and mean_log_prob of every row.
+
+    ``counts`` are the words of the training corpus; by default ``docs`` is taken for that corpus.
+    """
     bounded_batches(docs.sparkSession)
+    own = (word_counts(docs) if counts is None else counts).where(~F.col("w").isin(list(known)))
+    sums = own.groupBy((F.crc32(F.col("w").cast("binary")) % BUCKETS).alias("b")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words"))
+    # what a word of a bucket has before its own count is known; the join adds log(count + 1)
+    base = np.zeros(SIZE)
+    for r in sums.collect():
+        base[WORDS + r["b"]] = -np.log(r["n"] + r["words"] + 1)
     numbers = {w.encode("utf-8", "replace"): i for w, i in known.items()}
 
     def total(texts):
@@ -213,7 +232,7 @@ def score(docs: DataFrame, known: dict[str, int], weights: np.ndarray) -> DataFr
         for series in texts:
             ids = [encode(t, numbers) for t in series]
             n = np.array([len(x) for x in ids])
-            sums = np.zeros(len(ids))
+            sums = np.array([base[x].sum() for x in ids])
             held, size = [], 0
 
             def flush() -> None:
@@ -233,9 +252,17 @@ def score(docs: DataFrame, known: dict[str, int], weights: np.ndarray) -> DataFr
                         held, size = [], 0
             if held:
                 flush()
-            yield pd.DataFrame({"n_tokens": n, "log_prob": sums})
+            rare = [np.array([xxhash.xxh64_intdigest(w, seed=42) for w, i in zip(split(t), x.tolist()) if i >= WORDS], np.uint64).view(np.int64)
+                    for t, x in zip(series, ids)]
+            yield pd.DataFrame({"n_tokens": n, "log_prob": sums, "rare": rare})
 
     total.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    scored = F.pandas_udf(total, "n_tokens bigint, log_prob double")(F.coalesce("text", F.lit("")))
-    return docs.select("doc_id", scored.alias("s")).select(
-        "doc_id", "s.n_tokens", "s.log_prob", F.when(F.col("s.n_tokens") > 0, F.col("s.log_prob") / F.col("s.n_tokens")).alias("mean_log_prob"))
+    # the row key is written once, so that it is the same in every later task
+    scored = F.pandas_udf(total, "n_tokens bigint, log_prob double, rare array<bigint>")(F.coalesce("text", F.lit("")))
+    rows = stored(docs.select("doc_id", scored.alias("s")).select(F.monotonically_increasing_id().alias("key"), "doc_id", "s.*"), "scored")
+    gains = own.groupBy(F.xxhash64("w").alias("h")).agg(F.log(F.sum("n") + F.lit(1.0)).alias("gain"))
+    met = rows.select("key", F.explode("rare").alias("h")).join(gains, "h")
+    found = stored(met.groupBy("key").agg(F.sum("gain").alias("gain")), "gains")
+    whole = F.col("log_prob") + F.coalesce("gain", F.lit(0.0))
+    return rows.drop("rare").join(found, "key", "left").select(
+        "doc_id", "n_tokens", whole.alias("log_prob"), F.when(F.col("n_tokens") > 0, whole / F.col("n_tokens")).alias("mean_log_prob"))

@@ -57,7 +57,8 @@ def op8_license_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return masked_lm.score(docs, *masked_lm.train(docs))
+    counts = masked_lm.word_counts(docs)
+    return masked_lm.score(docs, *masked_lm.train(docs, counts=counts), counts)
 
 
 def op10_multi_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:

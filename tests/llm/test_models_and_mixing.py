@@ -216,6 +216,35 @@ def test_masks_reach_every_place(spark):
     assert (hidden != masked_lm.masks("some text", np.arange(4000), 1, 8)).any()
 
 
+def test_words_of_a_bucket_have_their_own_share(spark):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(300)] + ["É", "ŸÉ", "x" * 40]
+    rows = [(i % 50, " ".join(rng.choices(words, range(1, len(words) + 1), k=rng.randint(0, 60))).upper()) for i in range(200)] + [(None, None), (None, "W7 w9")]
+    corpus = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    lower = lambda text: [w.decode() for w in (text or "").encode().lower().split()]
+    seen = Counter(w for _, text in rows for w in lower(text))
+    known = {w: i for i, (w, _) in enumerate(seen.most_common(40))}
+    place = {w.encode(): i for w, i in known.items()}
+    bucket = lambda w: masked_lm.encode(w, place)[0]
+    size = Counter()
+    for w, n in seen.items():
+        size[bucket(w)] += n + 1
+    net = masked_lm.Network.start()
+
+    def expected(text):
+        ids = masked_lm.encode(text or "", place)
+        own = sum(math.log((seen[w] + 1) / (size[i] + 1)) for w, i in zip(lower(text), ids) if i >= masked_lm.WORDS)
+        return own + (float(net.log_probs(net.contexts(ids, np.arange(len(ids))), ids).sum()) if len(ids) else 0.0)
+
+    want = sorted((i or -1, round(expected(text), 2)) for i, text in rows)
+    got = masked_lm.score(corpus, known, net.flat()).collect()
+    assert np.allclose(sorted((r.doc_id or -1, round(r.log_prob, 2)) for r in got), want, atol=0.02)
+    # other documents, with words never counted
+    others = spark.createDataFrame([(1, "w1 unseen"), (2, "neverseen w299 w7")], "doc_id bigint, text string")
+    got = {r.doc_id: r.log_prob for r in masked_lm.score(others, known, net.flat(), masked_lm.word_counts(corpus)).collect()}
+    assert math.isclose(got[1], expected("w1 unseen"), rel_tol=1e-4) and math.isclose(got[2], expected("neverseen w299 w7"), rel_tol=1e-4)
+
+
 def test_gradient():
     """A step moves the loss as its gradient says."""
     rng = np.random.default_rng(1)
