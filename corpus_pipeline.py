@@ -22,18 +22,40 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return told.where(F.col("_language") != string_kernel.UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """The rows with a key ``_row`` of their own, written once so that it is the same in every later task."""
+    return stored(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed-rows")
+
+
+def as_documents(rows: DataFrame) -> DataFrame:
+    """Each row as a document of its own, named by its key."""
+    return rows.select(F.col("_row").alias("doc_id"), "text")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays; rows without an id stay."""
-    groups = multi_order_join.near_duplicates(docs)
-    gone = stored(groups.where("doc_id <> component_id").select("doc_id").distinct(), "near-duplicate-ids")
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Of each group of near duplicates one document stays: that with the smallest id, or without ids the first row.
+
+    Rows that repeat an id with the same text are one document and stay or go together.
+    """
+    rows = keyed(docs)
+    groups = multi_order_join.near_duplicates(as_documents(rows)).select(F.col("doc_id").alias("_row"), "component_id")
+    member = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), F.sha2("text", 256).alias("digest"))
+    members = stored(rows.select("_row", member.alias("m")).join(groups, "_row"), "group-members")
+    # the smallest id first, then the first row with it
+    order = F.struct(F.col("m.nameless"), F.col("m.id"), F.col("_row"))
+    best = stored(members.groupBy("component_id").agg(F.count(F.lit(1)).alias("n"), F.min_by("m", order).alias("best"),
+                                                      F.min(order)["_row"].alias("first")).where("n > 1").drop("n"), "survivors")
+    stays = (F.col("_row") == F.col("first")) | (~F.col("m.nameless") & F.col("m").eqNullSafe(F.col("best")))
+    gone = stored(members.join(best, "component_id").where(~stays).select("_row"), "near-duplicate-rows")
+    return rows.join(gone, "_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a window of a benchmark item go."""
-    found = phrase_index.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    gone = stored(found.where("contaminated").select(F.col("doc_id").alias("_id")), "contaminated-ids")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Rows with a window of a benchmark item go, whatever other rows have the same id or none."""
+    rows = keyed(docs)
+    found = phrase_index.decontaminate(as_documents(rows), table(spark, sf_dir, "benchmark"))
+    gone = stored(found.where("contaminated").select(F.col("doc_id").alias("_row")), "contaminated-rows")
+    return rows.join(gone, "_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """The pipeline's stages against what each should do to its own input."""
 
+import random
 import sys
 from collections import Counter
 
@@ -8,6 +9,7 @@ import pytest
 import corpus_pipeline
 from kerbflow.llm import bitplane, phrase_index
 
+from .conftest import prose
 from .test_similarity import expected_components, expected_hits
 
 sys.path.insert(0, ".")
@@ -53,3 +55,17 @@ def test_stages(spark, docs, sf_dir, texts, tmp_path):
 
 def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).where("n_tokens > 0").count() > 40
+
+
+def test_stages_decide_by_row(spark, sf_dir, texts):
+    rng, leak = random.Random(31), " ".join(dict(texts)[305].split()[60:75])
+    rows = [(None, prose(rng, 30)), (None, prose(rng, 5) + " " + leak), (7, prose(rng, 30)), (7, leak + " " + prose(rng, 5)), (8, prose(rng, 30))]
+    frame = lambda some: spark.createDataFrame(some, "doc_id bigint, text string").repartition(3)
+    kept = corpus_pipeline.decontaminate(spark, frame(rows), sf_dir)
+    assert Counter(map(tuple, kept.collect())) == Counter([rows[0], rows[2], rows[4]])
+    one, two, three, other = (prose(rng, 60) for _ in range(4))
+    rows = [(None, one), (None, one), (None, one + " end"), (None, two), (5, two), (4, two + " end"), (9, three), (4, other), (9, three), (6, three)]
+    kept = Counter(map(tuple, corpus_pipeline.drop_near_duplicates(spark, frame(rows), sf_dir).collect()))
+    assert sum(kept[(None, x)] for x in (one, one + " end")) == 1
+    kept -= Counter({(None, one): 1, (None, one + " end"): 1})
+    assert kept == Counter([(4, two + " end"), (4, other), (6, three)])
