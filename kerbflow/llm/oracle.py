@@ -103,4 +103,36 @@ x AS (
 SELECT doc_id, source, tokens, epoch, block, CAST(start AS BIGINT) AS start, round(weight, 9) AS weight,
        round(start / quota, 9) AS place
 FROM x WHERE start < quota""",
+    "op12_spelling_variants": r"""
+WITH RECURSIVE t AS (  -- the table of crc32, from its polynomial
+  SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384)
+         ELSE c >> 1 END, n)) AS crc),
+o AS (
+  SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents),
+c AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS n
+  FROM o GROUP BY ALL HAVING length(w) >= 6),
+h AS (
+  SELECT w, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w)) AS x FROM c),
+g AS (
+  SELECT w, n, xor(list_reduce(list_transform(range(length(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT)),
+                              lambda s, b: xor(s >> 8, t.crc[(xor(s, b) & 255) + 1]), 4294967295), 4294967295) AS h
+  FROM h, t),
+d AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM g),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM d WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+s AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS less FROM (SELECT word, n, unnest(range(length(word))) AS i FROM v)),
+p AS (
+  SELECT DISTINCT a.word, b.word AS near, b.n AS near_n FROM s AS a JOIN s AS b ON a.i = b.i AND a.less = b.less AND a.word <> b.word
+  UNION SELECT s.word, v.word, v.n FROM s JOIN v ON s.less = v.word
+  UNION SELECT v.word, s.word, s.n FROM s JOIN v ON s.less = v.word),
+f AS (
+  SELECT v.word, v.n, count(near) AS n_near, arg_min(near, struct_pack(k := -near_n, w := encode(near))) AS best, max(near_n) AS best_n
+  FROM v LEFT JOIN p USING (word) GROUP BY ALL),
+w AS (
+  SELECT word, n, n_near, CASE WHEN best_n >= 5 * n THEN best END AS form, CASE WHEN best_n >= 5 * n THEN best_n END AS form_n FROM f),
+r AS (
+  SELECT word, word AS spot, 0 AS step FROM w
+  UNION ALL SELECT r.word, w.form, step + 1 FROM r JOIN w ON r.spot = w.word WHERE w.form IS NOT NULL)
+SELECT word, n, n_near, form, form_n, root FROM w JOIN (SELECT word, arg_max(spot, step) AS root FROM r GROUP BY word) USING (word)""",
 }
