@@ -135,4 +135,94 @@ r AS (
   SELECT word, word AS spot, 0 AS step FROM w
   UNION ALL SELECT r.word, w.form, step + 1 FROM r JOIN w ON r.spot = w.word WHERE w.form IS NOT NULL)
 SELECT word, n, n_near, form, form_n, root FROM w JOIN (SELECT word, arg_max(spot, step) AS root FROM r GROUP BY word) USING (word)""",
+    "op13_hard_negatives": r"""
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM e AS a JOIN e AS b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score,
+       score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5""",
 }
+
+
+def _pii() -> str:
+    """Personal data: matches and what stands between them give the places; the fixed values are the operator's."""
+    from kerbflow.llm import pii
+
+    patterns = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]", "iban": r"[A-Z]{2}[0-9]{2}( ?[A-Z0-9]){11,30}",
+        "ssn": "[0-9]{3}-[0-9]{2}-[0-9]{4}", "routing": "[0-9]{9}",
+        "insee": "[12] ?[0-9]{2} ?[0-9]{2} ?[0-9]{2} ?[0-9]{3} ?[0-9]{3} ?[0-9]{2}"}
+    kinds = ", ".join(f"('{k}', {n}, '{patterns[k]}', {pii.POINTS[k]}, {pii.SUPPORT[k]}, {pii.AGAINST[k]})" for n, k in enumerate(pii.KINDS))
+    lower = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+    return rf"""
+WITH k(kind, rank, pattern, points, support, against) AS (VALUES {kinds}),
+t AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS key FROM documents),
+r AS (SELECT key, text, k.*, string_split_regex(text, pattern) AS gaps, regexp_extract_all(text, pattern) AS hits FROM t, k),
+i AS (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM r),
+h AS (
+  SELECT key, text, kind, rank, points, support, against, hits[i] AS hit,
+         CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0)
+              AS BIGINT) AS start
+  FROM i),
+s AS (
+  SELECT * REPLACE (CASE WHEN kind = 'iban' THEN substr(hit, 1, list_filter(range(1, length(hit) + 1), lambda p: length(replace(
+                           substr(hit, 1, p), ' ', '')) = coalesce(map_extract(MAP {pii.IBAN_LENGTHS}, hit[1:2])[1], 99))[1]) ELSE hit END AS hit)
+  FROM h),
+d AS (
+  SELECT *, start + length(hit) AS stop, regexp_replace(hit, '[^0-9]+', '', 'g') AS digits, string_split(hit, '.') AS parts,
+         replace(hit, ' ', '') AS packed
+  FROM s WHERE hit IS NOT NULL),
+e AS (
+  SELECT *, CASE WHEN start > 0 THEN substr(text, start, 1) ELSE '' END || substr(text, stop + 1, 1) AS touching FROM d),
+v AS (
+  SELECT * FROM e
+  WHERE CASE kind
+    WHEN 'email' THEN true
+    WHEN 'ip' THEN len(list_filter(parts, lambda p: length(ltrim(p, '0')) > 3 OR CAST(right('0' || ltrim(p, '0'), 3) AS INT) > 255)) = 0
+    WHEN 'card' THEN length(digits) BETWEEN 14 AND 19 AND list_sum(list_transform(range(length(digits)), lambda n:
+         CASE WHEN n % 2 = 0 THEN CAST(digits[length(digits) - n] AS INT)
+              ELSE CAST(digits[length(digits) - n] AS INT) * 2 % 10 + CAST(digits[length(digits) - n] AS INT) // 5 END)) % 10 = 0
+    WHEN 'phone' THEN length(digits) BETWEEN 10 AND 15
+    WHEN 'iban' THEN list_reduce(string_split(packed[5:] || packed[1:4], ''), lambda a, c: CASE WHEN c >= 'A'
+         THEN (a * 100 + ascii(c) - 55) % 97 ELSE (a * 10 + ascii(c) - 48) % 97 END, 0) = 1
+    WHEN 'ssn' THEN digits[1:3] NOT IN ('000', '666') AND digits[1:3] < '900' AND digits[4:5] <> '00' AND digits[6:] <> '0000'
+    WHEN 'routing' THEN (CAST(digits[1:2] AS INT) BETWEEN 1 AND 12 OR CAST(digits[1:2] AS INT) BETWEEN 21 AND 32
+         OR CAST(digits[1:2] AS INT) BETWEEN 61 AND 72 OR CAST(digits[1:2] AS INT) = 80)
+         AND list_sum(list_transform(range(1, 10), lambda n: CAST(digits[n] AS INT) * [7, 1, 3][(n + 1) % 3 + 1])) % 10 = 0
+    ELSE CAST(digits[4:5] AS INT) BETWEEN 1 AND 12 AND (CAST(digits[1:13] AS BIGINT) + CAST(digits[14:] AS BIGINT)) % 97 = 0 END
+  AND (rank < {len(pii.BASE)} OR NOT regexp_matches(touching, '[A-Za-z0-9-]'))),
+c AS (
+  SELECT *, regexp_extract_all(translate(substr(text, greatest(start - {pii.BEFORE}, 0) + 1, least(start, {pii.BEFORE})) || ' ' ||
+         substr(text, stop + 1, {pii.AFTER}), {lower}), '[a-z]+') AS near
+  FROM v),
+p AS (
+  SELECT *, least(greatest(points + CASE WHEN list_has_any(near, support) THEN {pii.SHIFT} ELSE 0 END
+         - CASE WHEN list_has_any(near, against) THEN {pii.SHIFT} ELSE 0 END, 0), 100) AS score
+  FROM c),
+f AS (
+  SELECT key, start, rank, kind, score, concat_ws(':', kind, start, stop) AS span FROM p
+  WHERE rank < {len(pii.BASE)} OR score >= {pii.LEAST}),
+g AS (
+  SELECT key, {', '.join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in pii.BASE)},
+         string_agg(span, ',' ORDER BY start, rank) FILTER (rank < {len(pii.BASE)}) AS base, string_agg(span, ',' ORDER BY start, rank) AS spans,
+         count(*) FILTER (rank >= {len(pii.BASE)}) AS n_added, CAST(max(score) AS INTEGER) AS top_score
+  FROM f GROUP BY key)
+SELECT doc_id, {', '.join(f"coalesce(n_{k}, 0) AS n_{k}" for k in pii.BASE)}, sha256(coalesce(base, '')) AS base_sha256,
+       coalesce(spans, '') AS spans, coalesce(n_added, 0) AS n_added, top_score
+FROM t LEFT JOIN g USING (key)"""
+
+
+ORACLE["op11_pii_spans"] = _pii()

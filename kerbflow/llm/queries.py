@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbflow.llm import (
-    bitplane, chat_snapshots, digest_index, heap_bpe, license_compression, masked_lm, mixing, multi_order_join, phrase_index,
-    spelling, string_kernel,
+    bitplane, chat_snapshots, digest_index, hard_negatives, heap_bpe, license_compression, masked_lm, mixing, multi_order_join,
+    phrase_index, pii, spelling, string_kernel,
 )
 from kerbflow.llm.common import table
 from kerbflow.session import work_path
@@ -65,12 +65,23 @@ def op10_multi_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_order_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of six code points and five occurrences; one letter is taken out of one occurrence in 199."""
     return spelling.of_corpus(table(spark, sf_dir, "documents"), damage=199)
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five positives and five negatives each of every hundredth vector, against all rows."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.prepared(table(spark, sf_dir, "embeddings"), label=label)
+    return hard_negatives.mine(rows, rows.where(F.col("id") % 100 == 0))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_chat_snapshots, op2_temperature_mixing, op3_bitplane_ids, op4_heap_bpe_counts, op5_digest_index, op6_phrase_index,
     op7_string_kernel, op8_license_compression, op9_masked_lm, op10_multi_order_join,
-    op12_spelling_variants)}
+    op11_pii_spans, op12_spelling_variants, op13_hard_negatives)}
