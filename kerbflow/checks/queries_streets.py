@@ -193,16 +193,16 @@ def _(s, d):
 @query("k3_stop_metric_documents")
 def _(s, d):
     path = work_path(s, "metrics")
-    filled = qt.filled(s, d)
-    writers.write_stop_metrics(r.stop_metrics(r.stop_day_metrics(filled)), r.stop_metrics_by_hour(filled), path)
+    quarters = qt.quarters(s, d)
+    writers.write_stop_metrics(r.stop_metrics(r.stop_day_summary(quarters)), r.stop_metrics_by_hour(quarters), path)
     return tsrc.read_stop_metrics(s, path)
 
 
 @query("s11_stop_metric_hour")
 def _(s, d):
     path = work_path(s, "metrics")
-    filled = qt.filled(s, d)
-    writers.write_stop_metrics(r.stop_metrics(r.stop_day_metrics(filled)), r.stop_metrics_by_hour(filled), path)
+    quarters = qt.quarters(s, d)
+    writers.write_stop_metrics(r.stop_metrics(r.stop_day_summary(quarters)), r.stop_metrics_by_hour(quarters), path)
     return tsrc.read_stop_metrics(s, path, 8)
 
 

@@ -41,8 +41,12 @@ def filled(s, d):
     return a.fill_actual_headway(clean(s, d))
 
 
+def quarters(s, d):
+    return r.stop_day_quarters(clean(s, d))
+
+
 def daily(s, d):
-    return r.stop_day_metrics(filled(s, d))
+    return r.stop_day_summary(quarters(s, d))
 
 
 def records(s, d):
@@ -124,14 +128,11 @@ def _(s, d):
 
 QUERIES["g4_stop_day_metrics"] = daily
 QUERIES["g5_stop_metrics"] = lambda s, d: r.stop_metrics(daily(s, d))
-QUERIES["g6_stop_metrics_by_hour"] = lambda s, d: r.stop_metrics_by_hour(filled(s, d))
+QUERIES["g6_stop_metrics_by_hour"] = lambda s, d: r.stop_metrics_by_hour(quarters(s, d))
 QUERIES["g7_route_comparison"] = lambda s, d: r.route_comparison(daily(s, d))
 
 
-@query("g8_reliability_summary")
-def _(s, d):
-    rows = filled(s, d)
-    return r.reliability_summary(rows, r.stop_day_metrics(rows), "28")
+QUERIES["g8_reliability_summary"] = lambda s, d: r.reliability_summary(daily(s, d), "28")
 
 
 QUERIES["g9_trips_per_day"] = lambda s, d: r.trips_per_day(r.trip_summaries(a.dedupe_points(clean(s, d))))
@@ -152,7 +153,7 @@ QUERIES["g20_on_time_day"] = lambda s, d: r.on_time_day(clean(s, d), "28", ad.SE
 QUERIES["g21_heatmap_pivot"] = lambda s, d: r.heatmap_pivot(
     daily(s, d), "on_time_rate", ["route_id", "direction_id", "stop_id"], clean(s, d))
 QUERIES["g22_heatmap_hour_pivot"] = lambda s, d: r.heatmap_hour_pivot(
-    r.stop_metrics_by_hour(filled(s, d)), "on_time_rate")
+    r.stop_metrics_by_hour(quarters(s, d)), "on_time_rate")
 QUERIES["r6_filter_routes"] = lambda s, d: a.filter_routes(ad.arrivals(s, d), "28", ["1", "39"]).groupBy(
     "route_id").agg(F.count(F.lit(1)).alias("n"))
 QUERIES["r7_hour_slice"] = lambda s, d: a.hour_slice(clean(s, d), 8).select(

@@ -21,24 +21,24 @@ def bucketed_lag(
 
     ``bucket`` must never decrease along ``order``. Adds ``_has_prev`` telling a missing previous row from a
     previous row whose value is NULL. Rows with a missing key belong to no group and have no previous row.
+
+    The input is read and shuffled once. Rows inside a bucket find their previous row there; only the first and the last
+    row of every bucket go on to a window over the whole group, in which the row before a first row is the last row of
+    the bucket before. Rows alike in ``order`` go by a hash of all columns, so that both passes agree on them.
     """
-    tagged = df.withColumn("_bucket", bucket)
-    local = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    names = [F.col(f"`{c}`") for c in df.columns]
+    tagged = df.withColumn("_bucket", bucket).withColumn("_tie", F.xxhash64(*names))
+    local = Window.partitionBy(*keys, "_bucket").orderBy(*order, "_tie")
     packed = F.struct(*[F.col(src).alias(out) for out, src in values.items()])
-    tagged = tagged.withColumn("_prev", F.lag(packed).over(local))
-    last = (
-        tagged.groupBy(*keys, "_bucket")
-        .agg(F.max_by(F.struct(*[F.col(src).alias(out) for out, src in values.items()]),
-                      F.struct(*order)).alias("_last"))
-    )
-    chain = Window.partitionBy(*keys).orderBy("_bucket")
-    carry = last.select(*keys, "_bucket", F.lag("_last").over(chain).alias("_carry")).where(F.col("_carry").isNotNull())
-    # plain equality keeps the window's partitioning for the join; rows with a missing key join nothing
-    joined = tagged.join(carry, [*keys, "_bucket"], "left")
+    tagged = tagged.withColumns({"_prev": F.lag(packed).over(local), "_more": F.lead(F.lit(True)).over(local)})
+    edge = F.col("_prev").isNull() | F.col("_more").isNull()
+    chain = Window.partitionBy(*keys).orderBy("_bucket", *order, "_tie")
+    edges = tagged.where(edge).withColumn("_prev", F.coalesce("_prev", F.lag(packed).over(chain)))
+    joined = tagged.where(~edge).unionByName(edges)
     grouped = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys])
-    joined = joined.withColumn("_p", F.when(grouped, F.coalesce("_prev", "_carry")))
+    joined = joined.withColumn("_p", F.when(grouped, F.col("_prev")))
     return joined.select(
-        *df.columns,
+        *names,
         *[F.col(f"_p.{out}").alias(out) for out in values],
         F.col("_p").isNotNull().alias("_has_prev"),
     )
@@ -79,26 +79,44 @@ def bucketed_row_number(df: DataFrame, keys: list[str], bucket: Column, order: l
     return joined.select(*df.columns, (F.col("_local") + F.col("_before")).cast("int").alias(out))
 
 
-def bunched_below(rows: DataFrame, groups: DataFrame, keys: list[str], value: str, limit: Column, out: str,
-                  ceiling: float) -> DataFrame:
-    """Add to ``groups`` the number of its ``rows`` with ``0 < value < limit``.
+def frequency_cube(rows: DataFrame, keys: list[str], values: dict[str, Column], base: dict[str, Column]) -> DataFrame:
+    """How often each value stands in each group: ``keys``, kind, value, n.
 
-    ``limit`` is a column of ``groups`` that never passes ``ceiling``. The rows are reduced to value counts
-    first, so what meets the limit is at most one entry per distinct value under the ceiling.
+    ``values`` names the kinds. A kind of its own, NULL, has the aggregates ``base`` of the group's rows. A hot group is
+    combined before the shuffle and costs its distinct values, whatever its number of rows.
     """
-    counts = (
-        rows.where((F.col(value) > 0) & (F.col(value) < ceiling))
-        .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-        .groupBy(*keys).agg(F.collect_list(F.struct(F.col(value).alias("v"), F.col("_n").alias("n"))).alias("_hist"))
-    )
-    total = F.aggregate(
-        F.filter("_hist", lambda h: h["v"] < limit), F.lit(0).cast("bigint"), lambda acc, h: acc + h["n"]
-    )
-    return (
-        groups.join(counts, keys, "left")
-        .withColumn(out, F.coalesce(total, F.lit(0).cast("bigint")))
-        .drop("_hist")
-    )
+    kinds = [F.struct(F.lit(kind).alias("kind"), value.cast("double").alias("value")) for kind, value in values.items()]
+    own = F.struct(F.lit(None).cast("string").alias("kind"), F.lit(None).cast("double").alias("value"))
+    cells = F.filter(F.array(own, *kinds), lambda c: c["kind"].isNull() | c["value"].isNotNull())
+    long = rows.withColumn("_cell", F.explode(cells)).withColumns({"kind": F.col("_cell.kind"), "value": F.col("_cell.value")})
+    return long.groupBy(*keys, "kind", "value").agg(F.count(F.lit(1)).alias("n"), *[
+        column.alias(name) for name, column in base.items()])
+
+
+def cube_median(kind: str) -> Column:
+    """Exact median of a kind of a cube."""
+    return F.percentile(F.when(F.col("kind") == kind, F.col("value")), F.lit(0.5), F.col("n"))
+
+
+def cube_values(kind: str, ceiling: float | None = None) -> Column:
+    """Distinct values of a kind with their counts; with ``ceiling`` only those between 0 and it."""
+    kept = F.col("kind") == kind
+    if ceiling is not None:
+        kept = kept & (F.col("value") > 0) & (F.col("value") < ceiling)
+    return F.collect_list(F.when(kept, F.struct(F.col("value").alias("v"), F.col("n").alias("n"))))
+
+
+def counted_below(values: Column, limit: Column) -> Column:
+    """Number of rows of :func:`cube_values` below ``limit``."""
+    return F.aggregate(F.filter(values, lambda h: h["v"] < limit), F.lit(0).cast("bigint"), lambda acc, h: acc + h["n"])
+
+
+def value_at(values: Column, place: Column) -> Column:
+    """The value at a place (from 0) of the rows of :func:`cube_values` in rising order."""
+    start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("double").alias("v"))
+    return F.aggregate(F.array_sort(values), start, lambda acc, h: F.struct(
+        (acc["seen"] + h["n"]).alias("seen"),
+        F.when(acc["v"].isNull() & (acc["seen"] + h["n"] > place), h["v"]).otherwise(acc["v"]).alias("v")))["v"]
 
 
 def salted_lookup(big: DataFrame, small: DataFrame, big_key: str, small_key: str, spread: list[str],

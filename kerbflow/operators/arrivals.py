@@ -20,6 +20,10 @@ def quarter_hour() -> Column:
     return F.floor(F.col("scheduled_sec") / 900)
 
 
+def positive(gap: Column) -> Column:
+    return F.when(gap > 0, gap)
+
+
 def clean_arrivals(arrivals: DataFrame) -> DataFrame:
     """Rows with a usable type and both clocks; headways that are not positive become missing.
 
@@ -49,7 +53,7 @@ def fill_actual_headway(clean: DataFrame) -> DataFrame:
     )
     gap = F.col("actual_sec") - F.col("prev_actual_sec")
     return lagged.withColumn(
-        "actual_headway_sec", F.coalesce("actual_headway_sec", F.when(gap > 0, gap))
+        "actual_headway_sec", F.coalesce("actual_headway_sec", positive(gap))
     ).drop("_has_prev", "prev_actual_sec")
 
 

@@ -2,37 +2,103 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbflow.functions import metrics as m
-from kerbflow.functions.skew import bunched_below
-from kerbflow.operators.arrivals import STOP_DAY, TRIP_KEY, scheduled_gap
+from kerbflow.functions.skew import counted_below, cube_median, cube_values, frequency_cube
+from kerbflow.operators.arrivals import STOP_DAY, TRIP_KEY, TRIP_ORDER, positive, quarter_hour, scheduled_gap
+
+SCHEDULED, GAP, ACTUAL = "scheduled", "gap", "actual"
 
 
 def stop_day_metrics(filled: DataFrame, by_hour: bool = False) -> DataFrame:
-    """Per (route, stop, direction, date), and per clock hour if asked.
+    """Per (route, stop, direction, date), and per clock hour if asked, from rows with their headway filled.
 
-    The bunching rate divides by **all** rows. Medians are exact; Spark's aggregate keeps value counts,
-    which are combined before the shuffle.
+    The bunching rate divides by **all** rows. Medians are exact. :func:`stop_day_summary` gives the same
+    from cleaned rows, without computing the filled rows first.
     """
     keys = STOP_DAY + (["hour"] if by_hour else [])
     rows = filled.withColumn("hour", F.floor("local_hour").cast("int")) if by_hour else filled
-    rows = rows.withColumn("_gap", scheduled_gap(by_hour)).withColumn(
-        "_on_time", m.on_time(F.col("actual_sec"), F.col("scheduled_sec")).cast("int"))
-    groups = rows.groupBy(*keys).agg(
-        F.coalesce(F.min("time_point_order"), F.lit(0)).alias("time_point_order"),
-        F.count(F.lit(1)).alias("n_obs"),
-        F.sum("_on_time").alias("on_time_count"),
-        F.coalesce(F.median("scheduled_headway_sec"), F.median("_gap")).alias("median_scheduled_headway_sec"),
-        F.median("actual_headway_sec").alias("median_actual_headway_sec"),
+    on_time = m.on_time(F.col("actual_sec"), F.col("scheduled_sec")).cast("int")
+    cube = frequency_cube(
+        rows.withColumn("_on_time", on_time), keys,
+        {SCHEDULED: F.col("scheduled_headway_sec"), GAP: scheduled_gap(by_hour), ACTUAL: F.col("actual_headway_sec")},
+        {"on_time": F.sum("_on_time"), "place": F.min("time_point_order")})
+    own = F.col("kind").isNull()
+    return _of_cells(cube.withColumns({c: F.when(own, F.col(v)) for c, v in {"n_obs": "n", "on_time": "on_time", "place": "place"}.items()}), keys)
+
+
+def _of_cells(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Metrics of cells ``kind, value, n``; ``n_obs, on_time, place`` stand in one cell of each of their rows."""
+    groups = cells.groupBy(*keys).agg(
+        F.coalesce(F.min("place"), F.lit(0)).alias("time_point_order"),
+        F.sum("n_obs").alias("n_obs"),
+        F.sum("on_time").alias("on_time_count"),
+        F.coalesce(cube_median(SCHEDULED), cube_median(GAP)).alias("median_scheduled_headway_sec"),
+        cube_median(ACTUAL).alias("median_actual_headway_sec"),
+        cube_values(ACTUAL, m.BUNCHING_MAX_SEC).alias("_short"),
     )
     limit = m.bunching_threshold(F.col("median_scheduled_headway_sec"))
-    groups = bunched_below(rows, groups, keys, "actual_headway_sec", limit, "bunched_count", m.BUNCHING_MAX_SEC)
+    groups = groups.withColumn("bunched_count", counted_below(F.col("_short"), limit)).drop("_short")
     return groups.withColumn("on_time_rate", F.col("on_time_count") / F.col("n_obs")).withColumn(
         "bunching_rate", F.col("bunched_count") / F.col("n_obs"))
 
 
+def stop_day_quarters(clean: DataFrame) -> DataFrame:
+    """Summary of every quarter of an hour of a stop-day, with the headways that reach back to the quarter before.
+
+    ``cells`` (kind, value, n) counts the scheduled headways, the gaps to the previous scheduled clock and the actual
+    headways, filled as in :func:`fill_actual_headway`; ``n_obs, on_time, place`` summarise the rows. Rows are shuffled
+    once, by stop-day and quarter, and reduced to value counts there; what meets per stop-day is one row a quarter.
+    """
+    known = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in STOP_DAY])  # other rows have no previous row
+    keys = [*STOP_DAY, "quarter"]
+    names = [F.col(f"`{c}`") for c in clean.columns]
+    local = Window.partitionBy(*keys).orderBy(*TRIP_ORDER, "_tie")
+    rows = clean.withColumns({"quarter": quarter_hour(), "_tie": F.xxhash64(*names)}).withColumns({
+        "_planned": F.lag("scheduled_sec").over(local), "_seen": F.lag("actual_sec").over(local),
+        "_first": F.lag(F.lit(True)).over(local).isNull(), "_last": F.lead(F.lit(True)).over(local).isNull()})
+    previous = F.when(known, F.col("_seen"))
+    clocks = F.struct("scheduled_sec", "actual_sec", "actual_headway_sec")
+    cube = frequency_cube(
+        rows.withColumn("_on_time", m.on_time(F.col("actual_sec"), F.col("scheduled_sec")).cast("int")), keys,
+        {SCHEDULED: F.col("scheduled_headway_sec"), GAP: F.when(known, F.col("scheduled_sec") - F.col("_planned")),
+         ACTUAL: F.coalesce("actual_headway_sec", positive(F.col("actual_sec") - previous))},
+        {"on_time": F.sum("_on_time"), "place": F.min("time_point_order"),
+         "head": F.max(F.when(F.col("_first"), clocks)), "tail": F.max(F.when(F.col("_last"), clocks))})
+    own = F.col("kind").isNull()
+    quarters = cube.groupBy(*keys).agg(
+        F.collect_list(F.when(~own, F.struct("kind", "value", "n"))).alias("cells"),
+        *[F.max(F.when(own, F.col(c))).alias(out) for c, out in
+          {"n": "n_obs", "on_time": "on_time", "place": "place", "head": "head", "tail": "tail"}.items()])
+    chain = Window.partitionBy(*STOP_DAY).orderBy("quarter")
+    before = quarters.withColumn("_before", F.when(known, F.lag(F.struct("quarter", "tail")).over(chain)))
+    filled = F.when(F.col("head.actual_headway_sec").isNull(), positive(F.col("head.actual_sec") - F.col("_before.tail.actual_sec")))
+    return before.select(
+        *keys, "n_obs", "on_time", "place", "cells", filled.alias("filled"),
+        (F.col("head.scheduled_sec") - F.col("_before.tail.scheduled_sec")).alias("gap"),
+        # whether the gap stays in one clock hour
+        (F.floor(F.col("_before.quarter") / 4) == F.floor(F.col("quarter") / 4)).alias("in_hour"))
+
+
+def stop_day_summary(quarters: DataFrame, by_hour: bool = False) -> DataFrame:
+    """:func:`stop_day_metrics` from :func:`stop_day_quarters`, without another shuffle."""
+    def cell(kind: str, value: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), value.alias("value"), F.lit(1).cast("bigint").alias("n"))
+
+    gap = F.when(F.col("in_hour"), F.col("gap")) if by_hour else F.col("gap")
+    back = F.filter(F.array(cell(ACTUAL, F.col("filled")), cell(GAP, gap)), lambda c: c["value"].isNotNull())
+    keys = STOP_DAY + (["hour"] if by_hour else [])
+    rows = quarters.withColumn("hour", F.floor(F.col("quarter") / 4).cast("int"))
+    cells = rows.select(*keys, "n_obs", "on_time", "place", F.posexplode_outer(F.concat("cells", back)).alias("_at", "_cell"))
+    first = F.coalesce(F.col("_at"), F.lit(0)) == 0
+    return _of_cells(cells.select(*keys, "_cell.kind", "_cell.value", "_cell.n", *[
+        F.when(first, F.col(c)).alias(c) for c in ("n_obs", "on_time", "place")]), keys)
+
+
 def min_samples(df: DataFrame, n: int = m.MIN_STOP_SAMPLES, column: str = "n_obs") -> DataFrame:
     return df.where(F.col(column) >= n)
 
@@ -49,9 +115,9 @@ def stop_metrics(daily: DataFrame, by_hour: bool = False) -> DataFrame:
     return min_samples(agg)
 
 
-def stop_metrics_by_hour(filled: DataFrame) -> DataFrame:
+def stop_metrics_by_hour(quarters: DataFrame) -> DataFrame:
     """All hours in one pass: the hour joins the grouping key instead of 24 filtered passes."""
-    return stop_metrics(stop_day_metrics(filled, by_hour=True), by_hour=True)
+    return stop_metrics(stop_day_summary(quarters, by_hour=True), by_hour=True)
 
 
 def route_comparison(daily: DataFrame, min_stop_days: int = m.MIN_ROUTE_STOP_DAYS) -> DataFrame:
@@ -63,10 +129,10 @@ def route_comparison(daily: DataFrame, min_stop_days: int = m.MIN_ROUTE_STOP_DAY
     return min_samples(agg, min_stop_days, "n_stop_days")
 
 
-def reliability_summary(filled: DataFrame, daily: DataFrame, focus: str) -> DataFrame:
+def reliability_summary(daily: DataFrame, focus: str) -> DataFrame:
     """One row per route: row and date counts, stop-days, medians (focus route: valid stop-days only)."""
-    counts = filled.groupBy("route_id").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("service_date").alias("n_dates"))
+    counts = daily.groupBy("route_id").agg(
+        F.sum("n_obs").alias("n_rows"), F.count_distinct("service_date").alias("n_dates"))
     used = daily.where((F.col("route_id") != focus) | (F.col("n_obs") >= m.MIN_STOP_SAMPLES))
     rates = used.groupBy("route_id").agg(
         F.count(F.lit(1)).alias("n_stop_days"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kerbflow.functions import metrics as m
 from kerbflow.functions.clock import window_hour
-from kerbflow.functions.skew import bunched_below
+from kerbflow.functions.skew import counted_below, cube_median, cube_values, frequency_cube, value_at
 from kerbflow.operators import gtfs as g
 from kerbflow.operators.ridership import pick_load
 
@@ -27,16 +27,18 @@ def windowed_records(records: DataFrame, windows: Windows) -> DataFrame:
 
 def observed_headways(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Headway medians, floor-index quartiles and bunching per ``keys``; the rate divides by kept rows."""
-    positive = rows.withColumn("_planned", F.when(F.col("scheduled_headway_sec") > 0, F.col("scheduled_headway_sec")))
-    groups = positive.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.median("_planned"), F.lit(0.0)).alias("_sched"),
-        F.median("actual_headway_sec").alias("_act"),
-        m.floor_index("actual_headway_sec", 0.25).alias("_p25"),
-        m.floor_index("actual_headway_sec", 0.75).alias("_p75"),
+    planned = F.when(F.col("scheduled_headway_sec") > 0, F.col("scheduled_headway_sec"))
+    cube = frequency_cube(rows, keys, {"planned": planned, "actual": F.col("actual_headway_sec")}, {})
+    groups = cube.groupBy(*keys).agg(
+        F.sum(F.when(F.col("kind").isNull(), F.col("n"))).alias("n"),
+        F.coalesce(cube_median("planned"), F.lit(0.0)).alias("_sched"),
+        cube_median("actual").alias("_act"),
+        cube_values("actual").alias("_values"),
     )
     limit = m.bunching_threshold(F.col("_sched"))
-    groups = bunched_below(rows, groups, keys, "actual_headway_sec", limit, "bunched", m.BUNCHING_MAX_SEC)
+    total = F.aggregate("_values", F.lit(0).cast("bigint"), lambda acc, h: acc + h["n"])
+    groups = groups.withColumns({f"_p{share}": value_at(F.col("_values"), F.floor(total * share / 100)) for share in (25, 75)})
+    groups = groups.withColumn("bunched", counted_below(F.filter("_values", lambda h: h["v"] > 0), limit))
     return groups.select(
         *keys, "n",
         (F.col("_act") / 60).alias("observed_median_min"),

@@ -1,4 +1,4 @@
-"""The reliability report: every section derived from one cleaned, headway-filled table."""
+"""The reliability report: every section derived from one cleaned table."""
 
 from __future__ import annotations
 
@@ -10,16 +10,17 @@ from kerbflow.operators import reliability as r
 
 
 def reliability_sections(arrivals: DataFrame, focus: str, comparison: list[str]) -> dict[str, DataFrame]:
-    filled = a.fill_actual_headway(a.clean_arrivals(a.filter_routes(arrivals, focus, comparison)))
-    daily = r.stop_day_metrics(filled)
-    trips = r.trip_summaries(a.dedupe_points(filled))
+    clean = a.clean_arrivals(a.filter_routes(arrivals, focus, comparison))
+    quarters = r.stop_day_quarters(clean)
+    daily = r.stop_day_summary(quarters)
+    trips = r.trip_summaries(a.dedupe_points(clean))
     return {
-        "filled": filled,
+        "filled": a.fill_actual_headway(clean),
         "daily": daily,
         "stop": r.stop_metrics(daily),
-        "hour": r.stop_metrics_by_hour(filled),
+        "hour": r.stop_metrics_by_hour(quarters),
         "comparison": r.route_comparison(daily),
-        "summary": r.reliability_summary(filled, daily, focus),
+        "summary": r.reliability_summary(daily, focus),
         "worst": r.worst_stops(daily, focus),
         "trips": trips,
         "trips_per_day": r.trips_per_day(trips),

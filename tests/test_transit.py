@@ -260,3 +260,64 @@ def test_missing_feed_file_is_an_empty_table(spark, tmp_path):
     (tmp_path / "stops.txt").write_text('stop_id,stop_name,stop_lat\n"A","x, y",1\n')
     read = src.read_gtfs(spark, str(tmp_path))
     assert [tuple(x) for x in read["stops"].collect()] == [("A", "x, y", 1.0, None)] and read["trips"].count() == 0
+
+
+def plan_counts(df):
+    """(scans, exchanges) of the physical plan, reused exchanges counted once."""
+    lines = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "ReusedExchange" not in x]
+    return sum("FileScan" in x for x in lines), sum(" Exchange " in x for x in lines)
+
+
+def hot_arrivals(spark, folder):
+    """A third of all arrivals at one stop on one day; missing keys, missing headways, repeated rows."""
+    import random
+
+    rng, data = random.Random(7), []
+    for n in range(1500):
+        hot = n % 3 == 0
+        day = DAY if hot else DAY + dt.timedelta(days=rng.randrange(4))
+        stop = "S1" if hot else rng.choice(["S1", "S2", "S3", None])
+        t = rng.randrange(5 * 3600, 23 * 3600) // 30 * 30
+        late = t + rng.randrange(-200, 700)
+        at, seen = ("%02d:%02d:%02d" % (x // 3600, x // 60 % 60, x % 60) for x in (t, late))
+        row = (day, "28", "Inbound", f"H{n % 40}", stop, "tp", rng.choice([1, 2, None]), "m", rng.choice(["Schedule", "Headway"]), stamp(at),
+               stamp(seen), rng.choice([None, None, 600, 0, -1]), rng.choice([None, None, 100, 500, -1]))
+        data += [row] * (1 + n % 50 // 49)
+    spark.createDataFrame(data, ARRIVALS).repartition(3).write.parquet(str(folder))
+    return spark.read.parquet(str(folder))
+
+
+def test_one_pass_metrics_equal_plain_windows(spark, tmp_path):
+    arrivals = hot_arrivals(spark, tmp_path / "arrivals")
+    clean = a.clean_arrivals(arrivals)
+    order = ", ".join(a.TRIP_ORDER)
+    clean.createOrReplaceTempView("clean_rows")
+    plain = spark.sql(f"""
+        SELECT *, CASE WHEN route_id IS NOT NULL AND stop_id IS NOT NULL THEN lag(scheduled_sec) OVER w END AS prev_scheduled_sec,
+               CASE WHEN route_id IS NOT NULL AND stop_id IS NOT NULL THEN lag(actual_sec) OVER w END AS before
+        FROM clean_rows WINDOW w AS (PARTITION BY route_id, stop_id, direction_id, service_date ORDER BY {order})""")
+    plain = plain.withColumn("actual_headway_sec", F.coalesce("actual_headway_sec", a.positive(F.col("actual_sec") - F.col("before"))))
+    filled = a.fill_actual_headway(clean)
+    columns = [*a.STOP_DAY, "half_trip_id", "scheduled_sec", "actual_sec", "prev_scheduled_sec", "actual_headway_sec"]
+    assert sorted(map(str, filled.select(columns).collect())) == sorted(map(str, plain.select(columns).collect()))
+    quarters = r.stop_day_quarters(clean)
+    for by_hour in (False, True):
+        want = r.stop_day_metrics(plain.drop("before"), by_hour)
+        got = r.stop_day_summary(quarters, by_hour).select(want.columns)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert want.where("bunched_count > 0").count() > 10
+
+
+def test_scans_and_shuffles(spark, tmp_path):
+    clean = a.clean_arrivals(hot_arrivals(spark, tmp_path / "arrivals"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        quarters = r.stop_day_quarters(clean)
+        assert plan_counts(r.stop_metrics(r.stop_day_summary(quarters))) == (1, 3)
+        assert plan_counts(r.stop_metrics_by_hour(quarters)) == (1, 3)
+        assert plan_counts(a.fill_actual_headway(clean)) == (1, 2)
+        assert plan_counts(a.headway_records(spark.read.parquet(str(tmp_path / "arrivals")))) == (1, 2)
+        windowed = a.headway_window(a.headway_records(spark.read.parquet(str(tmp_path / "arrivals"))), "07:00", "09:00")
+        assert plan_counts(sc.observed_headways(windowed, ["route_id", "stop_id"])) == (1, 4)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
