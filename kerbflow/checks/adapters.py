@@ -205,17 +205,32 @@ def nodes(spark: SparkSession, sf: str) -> DataFrame:
 # --- graph -------------------------------------------------------------------------------------------------
 
 def graph(spark: SparkSession, sf: str) -> DataFrame:
-    """Rated street graph: about ten edges leave each node, and nodes grow with the part table."""
+    """Rated street graph: about ten edges leave each node, and nodes grow with the part table.
+
+    A street with a node per nation, partly one-way, links two of the nodes; a piece with the regions is cut off.
+    """
     part = table(spark, sf, "part")
     pk, size = F.col("p_partkey"), F.col("p_size")
     n_nodes = part.agg(F.floor(F.max(pk) / 10) + 1).first()[0]  # one number
-    return part.select(
+    main = part.select(
         F.floor(pk / 10).alias("u"),
         F.pmod(pk * 7 + size, F.lit(n_nodes)).alias("v"),
         pk.alias("key"),
         (100.0 + size * 40).alias("length"),
         F.when(size == 50, 0).otherwise(1 + pk % 4).cast("int").alias("LTS"),
     )
+    n, r = F.col("n_nationkey"), F.col("r_regionkey")
+    step = table(spark, sf, "nation").select(
+        F.when(n == 0, 0).otherwise(n_nodes + n - 1).alias("a"), (n_nodes + n).alias("b"), n.alias("k"),
+        (40.0 + n).alias("length"), F.when(n == 20, 3).otherwise(1).alias("LTS"))
+    last = step.where("k = 24").select(F.col("b").alias("a"), F.lit(1).cast("bigint").alias("b"), F.lit(25).cast("bigint").alias("k"),
+                                       F.lit(65.0).alias("length"), F.lit(1).alias("LTS"))
+    street = step.unionAll(last)
+    back = street.where(F.col("k") % 6 != 5)
+    apart = table(spark, sf, "region").select((n_nodes + 100 + r).alias("a"), (n_nodes + 101 + r).alias("b"), (30 + r).alias("k"),
+                                              F.lit(100.0).alias("length"), F.lit(1).alias("LTS"))
+    ends = lambda df, u, v: df.select(F.col(u).alias("u"), F.col(v).alias("v"), F.negative("k").alias("key"), "length", "LTS")
+    return main.unionAll(ends(street, "a", "b")).unionAll(ends(back, "b", "a")).unionAll(ends(apart, "a", "b"))
 
 
 def graph_nodes(edges_df: DataFrame) -> DataFrame:

@@ -256,35 +256,67 @@ SELECT tag, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN highway IS
   CASE WHEN access IS NOT NULL THEN 'access' END, CASE WHEN service IS NOT NULL THEN 'service' END], lambda x: x IS NOT NULL)) AS tag FROM ways) GROUP BY ALL""")
 
 # --- graph ---------------------------------------------------------------------------------------------------
+cte("street", """
+SELECT CASE WHEN n_nationkey = 0 THEN 0 ELSE top + n_nationkey - 1 END AS a, top + n_nationkey AS b, n_nationkey AS k, 40 + n_nationkey AS len,
+       CASE WHEN n_nationkey = 20 THEN 3 ELSE 1 END AS LTS
+FROM nation, (SELECT max(p_partkey) // 10 + 1 AS top FROM part)
+UNION ALL SELECT max(p_partkey) // 10 + 25, 1, 25, 65, 1 FROM part""")
 cte("graph", """
 SELECT p_partkey // 10 AS u, (p_partkey * 7 + p_size) % (SELECT max(p_partkey) // 10 + 1 FROM part) AS v, p_partkey AS key,
-       100 + p_size * 40 AS len, CASE WHEN p_size = 50 THEN 0 ELSE 1 + p_partkey % 4 END AS LTS FROM part""")
+       100 + p_size * 40 AS len, CASE WHEN p_size = 50 THEN 0 ELSE 1 + p_partkey % 4 END AS LTS FROM part
+UNION ALL SELECT a, b, -k, len, LTS FROM street UNION ALL SELECT b, a, -k, len, LTS FROM street WHERE k % 6 <> 5
+UNION ALL SELECT (SELECT max(p_partkey) // 10 + 101 FROM part) + r_regionkey, (SELECT max(p_partkey) // 10 + 102 FROM part) + r_regionkey,
+                 -30 - r_regionkey, 100, 1 FROM region""")
 cte("gnodes", """
 SELECT osmid, CAST(-71.12 + osmid % 41 * 0.002 AS DOUBLE) AS x, CAST(42.30 + osmid % 37 * 0.002 AS DOUBLE) AS y,
        CASE WHEN osmid % 50 = 49 THEN 4 ELSE 1 END AS LTS FROM (SELECT u AS osmid FROM graph UNION SELECT v FROM graph)""")
+cte("lvls", "SELECT unnest([1, 2, 3, 4]) AS level")
+
+
+def largest(name: str, source: str) -> None:
+    """Weak components of the nodes of ``source`` (level, u, v, ...) and its edges in the largest one of each level."""
+    cte(f"{name}_links", f"SELECT level, u AS a, v AS b FROM {source} UNION SELECT level, v, u FROM {source}")
+    cte(f"{name}_closure", f"""/*RECURSIVE*/
+SELECT level, a, a AS b FROM {name}_links UNION SELECT c.level, c.a, l.b FROM {name}_closure c JOIN {name}_links l ON l.level = c.level AND l.a = c.b""")
+    cte(f"{name}_comp", f"SELECT level, a AS osmid, min(b) AS component FROM {name}_closure GROUP BY ALL")
+    cte(f"{name}_most", f"""
+SELECT level, component FROM (SELECT level, component, count(*) AS n FROM {name}_comp GROUP BY ALL)
+QUALIFY row_number() OVER (PARTITION BY level ORDER BY n DESC, component) = 1""")
+    cte(f"{name}_kept", f"SELECT e.* FROM {source} e JOIN {name}_comp c ON c.level = e.level AND c.osmid = e.u JOIN {name}_most m ON m.level = c.level AND m.component = c.component")
+
+
+def levels_of(source: str) -> str:
+    return f"""
+SELECT l.level, g.u, g.v, g.key, g.len, g.LTS FROM {source} g JOIN lvls l ON g.LTS BETWEEN 1 AND l.level
+WHERE NOT EXISTS (SELECT 1 FROM gnodes n WHERE n.osmid IN (g.u, g.v) AND (n.LTS > l.level OR n.LTS = 0))"""
+
+
+cte("whole_graph", "SELECT 0 AS level, u, v, key, len, LTS FROM graph")
+largest("base", "whole_graph")
+cte("level_graph", levels_of("base_kept"))
+largest("net", "level_graph")
+cte("bare_levels", levels_of("graph"))
+largest("bare", "bare_levels")
+cte("starts", "SELECT DISTINCT s_suppkey * 2 AS origin FROM supplier")
+cte("steps", "SELECT level, u, v, min(len) AS len FROM net_kept GROUP BY ALL")
 cte("reach", """/*RECURSIVE*/
-SELECT lvl AS level, o AS origin, o AS node, 0::BIGINT AS spent FROM (VALUES (1), (2), (3), (4)) l(lvl), (VALUES (0), (7), (13)) s(o)
-WHERE EXISTS (SELECT 1 FROM graph g WHERE g.LTS BETWEEN 1 AND lvl AND o IN (g.u, g.v))
-UNION SELECT r.level, r.origin, g.v, r.spent + g.len FROM reach r JOIN graph g ON g.u = r.node AND g.LTS BETWEEN 1 AND r.level
+SELECT level, origin, origin AS node, 0::BIGINT AS spent FROM starts, lvls
+WHERE EXISTS (SELECT 1 FROM net_kept g WHERE g.level = lvls.level AND origin IN (g.u, g.v))
+UNION SELECT r.level, r.origin, g.v, r.spent + g.len FROM reach r JOIN steps g ON g.level = r.level AND g.u = r.node
 WHERE r.spent + g.len <= 3750""")
 cte("reached", "SELECT level, origin, node, min(spent) / 250 AS minutes FROM reach GROUP BY ALL")
 cte("counts", "SELECT origin, " + ", ".join(f"count(*) FILTER (level = {k}) AS lts{k}" for k in (1, 2, 3, 4)) + " FROM reached GROUP BY ALL")
 add("j16_stress_subgraph", """
 SELECT g.u, g.v, g.key FROM graph g WHERE LTS BETWEEN 1 AND 2
   AND NOT EXISTS (SELECT 1 FROM gnodes n WHERE n.osmid IN (g.u, g.v) AND (n.LTS > 2 OR n.LTS = 0))""")
-cte("linked", "SELECT u AS a, v AS b FROM graph WHERE LTS = 1 UNION SELECT v, u FROM graph WHERE LTS = 1")
-cte("closure", """/*RECURSIVE*/
-SELECT osmid AS a, osmid AS b FROM gnodes UNION SELECT c.a, l.b FROM closure c JOIN linked l ON l.a = c.b""")
-cte("comp", "SELECT a AS osmid, min(b) AS component FROM closure GROUP BY ALL")
-add("x2_largest_component", """
-SELECT osmid, component FROM comp WHERE component = (SELECT component FROM comp GROUP BY ALL ORDER BY count(*) DESC, component LIMIT 1)
-  AND osmid IN (SELECT a FROM linked)""")
-add("x2_component_sizes", "SELECT component, count(*) AS n_nodes FROM comp GROUP BY ALL")
+add("x2_largest_component", "SELECT level, osmid, component FROM bare_comp JOIN bare_most USING (level, component)")
+add("x2_component_sizes", "SELECT level, component, count(*) AS n_nodes FROM bare_comp GROUP BY ALL")
+add("x3_network", "SELECT level, u, v, key FROM net_kept")
 add("x3_isochrone", "SELECT * FROM reached")
 add("x3_lowest_level", "SELECT origin, node, min(level) AS level FROM reached GROUP BY ALL")
 add("g28_isochrone_counts", "SELECT * FROM counts")
 add("p22_reach_share", "SELECT *, " + ", ".join(f"lts{k} / (SELECT max(lts4) FROM counts) AS share{k}" for k in (1, 2, 3, 4)) + " FROM counts")
-add("t8_top_origins", "SELECT * FROM counts ORDER BY lts2 DESC, origin LIMIT 2")
+add("t8_top_origins", "SELECT * FROM counts ORDER BY lts2 DESC, origin LIMIT 15")
 
 
 def haversine(la1: str, lo1: str, la2: str, lo2: str) -> str:
@@ -294,16 +326,20 @@ def haversine(la1: str, lo1: str, la2: str, lo2: str) -> str:
 
 cte("probe", "SELECT c_custkey AS point_id, CAST(42.29 + c_custkey % 97 * 0.001 AS DOUBLE) AS lat, CAST(-71.13 + c_custkey % 89 * 0.0012 AS DOUBLE) AS lon FROM customer")
 add("j12_nearest_node", f"""
-SELECT point_id, min(d) AS distance FROM (SELECT point_id, {haversine('lat', 'lon', 'y', 'x')} AS d FROM probe, gnodes) GROUP BY ALL""")
+SELECT point_id, osmid, d AS distance FROM (SELECT point_id, osmid, {haversine('lat', 'lon', 'y', 'x')} AS d FROM probe, gnodes)
+QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY round(d, 6), osmid) = 1""")
 cte("grid", """
 SELECT i * 5 + j AS point_id, CAST(round(x0 + i * (x1 - x0) / 5, 4) AS DOUBLE) AS lon, CAST(round(y0 + j * (y1 - y0) / 5, 4) AS DOUBLE) AS lat
 FROM (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM gnodes), range(5) a(i), range(5) b(j)""")
+cte("calm", "SELECT u AS osmid FROM net_kept WHERE level = 1 UNION SELECT v FROM net_kept WHERE level = 1")
 cte("snapped", f"""
-SELECT point_id, lon, lat, osmid FROM (SELECT *, {haversine('lat', 'lon', 'y', 'x')} AS d FROM grid, gnodes)
-WHERE d <= 600 QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY d, osmid) = 1""")
+SELECT point_id, lon, lat, osmid FROM (SELECT *, {haversine('lat', 'lon', 'y', 'x')} AS d FROM grid, gnodes JOIN calm USING (osmid))
+WHERE EXISTS (SELECT 1 FROM gnodes n WHERE {haversine('lat', 'lon', 'n.y', 'n.x')} <= 600)
+QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY round(d, 6), osmid) = 1""")
 cte("greach", """/*RECURSIVE*/
-SELECT DISTINCT lvl AS level, osmid AS origin, osmid AS node, 0::BIGINT AS spent FROM (VALUES (1), (2), (3), (4)) l(lvl), snapped
-UNION SELECT r.level, r.origin, g.v, r.spent + g.len FROM greach r JOIN graph g ON g.u = r.node AND g.LTS BETWEEN 1 AND r.level
+SELECT DISTINCT level, osmid AS origin, osmid AS node, 0::BIGINT AS spent FROM lvls, snapped
+WHERE EXISTS (SELECT 1 FROM net_kept g WHERE g.level = lvls.level AND osmid IN (g.u, g.v))
+UNION SELECT r.level, r.origin, g.v, r.spent + g.len FROM greach r JOIN steps g ON g.level = r.level AND g.u = r.node
 WHERE r.spent + g.len <= 1507""")
 add("x4_isochrone_grid", """
 SELECT point_id, lon, lat, osmid AS origin, """ + ", ".join(f"c.lts{k}" for k in (1, 2, 3, 4)) + """ FROM snapped JOIN (

@@ -282,28 +282,35 @@ QUERIES["g1_tag_counts"] = lambda s, d: st.tag_counts(osm_ways(s, d))
 # --- graph -----------------------------------------------------------------------------------------------------
 
 
-def origins(s) -> DataFrame:
-    return s.createDataFrame([(0,), (7,), (13,)], "origin bigint")
+def origins(s, d) -> DataFrame:
+    """A node for each supplier."""
+    return ad.table(s, d, "supplier").select((F.col("s_suppkey") * 2).alias("origin"))
+
+
+def network(s, d) -> DataFrame:
+    edges = ad.graph(s, d)
+    return gr.isochrone_network(gr.travel_minutes(edges, 15), ad.graph_nodes(edges))
 
 
 def reached(s, d) -> DataFrame:
-    return gr.isochrone(gr.level_edges(gr.travel_minutes(ad.graph(s, d), 15)), origins(s), 15.0)
+    return gr.isochrone(network(s, d), origins(s, d), 15.0)
 
 
-def calm_links(s, d) -> tuple[DataFrame, DataFrame]:
+def level_components(s, d) -> DataFrame:
     edges = ad.graph(s, d)
-    return ad.graph_nodes(edges), gr.stress_subgraph(edges, None, 1)
+    return gr.level_components(gr.level_edges(edges, ad.graph_nodes(edges)))
 
 
 QUERIES["j16_stress_subgraph"] = lambda s, d: gr.stress_subgraph(
     ad.graph(s, d), ad.graph_nodes(ad.graph(s, d)), 2).select(*ID)
-QUERIES["x2_largest_component"] = lambda s, d: gr.largest_component(*calm_links(s, d))
-QUERIES["x2_component_sizes"] = lambda s, d: gr.component_sizes(gr.components(*calm_links(s, d)))
+QUERIES["x2_largest_component"] = lambda s, d: gr.largest_of_levels(level_components(s, d))
+QUERIES["x2_component_sizes"] = lambda s, d: gr.level_sizes(level_components(s, d))
+QUERIES["x3_network"] = lambda s, d: network(s, d).select("level", *ID)
 QUERIES["x3_isochrone"] = reached
 QUERIES["x3_lowest_level"] = lambda s, d: gr.lowest_level(reached(s, d))
 QUERIES["g28_isochrone_counts"] = lambda s, d: gr.isochrone_counts(reached(s, d))
 QUERIES["p22_reach_share"] = lambda s, d: gr.reach_share(gr.isochrone_counts(reached(s, d)))
-QUERIES["t8_top_origins"] = lambda s, d: gr.top_origins(gr.isochrone_counts(reached(s, d)), 2)
+QUERIES["t8_top_origins"] = lambda s, d: gr.top_origins(gr.isochrone_counts(reached(s, d)))
 
 
 @query("j12_nearest_node")
@@ -311,13 +318,12 @@ def _(s, d):
     k = F.col("c_custkey")
     points = ad.table(s, d, "customer").select(
         k.alias("point_id"), (42.29 + k % 97 * 0.001).alias("lat"), (-71.13 + k % 89 * 0.0012).alias("lon"))
-    return gr.nearest_node(points, ad.graph_nodes(ad.graph(s, d))).select("point_id", "distance")
+    return gr.nearest_node(points, ad.graph_nodes(ad.graph(s, d))).select("point_id", "osmid", "distance")
 
 
 @query("x4_isochrone_grid")
 def _(s, d):
-    edges = ad.graph(s, d)
-    return gr.isochrone_grid(gr.level_edges(gr.travel_minutes(edges, 15)), ad.graph_nodes(edges), 4, 6.03, 600.0)
+    return gr.isochrone_grid(network(s, d), ad.graph_nodes(ad.graph(s, d)), 4, 6.03, 600.0)
 
 
 # --- timelines -------------------------------------------------------------------------------------------------

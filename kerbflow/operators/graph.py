@@ -1,17 +1,19 @@
 """Reachability on the street graph: stress subgraphs, components, isochrones.
 
-The iterative operators keep their state in one table per round, written to the checkpoint folder, and stop
-when nothing changes.
+The iterative operators keep what they need between rounds in tables written to the checkpoint folder, and stop
+when nothing is left to do.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbflow.functions import geo
 from kerbflow.functions.skew import salted_lookup
-from kerbflow.session import cut_lineage
+from kerbflow.session import cut_lineage, work_path
 
 LEVELS = (1, 2, 3, 4)
 
@@ -30,33 +32,51 @@ def travel_minutes(edges: DataFrame, kmh: float) -> DataFrame:
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Weakly connected component of every node, named by its smallest node id.
+    """Weakly connected component of every node, named by its smallest node id. Ids may have any type with an order.
 
-    Alternates the large-star and small-star steps (Kiveris et al. 2014), which need about log(n) rounds
-    however long the paths are. Links run from the larger to the smaller id. In the large-star step a node
-    without a smaller neighbour is its own minimum and needs no row in the lookup; hub nodes, which collect
-    ever more links, are salted.
+    The graph is contracted until no link is left. In a round every node joins its best neighbour or stays: first the
+    nodes with the most links, if they have more than a small share of all, then the smallest hash, dealt anew in every round.
+    So a star or a clique is gone after one round and a path keeps about a third of its nodes; what a round reads shrinks with the
+    graph. Then the names go back through the rounds. A node's share of the links decides whether its rows are split
+    (:func:`salted_lookup`), so no task gets much more than the others, however large the graph is.
     """
     links = edges.where(F.col("u") != F.col("v")).select(
         F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct()
     links = cut_lineage(links)
-    while True:
-        earlier = links
-        lowest = links.groupBy("a").agg(F.min("b").alias("m"))
-        # large star: every larger neighbour of a node is linked to the lowest neighbour of that node
-        seen = lowest.select(F.col("a").alias("_node"), F.col("m").alias("_m"))
-        star = salted_lookup(links, seen, "b", "_node", ["a"])
-        star = cut_lineage(star.select("a", F.coalesce("_m", "b").alias("b")).distinct())
-        # small star: a node and its smaller neighbours are linked to the lowest of them
-        low = star.groupBy("a").agg(F.min("b").alias("m"))
-        sideways = salted_lookup(star, low.select(F.col("a").alias("_node"), F.col("m").alias("_m")), "a", "_node", ["b"])
-        sideways = sideways.where(F.col("b") != F.col("_m")).select(F.col("b").alias("a"), F.col("_m").alias("b"))
-        links = cut_lineage(low.select("a", F.col("m").alias("b")).unionByName(sideways).distinct())
-        # both are distinct: a link that is in one of them only is a change
-        if links.unionAll(earlier).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n < 2").isEmpty():
-            break
-    roots = links.select(F.col("a").alias("osmid"), F.col("b").alias("component"))
-    return nodes.select("osmid").distinct().join(roots, "osmid", "left").withColumn(
+    shares = 4 * int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rounds: list[tuple[DataFrame, DataFrame]] = []
+    names = None
+    while total := links.count():
+        limit = max(total // shares, 1)
+        a, b = F.col("a"), F.col("b")
+        sides = F.array(*[F.struct(x.alias("node"), y.alias("near")) for x, y in ((a, b), (b, a), (a, a), (b, b))])
+        ends = links.select(F.inline(sides))
+        # at most 2 * total / limit of them, whatever the size of the graph
+        hubs = ends.where(F.col("node") != F.col("near")).groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(
+            F.col("n") > limit).select(F.col("node").alias("near"), F.negative("n").alias("rank"))
+        order = F.struct(F.coalesce("rank", F.lit(0)).alias("rank"), F.xxhash64("near", F.lit(len(rounds))).alias("h"), F.col("near"))
+        joins = ends.join(F.broadcast(hubs), "near", "left").groupBy("node").agg(F.min(order)["near"].alias("rep"))
+        joins = cut_lineage(joins)
+        low = joins.withColumn("low", F.col("node")) if names is None else joins.join(names, "node")
+        names = cut_lineage(low.groupBy("rep").agg(F.min("low").alias("low")))
+        rounds.append((joins, names))
+        names = names.withColumnRenamed("rep", "node")
+        to = joins.select(F.col("node").alias("_node"), F.col("rep").alias("_rep"))
+        moved = salted_lookup(links, to, "a", "_node", ["b"], limit).select(F.col("_rep").alias("x"), "b")
+        moved = salted_lookup(moved, to, "b", "_node", ["x"], limit).select("x", F.col("_rep").alias("y"))
+        links = cut_lineage(moved.where(F.col("x") != F.col("y")).select(
+            F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+    label = None
+    for joins, names in reversed(rounds):
+        if label is not None:
+            names = names.join(label.toDF("rep", "label"), "rep", "left").select("rep", F.coalesce("label", "low").alias("low"))
+        named = names.select(F.col("rep").alias("_rep"), F.col("low").alias("component"))
+        limit = max(joins.count() // shares, 1)
+        label = cut_lineage(salted_lookup(joins, named, "rep", "_rep", ["node"], limit).select("node", "component"))
+    own = nodes.select("osmid").distinct()
+    if label is None:
+        return own.withColumn("component", F.col("osmid"))
+    return own.join(label.withColumnRenamed("node", "osmid"), "osmid", "left").withColumn(
         "component", F.coalesce("component", "osmid"))
 
 
@@ -86,47 +106,136 @@ def edges_inside(edges: DataFrame, kept: DataFrame) -> DataFrame:
 def level_edges(edges: DataFrame, nodes: DataFrame | None = None, only_largest: bool = False) -> DataFrame:
     """The edges of every stress level's subgraph, tagged with the level.
 
-    With ``only_largest`` each subgraph is cut to its largest weak component first.
+    Rated ``nodes`` that are too stressful for a level go with their edges. With ``only_largest`` each subgraph is cut to its
+    largest weak component; all levels are searched together.
+    """
+    usable = edges.where(F.col("LTS").between(1, LEVELS[-1]))
+    out = usable.withColumn("level", F.explode(F.sequence(F.col("LTS"), F.lit(LEVELS[-1]))))
+    if nodes is not None:
+        # levels on which a node is too stressful; an unrated one (0) is on all of them
+        above = F.when(F.col("LTS") == 0, F.lit(LEVELS[-1])).otherwise(F.least(F.col("LTS") - 1, F.lit(LEVELS[-1])))
+        bad = nodes.where((F.col("LTS") == 0) | (F.col("LTS") > 1)).select(
+            F.col("osmid").alias("_bad"), F.explode(F.sequence(F.lit(1), above)).alias("_level"))
+        for end in ("u", "v"):
+            out = out.join(bad, (F.col(end) == F.col("_bad")) & (F.col("level") == F.col("_level")), "left_anti")
+    return largest_by_level(out) if only_largest else out
+
+
+def level_components(edges: DataFrame) -> DataFrame:
+    """Weak component of every node that has an edge, per level: ``level, osmid, component``. All levels are searched together."""
+    place = lambda c: F.struct("level", F.col(c).alias("id"))
+    pairs = edges.select(place("u").alias("u"), place("v").alias("v"))
+    labels = components(pairs.select(F.explode(F.array("u", "v")).alias("osmid")).distinct(), pairs)
+    return labels.select("osmid.level", F.col("osmid.id").alias("osmid"), F.col("component.id").alias("component"))
+
+
+def level_sizes(labels: DataFrame) -> DataFrame:
+    return labels.groupBy("level", "component").agg(F.count(F.lit(1)).alias("n_nodes"))
+
+
+def largest_of_levels(labels: DataFrame) -> DataFrame:
+    """The nodes of the largest component of every level (the smallest id wins a tie)."""
+    best = level_sizes(labels).groupBy("level").agg(
+        F.min(F.struct(F.negative("n_nodes").alias("k"), F.col("component")))["component"].alias("component"))
+    return labels.join(best, ["level", "component"], "left_semi").select("level", "osmid", "component")
+
+
+def largest_by_level(edges: DataFrame) -> DataFrame:
+    """The edges of the largest weak component of every level."""
+    edges = cut_lineage(edges)
+    inside = largest_of_levels(level_components(edges)).select("level", F.col("osmid").alias("u"))
+    # a component has both ends of an edge or none
+    return edges.join(inside, ["level", "u"], "left_semi").select(*edges.columns)
+
+
+def isochrone_network(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """The network of every level: the largest component of the whole graph, from it the level's edges without
+    nodes that are too stressful, and of these the largest component again."""
+    base = largest_by_level(edges.withColumn("level", F.lit(0))).drop("level")
+    return level_edges(base, nodes, only_largest=True)
+
+
+def contracted(roads: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Replace chains of nodes with two neighbours by single edges, on every level.
+
+    Returns the roads between the remaining nodes, and for each node of a chain the minutes to it from the ends of its chain
+    (``level, node, via, minutes``). Nodes of ``kept`` remain. A chain is followed by pointer doubling from each of its
+    arcs, so the number of rounds is the logarithm of its length. Rings without any other node are left out; nothing leads to them.
     """
-    if nodes is None and not only_largest:
-        usable = edges.where(F.col("LTS").between(1, LEVELS[-1]))
-        return usable.withColumn("level", F.explode(F.sequence(F.col("LTS"), F.lit(LEVELS[-1]))))
-    out = None
-    for level in LEVELS:
-        part = stress_subgraph(edges, nodes, level)
-        if only_largest:
-            ends = part.select(F.col("u").alias("osmid")).unionByName(part.select(F.col("v").alias("osmid"))).distinct()
-            part = edges_inside(part, largest_component(ends, part))
-        part = part.withColumn("level", F.lit(level))
-        out = part if out is None else out.unionByName(part)
-    return out
+    both = roads.select("level", F.col("u").alias("tail"), F.col("v").alias("head"), F.col("minutes").alias("there"),
+                        F.lit(None).cast("double").alias("back")).unionAll(
+        roads.select("level", F.col("v").alias("tail"), F.col("u").alias("head"), F.lit(None).cast("double"), "minutes"))
+    arcs = cut_lineage(both.groupBy("level", "tail", "head").agg(F.min("there").alias("there"), F.min("back").alias("back")))
+    inner = arcs.groupBy("level", "tail").agg(F.count(F.lit(1)).alias("n"), F.min("head").alias("x"), F.max("head").alias("y")).where("n = 2")
+    inner = inner.join(kept.select(F.col("origin").alias("tail")).distinct(), "tail", "left_anti").select(
+        "level", F.col("tail").alias("node"), "x", "y")
+    inner = cut_lineage(inner)
+    marks = inner.select("level", F.col("node").alias("tail"), F.lit(True).alias("from_inner"))
+    turn = inner.select("level", F.col("node").alias("head"), "x", "y")
+    # the arc behind an arc to a chain's node leads to its other neighbour
+    walk = arcs.join(marks, ["level", "tail"], "left").join(turn, ["level", "head"], "left").select(
+        "level", "tail", "head", "there", "back", F.col("from_inner").isNotNull().alias("from_inner"), F.col("head").alias("end"),
+        F.when(F.col("x").isNotNull(), F.struct(F.col("head").alias("tail"), F.when(F.col("x") == F.col("tail"), F.col("y")).otherwise(F.col("x")).alias("head"))).alias("next"))
+    walk = cut_lineage(walk)
+    plain = walk.where(~F.col("from_inner") & F.col("next").isNull())
+    walk = walk.where(F.col("from_inner") | F.col("next").isNotNull())
+    left = None
+    while True:
+        todo = walk.where(F.col("next").isNotNull()).count()
+        if todo in (0, left):
+            break
+        left = todo
+        on = walk.select("level", F.struct("tail", "head").alias("next"), F.col("there").alias("_there"), F.col("back").alias("_back"),
+                         F.col("end").alias("_end"), F.col("next").alias("_next"))
+        open_, done = walk.where(F.col("next").isNotNull()), walk.where(F.col("next").isNull())
+        walk = cut_lineage(done.unionByName(open_.join(on, ["level", "next"]).select(
+            "level", "tail", "head", (F.col("there") + F.col("_there")).alias("there"), (F.col("back") + F.col("_back")).alias("back"),
+            "from_inner", F.col("_end").alias("end"), F.col("_next").alias("next"))))
+    ended = walk.where(F.col("next").isNull())
+    short = plain.unionByName(ended.where(~F.col("from_inner"))).where(F.col("there").isNotNull() & (F.col("tail") != F.col("end")))
+    roads = short.groupBy("level", F.col("tail").alias("u"), F.col("end").alias("v")).agg(F.min("there").alias("minutes"))
+    within = ended.where(F.col("from_inner") & F.col("back").isNotNull()).groupBy(
+        "level", F.col("tail").alias("node"), F.col("end").alias("via")).agg(F.min("back").alias("minutes"))
+    return cut_lineage(roads), cut_lineage(within)
 
 
 def isochrone(edges: DataFrame, origins: DataFrame, budget: float) -> DataFrame:
     """Shortest minutes from each origin to every node within ``budget``, per stress level.
 
-    ``edges``: ``level, u, v, minutes``; ``origins``: ``origin``. All origins and levels advance together;
-    a round extends only the nodes improved in the last one and merges them with one aggregate.
+    ``edges``: ``level, u, v, minutes``; ``origins``: ``origin``. Chains are contracted first, so the rounds follow the
+    crossings on the way. All origins and levels advance together. A round extends only the nodes improved in the last one
+    and appends what it improves to a table bucketed by level, origin and node, which therefore is read in place: only the
+    new minutes are shuffled. The nodes of the chains get their minutes at the end.
     """
-    roads = cut_lineage(edges.groupBy("level", "u", "v").agg(F.min("minutes").alias("minutes")))
-    keys = ["level", "origin", "node"]
-    state = origins.select("origin").distinct().select(
-        F.explode(F.array(*[F.lit(k) for k in LEVELS])).alias("level"), "origin", F.col("origin").alias("node"),
-        F.lit(0.0).alias("minutes"), F.lit(True).alias("moved"))
+    spark = edges.sparkSession
+    roads = cut_lineage(edges.where(F.col("u") != F.col("v")).groupBy("level", "u", "v").agg(F.min("minutes").alias("minutes")))
+    starts = cut_lineage(origins.select("origin").distinct())
     # an origin starts only on the levels whose network has it
-    there = roads.select("level", F.col("u").alias("node")).unionAll(roads.select("level", F.col("v").alias("node"))).distinct()
-    state = cut_lineage(state.join(there, ["level", "node"], "left_semi").select(*keys, "minutes", "moved"))
-    while True:
-        front = state.where("moved").select("level", "origin", F.col("node").alias("u"), F.col("minutes").alias("spent"))
-        step = front.join(roads, ["level", "u"]).withColumn("new", F.col("spent") + F.col("minutes")).where(
-            F.col("new") <= budget)
-        both = state.select(*keys, F.col("minutes").alias("old"), F.lit(None).cast("double").alias("new")).unionByName(
-            step.select("level", "origin", F.col("v").alias("node"), F.lit(None).cast("double").alias("old"), "new"))
-        merged = both.groupBy(*keys).agg(F.min("old").alias("old"), F.min("new").alias("new"))
-        better = F.coalesce(F.col("new") < F.col("old"), F.col("old").isNull())
-        state = cut_lineage(merged.select(*keys, F.least("old", "new").alias("minutes"), better.alias("moved")))
-        if state.where("moved").isEmpty():
-            return state.drop("moved")
+    there = edges.select("level", F.explode(F.array("u", "v")).alias("origin")).distinct()
+    front = cut_lineage(starts.join(there, "origin").select("level", "origin", F.col("origin").alias("node"), F.lit(0.0).alias("minutes")))
+    roads, within = contracted(roads, starts)
+    keys = ["level", "origin", "node"]
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"isochrone_{uuid.uuid4().hex}"
+    path = work_path(spark, name)
+    try:
+        while not front.isEmpty():
+            front.repartition(buckets, *keys).write.mode("append").bucketBy(buckets, *keys).option("path", path).saveAsTable(name)
+            step = front.withColumnsRenamed({"node": "u", "minutes": "spent"}).join(roads, ["level", "u"]).select(
+                "level", "origin", F.col("v").alias("node"), (F.col("spent") + F.col("minutes")).alias("minutes")).where(F.col("minutes") <= budget)
+            step = step.groupBy(*keys).agg(F.min("minutes").alias("minutes"))
+            known = spark.table(name).groupBy(*keys).agg(F.min("minutes").alias("known"))
+            front = cut_lineage(step.join(known, keys, "left").where(
+                F.col("known").isNull() | (F.col("minutes") < F.col("known"))).select(*keys, "minutes"))
+            # the table has changed; its next reader must list the files anew
+            spark.catalog.refreshTable(name)
+        reached = spark.table(name) if spark.catalog.tableExists(name) else front
+        reached = cut_lineage(reached.groupBy(*keys).agg(F.min("minutes").alias("minutes")))
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    chains = reached.withColumnsRenamed({"node": "via", "minutes": "spent"}).join(within, ["level", "via"]).select(
+        "level", "origin", "node", (F.col("spent") + F.col("minutes")).alias("minutes")).where(F.col("minutes") <= budget)
+    return reached.unionByName(chains.groupBy(*keys).agg(F.min("minutes").alias("minutes")))
 
 
 def lowest_level(reached: DataFrame) -> DataFrame:
@@ -142,8 +251,8 @@ def isochrone_counts(reached: DataFrame) -> DataFrame:
 
 def reach_share(counts: DataFrame) -> DataFrame:
     """Reach relative to the best origin at the highest level."""
-    best = counts.agg(F.max(f"lts{LEVELS[-1]}")).first()[0]  # one number
-    return counts.withColumns({f"share{k}": F.col(f"lts{k}") / F.lit(best) for k in LEVELS})
+    best = counts.agg(F.max(f"lts{LEVELS[-1]}")).scalar()
+    return counts.withColumns({f"share{k}": F.col(f"lts{k}") / best for k in LEVELS})
 
 
 def top_origins(counts: DataFrame, k: int = 15, level: int = 2) -> DataFrame:
@@ -170,10 +279,25 @@ def grid_points(nodes: DataFrame, n: int) -> DataFrame:
                 place("y0", "y1", "j").alias("lat")))
 
 
-def isochrone_grid(edges: DataFrame, nodes: DataFrame, n: int, budget: float, near_m: float) -> DataFrame:
-    """Reach counts of grid points. Points farther than ``near_m`` from any node lie outside the network."""
-    snapped = cut_lineage(nearest_node(grid_points(nodes, n), nodes).where(F.col("distance") <= near_m))
-    reached = isochrone(edges, snapped.select(F.col("osmid").alias("origin")), budget)
+def snapped_points(points: DataFrame, nodes: DataFrame, network: DataFrame, near_m: float) -> DataFrame:
+    """The level-1 node that each point starts from: ``point_id, lat, lon, osmid``.
+
+    Points farther than ``near_m`` from any node lie outside. One search serves both questions: its targets are the nodes
+    as they are and, as a group of their own, those that the level-1 ``network`` has.
+    """
+    own = network.where("level = 1").select(F.explode(F.array("u", "v")).alias("osmid")).distinct()
+    place = nodes.select("osmid", F.col("y").alias("t_lat"), F.col("x").alias("t_lon"))
+    targets = place.withColumn("level", F.lit(0)).unionByName(place.join(own, "osmid", "left_semi").withColumn("level", F.lit(1)))
+    asked = points.withColumn("level", F.explode(F.array(F.lit(0), F.lit(1))))
+    found = geo.nearest(asked, targets, ["point_id"], ["osmid"], ["osmid"], by=["level"])
+    inside = found.where((F.col("level") == 0) & (F.col("distance") <= near_m)).select("point_id")
+    return found.where("level = 1").join(inside, "point_id", "left_semi").select("point_id", "lat", "lon", "osmid")
+
+
+def isochrone_grid(network: DataFrame, nodes: DataFrame, n: int, budget: float, near_m: float) -> DataFrame:
+    """Reach counts of grid points, each from its nearest node of the level-1 network."""
+    snapped = cut_lineage(snapped_points(grid_points(nodes, n), nodes, network, near_m))
+    reached = isochrone(network, snapped.select(F.col("osmid").alias("origin")), budget)
     counts = isochrone_counts(reached)
     return snapped.join(counts, snapped["osmid"] == counts["origin"]).select(
         "point_id", "lon", "lat", "origin", *[f"lts{k}" for k in LEVELS])
