@@ -7,7 +7,9 @@ when nothing is left to do.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,14 +33,18 @@ def travel_minutes(edges: DataFrame, kmh: float) -> DataFrame:
     return edges.withColumn("minutes", F.col("length") / (kmh * 1000 / 60))
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+#: A graph of at most so many links is finished in one task.
+REST = 20_000
+
+
+def components(nodes: DataFrame, edges: DataFrame, rest: int = REST) -> DataFrame:
     """Weakly connected component of every node, named by its smallest node id. Ids may have any type with an order.
 
-    The graph is contracted until no link is left. In a round every node joins its best neighbour or stays: first the
-    nodes with the most links, if they have more than a small share of all, then the smallest hash, dealt anew in every round.
-    So a star or a clique is gone after one round and a path keeps about a third of its nodes; what a round reads shrinks with the
-    graph. Then the names go back through the rounds. A node's share of the links decides whether its rows are split
-    (:func:`salted_lookup`), so no task gets much more than the others, however large the graph is.
+    The graph is contracted until at most ``rest`` links are left, which one task finishes. In a round every node joins its best
+    neighbour or stays: first the nodes with the most links, if they have more than a small share of all, then the smallest hash,
+    dealt anew in every round. So a star or a clique is gone after one round and a path keeps about a third of its nodes; what
+    a round reads shrinks with the graph. Then the names go back through the rounds. A node's share of the links decides whether
+    its rows are split (:func:`salted_lookup`), so no task gets much more than the others, however large the graph is.
     """
     links = edges.where(F.col("u") != F.col("v")).select(
         F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct()
@@ -48,17 +54,13 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     names = None
     while total := links.count():
         limit = max(total // shares, 1)
-        a, b = F.col("a"), F.col("b")
-        sides = F.array(*[F.struct(x.alias("node"), y.alias("near")) for x, y in ((a, b), (b, a), (a, a), (b, b))])
-        ends = links.select(F.inline(sides))
-        # at most 2 * total / limit of them, whatever the size of the graph
-        hubs = ends.where(F.col("node") != F.col("near")).groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(
-            F.col("n") > limit).select(F.col("node").alias("near"), F.negative("n").alias("rank"))
-        order = F.struct(F.coalesce("rank", F.lit(0)).alias("rank"), F.xxhash64("near", F.lit(len(rounds))).alias("h"), F.col("near"))
-        joins = ends.join(F.broadcast(hubs), "near", "left").groupBy("node").agg(F.min(order)["near"].alias("rep"))
-        joins = cut_lineage(joins)
+        joins = cut_lineage(_finished(links) if total <= rest else _best_neighbours(links, limit, len(rounds)))
         low = joins.withColumn("low", F.col("node")) if names is None else joins.join(names, "node")
-        names = cut_lineage(low.groupBy("rep").agg(F.min("low").alias("low")))
+        names = low.groupBy("rep").agg(F.min("low").alias("low"))
+        if total <= rest:
+            rounds.append((joins, names))
+            break
+        names = cut_lineage(names)
         rounds.append((joins, names))
         names = names.withColumnRenamed("rep", "node")
         to = joins.select(F.col("node").alias("_node"), F.col("rep").alias("_rep"))
@@ -80,6 +82,40 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         "component", F.coalesce("component", "osmid"))
 
 
+def _best_neighbours(links: DataFrame, limit: int, turn: int) -> DataFrame:
+    """``node, rep``: the best of each node and its neighbours."""
+    a, b = F.col("a"), F.col("b")
+    ends = links.select(F.inline(F.array(*[F.struct(x.alias("node"), y.alias("near")) for x, y in ((a, b), (b, a), (a, a), (b, b))])))
+    # at most 2 * links / limit of them, whatever the size of the graph
+    hubs = ends.where(F.col("node") != F.col("near")).groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(
+        F.col("n") > limit).select(F.col("node").alias("near"), F.negative("n").alias("rank"))
+    order = F.struct(F.coalesce("rank", F.lit(0)).alias("rank"), F.xxhash64("near", F.lit(turn)).alias("h"), F.col("near"))
+    return ends.join(F.broadcast(hubs), "near", "left").groupBy("node").agg(F.min(order)["near"].alias("rep"))
+
+
+def _finished(links: DataFrame) -> DataFrame:
+    """``node, rep`` of a small graph: the smallest node of each component, found in one task."""
+    def union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above: dict[str, str] = {}
+
+        def root(x: str) -> str:
+            while above.setdefault(x, x) != x:
+                above[x] = x = above[above[x]]
+            return x
+
+        for batch in batches:
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                above[root(x)] = root(y)
+        if above:
+            yield pa.RecordBatch.from_pydict({"key": list(above), "root": [root(x) for x in above]})
+
+    key = lambda c: F.to_json(F.struct(c))  # noqa: E731  (a name for ids of any type)
+    roots = links.select(key(F.col("a").alias("id")), key(F.col("b").alias("id"))).coalesce(1).mapInArrow(union_find, "key string, root string")
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("key", key(F.col("node").alias("id")))
+    found = cut_lineage(ends.join(roots, "key").select("node", "root"))
+    return found.join(found.groupBy("root").agg(F.min("node").alias("rep")), "root").select("node", "rep")
+
+
 def component_sizes(labels: DataFrame) -> DataFrame:
     return labels.groupBy("component").agg(F.count(F.lit(1)).alias("n_nodes"))
 
@@ -125,7 +161,7 @@ def level_components(edges: DataFrame) -> DataFrame:
     """Weak component of every node that has an edge, per level: ``level, osmid, component``. All levels are searched together."""
     place = lambda c: F.struct("level", F.col(c).alias("id"))
     pairs = edges.select(place("u").alias("u"), place("v").alias("v"))
-    labels = components(pairs.select(F.explode(F.array("u", "v")).alias("osmid")).distinct(), pairs)
+    labels = components(pairs.select(F.explode(F.array("u", "v")).alias("osmid")), pairs)
     return labels.select("osmid.level", F.col("osmid.id").alias("osmid"), F.col("component.id").alias("component"))
 
 

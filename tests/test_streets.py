@@ -237,3 +237,88 @@ def test_line_geometry_both_ways(spark):
     points = src.parse_wkt_line(F.col("w"))
     assert [[tuple(p) for p in r[0]] for r in df.select(points).collect()] == [[(-71.5, 42.25), (-71.25, 42.5)], [(1.0, 2.0)]]
     assert df.select(src.wkt_line(points)).first()[0] == "LINESTRING (-71.5 42.25, -71.25 42.5)"
+
+
+def union_find(links):
+    above = {}
+
+    def root(x):
+        while above.setdefault(x, x) != x:
+            x = above[x]
+        return x
+
+    for a, b in links:
+        x, y = sorted((root(a), root(b)))
+        above[y] = x
+    return {x: root(x) for x in above}
+
+
+def test_components_by_contraction(spark):
+    """A giant star, a path, a ring, a clique and random links, contracted to the end or finished in one task; ids of two parts."""
+    import random
+
+    rng = random.Random(4)
+    links = [(5000, i) for i in range(2000)] + [(i, i + 1) for i in range(6000, 6300)] + [(7000 + i, 7000 + (i + 1) % 50) for i in range(50)]
+    links += [(8000 + i, 8000 + j) for i in range(12) for j in range(i)] + [(rng.randrange(9000, 9400), rng.randrange(9000, 9400)) for _ in range(220)]
+    links += [(3, 3), (6000, 6001)]
+    frame = spark.createDataFrame(links, "u bigint, v bigint").repartition(5)
+    nodes = spark.createDataFrame([(x,) for x in {x for e in links for x in e} | {1, 99_999}], "osmid bigint")
+    expected = {n.osmid: n.osmid for n in nodes.collect()} | union_find(links)
+    for rest in (0, 100, gr.REST):
+        got = gr.components(nodes, frame, rest).collect()
+        assert {x.osmid: x.component for x in got} == expected and len(got) == len(expected)
+    levels = frame.withColumn("level", F.explode(F.array(F.lit(1), F.lit(2)))).where("level = 2 OR u < 9000")
+    got = {(x.level, x.osmid): x.component for x in gr.level_components(levels).collect()}
+    assert got == {(2, k): v for k, v in union_find(links).items()} | {
+        (1, k): v for k, v in union_find([e for e in links if e[0] < 9000]).items()}
+    assert gr.components(nodes, frame.limit(0)).where("osmid <> component").isEmpty()
+
+
+def dijkstra(roads, origin, budget):
+    import heapq
+
+    out, heap = {}, [(0.0, origin)]
+    while heap:
+        d, x = heapq.heappop(heap)
+        if x not in out:
+            out[x] = d
+            for u, v, m in roads:
+                if u == x and d + m <= budget:
+                    heapq.heappush(heap, (d + m, v))
+    return out
+
+
+def test_isochrones_over_chains(spark):
+    """Chains both ways and one-way, rings, loops at one crossing, dead ends, origins inside chains; against Dijkstra."""
+    import random
+
+    rng = random.Random(9)
+    for seed in range(2):
+        roads = [(rng.randrange(12), rng.randrange(12), float(rng.randrange(2, 9))) for _ in range(18)]
+        spare = 100
+        for a, b, n, back in ((0, 1, 9, True), (2, 3, 5, False), (4, 4, 6, True), (5, 6, 1, True), (7, 99, 4, True)):
+            path = [a, *range(spare, spare + n), b]
+            spare += n
+            for x, y in zip(path, path[1:]):
+                roads.append((x, y, 1.0 + rng.randrange(3)))
+                if back:
+                    roads.append((y, x, 1.0 + rng.randrange(3)))
+        roads += [(300, 301, 1.0), (301, 302, 1.0), (302, 300, 1.0)]
+        origins = [0, 2, 7, 103, 300, 12345]
+        frame = spark.createDataFrame([(4, u, v, m) for u, v, m in roads], "level int, u bigint, v bigint, minutes double")
+        got = gr.isochrone(frame, spark.createDataFrame([(o,) for o in origins], "origin bigint"), 14.0).collect()
+        ends = {x for u, v, _ in roads for x in (u, v)}
+        want = {(o, n): d for o in origins if o in ends for n, d in dijkstra([r for r in roads if r[0] != r[1]], o, 14.0).items()}
+        assert {(x.origin, x.node): x.minutes for x in got} == want and len(got) == len(want), seed
+    short, within = gr.contracted(frame.groupBy("level", "u", "v").agg(F.min("minutes").alias("minutes")).where("u <> v"),
+                                  spark.createDataFrame([(0,)], "origin bigint"))
+    assert short.where("u BETWEEN 100 AND 112 OR v BETWEEN 100 AND 112").isEmpty() and within.where("node = 104").count() == 2
+
+
+def test_network_keeps_the_largest_part_and_calm_nodes(spark):
+    roads = [(1, 2, 1), (2, 3, 1), (3, 4, 2), (4, 5, 1), (5, 6, 1), (6, 7, 1), (20, 21, 1), (21, 22, 1), (2, 9, 0), (9, 8, 1)]
+    edges_ = spark.createDataFrame([(u, v, k, 100.0, lts) for k, (u, v, lts) in enumerate(roads)], "u bigint, v bigint, key int, length double, LTS int")
+    nodes = spark.createDataFrame([(6, 2), (1, 0), (7, 1)], "osmid bigint, LTS int")
+    got = {(x.level, x.u, x.v) for x in gr.isochrone_network(edges_, nodes).collect()}
+    # level 1: 1 (unrated) and 6 go; {2, 3} and {4, 5} and {8, 9} tie, the smallest id wins; the piece from 20 left with the base
+    assert got == {(1, 2, 3)} | {(k, u, v) for k in (2, 3, 4) for u, v, lts in roads if lts and u < 9 and u != 1}
