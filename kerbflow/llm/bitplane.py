@@ -1,6 +1,6 @@
 """Token ids as compressed bit or byte planes.
 
-Documents are range-partitioned by ``doc_id``; each partition is a shard, whose documents are encoded in order and
+Documents are range-partitioned by ``doc_id``, then text, so that rows without an id or with one id are split; each partition is a shard, whose documents are encoded in order and
 whose ids, each document followed by the end id, form one stream. The stream is cut into chunks of a fixed number of
 ids. Of a chunk the ids are transposed into planes (byte k, or bit k, of every id together) and each plane is
 compressed alone, so the planes of high bits, which are nearly constant, shrink to almost nothing.
@@ -119,12 +119,15 @@ class WordEncoder:
 
     def __call__(self, text: str) -> bytes:
         words, known = text.encode("utf-8", "replace").split(), self.words
-        if missing := [w for w in set(words) if w not in known]:
+        ids = list(map(known.get, words))
+        if None in ids:
+            missing = {w for w, x in zip(words, ids) if x is None}
             if len(known) + len(missing) > self.most_words:
                 known.clear()
-                missing = list(set(words))
-            self.learn(missing)
-        return b"".join([known[w] for w in words])
+                missing = set(words)
+            self.learn(list(missing))
+            ids = list(map(known.get, words))
+        return b"".join(ids)
 
 
 def write_planes(docs: DataFrame, tokenizer: str, end_id: int, chunk_ids: int = 65_536, layout: str = "byte") -> DataFrame:
@@ -165,7 +168,7 @@ def write_planes(docs: DataFrame, tokenizer: str, end_id: int, chunk_ids: int =
             yield full()
 
     ordered = (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-               .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text"))
+               .repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text"))
     return stored(ordered.mapInArrow(encode, CHUNKS), "id-planes")
 
 

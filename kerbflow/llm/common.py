@@ -19,6 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders, and tables or None, that steps have written and :func:`release` has not emptied yet.
+WRITTEN: list[tuple[str, str | None]] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a fresh folder of the shared storage and read it back.
 
@@ -26,12 +30,37 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     path = work_path(df.sparkSession, name)
     df.write.parquet(path)
+    WRITTEN.append((path, None))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most ``rows`` rows, so that a batch of long texts stays small in a Python worker."""
+def release(inputs: DataFrame) -> None:
+    """Empty the folders of all earlier steps but those that ``inputs`` reads.
+
+    For a caller whose inputs have been written for good, such as a stage of the pipeline. A DataFrame of an earlier step that was
+    not written anywhere can't be read afterwards.
+    """
+    spark = inputs.sparkSession
+    if not WRITTEN:
+        return
+    used = inputs.inputFiles()
+    for path, name in list(WRITTEN):
+        tail = path.rsplit("/", 1)[1]
+        if not any(tail in file for file in used):
+            if name:
+                spark.sql(f"DROP TABLE IF EXISTS {name}")
+            # overwriting with no rows removes the files on whatever storage Spark writes to
+            spark.createDataFrame([], "x int").coalesce(1).write.mode("overwrite").parquet(path)
+            WRITTEN.remove((path, name))
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 2 ** 26) -> None:
+    """Arrow batches of at most ``rows`` rows and about ``size`` bytes, so that a batch of long texts stays small in a worker.
+
+    Set for the session, as Spark reads these settings when a job starts.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def ascii_lower(text: Column) -> Column:

@@ -2,7 +2,8 @@
 
 Sentences and lines with a license word, and what stands between them, form candidate blocks. All templates are compared
 word by word with the blocks and the words around them: a template is confirmed for a span of words when hardly any of
-its words is missing there, and the differences are reported. A span is compressed alone and with each template as raw
+its words is missing there and no difference is in a word that decides (``DECIDES``: a version, a variant, a negation); the
+differences are reported. A span is compressed alone and with each template as raw
 dictionary; the share of the compressed size that a template saves ranks it among the others.
 
 Every confirmed template and span is a row, so a text under two licenses gives both. Of confirmed templates that rest on
@@ -55,6 +56,32 @@ TEMPLATES = {
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
         "following conditions are met:"),
 }
+FAMILY = "you can redistribute it and/or modify it under the terms of the GNU {0} as published by the Free Software Foundation{1} either version {2} of the License, or (at your option) any later version."
+# The same notices for other versions and variants, and further public notices.
+TEMPLATES |= {
+    "AGPL-3.0-header": "This program is free software: " + FAMILY.format("Affero General Public License", ",", "3"),
+    "CC-BY-ND-4.0": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC0-1.0": (
+        "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to "
+        "this software to the public domain worldwide. This software is distributed without any warranty."),
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "GPL-2.0-header": "This program is free software; " + FAMILY.format("General Public License", ";", "2"),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies."),
+    "LGPL-2.1-header": "This library is free software; " + FAMILY.format("Lesser General Public License", ";", "2.1"),
+    "LGPL-3.0-header": "This library is free software: " + FAMILY.format("Lesser General Public License", ",", "3"),
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+        "distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+}
+#: A difference in such a word makes another license of it, or none: variants, negations and versions (years are none).
+DECIDES = re.compile(
+    r"(?:.*(?:lesser|library|affero|noncommercial|sharealike|noderiv|n't)|not|non|never|neither|nor|longer|cannot|except|excluding|by|nc|sa|nd)\W*"
+    r"|\W*v?(?!(?:19|20)\d\d\W*$)\d+(?:\.\d+)*\W*|.*-(?:nc|sa|nd)\b.*", re.S)
+MARKS = ".,;:!?()[]\"'"
+NEGATION = re.compile(r"(?:not|never|neither|nor|longer|cannot|.*n't)\W*")
 CUE = r"licen[cs]e|copyright|warrant(?:y|ies)|permission is hereby|redistribut|creative commons|\bCC BY\b"
 UNIT = re.compile(r"\S[^\n]*?(?:[.:;!?](?=\s)|(?=\n)|$)", re.M)
 UNIT_WORDS, BLOCK_WORDS, GAP = 200, 400, 2
@@ -129,6 +156,18 @@ class Scanner:
         saved = {name: 1 - len(c.compress(data)) / size for name, c in self.given.items()}
         return sorted(saved.items(), key=lambda x: (-x[1], x[0]))
 
+    def same_license(self, name: str, have: list[str], before: list[str]) -> bool:
+        """Whether no difference between the template and the words of a span decides which license it is.
+
+        ``before``: the words that stand before the span, where a negation counts too.
+        """
+        want = self.words[name]
+        same = aligned(want, have)
+        mine, theirs = {i for i, _ in same}, {j for _, j in same}
+        lost = {w.strip(MARKS) for i, w in enumerate(want) if i not in mine}
+        added = {w.strip(MARKS) for j, w in enumerate(have) if j not in theirs}
+        return not any(DECIDES.fullmatch(w) for w in lost ^ added) and not any(NEGATION.fullmatch(w) for w in before)
+
     def differences(self, name: str, block: str) -> tuple[int, int, str]:
         """Words of the template that the block lacks, words it has besides, and each difference in wording."""
         want, have = self.words[name], plain(block).split()
@@ -192,6 +231,8 @@ class Scanner:
             have = [text[s:e].lower() for s, e in tokens[a:b]]
             for name, want in self.words.items():
                 for s, e in self.spans(name, have):
+                    if not self.same_license(name, have[s:e], have[max(s - 3, 0):s]):
+                        continue
                     start, end = tokens[a + s][0], tokens[a + e - 1][1]
                     missing, extra, shown = self.differences(name, text[start:end])
                     rank, saved = next((k, x) for k, (other, x) in enumerate(self.ranked(text[start:end]), 1) if other == name)

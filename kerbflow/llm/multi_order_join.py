@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbflow.llm.common import LOWER, UPPER, bounded_batches, stored, worker_state
+from kerbflow.llm.common import LOWER, UPPER, WRITTEN, bounded_batches, stored, worker_state
 from kerbflow.operators.graph import components
 from kerbflow.session import work_path
 
@@ -133,6 +133,7 @@ def stored_by(df: DataFrame, key: str, name: str) -> DataFrame:
     table = path.rsplit("/", 1)[1].replace("-", "_")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.bucketBy(buckets, key).option("path", path).saveAsTable(table)
+    WRITTEN.append((path, table))
     return spark.table(table)
 
 

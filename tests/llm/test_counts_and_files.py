@@ -11,6 +11,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from kerbflow.llm import bitplane, digest_index, heap_bpe, license_compression
@@ -147,3 +148,34 @@ def test_empty_tables(spark, nothing):
     assert heap_bpe.token_counts(nothing, BYTE).count() == 0
     assert bitplane.read_documents(bitplane.write_planes(nothing, WORD, 2)).count() == 0
     assert license_compression.scan(nothing).count() == 0
+
+
+def test_license_versions_and_variants_are_refused():
+    t = license_compression.TEMPLATES
+    wrong = {
+        t["GPL-3.0"].replace("version 3", "version 4"): [], t["GPL-3.0-header"].replace("version 3", "version 2"): ["GPL-2.0-header"],
+        t["GPL-3.0-header"].replace("General", "Lesser General"): [], t["CC-BY-4.0"].replace("4.0", "3.0"): [],
+        t["CC-BY-4.0"].replace("Attribution", "Attribution-ShareAlike"): ["CC-BY-SA-4.0"],
+        t["CC-BY-4.0"].replace("Attribution", "Attribution-NoDerivatives"): ["CC-BY-ND-4.0"],
+        t["GPL-3.0"].replace("is licensed", "is not licensed"): [], "This was never " + t["MIT"]: [], "Licensed under CC BY-NC-SA 4.0.": [],
+        t["Apache-2.0"].replace("2.0", "1.1"): [], t["GPL-3.0"].replace("version 3.", "version 3 of 2007 or any later version."): ["GPL-3.0"],
+        t["MIT-permission"].replace("Permission", "# Copyright 2024\nPermission").replace("the rights", "all the rights"): ["MIT-permission"]}
+    for text, names in wrong.items():
+        assert [name for name, *_ in confirmed_licenses(text)] == names, text
+    scanner = license_compression.Scanner(t)
+    for name, notice in t.items():  # every notice saves most with its own template
+        assert scanner.ranked(notice)[0][0] == name and scanner.ranked(notice)[0][1] > 0
+
+
+def test_half_of_the_ids_null(spark):
+    """The rows without an id are spread over all shards."""
+    rows = [(None if k % 2 else k, f"text {k} " + "word " * (k % 7)) for k in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        chunks = bitplane.write_planes(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    sizes = sorted(r.n for r in chunks.groupBy("shard").agg(F.sum(F.size("doc_ids")).alias("n")).collect())
+    assert len(sizes) > 2 and sizes[-1] < 3 * sizes[len(sizes) // 2]
+    assert bitplane.read_documents(chunks).count() == 6000
