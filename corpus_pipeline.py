@@ -1,70 +1,96 @@
 """A corpus pipeline of five operators: (name, function) stages over the documents table.
 
 Each stage takes (spark, docs, sf_dir) and returns the rows it keeps with the columns of documents; the last one
-returns what its files hold per document. Between stages the rows are written as Parquet and read again.
+returns what its files hold per document. Between stages the rows are written as Parquet and read again; a stage begins with
+emptying the folders that earlier ones left (:func:`release`), except what its input reads.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbflow.llm import bitplane, mixing, multi_order_join, phrase_index, string_kernel
-from kerbflow.llm.common import bounded_batches, stored, table
+from kerbflow.llm.common import bounded_batches, release, stored, table
+
+
+#: A text whose best decision value is below this has next to nothing in common with any language that was learned.
+LEAST_SCORE = 0.1
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, or the next one that no column has."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def columns(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told (no text or no letter) go; any learned language stays."""
+    """Documents go that have no text or no letter, and those that resemble no learned language (``LEAST_SCORE``).
+
+    Any learned language stays. Without a labelled row there is no model, and every document with a letter stays.
+    """
+    release(docs)
     bounded_batches(spark)
     model = string_kernel.train(docs)
-    told = docs.withColumn("_language", string_kernel.predict(F.col("text"), model)["lang_pred"])
-    return told.where(F.col("_language") != string_kernel.UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])
+    if model is None:
+        return docs.where(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
+    told = free_name(docs, "told")
+    rows = docs.withColumn(told, string_kernel.predict(F.col("text"), model))
+    known = (F.col(f"{told}.lang_pred") != string_kernel.UNKNOWN) & (F.col(f"{told}.score") >= LEAST_SCORE)
+    return rows.where(known).select(*columns(docs))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """The rows with a key ``_row`` of their own, written once so that it is the same in every later task."""
-    return stored(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed-rows")
+def keyed(docs: DataFrame, key: str) -> DataFrame:
+    """The rows with a key of their own, written once so that it is the same in every later task."""
+    return stored(docs.withColumn(key, F.monotonically_increasing_id()), "keyed-rows")
 
 
-def as_documents(rows: DataFrame) -> DataFrame:
+def as_documents(rows: DataFrame, key: str) -> DataFrame:
     """Each row as a document of its own, named by its key."""
-    return rows.select(F.col("_row").alias("doc_id"), "text")
+    return rows.select(F.col(key).alias("doc_id"), "text")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates one document stays: that with the smallest id, or without ids the first row.
+    """Of each group of near duplicates one row stays: that with the smallest id, rows without an id last; of equal ids one.
 
-    Rows that repeat an id with the same text are one document and stay or go together.
+    Rows are compared one by one, so that rows that share an id, or have none, may be in different groups.
     """
-    rows = keyed(docs)
-    groups = multi_order_join.near_duplicates(as_documents(rows)).select(F.col("doc_id").alias("_row"), "component_id")
-    member = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), F.sha2("text", 256).alias("digest"))
-    members = stored(rows.select("_row", member.alias("m")).join(groups, "_row"), "group-members")
-    # the smallest id first, then the first row with it
-    order = F.struct(F.col("m.nameless"), F.col("m.id"), F.col("_row"))
-    best = stored(members.groupBy("component_id").agg(F.count(F.lit(1)).alias("n"), F.min_by("m", order).alias("best"),
-                                                      F.min(order)["_row"].alias("first")).where("n > 1").drop("n"), "survivors")
-    stays = (F.col("_row") == F.col("first")) | (~F.col("m.nameless") & F.col("m").eqNullSafe(F.col("best")))
-    gone = stored(members.join(best, "component_id").where(~stays).select("_row"), "near-duplicate-rows")
-    return rows.join(gone, "_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    release(docs)
+    key = free_name(docs, "row")
+    rows = keyed(docs, key)
+    groups = multi_order_join.near_duplicates(as_documents(rows, key)).select(F.col("doc_id").alias(key), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), F.col(key).alias("key"))
+    # combined before the shuffle, so that a group may be any size
+    stays = groups.join(rows.select(key, "doc_id"), key).groupBy("component_id").agg(F.min(order)["key"].alias(key))
+    return rows.join(stored(stays.select(key), "survivors"), key, "left_semi").select(*columns(docs))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows with a window of a benchmark item go, whatever other rows have the same id or none."""
-    rows = keyed(docs)
-    found = phrase_index.decontaminate(as_documents(rows), table(spark, sf_dir, "benchmark"))
-    gone = stored(found.where("contaminated").select(F.col("doc_id").alias("_row")), "contaminated-rows")
-    return rows.join(gone, "_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    release(docs)
+    key = free_name(docs, "row")
+    rows = keyed(docs, key)
+    found = phrase_index.decontaminate(as_documents(rows, key), table(spark, sf_dir, "benchmark"))
+    gone = stored(found.where("contaminated").select(F.col("doc_id").alias(key)), "contaminated-rows")
+    return rows.join(gone, key, "left_anti").select(*columns(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Small sources are repeated, up to twice, towards 95 % of the largest entropy; no document is left out."""
+    release(docs)
     return mixing.apply(docs, entropy=0.95, repetitions=2.0)
 
 
 def write_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte planes of token ids; per document its place in the stream, as read back from the files."""
+    release(docs)
     return bitplane.read_documents(bitplane.write_planes(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2))
 
 
