@@ -1,6 +1,6 @@
 """Token ids as compressed bit or byte planes.
 
-Documents are range-partitioned by ``doc_id``, then text, so that rows without an id or with one id are split; each partition is a shard, whose documents are encoded in order and
+Documents are range-partitioned by ``doc_id``, then a hash of the text, so that rows without an id or with one id are split; each partition is a shard, whose documents are encoded in order and
 whose ids, each document followed by the end id, form one stream. The stream is cut into chunks of a fixed number of
 ids. Of a chunk the ids are transposed into planes (byte k, or bit k, of every id together) and each plane is
 compressed alone, so the planes of high bits, which are nearly constant, shrink to almost nothing.
@@ -10,7 +10,7 @@ and the slices ``doc_ids, seqs, firsts, totals, counts`` (whose documents the ch
 chunk index; reading the index alone skips the ``planes`` column. A document of any length is spread over as many chunks
 as it needs, and a reader needs one chunk at a time.
 
-Defined results: NULL text is empty (the end id alone); NULL ids come first; equal ids are ordered by text; an empty
+Defined results: NULL text is empty (the end id alone); NULL ids come first; equal ids are ordered by a hash of the text, then the text; an empty
 table gives an empty dataset. Other columns are not looked at.
 """
 
@@ -72,7 +72,7 @@ class WordEncoder:
     many of them in one call.
     """
 
-    def __init__(self, path: str, words: int = 200_000, pieces: int = 1_000_000):
+    def __init__(self, path: str, words: int = 500_000, pieces: int = 1_000_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -119,15 +119,12 @@ class WordEncoder:
 
     def __call__(self, text: str) -> bytes:
         words, known = text.encode("utf-8", "replace").split(), self.words
-        ids = list(map(known.get, words))
-        if None in ids:
-            missing = {w for w, x in zip(words, ids) if x is None}
+        if missing := set(words).difference(known):
             if len(known) + len(missing) > self.most_words:
                 known.clear()
                 missing = set(words)
             self.learn(list(missing))
-            ids = list(map(known.get, words))
-        return b"".join(ids)
+        return b"".join(map(known.__getitem__, words))
 
 
 def write_planes(docs: DataFrame, tokenizer: str, end_id: int, chunk_ids: int = 65_536, layout: str = "byte") -> DataFrame:
@@ -168,7 +165,7 @@ def write_planes(docs: DataFrame, tokenizer: str, end_id: int, chunk_ids: int =
             yield full()
 
     ordered = (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-               .repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text"))
+               .withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text"))
     return stored(ordered.mapInArrow(encode, CHUNKS), "id-planes")
 
 
