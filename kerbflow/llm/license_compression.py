@@ -156,16 +156,18 @@ class Scanner:
         saved = {name: 1 - len(c.compress(data)) / size for name, c in self.given.items()}
         return sorted(saved.items(), key=lambda x: (-x[1], x[0]))
 
-    def same_license(self, name: str, have: list[str], before: list[str]) -> bool:
+    def same_license(self, name: str, have: list[str], before: list[str], after: list[str]) -> bool:
         """Whether no difference between the template and the words of a span decides which license it is.
 
-        ``before``: the words that stand before the span, where a negation counts too.
+        ``before``: the words before the span, where a negation counts too; ``after``: the word behind it, which may be the
+        template's last one with another mark.
         """
         want = self.words[name]
         same = aligned(want, have)
         mine, theirs = {i for i, _ in same}, {j for _, j in same}
         lost = {w.strip(MARKS) for i, w in enumerate(want) if i not in mine}
         added = {w.strip(MARKS) for j, w in enumerate(have) if j not in theirs}
+        lost -= {w.strip(MARKS) for w in after}
         return not any(DECIDES.fullmatch(w) for w in lost ^ added) and not any(NEGATION.fullmatch(w) for w in before)
 
     def differences(self, name: str, block: str) -> tuple[int, int, str]:
@@ -231,7 +233,7 @@ class Scanner:
             have = [text[s:e].lower() for s, e in tokens[a:b]]
             for name, want in self.words.items():
                 for s, e in self.spans(name, have):
-                    if not self.same_license(name, have[s:e], have[max(s - 3, 0):s]):
+                    if not self.same_license(name, have[s:e], have[max(s - 3, 0):s], have[e:e + 1]):
                         continue
                     start, end = tokens[a + s][0], tokens[a + e - 1][1]
                     missing, extra, shown = self.differences(name, text[start:end])
