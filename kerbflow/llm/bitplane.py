@@ -72,7 +72,7 @@ class WordEncoder:
     many of them in one call.
     """
 
-    def __init__(self, path: str, words: int = 500_000, pieces: int = 1_000_000):
+    def __init__(self, path: str, words: int = 200_000, pieces: int = 1_000_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -119,12 +119,12 @@ class WordEncoder:
 
     def __call__(self, text: str) -> bytes:
         words, known = text.encode("utf-8", "replace").split(), self.words
-        if missing := set(words).difference(known):
+        if missing := [w for w in set(words) if w not in known]:
             if len(known) + len(missing) > self.most_words:
                 known.clear()
-                missing = set(words)
-            self.learn(list(missing))
-        return b"".join(map(known.__getitem__, words))
+                missing = list(set(words))
+            self.learn(missing)
+        return b"".join([known[w] for w in words])
 
 
 def write_planes(docs: DataFrame, tokenizer: str, end_id: int, chunk_ids: int = 65_536, layout: str = "byte") -> DataFrame:
