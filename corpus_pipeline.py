@@ -69,7 +69,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     order = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), F.col(key).alias("key"))
     # combined before the shuffle, so that a group may be any size
     stays = groups.join(rows.select(key, "doc_id"), key).groupBy("component_id").agg(F.min(order)["key"].alias(key))
-    return rows.join(stored(stays.select(key), "survivors"), key, "left_semi").select(*columns(docs))
+    kept = rows.join(stored(stays.select(key), "survivors"), key, "left_semi").select(*columns(docs))
+    release(kept)  # the sets and groups have done their work
+    return kept
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
