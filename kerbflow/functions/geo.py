@@ -1,18 +1,23 @@
-"""Great-circle distance and an exact grid-based nearest-neighbour join."""
+"""Great-circle distance, radius search and an exact nearest-neighbour join."""
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbflow.session import cut_lineage
-
 # The two earth radii in use (stop search / shape distances).
 RADIUS_STOP_SEARCH = 6371000.0
 RADIUS_SHAPE = 6371008.8
 
+# Cells of the nearest search: 45 degrees at the top, every level a sixteenth of the one above (the last one about 76 m).
+TOP_CELL = 45.0
+STEP_BITS = 4
+LEVELS = 5
+FIRST_BOUND = 2  # the first level (about 20 km) whose cells give a first bound
+SLACK = 1e-11  # degrees by which a cell counts as wider, far above rounding
+
 
 def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = RADIUS_STOP_SEARCH) -> Column:
     """Metres between two points. The search radius uses the atan2 form, the shape radius the asin form."""
@@ -64,6 +69,27 @@ def within_radius(points: DataFrame, targets: DataFrame, cell_size: float = 0.01
     )
 
 
+def _wrapped(lon: Column) -> Column:
+    """Longitude in [-180, 180)."""
+    return lon - F.floor((lon + 180) / 360) * 360
+
+
+def _least_distance(metric: str, lat: Column, lon: Column, y: Column, x: Column, size: float) -> Column:
+    """A distance that no target of the cell (y, x) falls below."""
+    south, west = y * size, x * size
+    d_lat = F.greatest(south - lat, lat - south - size, F.lit(0.0))
+    if metric != "haversine":
+        d_lon = F.greatest(west - lon, lon - west - size, F.lit(0.0))
+        d_lat, d_lon = F.greatest(d_lat - SLACK, F.lit(0.0)), F.greatest(d_lon - SLACK, F.lit(0.0))
+        return (d_lat * d_lat + d_lon * d_lon) * (1 - 1e-12)
+    east_of = F.pmod(_wrapped(lon) - west, F.lit(360.0))
+    d_lon = F.when(east_of <= size, 0.0).otherwise(F.least(east_of - size, 360.0 - east_of))
+    # the way to a meridian more than 90 degrees away is shortest over the pole
+    across = F.asin(F.cos(F.radians(lat)) * F.sin(F.radians(F.least(F.greatest(d_lon - SLACK, F.lit(0.0)), F.lit(90.0)))))
+    along = F.radians(F.greatest(d_lat - SLACK, F.lit(0.0)))
+    return F.greatest(along, across) * (RADIUS_STOP_SEARCH * (1 - 1e-9))
+
+
 def nearest(
     points: DataFrame,
     targets: DataFrame,
@@ -72,49 +98,93 @@ def nearest(
     keep: list[str],
     by: list[str] | None = None,
     metric: str = "haversine",
-    first_cell: float = 0.001,
 ) -> DataFrame:
     """Exact nearest target of every point, without comparing every pair.
 
-    ``points`` carries ``lat, lon`` and ``point_key``; ``targets`` carries ``t_lat, t_lon``,
-    ``target_order`` (tie order) and ``keep``; ``by`` lists columns both sides must share. A grid of cells
-    is searched in the 3 x 3 block around each point: a hit closer than anything outside the block can be
-    is final, the other points go on to a grid four times as coarse. Cells start small so that dense areas
-    are settled while a cell still holds few targets. Cells do not wrap: points and targets on the two sides of
-    longitude 180 do not see each other until the coarsest grid.
+    ``points`` carries ``lat, lon`` (degrees) and ``point_key``; ``targets`` carries ``t_lat, t_lon``, ``target_order`` (tie
+    order) and ``keep``; ``by`` lists columns both sides must share. ``metric`` is ``haversine`` (metres, wraps at
+    longitude 180) or ``degrees`` (squared degrees, does not wrap). Rows without a position take no part, and points
+    whose ``by`` has no target are left out.
+
+    Both sides are reduced to distinct coordinates, so a pile-up costs one search. Occupied cells of the targets form a
+    tree, 45 degrees at the top and sixteen by sixteen cells below each; every cell names one of its targets. A coordinate starts with
+    the targets named by its own small cells and goes down level by level with the cells that may still hold its nearest target: those no farther than the best named
+    target so far. A coordinate whose first bound is close skips the way down and takes the few small cells around it.
+    Only cells of the last level are searched target by target. Work follows the density around a point,
+    the number of steps is fixed, and no job runs while the plan is built.
     """
     by = by or []
+    group = by or ["_all"]
     lat, lon = F.col("lat"), F.col("lon")
+
+    def distance(t_lat: Column, t_lon: Column) -> Column:
+        if metric == "haversine":
+            return haversine_m(lat, lon, t_lat, t_lon)
+        return (t_lon - lon) * (t_lon - lon) + (t_lat - lat) * (t_lat - lat)
+
+    def placed(df: DataFrame, y: str, x: str) -> DataFrame:
+        kept = df.where(F.col(y).isNotNull() & F.col(x).isNotNull() & ~F.isnan(y) & ~F.isnan(x))
+        return kept if by else kept.withColumn("_all", F.lit(0))
+
+    def turned(c: Column) -> Column:
+        return _wrapped(c) if metric == "haversine" else c
+
+    finest = TOP_CELL / 2 ** (STEP_BITS * (LEVELS - 1))
+    east = turned(lon)
+    offered = list(dict.fromkeys(target_order + keep))
+    t_lat, t_lon = F.col("t_lat"), F.col("t_lon")
+    leaves = (
+        placed(targets, "t_lat", "t_lon").groupBy(*group, "t_lat", "t_lon")
+        .agg(F.min(F.struct(*offered)).alias("_offer"))
+        .withColumns({"_y": cell(t_lat, finest), "_x": cell(turned(t_lon), finest)})
+    )
+    # the occupied cells of every level, the finest last, each with one of its targets
+    cells = [leaves.groupBy(*group, "_y", "_x").agg(F.min(F.struct("t_lat", "t_lon")).alias("_t"))]
+    above = [F.shiftright(c, STEP_BITS).alias(c) for c in ("_y", "_x")]
+    for _ in range(LEVELS - 1):
+        cells.insert(0, cells[0].groupBy(*group, *above).agg(F.min("_t").alias("_t")))
+    asked = placed(points, "lat", "lon").select(*dict.fromkeys(group + point_key), "lat", "lon")
+    root = F.lit(0).cast("bigint")
+    # a first bound: the targets named by the small cells in which the coordinate itself lies
+    own = F.array(*[F.struct(F.lit(level).alias("_level"), *[
+        F.shiftright(cell(c, finest), STEP_BITS * (LEVELS - 1 - level)).alias(n) for n, c in (("_y", lat), ("_x", east))])
+        for level in range(FIRST_BOUND, LEVELS)])
+    named = reduce(DataFrame.unionByName, [
+        cells[level].select(*group, F.lit(level).alias("_level"), "_y", "_x", "_t.t_lat", "_t.t_lon")
+        for level in range(FIRST_BOUND, LEVELS)])
+    spots = asked.select(*group, "lat", "lon").distinct().select(*group, "lat", "lon", F.inline(own))
+    found = spots.join(named, [*group, "_level", "_y", "_x"], "left").groupBy(*group, "lat", "lon").agg(
+        F.coalesce(F.min(F.when(t_lat.isNotNull(), distance(t_lat, t_lon))), F.lit(float("inf"))).alias("_best"))
+    # a close bound leaves a few cells of the last level; the others go down the tree
     if metric == "haversine":
-        dist = haversine_m(lat, lon, F.col("t_lat"), F.col("t_lon"))
+        reach = F.degrees(F.col("_best") / RADIUS_STOP_SEARCH) * (1 + 1e-9) + SLACK
+        wide = reach / F.cos(F.radians(F.least(F.abs(lat) + reach, F.lit(89.0)))) * (1 + 1e-9)
     else:
-        dist = (F.col("t_lon") - lon) * (F.col("t_lon") - lon) + (F.col("t_lat") - lat) * (F.col("t_lat") - lat)
-    best = F.min(F.struct(dist.alias("d"), *[F.col(c) for c in dict.fromkeys(target_order + keep)])).alias("_hit")
-    columns = list(dict.fromkeys(by + point_key))
-    pending = points.where(lat.isNotNull() & lon.isNotNull()).select(*columns, "lat", "lon")
-    usable = targets.where(F.col("t_lat").isNotNull() & F.col("t_lon").isNotNull())
-    settled: DataFrame | None = None
-    size = first_cell
-    while True:
-        last = size >= 360  # the block then covers every coordinate
-        probes = (
-            pending.withColumn("_cy", F.explode(around(cell(lat, size))))
-            .withColumn("_cx", F.explode(around(cell(lon, size))))
-        )
-        placed = usable.withColumn("_cy", cell(F.col("t_lat"), size)).withColumn("_cx", cell(F.col("t_lon"), size))
-        hits = placed.join(probes, by + ["_cy", "_cx"]).groupBy(*columns, "lat", "lon").agg(best)
-        if metric == "haversine":
-            limit = RADIUS_STOP_SEARCH * F.asin(F.cos(F.radians(lat)) * math.sin(math.radians(min(size, 90.0))))
-        else:
-            limit = F.lit(size * size)
-        final = cut_lineage(hits if last else hits.where(F.col("_hit.d") <= limit))
-        settled = final if settled is None else settled.unionByName(final)
-        if last:
-            break
-        pending = cut_lineage(pending.join(final.select(*columns), columns, "left_anti"))
-        if pending.isEmpty():
-            break
-        size *= 4
-    return settled.select(
-        *columns, "lat", "lon", F.col("_hit.d").alias("distance"), *[F.col(f"_hit.{c}").alias(c) for c in keep]
+        reach = wide = F.sqrt("_best") * (1 + 1e-9) + SLACK
+    close = (wide <= 2 * finest) & (F.abs(lat) + reach < 89)
+    turn = int(180 / finest)
+    x = F.col("_x") if metric != "haversine" else F.pmod(F.col("_x") + turn, F.lit(2 * turn)) - turn
+    direct = (
+        found.where(close).withColumn("_y", F.explode(F.sequence(cell(lat - reach, finest), cell(lat + reach, finest))))
+        .withColumn("_x", F.explode(F.sequence(cell(east - wide, finest), cell(east + wide, finest))))
+        .select(*group, "lat", "lon", "_y", x.alias("_x"))
     )
+    found = found.where(~close).withColumns({"_y": root, "_x": root})
+    for level, occupied in enumerate(cells):
+        y, x = (above if level else [root.alias("_y"), root.alias("_x")])
+        below = occupied.select(*group, y, x, F.col("_y").alias("_cy"), F.col("_x").alias("_cx"), "_t.t_lat", "_t.t_lon")
+        if level == 0 and not by:
+            below = F.broadcast(below)  # at most 8 x 4 cells
+        open_cells = found.join(below, [*group, "_y", "_x"]).withColumn("_named", distance(t_lat, t_lon)).withColumn(
+            "_least", _least_distance(metric, lat, lon, F.col("_cy"), F.col("_cx"), TOP_CELL / 2 ** (STEP_BITS * level)))
+        per_point = open_cells.where(F.col("_least") <= F.col("_best")).groupBy(*group, "lat", "lon").agg(
+            F.min(F.least("_best", "_named")).alias("_best"), F.collect_list(F.struct("_least", "_cy", "_cx")).alias("_open"))
+        found = per_point.select(*group, "lat", "lon", "_best", F.explode("_open").alias("_c")).where(
+            F.col("_c._least") <= F.col("_best")).select(
+            *group, "lat", "lon", "_best", F.col("_c._cy").alias("_y"), F.col("_c._cx").alias("_x"))
+    hit = F.struct(distance(t_lat, t_lon).alias("d"), *[F.col(f"_offer.{c}").alias(c) for c in offered])
+    searched = direct.unionByName(found.drop("_best"))
+    hits = searched.join(leaves, [*group, "_y", "_x"]).groupBy(*group, "lat", "lon").agg(F.min(hit).alias("_hit"))
+    return asked.join(hits, [*group, "lat", "lon"]).select(
+        *dict.fromkeys(by + point_key), "lat", "lon", F.col("_hit.d").alias("distance"),
+        *[F.col(f"_hit.{c}").alias(c) for c in keep])
