@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 ROUTES = ["28", "1", "39", "66"]
 WINDOW = ("07:00", "09:00")
+BELLS = {"AM": WINDOW, "PM": ("14:00", "16:00"), "AS": ("16:00", "18:00")}
 SERVICE_DAY = "2024-01-10"
 SCHOOLS = [("s1", "First school", 42.3226, -71.0894, 1200.0), ("s2", "Second school", 42.31, -71.11, 800.0)]
 

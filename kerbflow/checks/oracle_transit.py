@@ -111,9 +111,11 @@ SELECT route_id, stop_id, direction_id, service_date, half_trip_id, time_point_o
        CASE WHEN scheduled_headway > 0 THEN scheduled_headway WHEN s_sec > ps THEN s_sec - ps ELSE 0 END AS scheduled_headway_sec
 FROM (SELECT *, CASE WHEN headway > 0 THEN headway WHEN a_sec > 0 AND pa2 > 0 AND a_sec > pa2 THEN a_sec - pa2 END AS ahw
       FROM strict_rows) WHERE ahw > 0""")
-cte("win", """
-SELECT * FROM records WHERE local_hour >= 7 AND local_hour < 9 AND prev_scheduled_sec > 0
-  AND prev_scheduled_sec / 3600 >= 7 AND prev_scheduled_sec / 3600 < 9""")
+cte("bells", "SELECT * FROM (VALUES ('AM', 7, 9), ('PM', 14, 16), ('AS', 16, 18)) b(time_window, lo, hi)")
+cte("win_bells", """
+SELECT r.*, time_window FROM records r JOIN bells ON local_hour >= lo AND local_hour < hi AND prev_scheduled_sec > 0
+  AND prev_scheduled_sec / 3600 >= lo AND prev_scheduled_sec / 3600 < hi""")
+cte("win", "SELECT * EXCLUDE (time_window) FROM win_bells WHERE time_window = 'AM'")
 
 
 def observed(name: str, src: str, keys: str) -> None:
@@ -130,8 +132,8 @@ FROM {src} JOIN (
   FROM {src} GROUP BY {keys}) USING ({keys}) GROUP BY {keys}""")
 
 
-observed("obs_stop", "win", "route_id, stop_id")
-observed("obs_route", "win", "route_id")
+observed("obs_stop", "win_bells", "time_window, route_id, stop_id")
+observed("obs_route", "win_bells", "time_window, route_id")
 cte("cells", """
 SELECT route_id, stop_id, service_date, count(*) FILTER (actual_sec - scheduled_sec BETWEEN -60 AND 300) AS on_time_count,
        count(*) AS total_trips,
@@ -177,10 +179,10 @@ cte("school_routes", """
 SELECT DISTINCT school_id, route_id, route_short_name, route_long_name
 FROM near JOIN route_stops USING (stop_id) JOIN routes USING (route_id) WHERE route_id NOT LIKE 'Shuttle%'""")
 cte("sched", """
-SELECT route_id, stop_id, median(gap) / 60 AS scheduled_median_min, count(*) AS trip_count
-FROM (SELECT route_id, stop_id, dep - lag(dep) OVER (PARTITION BY route_id, stop_id ORDER BY dep) AS gap
-      FROM stop_times JOIN trips USING (trip_id) JOIN active USING (service_id)
-      WHERE service_date = DATE '2024-01-10' AND dep BETWEEN 25200 AND 32400)
+SELECT time_window, route_id, stop_id, median(gap) / 60 AS scheduled_median_min, count(*) AS trip_count
+FROM (SELECT time_window, route_id, stop_id, dep - lag(dep) OVER (PARTITION BY time_window, route_id, stop_id ORDER BY dep) AS gap
+      FROM stop_times JOIN trips USING (trip_id) JOIN active USING (service_id) JOIN bells ON dep BETWEEN lo * 3600 AND hi * 3600
+      WHERE service_date = DATE '2024-01-10')
 GROUP BY ALL HAVING count(*) >= 2""")
 cte("majority", """
 SELECT route_id, direction_id, shape_id, count(*) AS n_trips FROM trips GROUP BY route_id, direction_id, shape_id
@@ -204,15 +206,15 @@ SELECT route_id, stop_id, row_number() OVER (PARTITION BY route_id ORDER BY c) -
       direction_id, m, stop_id) AS c FROM medseq JOIN heads USING (route_id, direction_id))
   QUALIFY row_number() OVER (PARTITION BY route_id, stop_id ORDER BY c) = 1)""")
 cte("merged", """
-SELECT n.school_id, 'AM' AS time_window, o.route_id, o.stop_id, n.stop_name, n.distance_m, r.route_short_name, r.route_long_name,
+SELECT n.school_id, o.time_window, o.route_id, o.stop_id, n.stop_name, n.distance_m, r.route_short_name, r.route_long_name,
        coalesce(s.scheduled_median_min, o.csv_scheduled_min, 0) AS effective_min, o.observed_median_min, o.p25_min, o.p75_min,
        o.bunching_rate, o.csv_scheduled_min,
        o.observed_median_min / nullif(coalesce(s.scheduled_median_min, o.csv_scheduled_min, 0), 0) AS ratio,
        CASE WHEN coalesce(s.scheduled_median_min, 0) <= 0 AND o.csv_scheduled_min > 0 THEN 'csv-scheduled' ELSE '' END AS flags
 FROM obs_stop o JOIN near n USING (stop_id) JOIN school_routes r ON r.school_id = n.school_id AND r.route_id = o.route_id
-LEFT JOIN sched s ON s.route_id = o.route_id AND s.stop_id = o.stop_id""")
+LEFT JOIN sched s ON s.time_window = o.time_window AND s.route_id = o.route_id AND s.stop_id = o.stop_id""")
 cte("card", """
-SELECT * FROM merged QUALIFY row_number() OVER (PARTITION BY school_id, route_id ORDER BY distance_m, stop_id) = 1""")
+SELECT * FROM merged QUALIFY row_number() OVER (PARTITION BY school_id, time_window, route_id ORDER BY distance_m, stop_id) = 1""")
 cte("overlay_base", """
 SELECT v.*, CAST(o AS INT) AS time_point_order, p.direction_id FROM (
   SELECT route_id, stop_id, coalesce(median(scheduled_headway_sec) FILTER (scheduled_headway_sec > 0), 0) / 60 AS scheduled_median_min,
@@ -294,11 +296,12 @@ add("g13_trip_summaries", "SELECT * FROM trips_done")
 add("g13_trip_series", "SELECT * FROM trips_strict")
 add("g16_observed_headways", "SELECT * FROM obs_stop")
 add("g16_observed_fallback", """
-SELECT p.route_id, p.stop_id, coalesce(s.n, r.n) AS n, coalesce(s.observed_median_min, r.observed_median_min) AS observed_median_min,
+SELECT p.time_window, p.route_id, p.stop_id, coalesce(s.n, r.n) AS n, coalesce(s.observed_median_min, r.observed_median_min) AS observed_median_min,
        coalesce(s.p25_min, r.p25_min) AS p25_min, coalesce(s.p75_min, r.p75_min) AS p75_min,
        coalesce(s.bunching_rate, r.bunching_rate) AS bunching_rate,
        CASE WHEN s.n IS NOT NULL THEN s.csv_scheduled_min ELSE r.csv_scheduled_min END AS csv_scheduled_min, s.n IS NULL AS is_route_level
-FROM route_stops p LEFT JOIN obs_stop s USING (route_id, stop_id) JOIN obs_route r ON r.route_id = p.route_id""")
+FROM (SELECT time_window, route_id, stop_id FROM route_stops, bells) p LEFT JOIN obs_stop s USING (time_window, route_id, stop_id)
+JOIN obs_route r ON r.route_id = p.route_id AND r.time_window = p.time_window""")
 add("g17_headway_grains", """
 SELECT route_id, stop_id, count(*) AS n, median(actual_headway_sec) AS median_actual_sec FROM records
 GROUP BY GROUPING SETS ((route_id, stop_id), (route_id))""")
@@ -357,7 +360,7 @@ add("s8_stop_names", "SELECT stop_id, coalesce(nullif(trim(stop_name), ''), stop
 add("g14_active_services", "SELECT * FROM active WHERE service_date IN (SELECT CAST(ts AS DATE) FROM events)")
 add("j6_trips_on", """
 SELECT service_date, trip_id, route_id FROM trips JOIN active USING (service_id) WHERE service_date = DATE '2024-01-15'""")
-add("g15_scheduled_headways", "SELECT DATE '2024-01-10' AS service_date, 'AM' AS time_window, * FROM sched")
+add("g15_scheduled_headways", "SELECT DATE '2024-01-10' AS service_date, * FROM sched")
 add("g25_majority_shape", "SELECT * FROM majority")
 add("g26_longest_trip_axis", "SELECT * FROM axis")
 add("g27_display_rank", "SELECT * FROM ranked_stops")
@@ -435,19 +438,20 @@ add("t2_scorecard_order", f"""
 SELECT {CARD}, row_number() OVER (PARTITION BY school_id, time_window ORDER BY ratio NULLS LAST, route_id) AS pos FROM card""")
 add("c9_routes_with_delay", "SELECT school_id, time_window, route_id, ratio FROM card WHERE ratio >= 1.2")
 add("j7_merge_headways", """
-SELECT p.route_id, p.stop_id, s.scheduled_median_min, o.observed_median_min, o.csv_scheduled_min,
+SELECT p.time_window, p.route_id, p.stop_id, s.scheduled_median_min, o.observed_median_min, o.csv_scheduled_min,
        coalesce(s.scheduled_median_min, o.csv_scheduled_min, 0) AS effective_min,
        o.observed_median_min / nullif(coalesce(s.scheduled_median_min, o.csv_scheduled_min, 0), 0) AS ratio,
        concat_ws(',', CASE WHEN coalesce(s.scheduled_median_min, 0) <= 0 AND o.csv_scheduled_min > 0 THEN 'csv-scheduled' END,
                  CASE WHEN o.n IS NULL THEN 'no-archived' END) AS flags
-FROM route_stops p LEFT JOIN sched s USING (route_id, stop_id) LEFT JOIN obs_stop o USING (route_id, stop_id)""")
+FROM (SELECT time_window, route_id, stop_id FROM route_stops, bells) p
+LEFT JOIN sched s USING (time_window, route_id, stop_id) LEFT JOIN obs_stop o USING (time_window, route_id, stop_id)""")
 cte("notes", """
 SELECT DISTINCT stop_id, route_id, CASE WHEN event_id % 2 = 0 THEN 'crowding' ELSE 'denied_boardings' END AS type
 FROM (SELECT *, 'S' || (user_id // 4) % 5 AS stop_id,
              CASE user_id % 4 WHEN 0 THEN '28' WHEN 1 THEN '1' WHEN 2 THEN '39' ELSE '66' END AS route_id FROM events)
 WHERE event_type = 'error' AND user_id % 3 = 0""")
 add("j8_with_crowding", """
-SELECT school_id, route_id, stop_id, ratio, coalesce(ratio >= 1.2, false) AS has_delay,
+SELECT school_id, time_window, route_id, stop_id, ratio, coalesce(ratio >= 1.2, false) AS has_delay,
        EXISTS (SELECT 1 FROM notes n WHERE n.stop_id = m.stop_id AND n.route_id = m.route_id AND n.type = 'crowding') AS has_crowding,
        EXISTS (SELECT 1 FROM notes n WHERE n.stop_id = m.stop_id AND n.route_id = m.route_id AND n.type = 'denied_boardings') AS has_denied_boardings
 FROM merged m""")

@@ -21,7 +21,8 @@ from kerbflow.sources import transit as src
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-AM = {"AM": ad.WINDOW}
+BELLS = ad.BELLS
+BY_BELL = ["time_window", "route_id", "stop_id"]
 OTHERS = ["1", "39", "66"]
 
 
@@ -57,6 +58,16 @@ def windowed(s, d):
     return a.headway_window(records(s, d), *ad.WINDOW)
 
 
+def by_bell(s, d):
+    return sc.windowed_records(records(s, d), BELLS)
+
+
+def bell_pairs(s, d):
+    """Every (route, stop) of the feed in every bell window."""
+    names = F.array(*[F.lit(name) for name in BELLS])
+    return g.route_stop_pairs(ad.gtfs(s, d)).withColumn("time_window", F.explode(names))
+
+
 def strict_points(s, d):
     """Time points with the strict clocks, one per order."""
     rows = (
@@ -138,12 +149,12 @@ QUERIES["g8_reliability_summary"] = lambda s, d: r.reliability_summary(daily(s,
 QUERIES["g9_trips_per_day"] = lambda s, d: r.trips_per_day(r.trip_summaries(a.dedupe_points(clean(s, d))))
 QUERIES["g13_trip_summaries"] = lambda s, d: r.trip_summaries(a.dedupe_points(clean(s, d)))
 QUERIES["g13_trip_series"] = lambda s, d: r.trip_summaries(strict_points(s, d))
-QUERIES["g16_observed_headways"] = lambda s, d: sc.observed_headways(windowed(s, d), ["route_id", "stop_id"])
+QUERIES["g16_observed_headways"] = lambda s, d: sc.observed_headways(by_bell(s, d), BY_BELL)
 
 
 @query("g16_observed_fallback")
 def _(s, d):
-    return sc.observed_with_fallback(windowed(s, d), g.route_stop_pairs(ad.gtfs(s, d)))
+    return sc.observed_with_fallback(by_bell(s, d), bell_pairs(s, d), ["time_window"])
 
 
 QUERIES["g17_headway_grains"] = lambda s, d: sc.headway_grains(records(s, d))
@@ -181,8 +192,7 @@ QUERIES["t1_arrivals_sorted"] = lambda s, d: clean(s, d).select(
 
 @query("t4_trip_series_order")
 def _(s, d):
-    w = Window.partitionBy("route_id").orderBy("service_date", "first_sched_sec", "half_trip_id", "direction_id")
-    return r.trip_summaries(strict_points(s, d)).withColumn("pos", F.row_number().over(w))
+    return r.trip_series_order(r.trip_summaries(strict_points(s, d)))
 
 
 @query("t5_drilldown_order")
@@ -231,7 +241,7 @@ def _(s, d):
 
 
 QUERIES["g15_scheduled_headways"] = lambda s, d: g.scheduled_headways(
-    ad.gtfs(s, d), active(s, d, one_day(s, ad.SERVICE_DAY)), AM)
+    ad.gtfs(s, d), active(s, d, one_day(s, ad.SERVICE_DAY)), BELLS)
 QUERIES["g25_majority_shape"] = lambda s, d: g.majority_shape(ad.gtfs(s, d)["trips"])
 QUERIES["g26_longest_trip_axis"] = lambda s, d: g.longest_trip_axis(ad.gtfs(s, d))
 QUERIES["g27_display_rank"] = lambda s, d: g.display_rank(ad.gtfs(s, d), "000003", "000007")
@@ -311,7 +321,7 @@ QUERIES["j15_validate_corridor"] = lambda s, d: g.validate_corridor(corridor(),
 
 
 def school_headways(s, d):
-    return sc.school_stop_headways(ad.schools(s), ad.gtfs(s, d), records(s, d), AM, ad.SERVICE_DAY)
+    return sc.school_stop_headways(ad.schools(s), ad.gtfs(s, d), records(s, d), BELLS, ad.SERVICE_DAY)
 
 
 QUERIES["c1_scorecard"] = lambda s, d: sc.scorecard_rows(school_headways(s, d))
@@ -331,10 +341,10 @@ QUERIES["c9_routes_with_delay"] = lambda s, d: sc.routes_with_delay(sc.scorecard
 @query("j7_merge_headways")
 def _(s, d):
     feed = ad.gtfs(s, d)
-    keys = ["route_id", "stop_id"]
-    scheduled = g.scheduled_headways(feed, active(s, d, one_day(s, ad.SERVICE_DAY)), AM)
-    merged = sc.merge_headways(g.route_stop_pairs(feed), scheduled, sc.observed_headways(windowed(s, d), keys), keys)
-    return merged.select(*keys, "scheduled_median_min", "observed_median_min", "csv_scheduled_min", "effective_min",
+    scheduled = g.scheduled_headways(feed, active(s, d, one_day(s, ad.SERVICE_DAY)), BELLS)
+    observed = sc.observed_headways(by_bell(s, d), BY_BELL)
+    merged = sc.merge_headways(bell_pairs(s, d), scheduled, observed, BY_BELL)
+    return merged.select(*BY_BELL, "scheduled_median_min", "observed_median_min", "csv_scheduled_min", "effective_min",
                          "ratio", "flags")
 
 
@@ -349,7 +359,7 @@ def notes(s, d):
 @query("j8_with_crowding")
 def _(s, d):
     return sc.stop_view(school_headways(s, d), notes(s, d)).select(
-        "school_id", "route_id", "stop_id", "ratio", "has_delay", "has_crowding", "has_denied_boardings")
+        "school_id", "time_window", "route_id", "stop_id", "ratio", "has_delay", "has_crowding", "has_denied_boardings")
 
 
 def overlay(s, d, day: DataFrame | None = None, route: str | None = None):

@@ -66,7 +66,13 @@ def bucketed_running(
 
 
 def bucketed_row_number(df: DataFrame, keys: list[str], bucket: Column, order: list[str], out: str) -> DataFrame:
-    """``row_number`` over ``keys`` ordered by ``order`` (``bucket`` must follow ``order``)."""
+    """``row_number`` over ``keys`` ordered by ``order`` (``bucket`` must follow ``order``).
+
+    Without keys all rows are numbered in one sequence. ``bucket`` is then a number, and the buckets are summed up in
+    blocks of 1024, so that one task sees a row per block only.
+    """
+    if not keys:
+        return _numbered(df, bucket, order, out)
     tagged = df.withColumn("_bucket", bucket)
     local = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     tagged = tagged.withColumn("_local", F.row_number().over(local))
@@ -79,6 +85,22 @@ def bucketed_row_number(df: DataFrame, keys: list[str], bucket: Column, order: l
     return joined.select(*df.columns, (F.col("_local") + F.col("_before")).cast("int").alias(out))
 
 
+def _numbered(df: DataFrame, bucket: Column, order: list[str], out: str) -> DataFrame:
+    tagged = df.withColumns({"_bucket": bucket, "_block": F.floor(bucket / 1024)})
+    tagged = tagged.withColumn("_local", F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)))
+    counts = tagged.groupBy("_block", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+
+    def earlier(window: Window, name: str) -> Column:
+        rows_before = window.rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("_n").over(rows_before), F.lit(0)).alias(name)
+
+    in_block = counts.select("_block", "_bucket", earlier(Window.partitionBy("_block").orderBy("_bucket"), "_inside"))
+    blocks = counts.groupBy("_block").agg(F.sum("_n").alias("_n")).select(
+        "_block", earlier(Window.orderBy("_block"), "_before"))
+    joined = tagged.join(in_block.join(blocks, "_block").drop("_block"), "_bucket")
+    return joined.select(*df.columns, (F.col("_local") + F.col("_inside") + F.col("_before")).cast("bigint").alias(out))
+
+
 def frequency_cube(rows: DataFrame, keys: list[str], values: dict[str, Column], base: dict[str, Column]) -> DataFrame:
     """How often each value stands in each group: ``keys``, kind, value, n.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kerbflow.functions import clock, text
 from kerbflow.functions import metrics as m
 from kerbflow.functions.metrics import floor_index
+from kerbflow.functions.skew import bucketed_lag
 from kerbflow.operators import arrivals as a
 from kerbflow.operators import gtfs as g
 
@@ -143,18 +144,20 @@ def _distance_at(points: DataFrame, time: str, step: int) -> DataFrame:
 def on_shape(df: DataFrame, shapes: DataFrame, dist: str, lon: str, lat: str, cell_m: float = 250.0) -> DataFrame:
     """Coordinates at a distance along a shape.
 
-    Segments are listed under each ``cell_m`` stretch they touch, so the range lookup is an equi-join on
-    (shape, stretch) followed by a filter.
+    Every vertex closes the segment from the vertex before it, found in buckets of 256 vertices; the first vertex of a
+    shape is a segment of no length that holds the distances up to 0. Segments are listed under each ``cell_m`` stretch
+    they touch, so the range lookup is an equi-join on (shape, stretch) followed by a filter.
     """
-    # stepping from vertex to vertex; a shape has one row per vertex
-    order = Window.partitionBy("shape_id").orderBy("shape_pt_sequence")
-    seg = shapes.withColumns({
-        "_e": F.lead("cum_dist_m").over(order), "_lon1": F.lead("shape_pt_lon").over(order),
-        "_lat1": F.lead("shape_pt_lat").over(order), "_head": F.row_number().over(order) == 1,
-    }).where(F.col("_e").isNotNull()).select(
-        "shape_id", F.col("cum_dist_m").alias("_s"), "_e", F.col("shape_pt_lon").alias("_lon0"),
-        F.col("shape_pt_lat").alias("_lat0"), "_lon1", "_lat1", "_head",
-        F.explode(F.sequence(F.floor(F.col("cum_dist_m") / cell_m), F.floor(F.col("_e") / cell_m))).alias("_cell"))
+    lagged = bucketed_lag(shapes, ["shape_id"], F.floor(F.col("shape_pt_sequence") / 256), ["shape_pt_sequence"],
+                          {"_s0": "cum_dist_m", "_plon": "shape_pt_lon", "_plat": "shape_pt_lat"})
+    head = ~F.col("_has_prev")
+    start = F.when(head, F.col("cum_dist_m")).otherwise(F.col("_s0"))
+    seg = lagged.select(
+        "shape_id", start.alias("_s"), F.col("cum_dist_m").alias("_e"),
+        F.when(head, F.col("shape_pt_lon")).otherwise(F.col("_plon")).alias("_lon0"),
+        F.when(head, F.col("shape_pt_lat")).otherwise(F.col("_plat")).alias("_lat0"),
+        F.col("shape_pt_lon").alias("_lon1"), F.col("shape_pt_lat").alias("_lat1"), head.alias("_head"),
+        F.explode(F.sequence(F.floor(start / cell_m), F.floor(F.col("cum_dist_m") / cell_m))).alias("_cell"))
     here = F.col(dist)
     hit = ((F.col("_s") < here) & (here <= F.col("_e"))) | (F.col("_head") & (here <= 0))
     located = df.withColumn("_cell", F.floor(F.greatest(here, F.lit(0.0)) / cell_m)).join(seg, ["shape_id", "_cell"])

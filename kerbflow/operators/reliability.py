@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbflow.functions import metrics as m
-from kerbflow.functions.skew import counted_below, cube_median, cube_values, frequency_cube
+from kerbflow.functions.skew import bucketed_row_number, counted_below, cube_median, cube_values, frequency_cube
 from kerbflow.operators.arrivals import STOP_DAY, TRIP_KEY, TRIP_ORDER, positive, quarter_hour, scheduled_gap
 
 SCHEDULED, GAP, ACTUAL = "scheduled", "gap", "actual"
@@ -177,6 +177,13 @@ def trip_summaries(points: DataFrame) -> DataFrame:
     return out
 
 
+def trip_series_order(trips: DataFrame) -> DataFrame:
+    """Position ``pos`` of each trip within its route by date and start; a route is numbered day by day."""
+    day = F.unix_date("service_date")
+    order = ["service_date", "first_sched_sec", "half_trip_id", "direction_id"]
+    return bucketed_row_number(trips, ["route_id"], day, order, "pos")
+
+
 def trips_per_day(trips: DataFrame) -> DataFrame:
     per_day = trips.groupBy("route_id", "service_date").count()
     return per_day.groupBy("route_id").agg(

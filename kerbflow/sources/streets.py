@@ -68,8 +68,8 @@ def photo_points(meta: DataFrame) -> DataFrame:
     ``meta`` has ``entry_no`` (position in the source) and the metadata fields. The number of photos before
     an entry comes from bucket counts, so no single task numbers the whole collection.
     """
-    located = meta.where(F.col("GPSLatitude").isNotNull() & F.col("GPSLongitude").isNotNull()).withColumn("_all", F.lit(0))
-    numbered = bucketed_row_number(located, ["_all"], F.floor(F.col("entry_no") / 1024), ["entry_no"], "_n")
+    located = meta.where(F.col("GPSLatitude").isNotNull() & F.col("GPSLongitude").isNotNull())
+    numbered = bucketed_row_number(located, [], F.floor(F.col("entry_no") / 1024), ["entry_no"], "_n")
     taken = F.coalesce("DateTimeOriginal", "CreateDate", F.lit(""))
     return numbered.select(
         (F.col("_n") - 1).alias("id"), F.col("GPSLongitude").cast("double").alias("lon"),

@@ -321,3 +321,39 @@ def test_scans_and_shuffles(spark, tmp_path):
         assert plan_counts(sc.observed_headways(windowed, ["route_id", "stop_id"])) == (1, 4)
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_numbering_without_keys_over_many_blocks(spark):
+    """One sequence over buckets of several blocks, with gaps and a full bucket."""
+    from kerbflow.functions.skew import bucketed_row_number
+
+    values = [*range(0, 500, 7), *range(900_000, 903_000), 5_000_000, 5_000_001]
+    rows = spark.createDataFrame([(v,) for v in values], "v bigint").repartition(7)
+    got = bucketed_row_number(rows, [], F.floor(F.col("v") / 64), ["v"], "n").collect()
+    assert {r.v: r.n for r in got} == {v: i + 1 for i, v in enumerate(values)}
+
+
+def test_place_on_a_shape_cut_into_buckets(spark):
+    """Segments across bucket borders, repeated vertices at the start, and a shape of a single vertex."""
+    line = [("a", i, float(i), 2.0 * i, 100.0 * max(i - 1, 0)) for i in range(600)] + [("b", 0, 7.0, 8.0, 0.0)]
+    shapes = spark.createDataFrame(
+        [(s, i, y, x, d) for s, i, y, x, d in line],
+        "shape_id string, shape_pt_sequence int, shape_pt_lat double, shape_pt_lon double, cum_dist_m double")
+    asked = [("a", 0.0), ("a", 25425.0), ("a", 25450.0), ("a", 25500.0), ("a", 59800.0), ("b", 0.0)]
+    got = ps.on_shape(spark.createDataFrame(asked, "shape_id string, d double"), shapes, "d", "lon", "lat").collect()
+    want = {("a", 0.0): (0.0, 0.0)}
+    want.update({("a", d): (2 * (1 + d / 100), 1 + d / 100) for s, d in asked[1:5]})
+    want["b", 0.0] = (8.0, 7.0)
+    assert len(got) == len(asked)
+    for r in got:
+        assert (r.lon, r.lat) == pytest.approx(want[r.shape_id, r.d])
+
+
+def test_trip_series_is_numbered_across_days(spark):
+    rows = [("r", f"2024-01-{day:02d}", f"h{(7 * k) % 5}", "Inbound", float(600 * (k % 3))) for day in (1, 2, 9) for k in range(5)]
+    trips = spark.createDataFrame(rows, "route_id string, d string, half_trip_id string, direction_id string, first_sched_sec double")
+    trips = trips.withColumn("service_date", F.col("d").cast("date"))
+    got = r.trip_series_order(trips).orderBy("pos").collect()
+    want = sorted(rows, key=lambda x: (x[1], x[4], x[2]))
+    assert [(r.d, r.half_trip_id) for r in got] == [(x[1], x[2]) for x in want]
+    assert [r.pos for r in got] == list(range(1, 16))
