@@ -251,9 +251,14 @@ add("s3_segmentize", """
 SELECT u, v, row_number() OVER (PARTITION BY u, v ORDER BY osmid, seq, back) - 1 AS key, osmid, oneway,
        2 * 6371008.8 * asin(sqrt(sin(radians(q.y - p.y) / 2) ** 2 + cos(radians(p.y)) * cos(radians(q.y)) * sin(radians(q.x - p.x) / 2) ** 2)) AS length
 FROM segs JOIN nodes p ON p.osmid = u JOIN nodes q ON q.osmid = v""".replace("osmid, oneway", "segs.osmid, oneway").replace("ORDER BY osmid", "ORDER BY segs.osmid"))
+cte("census_ways", """
+SELECT *, CASE WHEN way_id % 3 = 0 THEN 'sidewalk' END AS footway,
+  CASE WHEN way_id % 9 = 0 THEN 'yes' WHEN way_id % 9 = 3 THEN 'dismount' WHEN way_id % 4 = 1 THEN 'no' END AS bicycle FROM ways""")
 add("g1_tag_counts", """
-SELECT tag, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN highway IS NOT NULL THEN 'highway' END, CASE WHEN oneway_tag IS NOT NULL THEN 'oneway' END,
-  CASE WHEN access IS NOT NULL THEN 'access' END, CASE WHEN service IS NOT NULL THEN 'service' END], lambda x: x IS NOT NULL)) AS tag FROM ways) GROUP BY ALL""")
+SELECT tag, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN footway IS NOT NULL THEN 'footway' END, CASE WHEN bicycle IS NOT NULL THEN 'bicycle' END, CASE WHEN highway IS NOT NULL THEN 'highway' END, CASE WHEN oneway_tag IS NOT NULL THEN 'oneway' END,
+  CASE WHEN access IS NOT NULL THEN 'access' END, CASE WHEN service IS NOT NULL THEN 'service' END], lambda x: x IS NOT NULL)) AS tag FROM census_ways
+  WHERE (highway IS NOT NULL AND coalesce(footway, '') <> 'sidewalk' AND coalesce(service, '') <> 'parking_aisle')
+     OR (footway = 'sidewalk' AND bicycle NOT IN ('no', 'dismount'))) GROUP BY ALL""")
 
 # --- graph ---------------------------------------------------------------------------------------------------
 cte("street", """

@@ -193,8 +193,12 @@ QUALIFY row_number() OVER (PARTITION BY route_id ORDER BY count(*) DESC, trip_id
 cte("axis", """
 SELECT route_id, trip_id, stop_id, row_number() OVER (PARTITION BY route_id ORDER BY min(stop_sequence), stop_id) - 1 AS axis_rank
 FROM axis_trip JOIN stop_times USING (trip_id) GROUP BY route_id, trip_id, stop_id""")
+cte("pool", """
+SELECT route_id AS own, route_id AS pooled FROM routes
+UNION SELECT route_id, CASE WHEN route_id IN ('1', '39') THEN '28' WHEN route_id = '66' THEN 'SL' ELSE route_short_name END FROM routes""")
 cte("medseq", """
-SELECT route_id, direction_id, stop_id, median(stop_sequence) AS m FROM stop_times JOIN trips USING (trip_id) GROUP BY ALL""")
+SELECT pooled AS route_id, direction_id, stop_id, median(stop_sequence) AS m
+FROM stop_times JOIN trips USING (trip_id) JOIN pool ON own = route_id GROUP BY ALL""")
 cte("heads", """
 SELECT route_id, direction_id, stop_name AS head FROM medseq LEFT JOIN stops USING (stop_id)
 QUALIFY row_number() OVER (PARTITION BY route_id, direction_id ORDER BY m, stop_id) = 1""")

@@ -277,7 +277,18 @@ QUERIES["s2_street_filter"] = lambda s, d: st.tag_columns(
     st.street_filter(osm_ways(s, d)), ["highway", "service"]).select("way_id", "highway", "service")
 QUERIES["s3_segmentize"] = lambda s, d: st.segmentize(st.street_filter(osm_ways(s, d)), ad.nodes(s, d)).select(
     *ID, "osmid", "oneway", "length")
-QUERIES["g1_tag_counts"] = lambda s, d: st.tag_counts(osm_ways(s, d))
+
+
+@query("g1_tag_counts")
+def _(s, d):
+    # a third of the ways are sidewalks, with and without a word on cycling
+    k = F.col("way_id")
+    walk = F.map_filter(F.create_map(
+        F.lit("footway"), F.when(k % 3 == 0, "sidewalk"),
+        F.lit("bicycle"), F.when(k % 9 == 0, "yes").when(k % 9 == 3, "dismount").when(k % 4 == 1, "no")),
+        lambda _, v: v.isNotNull())
+    return st.tag_counts(st.census_filter(osm_ways(s, d).withColumn("tags", F.map_concat("tags", walk))))
+
 
 # --- graph -----------------------------------------------------------------------------------------------------
 
