@@ -381,8 +381,11 @@ add("w7_monotone_distance", "SELECT route_id, service_date, half_trip_id, time_p
 cte("tl_trips", """
 SELECT route_id, service_date, half_trip_id, direction_id, shape_id, count(*) AS n_points,
        list(scheduled_sec ORDER BY time_point_order)[1] AS first_sched_sec, list(scheduled_sec ORDER BY time_point_order)[-1] AS last_sched_sec,
-       min(actual_sec) AS first_actual_sec, max(actual_sec) AS last_actual_sec FROM tl_points GROUP BY ALL HAVING count(*) >= 2""")
-TRIPS = "route_id, service_date, half_trip_id, direction_id, shape_id, n_points, first_sched_sec, last_sched_sec, first_actual_sec, last_actual_sec"
+       min(actual_sec) AS first_actual_sec, max(actual_sec) AS last_actual_sec,
+       string_agg(concat_ws(':', time_point_order, stop_id, CAST(round(dist_m) AS BIGINT), CAST(round(scheduled_sec) AS BIGINT),
+         coalesce(CAST(CAST(round(actual_sec) AS BIGINT) AS VARCHAR), '-')), ',' ORDER BY time_point_order) AS frames
+FROM tl_points GROUP BY ALL HAVING count(*) >= 2""")
+TRIPS = "route_id, service_date, half_trip_id, direction_id, shape_id, n_points, first_sched_sec, last_sched_sec, first_actual_sec, last_actual_sec, frames"
 add("c5_trip_timelines", f"SELECT {TRIPS} FROM tl_trips")
 add("c5_timeline_summary", """
 SELECT o.route_id, o.service_date, o.n AS observed_trips, coalesce(t.n, 0) AS trips, coalesce(t.m, 0) AS matched_trips,
@@ -441,8 +444,12 @@ WINDOW w AS (PARTITION BY o.route_id, o.direction_id ORDER BY time_point_order,
 add("c6_route_segments", """
 SELECT route_id, direction_id, stop_id, CASE WHEN alone THEN 1 WHEN n < 2 AND pidx IS NOT NULL THEN n + 2 ELSE n END AS n_points,
        CASE WHEN ratio IS NULL THEN '#6b7280' WHEN ratio <= 1 THEN '#16a34a' WHEN ratio <= 1.2 THEN '#ca8a04' ELSE '#dc2626' END AS color,
-       round(CASE WHEN alone THEN lon WHEN n < 2 AND pidx IS NOT NULL THEN plon ELSE CAST(-71.1195 + coalesce(pidx, 0) * 0.002 AS DOUBLE) END, 6) AS first_lon
-FROM (SELECT *, abs(idx - coalesce(pidx, 0)) + 1 AS n, count(*) OVER (PARTITION BY route_id, direction_id) = 1 AS alone FROM seg_stops)""")
+       round(CASE WHEN alone THEN lon WHEN n < 2 AND pidx IS NOT NULL THEN plon ELSE CAST(-71.1195 + coalesce(pidx, 0) * 0.002 AS DOUBLE) END, 6) AS first_lon,
+       array_to_string(CASE WHEN alone THEN [own] WHEN n < 2 AND pidx IS NOT NULL THEN [before] || vertices || [own] ELSE vertices END, ',') AS line
+FROM (SELECT *, CAST(round(lon * 1000000) AS BIGINT) || ' ' || CAST(round(lat * 1000000) AS BIGINT) AS own,
+             CAST(round(plon * 1000000) AS BIGINT) || ' ' || CAST(round(plat * 1000000) AS BIGINT) AS before,
+             list_transform(CASE WHEN idx >= coalesce(pidx, 0) THEN range(coalesce(pidx, 0), idx + 1) ELSE range(pidx, idx - 1, -1) END,
+                            lambda i: (i * 2000 - 71119500) || ' ' || (i * 2000 + 42300500)) AS vertices, abs(idx - coalesce(pidx, 0)) + 1 AS n, count(*) OVER (PARTITION BY route_id, direction_id) = 1 AS alone FROM seg_stops)""")
 
 # --- written and read back -----------------------------------------------------------------------------------
 METRIC = "route_id, stop_id, direction_id, time_point_order, on_time_rate, bunching_rate, n_obs"

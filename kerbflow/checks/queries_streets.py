@@ -359,7 +359,18 @@ def trips(s, d) -> DataFrame:
 
 QUERIES["w5_dedupe_fill"] = lambda s, d: ps.observed_points(ad.arrivals(s, d))
 QUERIES["w7_monotone_distance"] = lambda s, d: timeline(s, d).select(*ps.TRIP, "time_point_order", "dist_m")
-QUERIES["c5_trip_timelines"] = lambda s, d: trips(s, d).drop("frames")
+
+
+@query("c5_trip_timelines")
+def _(s, d):
+    """Trips with their stop frames written out: order, stop, metres along the shape, both clocks."""
+    def whole(c):
+        return F.coalesce(F.round(c).cast("bigint").cast("string"), F.lit("-"))
+
+    frame = lambda f: F.concat_ws(":", f["time_point_order"], f["stop_id"], whole(f["dist_m"]), whole(f["scheduled_sec"]), whole(f["actual_sec"]))
+    return trips(s, d).withColumn("frames", F.array_join(F.transform("frames", frame), ","))
+
+
 QUERIES["c5_timeline_summary"] = lambda s, d: ps.timeline_summary(ps.observed_points(ad.arrivals(s, d)), trips(s, d))
 QUERIES["t7_navigation_order"] = lambda s, d: ps.navigation_order(trips(s, d)).select(*ps.TRIP, "pos")
 QUERIES["g31_trip_lateness"] = lambda s, d: ps.trip_lateness(timeline(s, d))
@@ -382,5 +393,8 @@ def _(s, d):
 def _(s, d):
     feed = ad.gtfs(s, d)
     lines = ps.route_segments(qt.overlay(s, d), feed["trips"], feed["shapes"], feed["stops"])
+    micro = lambda c: F.round(c * 1_000_000).cast("bigint").cast("string")
+    line = F.transform("coordinates", lambda p: F.concat_ws(" ", micro(p["lon"]), micro(p["lat"])))
     return lines.select("route_id", "direction_id", "stop_id", F.size("coordinates").alias("n_points"), "color",
+                        F.array_join(line, ",").alias("line"),
                         F.round(F.col("coordinates")[0]["lon"], 6).alias("first_lon"))
