@@ -196,43 +196,6 @@ def test_nearest_against_brute_force(spark):
     assert {x.point_id: x.distance for x in got.collect()} == pytest.approx(want)
 
 
-def test_nearest_at_edges_and_in_piles(spark):
-    """Date line, poles, clusters, ties and many rows on one coordinate; no job while the plan is built."""
-    import random
-
-    from kerbflow.functions import geo
-
-    rng = random.Random(5)
-    spots = [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(60)]
-    spots += [(10 + rng.random() / 1000, 179.999 + rng.random() / 1000) for _ in range(40)]
-    spots += [(89.9, 0.0), (-89.9, 170.0), (42.0, -71.0), (42.0, -71.0), (0.0, 1.0), (0.0, -1.0), (5.0, 180.0)]
-    targets = [(i, a, b) for i, (a, b) in enumerate(spots)]
-    asked = [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(40)]
-    asked += [(10.0, -179.9999), (89.95, 180.0), (-90.0, 0.0), (0.0, 0.0), (5.0, -180.0), *[(42.001, -71.0)] * 300]
-    points = [(i, a, b) for i, (a, b) in enumerate(asked)]
-    p = spark.createDataFrame([*points, (-1, None, 1.0)], "point_id int, lat double, lon double")
-    t = spark.createDataFrame([*targets, (-1, 1.0, None)], "n int, t_lat double, t_lon double")
-    tracker = spark.sparkContext.statusTracker()
-    before = len(tracker.getJobIdsForGroup(None))
-    plans = {metric: geo.nearest(p, t, ["point_id"], ["n"], ["n"], metric=metric) for metric in ("haversine", "degrees")}
-    assert len(tracker.getJobIdsForGroup(None)) == before
-
-    from math import asin, cos, radians, sin, sqrt
-
-    def metres(a, b):
-        h = sin(radians(b[1] - a[1]) / 2) ** 2 + cos(radians(a[1])) * cos(radians(b[1])) * sin(radians(b[2] - a[2]) / 2) ** 2
-        return 2 * 6371000 * asin(min(1.0, sqrt(h)))
-
-    far = {"haversine": metres, "degrees": lambda a, b: (b[2] - a[2]) * (b[2] - a[2]) + (b[1] - a[1]) * (b[1] - a[1])}
-    for metric, plan in plans.items():
-        got = {r.point_id: r for r in plan.collect()}
-        assert sorted(got) == [i for i, *_ in points]
-        want = {x[0]: min(far[metric](x, y) for y in targets) for x in points}
-        assert {i: r.distance for i, r in got.items()} == pytest.approx(want, abs=1e-6)
-        assert got[44].n == 106 or metric == "degrees"
-        assert got[43].n == 104 and got[45].n == 102  # the first of equals
-
-
 def test_only_largest_part_of_each_level(spark):
     roads = spark.createDataFrame([(1, 2, 100.0, 1), (2, 3, 100.0, 1), (8, 9, 100.0, 1), (3, 8, 100.0, 3)],
                                   "u bigint, v bigint, length double, LTS int")
