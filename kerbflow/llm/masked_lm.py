@@ -37,7 +37,7 @@ from kerbflow.llm.common import ascii_lower, bounded_batches, stored
 WORDS, BUCKETS, GROUP, WIDTH, SIDE = 960, 63, 32, 24, 2
 EDGE = WORDS + BUCKETS  # stands before the first and after the last word
 SIZE = 1024
-STRETCH, CHUNK = 16_384, 4096
+STRETCH, BLOCK, CHUNK = 16_384, 4096, 4096
 GAP = r"[\x20\x09-\x0D]+"
 
 
@@ -56,8 +56,10 @@ def split(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split()
 
 
-def encode(text: str, known: dict[bytes, int]) -> np.ndarray:
-    return np.array([i if (i := known.get(w)) is not None else WORDS + zlib.crc32(w) % BUCKETS for w in split(text)], dtype=np.int64)
+def encode(text: str | list[bytes], known: dict[bytes, int]) -> np.ndarray:
+    """Numbers of the words of a text, or of a list of words: its own in the vocabulary, else that of its bucket."""
+    words = split(text) if isinstance(text, str) else text
+    return np.array([i if (i := known.get(w)) is not None else WORDS + zlib.crc32(w) % BUCKETS for w in words], dtype=np.int64)
 
 
 def masks(text: str, places: np.ndarray, turn: int, mask: int) -> np.ndarray:
@@ -103,58 +105,76 @@ class Network:
         return np.stack([padded[at + SIDE + d] for d in (*range(-SIDE, 0), *range(1, SIDE + 1))])
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
-        return np.tanh(sum(self.place[k][c] for k, c in enumerate(context)) + self.bias)
+        total = self.bias + self.place[0].take(context[0], axis=0)
+        for k, c in enumerate(context[1:], 1):
+            total += self.place[k].take(c, axis=0)
+        return np.tanh(total, out=total)
+
+    def inner(self, h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """Second level for rows sorted by their group ``g``: one column of logits per row, and (group, from, to)."""
+        cuts = np.searchsorted(g, np.arange(SIZE // GROUP + 1))
+        runs = [(k, *cuts[k:k + 2].tolist()) for k in np.flatnonzero(np.diff(cuts)).tolist()]
+        out = np.empty((len(h), GROUP), np.float32)
+        for k, lo, hi in runs:
+            np.matmul(h[lo:hi], self.word[k], out=out[lo:hi])
+        return out.T + self.word_bias.T.take(g, axis=1), runs
 
     def log_probs(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Log-probability of each target in its context."""
-        h = self.hidden(context)
         out = np.empty(len(target), np.float32)
-        level = h @ self.group + self.group_bias
-        g = target // GROUP
-        out[:] = level[np.arange(len(g)), g] - _log_sum(level)
-        order = np.argsort(g, kind="stable")
-        cuts = np.searchsorted(g[order], np.arange(SIZE // GROUP + 1))
-        for k in np.flatnonzero(np.diff(cuts)):
-            rows = order[cuts[k]:cuts[k + 1]]
-            inner = h[rows] @ self.word[k] + self.word_bias[k]
-            out[rows] += inner[np.arange(len(rows)), target[rows] % GROUP] - _log_sum(inner)
+        for lo in range(0, len(target), BLOCK):
+            some = target[lo:lo + BLOCK]
+            order, g = _by_group(some)
+            h, row = self.hidden(context[:, lo:lo + BLOCK][:, order]), np.arange(len(some))
+            level = self.group.T @ h.T + self.group_bias[:, None]
+            inner, _ = self.inner(h, g)
+            out[lo + order] = level[g, row] - _log_sum(level) + inner[some[order] % GROUP, row] - _log_sum(inner)
         return out
 
     def step(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
         """One gradient step on a batch of masked words."""
+        order, g = _by_group(target)
+        context, target, n, row = context[:, order], target[order], len(order), np.arange(len(order))
         h = self.hidden(context)
-        n, g = len(target), target // GROUP
-        level = _softmax(h @ self.group + self.group_bias)
-        level[np.arange(n), g] -= 1
-        back = level @ self.group.T
-        group, group_bias = h.T @ level, level.sum(0)
-        order = np.argsort(g, kind="stable")
-        cuts = np.searchsorted(g[order], np.arange(SIZE // GROUP + 1))
-        for k in np.flatnonzero(np.diff(cuts)):
-            rows = order[cuts[k]:cuts[k + 1]]
-            inner = _softmax(h[rows] @ self.word[k] + self.word_bias[k])
-            inner[np.arange(len(rows)), target[rows] % GROUP] -= 1
-            back[rows] += inner @ self.word[k].T
-            self.word[k] -= rate / n * (h[rows].T @ inner)
-            self.word_bias[k] -= rate / n * inner.sum(0)
-        self.group -= rate / n * group
-        self.group_bias -= rate / n * group_bias
-        back *= (1 - h * h) * (rate / n)
-        self.bias -= back.sum(0)
-        for k, c in enumerate(context):
-            order = np.argsort(c, kind="stable")
-            first = np.flatnonzero(np.diff(c[order], prepend=-1))
-            self.place[k][c[order[first]]] -= np.add.reduceat(back[order], first)
+        level = _softmax(self.group.T @ h.T + self.group_bias[:, None])
+        level[g, row] -= 1
+        inner, runs = self.inner(h, g)
+        inner = _softmax(inner)
+        inner[target % GROUP, row] -= 1
+        back, rows = level.T @ self.group.T, np.ascontiguousarray(inner.T)
+        for k, lo, hi in runs:
+            back[lo:hi] += rows[lo:hi] @ self.word[k].T
+            self.word[k] -= rate / n * (h[lo:hi].T @ rows[lo:hi])
+        self.word_bias[[k for k, _, _ in runs]] -= rate / n * np.add.reduceat(inner, [lo for _, lo, _ in runs], axis=1).T
+        self.group -= rate / n * (level @ h).T
+        self.group_bias -= rate / n * level.sum(1)
+        back = np.ascontiguousarray((back * ((1 - h * h) * (rate / n))).T)
+        self.bias -= back.sum(1)
+        # every embedding is moved by the sum over the rows that it stands in, one width after the other
+        at = (context + SIZE * np.arange(2 * SIDE)[:, None]).ravel()
+        moved = [np.bincount(at, np.tile(b, 2 * SIDE), 2 * SIDE * SIZE) for b in back]
+        self.place -= np.stack(moved, axis=1).reshape(self.place.shape)
+
+
+def _by_group(target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the targets by group, and the sorted groups. Small integers are sorted in linear time."""
+    g = (target // GROUP).astype(np.int16)
+    order = np.argsort(g, kind="stable")
+    return order, g[order]
 
 
 def _log_sum(x: np.ndarray) -> np.ndarray:
-    top = x.max(axis=1)
-    return top + np.log(np.exp(x - top[:, None]).sum(axis=1))
+    """Logarithm of the sum of exponentials of every column."""
+    top = x.max(axis=0)
+    return top + np.log(np.exp(x - top).sum(axis=0))
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=1, keepdims=True))
-    return x / x.sum(axis=1, keepdims=True)
+    """Shares of the classes (rows) in every column."""
+    x = x - x.max(axis=0)
+    np.exp(x, out=x)
+    x /= x.sum(axis=0)
+    return x
 
 
 def train(docs: DataFrame, rounds: int = 2, mask: int = 8, batch: int = 2048, rate: float = 1.0,
@@ -174,7 +194,7 @@ def train(docs: DataFrame, rounds: int = 2, mask: int = 8, batch: int = 2048, ra
 
             def take() -> None:
                 context, target, hidden = (np.concatenate(x, axis=-1) for x in zip(*held))
-                order = np.argsort(hidden, kind="stable")
+                order = np.argsort(hidden.astype(np.int16), kind="stable")
                 for some in np.array_split(order, -(-len(order) // batch)):
                     net.step(context[:, some], target[some], rate)
 
@@ -230,7 +250,12 @@ def score(docs: DataFrame, known: dict[str, int], weights: np.ndarray, counts: D
     def total(texts):
         net = Network.start().load(weights)
         for series in texts:
-            ids = [encode(t, numbers) for t in series]
+            ids, rare = [], []
+            for text in series:
+                words = split(text)
+                x = encode(words, numbers)
+                ids.append(x)
+                rare.append(np.array([xxhash.xxh64_intdigest(words[k], 42) for k in np.flatnonzero(x >= WORDS).tolist()], np.uint64).view(np.int64))
             n = np.array([len(x) for x in ids])
             sums = np.array([base[x].sum() for x in ids])
             held, size = [], 0
@@ -252,8 +277,6 @@ def score(docs: DataFrame, known: dict[str, int], weights: np.ndarray, counts: D
                         held, size = [], 0
             if held:
                 flush()
-            rare = [np.array([xxhash.xxh64_intdigest(w, seed=42) for w, i in zip(split(t), x.tolist()) if i >= WORDS], np.uint64).view(np.int64)
-                    for t, x in zip(series, ids)]
             yield pd.DataFrame({"n_tokens": n, "log_prob": sums, "rare": rare})
 
     total.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
