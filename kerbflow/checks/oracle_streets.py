@@ -236,6 +236,8 @@ SELECT w.*, {case_of('way_id % 7', ['primary', 'residential', 'motorway', 'steps
        CASE way_id % 6 WHEN 4 THEN 'parking_aisle' WHEN 5 THEN 'alley' END AS service
 FROM (SELECT way_id, list(node ORDER BY seq) AS nodes FROM way_nodes GROUP BY ALL) w""")
 add("s1_osm_ways", "SELECT way_id, len(nodes) AS n_nodes, highway FROM ways")
+add("s1_osm_split", """SELECT way_id, len(nodes) AS n_nodes, nodes[-1] AS last_node, highway, CASE WHEN way_id % 5 = 1 THEN 'way' END AS kind,
+CASE WHEN way_id % 7 = 2 THEN 'type' END AS note FROM ways""")
 cte("streets", """
 SELECT * FROM ways WHERE highway IS NOT NULL AND highway NOT IN ('motorway', 'steps') AND coalesce(access, '') <> 'private'
   AND coalesce(service, '') <> 'parking_aisle'""")

@@ -251,15 +251,16 @@ def _(s, d):
 
 # --- raw map documents -----------------------------------------------------------------------------------------
 
-def osm_ways(s, d) -> DataFrame:
-    """Write the lines of every order as a way document per order, then read them back."""
+def osm_documents(s, d, more_tags: dict | None = None) -> str:
+    """Write the lines of every order as a way, 500 numbers a document; returns the folder."""
     path = work_path(s, "osm")
     way = F.col("l_orderkey")
     tags = F.map_filter(F.create_map(
         F.lit("highway"), ad.pick(["primary", "residential", "motorway", "steps", "service", "footway", None], way % 7),
         F.lit("oneway"), F.when(way % 4 == 0, "yes").when(way % 4 == 1, "-1"),
         F.lit("access"), F.when(way % 5 == 0, "private"),
-        F.lit("service"), F.when(way % 6 == 4, "parking_aisle").when(way % 6 == 5, "alley")),
+        F.lit("service"), F.when(way % 6 == 4, "parking_aisle").when(way % 6 == 5, "alley"),
+        *[c for k, v in (more_tags or {}).items() for c in (F.lit(k), v)]),
         lambda k, v: v.isNotNull())
     nodes = F.transform(F.array_sort(F.collect_list(F.struct("seq", "l_partkey"))), lambda x: x["l_partkey"])
     ways = ad.numbered_lines(s, d).groupBy("l_orderkey").agg(nodes.alias("nodes"))
@@ -268,7 +269,22 @@ def osm_ways(s, d) -> DataFrame:
     docs = ways.select(F.floor(way / 500).alias("doc"), element.alias("e")).groupBy("doc").agg(
         F.collect_list("e").alias("elements")).select("elements")
     docs.write.json(path)
-    return src.read_osm_ways(s, path, multi_line=False)
+    return path
+
+
+def osm_ways(s, d) -> DataFrame:
+    return src.read_osm_ways(s, osm_documents(s, d), multi_line=False)
+
+
+@query("s1_osm_split")
+def _(s, d):
+    # one way in five has "type" among its tags, some as a key, some as a value
+    way = F.col("l_orderkey")
+    path = osm_documents(s, d, {"type": F.when(way % 5 == 1, "way"), "note": F.when(way % 7 == 2, "type")})
+    tag = lambda name: F.try_element_at("tags", F.lit(name))
+    return src.read_osm_ways(s, path).select(
+        "way_id", F.size("nodes").alias("n_nodes"), F.element_at("nodes", -1).alias("last_node"), tag("highway").alias("highway"),
+        tag("type").alias("kind"), tag("note").alias("note"))
 
 
 QUERIES["s1_osm_ways"] = lambda s, d: osm_ways(s, d).select(

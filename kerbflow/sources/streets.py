@@ -6,27 +6,71 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kerbflow.functions.skew import bucketed_row_number
+from kerbflow.functions.skew import bucketed_row_number, bucketed_running
 from kerbflow.operators.streets import edge_schema
 
 OSM_ELEMENT = "elements array<struct<type: string, id: bigint, nodes: array<bigint>, lat: double, lon: double, tags: map<string, string>>>"
 NODE_SCHEMA = "osmid bigint, x double, y double, street_count int, highway string, ref string"
 
 
+ELEMENT = "id bigint, nodes array<bigint>, lat double, lon double, tags map<string, string>"
+#: what follows the key "type" of an element, where ids are numbers; tags are texts and members have a "ref"
+ELEMENT_START = r'^\s*:\s*"(node|way|relation)"\s*,\s*"id"\s*:\s*-?[0-9]'
+
+
 def read_osm_elements(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Elements of map documents: one document per file, or one per line with ``multi_line=False``."""
     docs = spark.read.schema(OSM_ELEMENT).json(path, multiLine=multi_line)
     return docs.select(F.explode("elements").alias("e")).select("e.*")
 
 
-def read_osm_ways(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Ways of map documents with their tags; give a folder of documents to read them in parallel."""
-    return read_osm_elements(spark, path, multi_line).where(F.col("type") == "way").select(
+def read_osm_split(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """Elements of one kind (``way`` or ``node``) of map documents of any size and line layout, each file read by many tasks.
+
+    The files are cut before the value of every key or text "type", which stands first in an element and before its numeric
+    id, as map services write it; a document laid out otherwise raises an error. Nothing else is cut but
+    a text that ends in a quote mark and "type". Nearly every piece then is an element, with the beginning of the next one behind it, which
+    the JSON parser does not look at. Only elements that have "type" among their tags come in several pieces; those pieces alone are
+    shuffled, numbered by file, block and place, and put together.
+    """
+    begin = F.regexp_extract("value", ELEMENT_START, 1)
+    pieces = spark.read.text(path, lineSep='"type"').select(
+        F.when(F.col("value").rlike(r'"elements"\s*:\s*\[') & ~F.col("value").rlike(r'"elements"\s*:\s*\[\s*(\{\s*$|\])'),
+               F.raise_error(F.lit("an element does not begin with its type: read this document with multi_line=True")))
+        .otherwise(F.col("value")).alias("value"),
+        F.nullif(begin, F.lit("")).alias("kind"), F.col("value").rlike(r"([,:]|:\s*\{)\s*$|\\$").alias("cut"),
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("place"))
+    own = F.col("kind") == kind
+    whole = pieces.where(own & ~F.col("cut")).select("value")
+    # what is left: elements that go on in the next piece, relations, and all pieces that begin no element
+    parts = pieces.where(F.col("kind").isNull() | (F.col("kind") == "relation") | F.col("cut"))
+    parts = parts.withColumn("_start", F.when(F.col("kind").isNotNull(), F.struct("block", "place", "kind")))
+    parts = bucketed_running(parts, ["file"], F.struct("block", F.floor(F.col("place") / 4096).alias("_some")), ["block", "place"],
+                             "_start", "_of", "max").where(F.col("_of.kind") == kind)
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("block", "place", "value"))), lambda x: x["value"])
+    joined = parts.groupBy("file", "_of").agg(F.array_join(texts, '"type"').alias("value")).select("value")
+    element = F.from_json(F.concat(F.lit('{"type"'), F.col("value")), ELEMENT)
+    return whole.unionByName(joined).select(element.alias("e")).select("e.*").where(F.col("id").isNotNull())
+
+
+def _elements(spark: SparkSession, path: str, kind: str, multi_line: bool | None) -> DataFrame:
+    if multi_line is None:
+        return read_osm_split(spark, path, kind)
+    return read_osm_elements(spark, path, multi_line).where(F.col("type") == kind)
+
+
+def read_osm_ways(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
+    """Ways of map documents with their tags, also of one large document in parallel.
+
+    ``multi_line`` reads documents whole: one per file, or one per line with ``False``.
+    """
+    return _elements(spark, path, "way", multi_line).select(
         F.col("id").alias("way_id"), "nodes", F.coalesce("tags", F.create_map().cast("map<string,string>")).alias("tags"))
 
 
-def read_osm_nodes(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    return read_osm_elements(spark, path, multi_line).where(F.col("type") == "node").select(
+def read_osm_nodes(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
+    return _elements(spark, path, "node", multi_line).select(
         F.col("id").alias("osmid"), F.col("lon").alias("x"), F.col("lat").alias("y"),
         F.try_element_at("tags", F.lit("highway")).alias("highway"))
 

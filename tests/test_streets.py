@@ -1,5 +1,8 @@
 """Hand-computed cases for the street operators."""
 
+import json
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,6 +148,48 @@ def test_filter_on_a_rated_edge_stays_small(spark):
     assert len(plan) < 400_000
 
 
+@pytest.mark.parametrize("indent", [None, 1])
+def test_large_documents_are_split(spark, tmp_path, indent):
+    """Element by element, over many small blocks, as the whole documents."""
+    def way(i):
+        tags = {"a": ['say "type"', 'say "type', "type"][i % 5 % 3], "type": ["way", "type", "}, {"][i % 3], "b": "type", "id": "5", "c": "[{"} if i % 3 else {"highway": "x,"}
+        return {"type": "way", "id": i, "nodes": list(range(i % 50)), **({"tags": tags} if i % 4 else {})}
+
+    def relation(i):
+        return {"type": "relation", "id": i, "members": [{"type": "way", "ref": k, "role": "type"} for k in range(30)], "tags": {"type": "route"}}
+
+    def node(i):
+        return {"type": "node", "id": i, "lat": 42 + i / 1000, "lon": -71.0, **({"tags": {"type": "b", "highway": "stop"}} if i % 5 == 0 else {})}
+
+    for part, lo in enumerate((0, 400, 800)):
+        elements = [f(i) for i in range(lo, lo + 200) for f in (node, way, relation, way)]
+        (tmp_path / f"{part}.json").write_text(json.dumps({"version": 0.6, "elements": elements}, indent=indent))
+    (tmp_path / "none.json").write_text(json.dumps({"version": 0.6, "elements": []}, indent=indent))
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        rows = lambda df: Counter(map(repr, df.collect()))
+        for read in (src.read_osm_ways, src.read_osm_nodes):
+            ordered = lambda m: read(spark, str(tmp_path), m).select("*") if read is src.read_osm_nodes else read(spark, str(tmp_path), m).withColumn(
+                "tags", F.array_sort(F.map_entries("tags")))
+            want = rows(ordered(True))
+            assert rows(ordered(None)) == want and sum(want.values()) == (600 if read is src.read_osm_nodes else 1200)
+        assert spark.read.text(str(tmp_path), lineSep='"type"').rdd.getNumPartitions() > 10
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", kept[1])
+
+
+def test_documents_laid_out_otherwise_are_refused(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"elements": [{"id": 1, "type": "way", "nodes": [1, 2]}]}')
+    assert src.read_osm_ways(spark, str(tmp_path), multi_line=True).count() == 1
+    with pytest.raises(Exception, match="multi_line=True"):
+        src.read_osm_ways(spark, str(tmp_path)).collect()
+    (tmp_path / "a.json").write_text("")
+    assert src.read_osm_ways(spark, str(tmp_path)).collect() == []
+
+
 def test_street_filter_and_segments(spark, tmp_path):
     doc = tmp_path / "osm.json"
     doc.write_text("""{"elements": [
