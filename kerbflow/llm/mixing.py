@@ -12,7 +12,8 @@ two levels) and within a block, never over a source.
 
 Defined results: a document's tokens are its words between ASCII white space, one at least, so empty and NULL texts stay
 in. NULL is a source of its own. Rows that repeat doc_id, source and text are one unit, taken together; rows that share
-a doc_id only are told apart by their text. Ties of the permutation go by doc_id. An empty table gives an empty mixture.
+a doc_id only are told apart by their text. Documents are dealt into blocks by a hash of doc_id; rows without an id, and
+those of an id that has several texts with more tokens than a block, by a hash of the row. Ties of the permutation go by doc_id. An empty table gives an empty mixture.
 """
 
 from __future__ import annotations
@@ -115,8 +116,12 @@ def mixture(docs: DataFrame, entropy: float = 0.95, repetitions: float = 4.0, bu
         "s", F.col("tokens").alias("all"), "weight", "quota", F.ceil(F.col("tokens") / block_tokens).alias("blocks"))
     plan = stored(plan, "source-plan")
     # the plan's few columns reach the rows by a join that adaptive execution can split where a source is large
-    dealt = rows.join(plan.select("s", "blocks"), "s").withColumn(
-        "block", F.pmod(order_key(F.col("doc_id")), F.col("blocks"))).drop("blocks")
+    many = rows.where("doc_id IS NOT NULL").groupBy("s", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t")).where(
+        (F.col("n") > 1) & (F.col("t") > block_tokens)).select("s", "doc_id", F.lit(True).alias("_by_row"))
+    by_row = F.col("doc_id").isNull() | F.coalesce("_by_row", F.lit(False))
+    name = F.when(by_row, F.col("key").cast("string")).otherwise(F.col("doc_id").cast("string"))
+    dealt = rows.join(plan.select("s", "blocks"), "s").join(many, ["s", "doc_id"], "left").withColumn(
+        "block", F.pmod(order_key(name), F.col("blocks"))).drop("blocks", "_by_row")
     dealt = stored(dealt, "dealt")
     passes = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.ceil(F.col("quota") / F.col("all")) - 1, F.lit(0).cast("bigint")))
     blocks = (dealt.groupBy("s", "block").agg(F.sum("tokens").alias("size")).join(plan, "s")

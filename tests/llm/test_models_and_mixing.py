@@ -133,6 +133,21 @@ def test_mixture(spark, entropy, repetitions, budget):
         assert mixing.apply(df, entropy=entropy, repetitions=repetitions).columns == df.columns
 
 
+def test_mixture_deals_hot_ids_by_row(spark):
+    """Half of the rows without an id, a quarter with one id: no block is much larger than the others."""
+    rng = random.Random(4)
+    rows = [(None if i % 2 else 7 if i % 4 else i, f"{i} " + prose(rng, 5), "one") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = mixing.mixture(df, repetitions=1.0, block_tokens=500).collect()
+    assert Counter((r.doc_id, r.tokens) for r in got) == Counter((i, len(t.split())) for i, t, _ in rows)
+    sizes = Counter()
+    for r in got:
+        sizes[r.block] += r.tokens
+    assert len(sizes) > 20 and max(sizes.values()) < 2 * sorted(sizes.values())[len(sizes) // 2]
+    starts = sorted((r.start, r.tokens) for r in got)
+    assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))
+
+
 def test_mixture_empty(nothing):
     assert mixing.mixture(nothing).count() == 0 and mixing.apply(nothing).count() == 0
 
