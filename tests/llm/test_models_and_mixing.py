@@ -268,3 +268,26 @@ def test_gradient():
     before = net.log_probs(context, target).mean()
     net.step(context, target, 0.05)
     assert net.log_probs(context, target).mean() > before
+
+
+def test_gradient_in_numbers():
+    """The largest slopes of every part equal differences of the loss, and the probabilities of all words add up to 1."""
+    rng = np.random.default_rng(5)
+    net = masked_lm.Network.start()
+    context, target = rng.integers(0, masked_lm.SIZE, (4, 60)), np.minimum(rng.zipf(1.4, 60), masked_lm.SIZE) - 1
+    context[:, ::3] = 11  # an embedding that stands in many rows and at all places
+    for _ in range(3):
+        net.step(context, target, 1.0)
+    every = masked_lm.Network.start().load(net.flat())
+    assert np.isclose(np.exp(every.log_probs(np.repeat(context[:, :1], masked_lm.SIZE, axis=1), np.arange(masked_lm.SIZE))).sum(), 1, atol=1e-4)
+    moved = masked_lm.Network.start().load(net.flat())
+    moved.step(context, target, 1.0)
+    for part, (a, b) in enumerate(zip(net.parts(), moved.parts())):
+        slope = (a - b).ravel()
+        for k in np.argsort(-np.abs(slope))[:4]:
+            loss = []
+            for by in (0.02, -0.02):
+                other = masked_lm.Network.start().load(net.flat())
+                other.parts()[part].ravel()[k] += by
+                loss.append(-other.log_probs(context, target).mean(dtype=float))
+            assert math.isclose((loss[0] - loss[1]) / 0.04, slope[k], rel_tol=0.03, abs_tol=1e-4), (part, k)
