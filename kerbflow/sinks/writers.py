@@ -40,6 +40,11 @@ def to_geojson(features: DataFrame, geometry: str = "geometry") -> DataFrame:
         {"ignoreNullFields": "false"}).alias("value"))
 
 
+def write_geojson(features: DataFrame, path: str) -> None:
+    """GeoJSON lines in gzip files: every feature spells out all field names, so they shrink to a small part."""
+    to_geojson(features).write.text(path, compression="gzip")
+
+
 def stop_metric_documents(overall: DataFrame, hourly: DataFrame) -> DataFrame:
     """One document per route: ``overall`` list and ``byHour`` map of lists."""
     item = F.struct("stop_id", "direction_id", "time_point_order", "on_time_rate", "bunching_rate", "n_obs")

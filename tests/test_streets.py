@@ -12,6 +12,7 @@ from kerbflow.operators import stress
 from kerbflow.plans import edge_stress as es
 from kerbflow.rules import street_rules as sr
 from kerbflow.rules.conditions import compile_condition, tag
+from kerbflow.sinks import writers
 from kerbflow.sources import streets as src
 
 TAGS = ["highway", "bicycle", "access", "footway", "service", "lanes", "maxspeed", "width", "cycleway", "cycleway:both",
@@ -367,3 +368,14 @@ def test_network_keeps_the_largest_part_and_calm_nodes(spark):
     got = {(x.level, x.u, x.v) for x in gr.isochrone_network(edges_, nodes).collect()}
     # level 1: 1 (unrated) and 6 go; {2, 3} and {4, 5} and {8, 9} tie, the smallest id wins; the piece from 20 left with the base
     assert got == {(1, 2, 3)} | {(k, u, v) for k in (2, 3, 4) for u, v, lts in roads if lts and u < 9 and u != 1}
+
+
+def test_features_are_written_packed(spark, tmp_path):
+    features = spark.range(3000).select(F.col("id").alias("osmid"), F.lit("residential").alias("highway"), (F.col("id") % 4 + 1).cast("int").alias("LTS"))
+    table = writers.feature_table(features)
+    writers.write_geojson(table, str(tmp_path / "features"))
+    files = list((tmp_path / "features").glob("part-*"))
+    assert all(f.name.endswith(".gz") for f in files)
+    plain = writers.to_geojson(table)
+    assert sum(f.stat().st_size for f in files) * 10 < plain.agg(F.sum(F.octet_length("value"))).first()[0]
+    assert sorted(spark.read.text(str(tmp_path / "features")).collect()) == sorted(plain.collect())
