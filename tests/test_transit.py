@@ -357,3 +357,13 @@ def test_trip_series_is_numbered_across_days(spark):
     want = sorted(rows, key=lambda x: (x[1], x[4], x[2]))
     assert [(r.d, r.half_trip_id) for r in got] == [(x[1], x[2]) for x in want]
     assert [r.pos for r in got] == list(range(1, 16))
+
+
+def test_clocks_are_read_once_and_arrivals_in_one_pass(spark, feed, tmp_path):
+    arrivals = hot_arrivals(spark, tmp_path / "arrivals")
+    observed = ps.observed_points(arrivals)
+    plan = observed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") == 6  # hour, minute and second of two clocks
+    assert observed.count() and not ps.timeline_points(arrivals, feed).inputFiles()
+    kept = ps.placed_points(observed, feed)
+    assert kept.collect() == ps.timeline_points(arrivals, feed).collect() and not kept.inputFiles()
