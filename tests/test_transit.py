@@ -367,3 +367,17 @@ def test_clocks_are_read_once_and_arrivals_in_one_pass(spark, feed, tmp_path):
     assert observed.count() and not ps.timeline_points(arrivals, feed).inputFiles()
     kept = ps.placed_points(observed, feed)
     assert kept.collect() == ps.timeline_points(arrivals, feed).collect() and not kept.inputFiles()
+
+
+def test_positions_read_the_shapes_once(spark, tmp_path):
+    rows = [("a", i, 42.0, -71.0 + i * 0.001, 100.0 * i) for i in range(5)]
+    spark.createDataFrame(rows, "shape_id string, shape_pt_sequence int, shape_pt_lat double, shape_pt_lon double, cum_dist_m double").write.parquet(
+        str(tmp_path / "shapes"))
+    points = spark.createDataFrame(
+        [("28", DAY, "H1", 1, "S1", 0.0, 0.0, 0.0, "Inbound", "a"), ("28", DAY, "H1", 2, "S2", 400.0, 400.0, None, "Inbound", "a")],
+        "route_id string, service_date date, half_trip_id string, time_point_order int, stop_id string, dist_m double, scheduled_sec double, "
+        "actual_sec double, direction_id string, shape_id string")
+    got = ps.positions_at(points, ps.trip_timelines(points), spark.read.parquet(str(tmp_path / "shapes")), 200)
+    assert not got.inputFiles()
+    assert {r.t: (round(r.sched_lon, 6), round(r.actual_lon, 6)) for r in got.collect()} == {
+        0: (-71.0, -71.0), 200: (-70.998, -71.0), 400: (-70.996, -71.0)}
