@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -260,9 +261,7 @@ def isochrone(edges: DataFrame, origins: DataFrame, budget: float) -> DataFrame:
             step = front.withColumnsRenamed({"node": "u", "minutes": "spent"}).join(roads, ["level", "u"]).select(
                 "level", "origin", F.col("v").alias("node"), (F.col("spent") + F.col("minutes")).alias("minutes")).where(F.col("minutes") <= budget)
             step = step.groupBy(*keys).agg(F.min("minutes").alias("minutes"))
-            known = spark.table(name).groupBy(*keys).agg(F.min("minutes").alias("known"))
-            front = cut_lineage(step.join(known, keys, "left").where(
-                F.col("known").isNull() | (F.col("minutes") < F.col("known"))).select(*keys, "minutes"))
+            front = cut_lineage(improving(step, spark.table(name), keys))
             # the table has changed; its next reader must list the files anew
             spark.catalog.refreshTable(name)
         reached = spark.table(name) if spark.catalog.tableExists(name) else front
@@ -274,6 +273,18 @@ def isochrone(edges: DataFrame, origins: DataFrame, budget: float) -> DataFrame:
     return reached.unionByName(chains.groupBy(*keys).agg(F.min("minutes").alias("minutes")))
 
 
+def improving(step: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``step`` (``minutes`` and one row per ``keys``) that beat every row of ``table`` with the same keys.
+
+    Most of the table is of no concern to a step, above all in the late rounds. So it is only passed by: each task holds the step's
+    rows of its own bucket and keeps what they don't beat; neither an aggregate nor a sort sees the others.
+    """
+    new = step.select(*[F.col(c).alias(f"_{c}") for c in keys], F.col("minutes").alias("_minutes")).hint("shuffle_hash")
+    same = reduce(lambda x, y: x & y, [F.col(c) == F.col(f"_{c}") for c in keys])
+    unbeaten = table.join(new, same & (F.col("minutes") <= F.col("_minutes")), "left_semi").select(*keys)
+    return step.join(unbeaten, keys, "left_anti").select(*keys, "minutes")
+
+
 def lowest_level(reached: DataFrame) -> DataFrame:
     """Each reached node with the lowest stress level that reaches it."""
     return reached.groupBy("origin", "node").agg(F.min("level").alias("level"))

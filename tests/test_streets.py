@@ -379,3 +379,20 @@ def test_features_are_written_packed(spark, tmp_path):
     plain = writers.to_geojson(table)
     assert sum(f.stat().st_size for f in files) * 10 < plain.agg(F.sum(F.octet_length("value"))).first()[0]
     assert sorted(spark.read.text(str(tmp_path / "features")).collect()) == sorted(plain.collect())
+
+
+def test_a_step_passes_by_the_rows_it_does_not_meet(spark, tmp_path):
+    keys = ["level", "origin", "node"]
+    rows = [(1, 0, n, float(n % 7 + k)) for n in range(300) for k in range(2)]
+    schema = "level int, origin bigint, node bigint, minutes double"
+    spark.createDataFrame(rows, schema).write.bucketBy(4, *keys).option("path", str(tmp_path / "state")).saveAsTable("step_state")
+    try:
+        table = spark.table("step_state")
+        step = spark.createDataFrame([(1, 0, 7, 0.0), (1, 0, 8, 0.5), (1, 0, 9, 2.5), (1, 0, 999, 4.0), (2, 0, 8, 9.0)], schema)
+        found = gr.improving(step, table, keys)
+        assert {(r.level, r.node) for r in found.collect()} == {(1, 8), (1, 999), (2, 8)}
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        state = plan[plan.index("ShuffledHashJoin"):plan.index("step_state")]
+        assert not any(step in state for step in ("Aggregate", "Sort ", "hashpartitioning"))
+    finally:
+        spark.sql("DROP TABLE step_state")
