@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbflow.llm import bitplane, mixing, multi_order_join, phrase_index, string_kernel
-from kerbflow.llm.common import bounded_batches, release, stored, table
+from kerbflow.llm.common import bounded_batches, keyed, picked, release, stored, table
 
 
 #: A text whose best decision value is below this has next to nothing in common with any language that was learned.
@@ -47,11 +47,6 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return rows.where(known).select(*columns(docs))
 
 
-def keyed(docs: DataFrame, key: str) -> DataFrame:
-    """The rows with a key of their own, written once so that it is the same in every later task."""
-    return stored(docs.withColumn(key, F.monotonically_increasing_id()), "keyed-rows")
-
-
 def as_documents(rows: DataFrame, key: str) -> DataFrame:
     """Each row as a document of its own, named by its key."""
     return rows.select(F.col(key).alias("doc_id"), "text")
@@ -63,13 +58,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows are compared one by one, so that rows that share an id, or have none, may be in different groups.
     """
     release(docs)
-    key = free_name(docs, "row")
-    rows = keyed(docs, key)
+    key, block = free_name(docs, "row"), free_name(docs, "row_block")
+    rows = keyed(docs, key, block, "keyed-rows")
     groups = multi_order_join.near_duplicates(as_documents(rows, key)).select(F.col("doc_id").alias(key), "component_id")
     order = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), F.col(key).alias("key"))
     # combined before the shuffle, so that a group may be any size
     stays = groups.join(rows.select(key, "doc_id"), key).groupBy("component_id").agg(F.min(order)["key"].alias(key))
-    kept = rows.join(stored(stays.select(key), "survivors"), key, "left_semi").select(*columns(docs))
+    kept = picked(rows, key, block, stored(stays.select(key), "survivors")).select(*columns(docs))
     release(kept)  # the sets and groups have done their work
     return kept
 
@@ -77,11 +72,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows with a window of a benchmark item go, whatever other rows have the same id or none."""
     release(docs)
-    key = free_name(docs, "row")
-    rows = keyed(docs, key)
+    key, block = free_name(docs, "row"), free_name(docs, "row_block")
+    rows = keyed(docs, key, block, "keyed-rows")
     found = phrase_index.decontaminate(as_documents(rows, key), table(spark, sf_dir, "benchmark"))
     gone = stored(found.where("contaminated").select(F.col("doc_id").alias(key)), "contaminated-rows")
-    return rows.join(gone, key, "left_anti").select(*columns(docs))
+    return picked(rows, key, block, gone, there=False).select(*columns(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

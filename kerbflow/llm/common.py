@@ -34,6 +34,34 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_by(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Like ``stored``, bucketed by ``key``: grouping or joining by it later leaves the rows where they lie."""
+    spark, path = df.sparkSession, work_path(df.sparkSession, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, key).option("path", path).saveAsTable(table)
+    WRITTEN.append((path, table))
+    return spark.table(table)
+
+
+def keyed(rows: DataFrame, key: str, block: str, name: str) -> DataFrame:
+    """The rows with a key of their own and its block, written once so that both are the same in every later task."""
+    numbered = rows.withColumn(key, F.monotonically_increasing_id())
+    return stored_by(numbered.withColumn(block, F.shiftright(key, 15)), block, name)
+
+
+def picked(rows: DataFrame, key: str, block: str, keys: DataFrame, there: bool = True) -> DataFrame:
+    """The rows of :func:`keyed` whose key is, or is not, in ``keys``; ``key`` and ``block`` are dropped.
+
+    A block's keys become a bitmap of 4 KB, and only bitmaps are shuffled: the rows lie bucketed by block, whatever their size.
+    """
+    bits, place = f"{block}_bits", F.col(key).bitwiseAND(F.lit(32767))
+    maps = keys.select(F.shiftright(key, 15).alias(block), place.alias(bits)).groupBy(block).agg(F.bitmap_construct_agg(bits).alias(bits))
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.shiftright(place, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.coalesce(F.getbit(byte, place % 8), F.lit(0)) == 1
+    return rows.join(maps.hint("shuffle_hash"), block, "left").where(bit if there else ~bit).drop(key, block, bits)
+
+
 def release(inputs: DataFrame) -> None:
     """Empty the folders of all earlier steps but those that ``inputs`` reads.
 

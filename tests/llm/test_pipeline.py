@@ -8,6 +8,7 @@ import pytest
 
 import corpus_pipeline
 from kerbflow.llm import bitplane, phrase_index
+from kerbflow.llm.common import keyed, picked
 
 from .conftest import prose
 from .test_similarity import expected_components, expected_hits
@@ -104,3 +105,26 @@ def test_folders_are_emptied(spark, docs):
     common.release(second)
     assert second.count() == n and len(common.WRITTEN) == 1
     assert spark.read.schema("x int").parquet(path).count() == 0 and len(glob.glob(path + "/*.parquet")) <= 1
+
+
+def test_texts_stay_where_they_lie(spark, sf_dir):
+    """Rows are picked by bitmaps of keys, so that no text is shuffled, however many keys there are."""
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for stage in (corpus_pipeline.drop_near_duplicates, corpus_pipeline.decontaminate):
+            kept = stage(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
+            shuffles = [x for x in kept._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x]
+            assert len(shuffles) == 1 and "hashpartitioning(row_block" in shuffles[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_picked_rows(spark):
+    rows = keyed(spark.range(70_000).coalesce(1).withColumnRenamed("id", "n"), "k", "b", "picked-test")
+    some = {0, 1, 7, 8, 9, 32_767, 32_768, 65_535, 65_536, 69_999}
+    keys = spark.createDataFrame([(x,) for x in [*some, 7]], "k bigint")
+    assert {r.n for r in picked(rows, "k", "b", keys).collect()} == some
+    rest = picked(rows, "k", "b", keys, there=False)
+    assert rest.columns == ["n"] and {r.n for r in rest.collect()} == set(range(70_000)) - some
+    assert picked(rows, "k", "b", keys.limit(0)).isEmpty() and picked(rows, "k", "b", keys.limit(0), there=False).count() == 70_000
