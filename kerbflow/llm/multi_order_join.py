@@ -14,7 +14,7 @@
 4. *Candidates and verification.* Candidates share a prefix shingle in the first order, at places that leave enough
    shingles for a link, and must also share one in every other order before their whole sets are compared. Pairs are not listed within a shingle's group. In a first step each
    document meets one pivot, the most central document of its groups; then pairs are listed only between documents of
-   one group that are not yet known to be connected. Rounds of new pivots go on while those are many; in the end every
+   one group that are not yet known to be connected. Rounds of new pivots go on while those are many and a round makes them fewer; in the end every
    pair that shares a prefix shingle is connected, or was compared, or fails a filter. No cap, nothing is dropped.
 
 Equal sets are one document in steps 4, under their smallest id; so a group of exact copies costs one row each.
@@ -39,9 +39,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbflow.llm.common import LOWER, UPPER, WRITTEN, bounded_batches, stored, worker_state
-from kerbflow.operators.graph import components
-from kerbflow.session import work_path
+from kerbflow.llm.common import LOWER, UPPER, bounded_batches, keyed, picked, stored, stored_by, worker_state
+from kerbflow.operators.graph import linked_components
 
 PERCENT = 75
 WORDS = 5
@@ -127,16 +126,6 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return stored_by(rows, "src", "shingle-sets")
 
 
-def stored_by(df: DataFrame, key: str, name: str) -> DataFrame:
-    """Like ``stored``, bucketed by ``key``: grouping by it later leaves the rows where they lie."""
-    spark, path = df.sparkSession, work_path(df.sparkSession, name)
-    table = path.rsplit("/", 1)[1].replace("-", "_")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(buckets, key).option("path", path).saveAsTable(table)
-    WRITTEN.append((path, table))
-    return spark.table(table)
-
-
 def shared_shingles(sets: DataFrame, bits: int) -> DataFrame:
     """Per block, which of its shingle prefixes (``bits`` + 24 bits) two or more documents have.
 
@@ -186,11 +175,14 @@ def shared_shingles(sets: DataFrame, bits: int) -> DataFrame:
     return asked.groupBy("part").applyInPandas(answer, "src bigint, part bigint, tail binary, df binary")
 
 
-LINKABLE = "doc_id bigint, n bigint, shared bigint, sig binary, central double, tokens binary, p1 array<bigint>, p2 array<bigint>, p3 array<bigint>"
+LINKABLE = "doc_id bigint, n bigint, shared bigint, sig binary, central double, tokens binary, p1 array<bigint>, p2 array<int>, p3 array<int>"
 
 
 def linkable(sets: DataFrame, shared: DataFrame, bits: int) -> DataFrame:
-    """Documents with enough shared shingles, their sets, and their prefix shingles under each order."""
+    """Documents with enough shared shingles, their sets, and their prefix shingles under each order; ``row`` and ``block`` name the row.
+
+    Of the last two orders only 32 bits of a shingle are kept: a chance match there costs a comparison.
+    """
     drop = np.uint64(8 * WIDTH - bits - 24)
     names = [c.split()[0] for c in LINKABLE.split(", ")]
 
@@ -212,10 +204,11 @@ def linkable(sets: DataFrame, shared: DataFrame, bits: int) -> DataFrame:
                     df, own = count[at[hit]], tokens[hit]
                     first = own[np.lexsort((own, df))[:keep]]
                     rest = [own[np.argsort(mixed(own, k), kind="stable")[:keep]] for k in (2, 3)]
-                    out.append((doc_id, n, held, sig, float(df.sum()) / n, data, *[p.astype(np.int64) for p in (first, *rest)]))
+                    out.append((doc_id, n, held, sig, float(df.sum()) / n, data, first.astype(np.int64), *[p.astype(np.uint32).view(np.int32) for p in rest]))
         return pd.DataFrame(out, columns=names)
 
-    return stored(sets.groupBy("src").cogroup(shared.groupBy("src")).applyInPandas(choose, LINKABLE), "linkable")
+    rows = sets.groupBy("src").cogroup(shared.groupBy("src")).applyInPandas(choose, LINKABLE)
+    return keyed(rows, "row", "block", "linkable")
 
 
 def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -241,15 +234,20 @@ def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
             .where(similar("xtokens", "ytokens")).select("a", "b"))
 
 
-def relabelled(label: DataFrame, links: DataFrame) -> DataFrame:
-    """``label`` (doc_id, component) after ``links`` (a, b) have connected its components."""
+def relabelled(label: DataFrame, links: DataFrame, own_names: bool = False) -> DataFrame:
+    """``label`` (doc_id, component) after ``links`` (a, b) have connected its components.
+
+    With ``own_names`` every document still is a component of its own, so the links need no look-up.
+    """
     own = label.select("doc_id", "component")
-    ends = links.join(own.toDF("a", "u"), "a").join(own.toDF("b", "v"), "b").where("u <> v").select("u", "v").distinct()
-    ends = stored(ends, "component-links")
-    if ends.isEmpty():
+    if own_names:
+        ends = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    else:
+        ends = links.join(own.toDF("a", "u"), "a").join(own.toDF("b", "v"), "b").where("u <> v").select("u", "v")
+    roots = linked_components(ends)
+    if roots is None:
         return label
-    nodes = ends.select(F.col("u").alias("osmid")).unionAll(ends.select(F.col("v").alias("osmid")))
-    roots = components(nodes, ends).toDF("component", "root")
+    roots = roots.toDF("component", "root")
     return stored(own.join(roots, "component", "left").select("doc_id", F.coalesce("root", "component").alias("component")), "labels")
 
 
@@ -272,8 +270,12 @@ def connected(rows: DataFrame, max_rounds: int = 6) -> DataFrame:
     groups = stored(groups.join(shared, "t", "left_semi"), "prefix-groups")
     compared = None
     label = stored(groups.select("doc_id").distinct().withColumn("component", F.col("doc_id")), "labels")
+    before = math.inf
     for turn in itertools.count():
-        members = stored(groups.join(label, "doc_id"), "members")
+        if turn:
+            members = stored(groups.join(label, "doc_id"), "members")
+        else:
+            members = groups.withColumn("component", F.col("doc_id"))
         # groups whose members are not all connected yet; tables are written before they meet many rows of a group, so
         # that the join is a plain one whose hot keys adaptive execution can split
         unsettled = stored(members.groupBy("t", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("t").agg(
@@ -284,7 +286,9 @@ def connected(rows: DataFrame, max_rounds: int = 6) -> DataFrame:
         size, cost = members.agg(F.count(F.lit(1)), F.sum(F.when(outside, F.col("size")))).first()
         if not size:
             break
-        last = turn > 0 and (cost <= 20 * size or turn >= max_rounds)
+        # unlike documents with a common shingle stay apart whatever pivot they meet: no further round helps then
+        last = turn > 0 and (cost <= 20 * size or turn >= max_rounds or cost > 0.9 * before)
+        before = cost
         if last:
             # all pairs between parts of a group: members outside its largest part meet the whole group
             side = lambda rows, s: rows.select("t", *[F.col(c).alias(s + c) for c in ("doc_id", "component", "n", "at")])
@@ -298,12 +302,12 @@ def connected(rows: DataFrame, max_rounds: int = 6) -> DataFrame:
                 (F.col("component") != F.col("p.component")) & may_link("n", "at", "p.n", "p.at")).groupBy(
                 "doc_id", F.col("p.doc_id").alias("pivot")).agg(F.count(F.lit(1)).alias("k"))
             pairs = meets.groupBy("doc_id").agg(F.max_by("pivot", F.struct("k", -F.col("pivot"))).alias("pivot")).select(
-                F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct()
+                F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b"))
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
         compared = pairs if compared is None else compared.unionAll(pairs)
-        label = relabelled(label, stored(verified(pairs, rows), "links"))
+        label = relabelled(label, stored(verified(pairs, rows), "links"), own_names=turn == 0)
         if last:
             break
     return label
@@ -316,10 +320,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     bits = min(max(RANGE_BITS, math.ceil(math.log2(max(total / PER_RANGE, 1)))), 8 * WIDTH - 24)
     rows = linkable(sets, shared_shingles(sets, bits), bits)
     # equal sets under their smallest id
-    first = stored(rows.groupBy("sig", "n").agg(F.min("doc_id").alias("first")), "distinct-sets")
-    chosen = stored(rows.join(first.withColumnRenamed("first", "doc_id"), ["sig", "n", "doc_id"], "left_semi")
-                    .dropDuplicates(["doc_id", "sig", "n"]), "set-rows")
-    named = stored(rows.select("doc_id", "sig", "n").join(first, ["sig", "n"]).groupBy("doc_id").agg(
+    first = stored(rows.groupBy("sig", "n").agg(F.min(F.struct("doc_id", "row")).alias("m")).select(
+        "sig", "n", F.col("m.doc_id").alias("first"), F.col("m.row").alias("row")), "distinct-sets")
+    chosen = stored(picked(rows, "row", "block", first), "set-rows")
+    named = stored(rows.select("doc_id", "sig", "n").join(first.drop("row"), ["sig", "n"]).groupBy("doc_id").agg(
         F.min("first").alias("first"), F.collect_set("first").alias("firsts")), "named")
     # an id with several texts connects their sets
     several = named.where(F.size("firsts") > 1).select(F.col("first").alias("a"), F.explode("firsts").alias("b")).where("a <> b")

@@ -13,6 +13,7 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kerbflow.functions import geo
 from kerbflow.functions.skew import salted_lookup
@@ -39,7 +40,16 @@ REST = 20_000
 
 
 def components(nodes: DataFrame, edges: DataFrame, rest: int = REST) -> DataFrame:
-    """Weakly connected component of every node, named by its smallest node id. Ids may have any type with an order.
+    """Weakly connected component of every node, named by its smallest node id. Ids may have any type with an order."""
+    own, label = nodes.select("osmid").distinct(), linked_components(edges, rest)
+    if label is None:
+        return own.withColumn("component", F.col("osmid"))
+    return own.join(label.withColumnRenamed("node", "osmid"), "osmid", "left").withColumn(
+        "component", F.coalesce("component", "osmid"))
+
+
+def linked_components(edges: DataFrame, rest: int = REST) -> DataFrame | None:
+    """``node, component`` of the nodes that are linked with another one; None if there are none.
 
     The graph is contracted until at most ``rest`` links are left, which one task finishes. In a round every node joins its best
     neighbour or stays: first the nodes with the most links, if they have more than a small share of all, then the smallest hash,
@@ -56,6 +66,8 @@ def components(nodes: DataFrame, edges: DataFrame, rest: int = REST) -> DataFram
     while total := links.count():
         limit = max(total // shares, 1)
         joins = cut_lineage(_finished(links) if total <= rest else _best_neighbours(links, limit, len(rounds)))
+        if total <= rest and names is None:
+            return joins.select("node", F.col("rep").alias("component"))
         low = joins.withColumn("low", F.col("node")) if names is None else joins.join(names, "node")
         names = low.groupBy("rep").agg(F.min("low").alias("low"))
         if total <= rest:
@@ -76,11 +88,7 @@ def components(nodes: DataFrame, edges: DataFrame, rest: int = REST) -> DataFram
         named = names.select(F.col("rep").alias("_rep"), F.col("low").alias("component"))
         limit = max(joins.count() // shares, 1)
         label = cut_lineage(salted_lookup(joins, named, "rep", "_rep", ["node"], limit).select("node", "component"))
-    own = nodes.select("osmid").distinct()
-    if label is None:
-        return own.withColumn("component", F.col("osmid"))
-    return own.join(label.withColumnRenamed("node", "osmid"), "osmid", "left").withColumn(
-        "component", F.coalesce("component", "osmid"))
+    return label
 
 
 def _best_neighbours(links: DataFrame, limit: int, turn: int) -> DataFrame:
@@ -96,6 +104,24 @@ def _best_neighbours(links: DataFrame, limit: int, turn: int) -> DataFrame:
 
 def _finished(links: DataFrame) -> DataFrame:
     """``node, rep`` of a small graph: the smallest node of each component, found in one task."""
+    def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while above.setdefault(x, x) != x:
+                above[x] = x = above[above[x]]
+            return x
+
+        for batch in batches:
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x, y = root(x), root(y)
+                above[max(x, y)] = min(x, y)
+        if above:
+            yield pa.RecordBatch.from_arrays([pa.array(list(above)), pa.array([root(x) for x in above])], names=["node", "rep"])
+
+    if links.schema["a"].dataType == T.LongType():  # such ids need no names
+        return links.coalesce(1).mapInArrow(smallest, "node bigint, rep bigint")
+
     def union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         above: dict[str, str] = {}
 

@@ -1,6 +1,7 @@
 """Operators 6 and 10 against brute force."""
 
 import re
+import random
 from collections import Counter
 
 import pytest
@@ -122,3 +123,14 @@ def test_group_whose_members_only_meet_in_the_middle(spark):
     got = multi_order_join.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))
     assert Counter(tuple(r) for r in got.collect()) == expected_components(rows)
     assert got.agg(F.countDistinct("component_id")).first()[0] == 1
+
+
+def test_rounds_end_when_they_help_no_more(spark, monkeypatch):
+    """Unlike documents made of common passages: no round connects any, so the second look lists the pairs."""
+    rng, calls, plain = random.Random(8), [], multi_order_join.verified
+    passages = [prose(rng, 20) for _ in range(12)]
+    rows = [(i, " ".join(passages[k] for k in sorted(rng.sample(range(12), 4)))) for i in range(110)]
+    monkeypatch.setattr(multi_order_join, "verified", lambda pairs, sets: calls.append(1) or plain(pairs, sets))
+    got = multi_order_join.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert Counter(tuple(r) for r in got.collect()) == expected_components(rows)
+    assert len(calls) <= 2
