@@ -21,6 +21,7 @@ are read. Floating-point sums make the last digits depend on how the corpus is p
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,19 +33,40 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbflow.llm.common import ascii_lower, bounded_batches, stored
+from kerbflow.llm.common import bounded_batches, stored
 
 WORDS, BUCKETS, GROUP, WIDTH, SIDE = 960, 63, 32, 24, 2
 EDGE = WORDS + BUCKETS  # stands before the first and after the last word
 SIZE = 1024
 STRETCH, BLOCK, CHUNK = 16_384, 4096, 4096
-GAP = r"[\x20\x09-\x0D]+"
+HELD = 500_000  # distinct words that a task counts before it sends them
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """Stored table of all words of the corpus and how often they stand there: w, n."""
-    words = docs.select(F.explode(F.split(ascii_lower(F.coalesce("text", F.lit(""))), GAP)).alias("w")).where("w <> ''")
-    return stored(words.groupBy("w").agg(F.count(F.lit(1)).alias("n")), "word-counts")
+    """Stored table of all words of the corpus and how often they stand there: w, n.
+
+    A task sends a word once for every ``HELD`` distinct ones, so that it holds few.
+    """
+    bounded_batches(docs.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[bytes] = Counter()
+
+        def sums() -> pa.RecordBatch:
+            words = pa.array(list(held), pa.binary()).cast(pa.string())
+            return pa.RecordBatch.from_arrays([words, pa.array(list(held.values()), pa.int64())], names=["w", "n"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                held.update(split(text))
+                if len(held) > HELD:
+                    yield sums()
+                    held.clear()
+        if held:
+            yield sums()
+
+    words = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(count, "w string, n bigint")
+    return stored(words.groupBy("w").agg(F.sum("n").alias("n")), "word-counts")
 
 
 def vocabulary(counts: DataFrame) -> dict[str, int]:

@@ -291,3 +291,15 @@ def test_gradient_in_numbers():
                 other.parts()[part].ravel()[k] += by
                 loss.append(-other.log_probs(context, target).mean(dtype=float))
             assert math.isclose((loss[0] - loss[1]) / 0.04, slope[k], rel_tol=0.03, abs_tol=1e-4), (part, k)
+
+
+def test_word_counts_in_parts(spark, monkeypatch):
+    """Words are counted in the tasks, and a task sends what it holds when there are too many distinct words."""
+    monkeypatch.setattr(masked_lm, "HELD", 5)
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices(["a", "A", "b\u00c9", "b\u00e9", "c.", "d\u00a0e", "f\u0085g", *map(str, range(20))], k=30)) for _ in range(50)]
+    texts += ["x\ty\x0bz\n\x0cx\r x\x1fy", "", "  ", None]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    want = Counter(w.decode() for t in texts for w in masked_lm.split(t or ""))
+    assert {r.w: r.n for r in masked_lm.word_counts(frame).collect()} == want and want["x"] == 2
+    assert masked_lm.word_counts(frame.limit(0)).isEmpty()
