@@ -81,8 +81,10 @@ class WordEncoder:
         self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.stop = self.library([BREAK])[0]
-        marks = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join([re.escape(BREAK), *marks]))
+        marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, [BREAK, *marks])))
+        # no special token stands inside a word of letters then, and such a word is one piece
+        self.plain_letters = not any(t.isalpha() for t in marks)
 
     def library(self, texts: list[str]) -> list[bytes]:
         made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -104,6 +106,8 @@ class WordEncoder:
             text = w.decode()
             if BREAK in text:
                 alone.append((w, text))
+            elif self.plain_letters and text.isascii() and text.isalpha():
+                by_pieces.append((w, (text.lower(),)))
             elif text.isascii() and not self.special.search(text):
                 by_pieces.append((w, WORD_PIECES.findall(text.lower())))
             else:
@@ -118,13 +122,30 @@ class WordEncoder:
         self.words.update((w, b"".join([known[p] for p in found])) for w, found in by_pieces)
 
     def __call__(self, text: str) -> bytes:
-        words, known = text.encode("utf-8", "replace").split(), self.words
-        if missing := [w for w in set(words) if w not in known]:
-            if len(known) + len(missing) > self.most_words:
-                known.clear()
-                missing = list(set(words))
-            self.learn(missing)
-        return b"".join([known[w] for w in words])
+        return self.all_of([text])[0]
+
+    def all_of(self, texts: list[str]) -> list[bytes]:
+        """The ids of every text. What the texts do not know is learnt together, so the library is called a few times."""
+        split, known = [t.encode("utf-8", "replace").split() for t in texts], self.words
+        missing = set().union(*split).difference(known)
+        if len(known) + len(missing) > self.most_words:
+            known.clear()
+            missing = set().union(*split)
+        self.learn(list(missing))
+        return [b"".join([known[w] for w in words]) for words in split]
+
+
+def in_groups(encoder: WordEncoder, texts: list[str], most: int = 15_000) -> Iterator[bytes]:
+    """The ids of every text, encoded in groups of about ``most`` characters; larger ones leave the processor's cache."""
+    group, size = [], 0
+    for text in texts:
+        group.append(text)
+        size += len(text)
+        if size >= most:
+            yield from encoder.all_of(group)
+            group, size = [], 0
+    if group:
+        yield from encoder.all_of(group)
 
 
 def write_planes(docs: DataFrame, tokenizer: str, end_id: int, chunk_ids: int = 65_536, layout: str = "byte") -> DataFrame:
@@ -149,8 +170,8 @@ def write_planes(docs: DataFrame, tokenizer: str, end_id: int, chunk_ids: int =
             return pa.RecordBatch.from_pylist([dict(zip(schema.names, row))], schema=schema)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = ids_of(text) + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), in_groups(ids_of, batch.column(1).to_pylist())):
+                data = ids + end
                 total, done = len(data) // 4, 0
                 while done < total:
                     n = min(total - done, chunk_ids - held)

@@ -179,3 +179,16 @@ def test_half_of_the_ids_null(spark):
     sizes = sorted(r.n for r in chunks.groupBy("shard").agg(F.sum(F.size("doc_ids")).alias("n")).collect())
     assert len(sizes) > 2 and sizes[-1] < 3 * sizes[len(sizes) // 2]
     assert bitplane.read_documents(chunks).count() == 6000
+
+
+def test_texts_encoded_together(monkeypatch):
+    """Many texts cost few calls of the library, and a full memory gives the same ids."""
+    rng = random.Random(6)
+    texts = [prose(rng, 30) + odd for odd in ("", " it'S we'RE", "<|endoftext|>", " a\x01b", " \u00e9t\u00e9 42nd", "<|startoftext|>x") * 20] + ["", " \n"]
+    want = [np.array(word.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    own, calls = bitplane.WordEncoder(WORD), []
+    plain = own.library
+    monkeypatch.setattr(own, "library", lambda parts: calls.append(1) or plain(parts))
+    assert list(bitplane.in_groups(own, texts)) == want and len(calls) < len(texts) // 2
+    small = bitplane.WordEncoder(WORD, words=50, pieces=40)
+    assert list(bitplane.in_groups(small, texts, 500)) == want and list(bitplane.in_groups(small, [])) == []
