@@ -1,7 +1,7 @@
 """Operators 6 and 10 against brute force."""
 
-import re
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from kerbflow.llm import multi_order_join, phrase_index
 
+from .conftest import prose
+
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
