@@ -7,6 +7,9 @@ import types
 from collections.abc import Callable
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,6 +99,20 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def distinct_words(texts: pa.Array) -> tuple[list[bytes], pa.Array, np.ndarray]:
+    """The distinct words between ASCII white space, the number in that list of every word, and where each text's words begin.
+
+    Arrow splits and compares the words, so that Python meets a word of many places once. The last text's end is the last beginning.
+    """
+    lists = pc.ascii_split_whitespace(texts)
+    words, begins = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    there = pc.binary_length(words).to_numpy() > 0  # white space at an end leaves an empty word
+    if not there.all():
+        words, begins = words.filter(pa.array(there)), np.concatenate([[0], np.cumsum(there)])[begins]
+    numbered = words.dictionary_encode()
+    return numbered.dictionary.cast(pa.binary()).to_pylist(), numbered.indices, begins
+
+
 def worker_state(key: str, make: Callable[[], Any]) -> Any:
     """What ``make`` returns, made once in this Python worker and kept for the tasks that it runs later."""
     kept = sys.modules.setdefault("_kerbflow_worker", types.ModuleType("_kerbflow_worker")).__dict__

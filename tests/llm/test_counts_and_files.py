@@ -192,3 +192,27 @@ def test_texts_encoded_together(monkeypatch):
     assert list(bitplane.in_groups(own, texts)) == want and len(calls) < len(texts) // 2
     small = bitplane.WordEncoder(WORD, words=50, pieces=40)
     assert list(bitplane.in_groups(small, texts, 500)) == want and list(bitplane.in_groups(small, [])) == []
+
+
+def test_latin_words_go_to_the_model(monkeypatch):
+    """Words of Latin-1 letters cost no call of the whole library, and a word of a group of texts is looked up once."""
+    texts = ["\u00c9T\u00c9s,\u00fcber stra\u00dfe'S \u00d8l na\u00efve42\u00e9 \u00c0\u00d7\u00f7 \u00aa\u00b5 x\u00ff\u00fe\u00de", " \u00c9t\u00e9 ", "", "\x7f\x02a\u0301", "e\u0301t H\u0331 \u0130"] * 300
+    want = [np.array(word.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    own, asked = bitplane.WordEncoder(WORD), []
+    plain = own.library
+    monkeypatch.setattr(own, "library", lambda parts: asked.extend(parts) or plain(parts))
+    assert list(bitplane.in_groups(own, texts, 400)) == want
+    assert "\u00fcber" not in " ".join(asked) and "\u00d8l" not in " ".join(asked)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(odd, max_size=5), st.integers(1, 40))
+def test_texts_in_any_groups(texts, most):
+    want = [np.array(word.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert list(bitplane.in_groups(encoder, texts, most)) == want
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.characters(max_codepoint=0x180), max_size=12))
+def test_latin_text_as_the_library_has_it(text):
+    assert np.frombuffer(encoder(text), "<u4").tolist() == word.encode(text, add_special_tokens=False).ids
