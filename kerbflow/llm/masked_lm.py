@@ -28,12 +28,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbflow.llm.common import bounded_batches, stored
+from kerbflow.llm.common import bounded_batches, distinct_words, stored
 
 WORDS, BUCKETS, GROUP, WIDTH, SIDE = 960, 63, 32, 24, 2
 EDGE = WORDS + BUCKETS  # stands before the first and after the last word
@@ -57,11 +58,11 @@ def word_counts(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([words, pa.array(list(held.values()), pa.int64())], names=["w", "n"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.update(split(text))
-                if len(held) > HELD:
-                    yield sums()
-                    held.clear()
+            words, numbers, _ = distinct_words(pc.ascii_lower(batch.column(0)))
+            held.update(dict(zip(words, np.bincount(numbers, minlength=len(words)).tolist())))
+            if len(held) > HELD:
+                yield sums()
+                held.clear()
         if held:
             yield sums()
 
@@ -84,6 +85,13 @@ def encode(text: str | list[bytes], known: dict[bytes, int]) -> np.ndarray:
     return np.array([i if (i := known.get(w)) is not None else WORDS + zlib.crc32(w) % BUCKETS for w in words], dtype=np.int64)
 
 
+def encode_all(texts: pa.Array, known: dict[bytes, int]) -> tuple[np.ndarray, list[tuple[int, int]], list[bytes], np.ndarray]:
+    """Numbers of the words of all texts and where each text's begin and end; then the distinct words and which of them each word is."""
+    distinct, which, begins = distinct_words(pc.ascii_lower(texts))
+    which = which.to_numpy()
+    return encode(distinct, known)[which], list(zip(begins[:-1].tolist(), begins[1:].tolist())), distinct, which
+
+
 def masks(text: str, places: np.ndarray, turn: int, mask: int) -> np.ndarray:
     """Which of the ``mask`` masks of a round hides the word at each place."""
     x = places.astype(np.uint64) + np.uint64((zlib.crc32(text.encode("utf-8", "replace")) << 32) + (turn << 24))
@@ -174,8 +182,10 @@ class Network:
         self.bias -= back.sum(1)
         # every embedding is moved by the sum over the rows that it stands in, one width after the other
         at = (context + SIZE * np.arange(2 * SIDE)[:, None]).ravel()
-        moved = [np.bincount(at, np.tile(b, 2 * SIDE), 2 * SIDE * SIZE) for b in back]
-        self.place -= np.stack(moved, axis=1).reshape(self.place.shape)
+        moved = np.empty((WIDTH, 2 * SIDE * SIZE))
+        for k, b in enumerate(np.tile(back.astype(float), 2 * SIDE)):
+            moved[k] = np.bincount(at, b, 2 * SIDE * SIZE)
+        self.place -= moved.T.reshape(self.place.shape)
 
 
 def _by_group(target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -221,8 +231,9 @@ def train(docs: DataFrame, rounds: int = 2, mask: int = 8, batch: int = 2048, ra
                     net.step(context[:, some], target[some], rate)
 
             for part in batches:
-                for text in part.column(0).to_pylist():
-                    ids = encode(text, numbers)
+                every, ends, _, _ = encode_all(part.column(0), numbers)
+                for text, (begin_at, end_at) in zip(part.column(0).to_pylist(), ends):
+                    ids = every[begin_at:end_at]
                     for lo in range(0, len(ids), STRETCH):
                         at = np.arange(lo, min(lo + STRETCH, len(ids)))
                         held.append((net.contexts(ids, at), ids[at], masks(text, at, turn, mask)))
@@ -272,12 +283,10 @@ def score(docs: DataFrame, known: dict[str, int], weights: np.ndarray, counts: D
     def total(texts):
         net = Network.start().load(weights)
         for series in texts:
-            ids, rare = [], []
-            for text in series:
-                words = split(text)
-                x = encode(words, numbers)
-                ids.append(x)
-                rare.append(np.array([xxhash.xxh64_intdigest(words[k], 42) for k in np.flatnonzero(x >= WORDS).tolist()], np.uint64).view(np.int64))
+            every, ends, words, which = encode_all(pa.array(series, pa.string()), numbers)
+            hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in words], np.uint64).view(np.int64)
+            ids = [every[lo:hi] for lo, hi in ends]
+            rare = [hashes[which[lo:hi][x >= WORDS]] for x, (lo, hi) in zip(ids, ends)]
             n = np.array([len(x) for x in ids])
             sums = np.array([base[x].sum() for x in ids])
             held, size = [], 0

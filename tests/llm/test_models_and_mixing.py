@@ -303,3 +303,16 @@ def test_word_counts_in_parts(spark, monkeypatch):
     want = Counter(w.decode() for t in texts for w in masked_lm.split(t or ""))
     assert {r.w: r.n for r in masked_lm.word_counts(frame).collect()} == want and want["x"] == 2
     assert masked_lm.word_counts(frame.limit(0)).isEmpty()
+
+
+def test_texts_are_numbered_together():
+    """A word of many places is met once, and every text has the numbers that it has alone."""
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    texts = ["", " \n", "A\x0bb\x0c\tC ", " \u00c9 b\x1fc a", *(" ".join(rng.choices(["a", "B", "x\u00a0y", "\u0130", "z."], k=12)) + " " * (k % 2) for k in range(50))]
+    known = {b"a": 0, b"b": 1}
+    for some in (texts, texts[2:9], [""], []):
+        ids, ends, distinct, which = masked_lm.encode_all(pa.array(["skipped", *some], pa.string())[1:], known)
+        assert [ids[lo:hi].tolist() for lo, hi in ends] == [masked_lm.encode(t, known).tolist() for t in some]
+        assert [distinct[k] for k in which] == [w for t in some for w in masked_lm.split(t)] and len({*distinct}) == len(distinct)
