@@ -71,13 +71,21 @@ def release(inputs: DataFrame) -> None:
     For a caller whose inputs have been written for good, such as a stage of the pipeline. A DataFrame of an earlier step that was
     not written anywhere can't be read afterwards.
     """
-    spark = inputs.sparkSession
-    if not WRITTEN:
-        return
-    used = inputs.inputFiles()
+    if WRITTEN:
+        empty_folders(inputs, read=False)
+
+
+def discard(rows: DataFrame) -> None:
+    """Empty the folders that ``rows`` reads, once the steps that needed them have written what they return."""
+    empty_folders(rows, read=True)
+
+
+def empty_folders(rows: DataFrame, read: bool) -> None:
+    """Empty the written folders that ``rows`` reads, or all others."""
+    spark, used = rows.sparkSession, rows.inputFiles()
     for path, name in list(WRITTEN):
         tail = path.rsplit("/", 1)[1]
-        if not any(tail in file for file in used):
+        if any(tail in file for file in used) == read:
             if name:
                 spark.sql(f"DROP TABLE IF EXISTS {name}")
             # overwriting with no rows removes the files on whatever storage Spark writes to

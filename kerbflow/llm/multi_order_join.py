@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbflow.llm.common import LOWER, UPPER, bounded_batches, keyed, picked, stored, stored_by, worker_state
+from kerbflow.llm.common import LOWER, UPPER, bounded_batches, discard, keyed, picked, stored, stored_by, worker_state
 from kerbflow.operators.graph import linked_components
 
 PERCENT = 75
@@ -264,10 +264,11 @@ def may_link(n: str, at: str, m: str, to: str) -> Column:
 def connected(rows: DataFrame, max_rounds: int = 6) -> DataFrame:
     """doc_id and component of the documents of ``rows`` that share a prefix shingle with another one."""
     # a shingle's place counts the unshared ones before it
-    groups = stored(rows.select("doc_id", "central", "n", "shared", F.posexplode("p1").alias("at", "t")).withColumn(
+    places = stored(rows.select("doc_id", "central", "n", "shared", F.posexplode("p1").alias("at", "t")).withColumn(
         "at", F.col("n") - F.col("shared") + F.col("at")).drop("shared"), "prefixes")
-    shared = stored(groups.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("t"), "shared-prefixes")
-    groups = stored(groups.join(shared, "t", "left_semi"), "prefix-groups")
+    shared = stored(places.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("t"), "shared-prefixes")
+    groups = stored(places.join(shared, "t", "left_semi"), "prefix-groups")
+    discard(places)
     compared = None
     label = stored(groups.select("doc_id").distinct().withColumn("component", F.col("doc_id")), "labels")
     before = math.inf
@@ -281,7 +282,9 @@ def connected(rows: DataFrame, max_rounds: int = 6) -> DataFrame:
         unsettled = stored(members.groupBy("t", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("t").agg(
             F.count(F.lit(1)).alias("parts"), F.max(F.struct("k", "component"))["component"].alias("largest"),
             F.sum("k").alias("size")).where("parts > 1"), "unsettled")
-        members = stored(members.join(unsettled, "t"), "open-groups")
+        everyone, members = members, stored(members.join(unsettled, "t"), "open-groups")
+        if turn:
+            discard(everyone)
         outside = F.col("component") != F.col("largest")
         size, cost = members.agg(F.count(F.lit(1)), F.sum(F.when(outside, F.col("size")))).first()
         if not size:
@@ -307,6 +310,7 @@ def connected(rows: DataFrame, max_rounds: int = 6) -> DataFrame:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
         compared = pairs if compared is None else compared.unionAll(pairs)
+        discard(members)
         label = relabelled(label, stored(verified(pairs, rows), "links"), own_names=turn == 0)
         if last:
             break
@@ -316,15 +320,18 @@ def connected(rows: DataFrame, max_rounds: int = 6) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs``."""
     sets = shingle_sets(docs)
-    total = sets.agg(F.sum("n")).first()[0] or 0
+    sizes = stored(sets.select("doc_id", "n"), "set-sizes")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
     bits = min(max(RANGE_BITS, math.ceil(math.log2(max(total / PER_RANGE, 1)))), 8 * WIDTH - 24)
     rows = linkable(sets, shared_shingles(sets, bits), bits)
+    discard(sets)  # the sets that may link are among the rows; of the others only the size is asked for
     # equal sets under their smallest id
     first = stored(rows.groupBy("sig", "n").agg(F.min(F.struct("doc_id", "row")).alias("m")).select(
         "sig", "n", F.col("m.doc_id").alias("first"), F.col("m.row").alias("row")), "distinct-sets")
     chosen = stored(picked(rows, "row", "block", first), "set-rows")
     named = stored(rows.select("doc_id", "sig", "n").join(first.drop("row"), ["sig", "n"]).groupBy("doc_id").agg(
         F.min("first").alias("first"), F.collect_set("first").alias("firsts")), "named")
+    discard(rows)
     # an id with several texts connects their sets
     several = named.where(F.size("firsts") > 1).select(F.col("first").alias("a"), F.explode("firsts").alias("b")).where("a <> b")
     label = connected(chosen)
@@ -334,7 +341,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     label = label.withColumnRenamed("doc_id", "first")
     label = stored(named.select("doc_id", "first").join(label, "first", "left").select(
         "doc_id", F.coalesce("component", "first").alias("component_id")), "document-components")
-    counted = sets.select("doc_id", F.col("n").alias("n_shingles")).join(label, "doc_id", "left").select(
+    counted = sizes.select("doc_id", F.col("n").alias("n_shingles")).join(label, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return counted.unionAll(unnamed(docs))
 

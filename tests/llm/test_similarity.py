@@ -136,3 +136,14 @@ def test_rounds_end_when_they_help_no_more(spark, monkeypatch):
     got = multi_order_join.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))
     assert Counter(tuple(r) for r in got.collect()) == expected_components(rows)
     assert len(calls) <= 2
+
+
+def test_sets_leave_the_disk(spark, docs):
+    """Once written, what a step needed is emptied: of all sets only those that may link stay, once."""
+    from kerbflow.llm import common
+
+    common.release(docs)
+    found = multi_order_join.near_duplicates(docs.select("doc_id", "text"))
+    held = [path.rsplit("/", 1)[1] for path, _ in common.WRITTEN]
+    assert not [x for x in held if x.startswith(("shingle-sets", "linkable", "prefixes", "members"))], held
+    assert any(x.startswith("set-rows") for x in held) and found.count() == docs.count()
