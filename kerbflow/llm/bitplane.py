@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbflow.llm.common import bounded_batches, distinct_words, stored, worker_state
+from kerbflow.llm.common import bounded_batches, numbered_words, stored, worker_state
 
 CHUNKS = ("shard int, chunk int, first bigint, n_ids int, doc_ids array<bigint>, seqs array<bigint>, "
           "firsts array<bigint>, totals array<bigint>, counts array<bigint>, layout string, planes array<binary>")
@@ -75,17 +75,22 @@ class WordEncoder:
     The vocabulary lowers case, drops white space and never joins anything across it, so the ids of a text are those
     of its words; words of Latin-1 letters and ASCII are also taken apart into the pieces that the vocabulary encodes alone,
     which go straight to the library's model. Of other words the library gets many in one call.
+
+    Words and their ids are remembered in Arrow arrays, which take a fifth of the memory of a dictionary; when there are too many,
+    those stay that a later group of texts asked for. Pieces lie in two dictionaries: a full one takes the place of the older.
     """
 
-    def __init__(self, path: str, words: int = 700_000, pieces: int = 1_000_000):
+    def __init__(self, path: str, words: int = 500_000, pieces: int = 100_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        # at most so many are remembered; a piece costs the library far more than a word costs to put together
+        # at most so many words and, in each dictionary, pieces; a piece costs the library far more than a word costs to put together
         self.tokenizer, self.most_words, self.most_pieces = Tokenizer.from_file(path), words, pieces
         self.model = self.tokenizer.model
-        self.words: dict[bytes, bytes] = {}
+        self.words = self.ids = pa.array([], pa.large_binary())
+        self.asked = np.zeros(0, bool)  # by a group of texts after the one that brought the word
         self.pieces: dict[str, bytes] = {}
+        self.older_pieces: dict[str, bytes] = {}
         self.id_bytes = [k.to_bytes(4, "little") for k in range(1 + max(self.tokenizer.get_vocab().values()))]
         self.stop = self.library([BREAK])[0]
         marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -111,43 +116,64 @@ class WordEncoder:
         """The ids of one piece, in lower case."""
         ids = self.pieces.get(text)
         if ids is None:
-            named = text if text.isascii() and text.isalpha() else text.encode().decode("latin-1").translate(NAMED)
-            ids = self.pieces[text] = b"".join([self.id_bytes[t.id] for t in self.model.tokenize(named)])
+            ids = self.older_pieces.get(text)
+            if ids is None:
+                named = text if text.isascii() and text.isalpha() else text.encode().decode("latin-1").translate(NAMED)
+                ids = b"".join([self.id_bytes[t.id] for t in self.model.tokenize(named)])
+            if len(self.pieces) >= self.most_pieces:
+                self.older_pieces, self.pieces = self.pieces, {}
+            self.pieces[text] = ids
         return ids
 
-    def learn(self, missing: list[bytes]) -> None:
+    def made(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words, put together from their pieces or by the library."""
+        out: list[bytes] = [b""] * len(words)
         whole, alone = [], []
-        words, piece = self.words, self.piece
-        if len(self.pieces) > self.most_pieces:
-            self.pieces.clear()
-        for w in missing:
+        piece = self.piece
+        for k, w in enumerate(words):
             if self.plain_letters and w.isalpha():
-                words[w] = piece(w.decode().lower())
+                out[k] = piece(w.decode().lower())
                 continue
             text = w.decode()
             if BREAK in text:
-                alone.append((w, text))
+                alone.append((k, text))
             elif SIMPLE.fullmatch(text) and not self.special.search(text):
-                words[w] = b"".join([piece(p) for p in WORD_PIECES.findall(text.lower())])
+                out[k] = b"".join([piece(p) for p in WORD_PIECES.findall(text.lower())])
             else:
-                whole.append((w, text))
-        words.update(zip([w for w, _ in alone], self.library([t for _, t in alone])))
-        words.update(zip([w for w, _ in whole], self.each([t for _, t in whole])))
+                whole.append((k, text))
+        for some, ids in ((alone, self.library([t for _, t in alone])), (whole, self.each([t for _, t in whole]))):
+            for (k, _), x in zip(some, ids):
+                out[k] = x
+        return out
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Where in ``self.ids`` the ids of distinct words stand, which are made and added if they are not there."""
+        found = pc.index_in(words, value_set=self.words)
+        self.asked[found.drop_null().to_numpy()] = True
+        missing = words.filter(found.is_null())
+        if len(self.words) and len(self.words) + len(missing) > self.most_words:
+            kept = pa.array(np.flatnonzero(self.asked))
+            if len(kept) + len(missing) > self.most_words:
+                kept = kept[:0]
+            self.words, self.ids, self.asked = self.words.take(kept), self.ids.take(kept), np.zeros(len(kept), bool)
+            return self.places(words)
+        places, held = found.fill_null(-1).to_numpy().copy(), len(self.words)
+        if len(missing):
+            made = pa.array(self.made(missing.to_pylist()), pa.large_binary())
+            self.words, self.ids = pa.concat_arrays([self.words, missing]), pa.concat_arrays([self.ids, made])
+            self.asked = np.concatenate([self.asked, np.zeros(len(missing), bool)])
+            places[places < 0] = np.arange(held, held + len(missing))
+        return places
 
     def __call__(self, text: str) -> bytes:
         return self.all_of(pa.array([text]))[0]
 
     def all_of(self, texts: pa.Array) -> list[bytes]:
         """The ids of every text. Every distinct word of the texts is looked up once; Arrow puts the ids in order."""
-        distinct, numbers, begins = distinct_words(texts)
-        known = self.words
-        missing = [w for w in distinct if w not in known]
-        if len(known) + len(missing) > self.most_words:
-            known.clear()
-            missing = distinct
-        self.learn(missing)
-        ids = pa.array([known[w] for w in distinct], pa.large_binary()).take(numbers)
-        if not len(ids):
+        distinct, numbers, begins = numbered_words(texts)
+        places = self.places(distinct)
+        ids = self.ids.take(pa.array(places[numbers]))
+        if not len(numbers):
             return [b""] * len(texts)
         _, places, data = ids.buffers()
         cuts = np.frombuffer(places, np.int64)[begins].tolist()
@@ -167,7 +193,8 @@ def in_groups(encoder: WordEncoder, texts: list[str] | pa.Array, most: int = 4_0
 
 def write_planes(docs: DataFrame, tokenizer: str, end_id: int, chunk_ids: int = 65_536, layout: str = "byte") -> DataFrame:
     """Encode ``docs`` (doc_id, text) in doc_id order into a new dataset of chunks; returns that dataset, read back."""
-    bounded_batches(docs.sparkSession)
+    # by bytes, as what is remembered is searched once for a batch, however short its texts are
+    bounded_batches(docs.sparkSession, rows=10_000, size=2 ** 22)
     end = np.array([end_id], dtype="<u4").tobytes()
     schema = pa.schema([
         ("shard", pa.int32()), ("chunk", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int32()),

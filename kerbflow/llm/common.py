@@ -107,23 +107,48 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def distinct_words(texts: pa.Array) -> tuple[list[bytes], pa.Array, np.ndarray]:
-    """The distinct words between ASCII white space, the number in that list of every word, and where each text's words begin.
+#: Which bytes are ASCII white space.
+WHITE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
-    Arrow splits and compares the words, so that Python meets a word of many places once. The last text's end is the last beginning.
+
+def numbered_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words between ASCII white space, the number in that array of every word, and where each text's words begin.
+
+    Arrow compares the words, so that Python meets a word of many places once. The last text's end is the last beginning.
     """
-    lists = pc.ascii_split_whitespace(texts)
-    words, begins = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-    there = pc.binary_length(words).to_numpy() > 0  # white space at an end leaves an empty word
-    if not there.all():
-        words, begins = words.filter(pa.array(there)), np.concatenate([[0], np.cumsum(there)])[begins]
-    numbered = words.dictionary_encode()
-    return numbered.dictionary.cast(pa.binary()).to_pylist(), numbered.indices, begins
+    texts = texts.fill_null("").cast(pa.large_string())
+    if not len(texts):
+        return pa.array([], pa.large_binary()), np.zeros(0, np.int64), np.zeros(1, np.int64)
+    _, cuts, data = texts.buffers()
+    cuts = np.frombuffer(cuts, np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    data = np.frombuffer(data or b"", np.uint8)[cuts[0]:cuts[-1]]
+    cuts = cuts - cuts[0]
+    white = WHITE[data]
+    first = ~white
+    first[1:] &= white[:-1]
+    heads = cuts[cuts < len(data)]  # a word begins anew where a text does
+    first[heads] = ~white[heads]
+    places = np.flatnonzero(first)
+    # a word with the white space after it, which is taken off the distinct ones only
+    spans = pa.py_buffer(np.append(places, len(data)))
+    words = pa.Array.from_buffers(pa.large_string(), len(places), [None, spans, pa.py_buffer(data)]).dictionary_encode()
+    distinct = pc.ascii_trim_whitespace(words.dictionary).dictionary_encode()
+    return distinct.dictionary.cast(pa.large_binary()), distinct.indices.to_numpy()[words.indices.to_numpy()], np.searchsorted(places, cuts)
+
+
+def distinct_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """What :func:`numbered_words` returns, with the distinct words as a list."""
+    distinct, numbers, begins = numbered_words(texts)
+    return distinct.to_pylist(), numbers, begins
 
 
 def worker_state(key: str, make: Callable[[], Any]) -> Any:
-    """What ``make`` returns, made once in this Python worker and kept for the tasks that it runs later."""
-    kept = sys.modules.setdefault("_kerbflow_worker", types.ModuleType("_kerbflow_worker")).__dict__
-    if key not in kept:
-        kept[key] = make()
-    return kept[key]
+    """What ``make`` returns, made once in this Python worker and kept for the tasks that it runs later.
+
+    One thing is kept at a time: workers outlive a step, and what an earlier step remembered would stay in memory beside the next.
+    """
+    kept = sys.modules.setdefault("_kerbflow_worker", types.ModuleType("_kerbflow_worker"))
+    if getattr(kept, "key", None) != key:
+        kept.key = kept.made = None
+        kept.made, kept.key = make(), key
+    return kept.made

@@ -88,7 +88,6 @@ def encode(text: str | list[bytes], known: dict[bytes, int]) -> np.ndarray:
 def encode_all(texts: pa.Array, known: dict[bytes, int]) -> tuple[np.ndarray, list[tuple[int, int]], list[bytes], np.ndarray]:
     """Numbers of the words of all texts and where each text's begin and end; then the distinct words and which of them each word is."""
     distinct, which, begins = distinct_words(pc.ascii_lower(texts))
-    which = which.to_numpy()
     return encode(distinct, known)[which], list(zip(begins[:-1].tolist(), begins[1:].tolist())), distinct, which
 
 

@@ -1,8 +1,11 @@
 """Operators 3, 4, 5 and 8 against the libraries and plain Python."""
 
+import gc
 import hashlib
 import random
 import re
+import tracemalloc
+import weakref
 import zlib
 from collections import Counter
 
@@ -15,6 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from kerbflow.llm import bitplane, digest_index, heap_bpe, license_compression
+from kerbflow.llm.common import worker_state
 from kerbflow.session import work_path
 
 from .conftest import prose
@@ -205,6 +209,43 @@ def test_latin_words_go_to_the_model(monkeypatch):
     assert "\u00fcber" not in " ".join(asked) and "\u00d8l" not in " ".join(asked)
 
 
+def test_remembered_words_take_little_memory():
+    """100,000 words and their ids take less than 60 bytes each, with the few pieces that are remembered."""
+    own = bitplane.WordEncoder(WORD, words=200_000, pieces=5_000)
+    tracemalloc.start()
+    for lo in range(0, 100_000, 5_000):
+        list(bitplane.in_groups(own, [" ".join(f"the {k * 7919 % 100_003:x}q" for k in range(lo, lo + 5_000))]))
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(own.words) > 100_000 and held + own.words.nbytes + own.ids.nbytes < 6e6
+
+
+def test_words_asked_for_again_stay(monkeypatch):
+    """A full memory keeps the words that several groups of texts had, and all words of one large group are encoded."""
+    own, asked = bitplane.WordEncoder(WORD, words=100, pieces=20), []
+    plain = own.library
+    monkeypatch.setattr(own, "library", lambda parts: asked.extend(parts) or plain(parts))
+    for k in range(12):
+        text = "\u4e2d\u6587 " + " ".join(f"\u4e2d{j}" for j in range(60 * k, 60 * k + 60 + 200 * (k == 11)))
+        assert np.frombuffer(own(text), "<u4").tolist() == word.encode(text, add_special_tokens=False).ids
+    assert " ".join(asked[:11]).split().count("\u4e2d\u6587") == 1
+
+
+def test_worker_keeps_one_state():
+    """What an earlier step remembered does not stay beside that of the next."""
+    class Large:
+        pass
+
+    first = worker_state("test first", Large)
+    gone = weakref.ref(first)
+    assert worker_state("test first", Large) is first
+    del first
+    gc.collect()
+    assert gone() is not None and worker_state("test second", Large) is not None
+    gc.collect()
+    assert gone() is None
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(odd, max_size=5), st.integers(1, 40))
 def test_texts_in_any_groups(texts, most):
