@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbflow.llm.common import bounded_batches, numbered_words, stored, worker_state
+from kerbflow.llm.common import as_list, bounded_batches, numbered_words, stored, worker_state
 
 CHUNKS = ("shard int, chunk int, first bigint, n_ids int, doc_ids array<bigint>, seqs array<bigint>, "
           "firsts array<bigint>, totals array<bigint>, counts array<bigint>, layout string, planes array<binary>")
@@ -159,7 +159,7 @@ class WordEncoder:
             return self.places(words)
         places, held = found.fill_null(-1).to_numpy().copy(), len(self.words)
         if len(missing):
-            made = pa.array(self.made(missing.to_pylist()), pa.large_binary())
+            made = pa.array(self.made(as_list(missing)), pa.large_binary())
             self.words, self.ids = pa.concat_arrays([self.words, missing]), pa.concat_arrays([self.ids, made])
             self.asked = np.concatenate([self.asked, np.zeros(len(missing), bool)])
             places[places < 0] = np.arange(held, held + len(missing))

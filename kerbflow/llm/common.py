@@ -107,10 +107,6 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-#: Which bytes are ASCII white space.
-WHITE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-
-
 def numbered_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The distinct words between ASCII white space, the number in that array of every word, and where each text's words begin.
 
@@ -123,10 +119,11 @@ def numbered_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     cuts = np.frombuffer(cuts, np.int64)[texts.offset:texts.offset + len(texts) + 1]
     data = np.frombuffer(data or b"", np.uint8)[cuts[0]:cuts[-1]]
     cuts = cuts - cuts[0]
-    white = WHITE[data]
+    white = ((data - np.uint8(0x09)) < 5) | (data == 0x20)
+    # a word begins after white space
     first = ~white
     first[1:] &= white[:-1]
-    heads = cuts[cuts < len(data)]  # a word begins anew where a text does
+    heads = cuts[cuts < len(data)]  # and where a text does
     first[heads] = ~white[heads]
     places = np.flatnonzero(first)
     # a word with the white space after it, which is taken off the distinct ones only
@@ -139,7 +136,12 @@ def numbered_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 def distinct_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """What :func:`numbered_words` returns, with the distinct words as a list."""
     distinct, numbers, begins = numbered_words(texts)
-    return distinct.to_pylist(), numbers, begins
+    return as_list(distinct), numbers, begins
+
+
+def as_list(words: pa.Array) -> list:
+    """What ``to_pylist`` returns for strings or binaries, several times as fast."""
+    return words.to_numpy(zero_copy_only=False).tolist()
 
 
 def worker_state(key: str, make: Callable[[], Any]) -> Any:

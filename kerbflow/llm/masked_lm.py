@@ -20,10 +20,10 @@ are read. Floating-point sums make the last digits depend on how the corpus is p
 
 from __future__ import annotations
 
+import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -33,14 +33,17 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from kerbflow.llm.common import bounded_batches, distinct_words, stored
+from kerbflow.llm.common import as_list, bounded_batches, distinct_words, numbered_words, stored
 
 WORDS, BUCKETS, GROUP, WIDTH, SIDE = 960, 63, 32, 24, 2
 EDGE = WORDS + BUCKETS  # stands before the first and after the last word
 SIZE = 1024
+AROUND = (*range(-SIDE, 0), *range(1, SIDE + 1))
 STRETCH, BLOCK, CHUNK = 16_384, 4096, 4096
 HELD = 500_000  # distinct words that a task counts before it sends them
+HEADS = 1 << 19  # words of at least this part of the words outside the vocabulary, so no more than this many, are sent with their counts
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -51,20 +54,25 @@ def word_counts(docs: DataFrame) -> DataFrame:
     bounded_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
+        def sums() -> pa.Table:
+            total = pa.concat_tables(held).group_by("w", use_threads=False).aggregate([("n", "sum")])
+            return pa.table({"w": total["w"], "n": total["n_sum"]})
 
-        def sums() -> pa.RecordBatch:
-            words = pa.array(list(held), pa.binary()).cast(pa.string())
-            return pa.RecordBatch.from_arrays([words, pa.array(list(held.values()), pa.int64())], names=["w", "n"])
+        def sent(total: pa.Table) -> list[pa.RecordBatch]:
+            return pa.table({"w": total["w"].cast(pa.large_string()).cast(pa.string()), "n": total["n"]}).to_batches(HELD)
 
+        held: list[pa.Table] = []
+        size = 0
         for batch in batches:
-            words, numbers, _ = distinct_words(pc.ascii_lower(batch.column(0)))
-            held.update(dict(zip(words, np.bincount(numbers, minlength=len(words)).tolist())))
-            if len(held) > HELD:
-                yield sums()
-                held.clear()
+            words, numbers, _ = numbered_words(pc.ascii_lower(batch.column(0)))
+            held.append(pa.table({"w": words, "n": np.bincount(numbers, minlength=len(words))}))
+            size += len(words)
+            if size > HELD:
+                held, size = [sums()], 0
+                if len(held[0]) > HELD:
+                    yield from sent(held.pop())
         if held:
-            yield sums()
+            yield from sent(sums())
 
     words = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(count, "w string, n bigint")
     return stored(words.groupBy("w").agg(F.sum("n").alias("n")), "word-counts")
@@ -88,12 +96,34 @@ def encode(text: str | list[bytes], known: dict[bytes, int]) -> np.ndarray:
 def encode_all(texts: pa.Array, known: dict[bytes, int]) -> tuple[np.ndarray, list[tuple[int, int]], list[bytes], np.ndarray]:
     """Numbers of the words of all texts and where each text's begin and end; then the distinct words and which of them each word is."""
     distinct, which, begins = distinct_words(pc.ascii_lower(texts))
-    return encode(distinct, known)[which], list(zip(begins[:-1].tolist(), begins[1:].tolist())), distinct, which
+    return encode(distinct, known).astype(np.int16)[which], list(zip(begins[:-1].tolist(), begins[1:].tolist())), distinct, which
+
+
+def edged(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of texts of these sizes with edges between the texts, and where each word stands there."""
+    at = np.arange(len(ids)) + np.repeat(np.arange(SIDE, SIDE * (len(sizes) + 1), SIDE), sizes)
+    out = np.full(len(ids) + SIDE * (len(sizes) + 1), EDGE, np.int16)
+    out[at] = ids
+    return out, at
+
+
+def around(padded: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The words around each place, one row for each of ``AROUND``."""
+    return np.stack([padded.take(at + d) for d in AROUND])
 
 
 def masks(text: str, places: np.ndarray, turn: int, mask: int) -> np.ndarray:
     """Which of the ``mask`` masks of a round hides the word at each place."""
-    x = places.astype(np.uint64) + np.uint64((zlib.crc32(text.encode("utf-8", "replace")) << 32) + (turn << 24))
+    return dealt(places, seed_of(text.encode("utf-8", "replace"), turn), mask)
+
+
+def seed_of(text: bytes, turn: int) -> int:
+    return (zlib.crc32(text) << 32) + (turn << 24)
+
+
+def dealt(places: np.ndarray, seeds: int | np.ndarray, mask: int) -> np.ndarray:
+    """The masks of :func:`masks` for places of texts with these seeds."""
+    x = places.astype(np.uint64) + np.asarray(seeds, np.uint64)
     for factor in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
         x = (x ^ (x >> np.uint64(31))) * np.uint64(factor)
     return (x >> np.uint64(33)) % np.uint64(mask)
@@ -101,7 +131,11 @@ def masks(text: str, places: np.ndarray, turn: int, mask: int) -> np.ndarray:
 
 @dataclass
 class Network:
-    """``place[k][w]``: embedding of word w at context place k; then weights and biases of the two softmax levels."""
+    """``place[k][w]``: embedding of word w at context place k; then weights and biases of the two softmax levels.
+
+    What a step computes lies in ``rooms`` that the next one uses again: fresh arrays of this size come from the
+    system page by page, which takes longer than what is computed in them.
+    """
 
     place: np.ndarray
     bias: np.ndarray
@@ -109,6 +143,14 @@ class Network:
     group_bias: np.ndarray
     word: np.ndarray
     word_bias: np.ndarray
+    rooms: dict[str, np.ndarray] = field(default_factory=dict, repr=False, compare=False)
+
+    def room(self, name: str, *shape: int, kind: type = np.float32) -> np.ndarray:
+        """An array for any values, valid until it is asked for again."""
+        size = math.prod(shape)
+        if name not in self.rooms or self.rooms[name].size < size:
+            self.rooms[name] = np.empty(size, kind)
+        return self.rooms[name][:size].reshape(shape)
 
     @staticmethod
     def start(seed: int = 7) -> Network:
@@ -130,23 +172,36 @@ class Network:
         return self
 
     def contexts(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-        padded = np.concatenate([np.full(SIDE, EDGE), ids, np.full(SIDE, EDGE)])
-        return np.stack([padded[at + SIDE + d] for d in (*range(-SIDE, 0), *range(1, SIDE + 1))])
+        """The words around places of one text."""
+        padded, place = edged(ids, np.array([len(ids)]))
+        return around(padded, place[at])
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
-        total = self.bias + self.place[0].take(context[0], axis=0)
+        """One column per row of the batch."""
+        n = context.shape[1]
+        total, some, h = self.room("total", n, WIDTH), self.room("some", n, WIDTH), self.room("hidden", WIDTH, n)
+        self.place[0].take(context[0], axis=0, out=total, mode="clip")
         for k, c in enumerate(context[1:], 1):
-            total += self.place[k].take(c, axis=0)
-        return np.tanh(total, out=total)
+            total += self.place[k].take(c, axis=0, out=some, mode="clip")
+        total += self.bias
+        np.copyto(h, total.T)
+        return np.tanh(h, out=h)
+
+    def outer(self, h: np.ndarray) -> np.ndarray:
+        """First level: one column of logits per column of ``h``."""
+        out = np.matmul(self.group.T, h, out=self.room("outer", SIZE // GROUP, h.shape[1]))
+        out += self.group_bias[:, None]
+        return out
 
     def inner(self, h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-        """Second level for rows sorted by their group ``g``: one column of logits per row, and (group, from, to)."""
+        """Second level for columns sorted by their group ``g``: one column of logits per column, and (group, from, to)."""
         cuts = np.searchsorted(g, np.arange(SIZE // GROUP + 1))
         runs = [(k, *cuts[k:k + 2].tolist()) for k in np.flatnonzero(np.diff(cuts)).tolist()]
-        out = np.empty((len(h), GROUP), np.float32)
+        out, bias = self.room("inner", GROUP, len(g)), self.room("bias", GROUP, len(g))
         for k, lo, hi in runs:
-            np.matmul(h[lo:hi], self.word[k], out=out[lo:hi])
-        return out.T + self.word_bias.T.take(g, axis=1), runs
+            np.matmul(self.word[k].T, h[:, lo:hi], out=out[:, lo:hi])
+        out += self.word_bias.T.take(g, axis=1, out=bias, mode="clip")
+        return out, runs
 
     def log_probs(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Log-probability of each target in its context."""
@@ -154,36 +209,45 @@ class Network:
         for lo in range(0, len(target), BLOCK):
             some = target[lo:lo + BLOCK]
             order, g = _by_group(some)
-            h, row = self.hidden(context[:, lo:lo + BLOCK][:, order]), np.arange(len(some))
-            level = self.group.T @ h.T + self.group_bias[:, None]
-            inner, _ = self.inner(h, g)
-            out[lo + order] = level[g, row] - _log_sum(level) + inner[some[order] % GROUP, row] - _log_sum(inner)
+            h, row = self.hidden(context[:, lo:lo + BLOCK].take(order, axis=1)), np.arange(len(some))
+            level, (inner, _) = self.outer(h), self.inner(h, g)
+            own = level[g, row] + inner[some[order] % GROUP, row]
+            out[lo + order] = own - _log_sum(level) - _log_sum(inner)
         return out
 
     def step(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
         """One gradient step on a batch of masked words."""
         order, g = _by_group(target)
-        context, target, n, row = context[:, order], target[order], len(order), np.arange(len(order))
+        context, target, n, row = context.take(order, axis=1), target[order], len(order), np.arange(len(order))
         h = self.hidden(context)
-        level = _softmax(self.group.T @ h.T + self.group_bias[:, None])
+        level, (inner, runs) = self.outer(h), self.inner(h, g)
+        _softmax(level)
         level[g, row] -= 1
-        inner, runs = self.inner(h, g)
-        inner = _softmax(inner)
+        _softmax(inner)
         inner[target % GROUP, row] -= 1
-        back, rows = level.T @ self.group.T, np.ascontiguousarray(inner.T)
+        back = np.matmul(self.group, level, out=self.room("back", WIDTH, n))
+        more, change = self.room("more", WIDTH, n), self.room("change", *self.word.shape)
+        change[...] = 0
         for k, lo, hi in runs:
-            back[lo:hi] += rows[lo:hi] @ self.word[k].T
-            self.word[k] -= rate / n * (h[lo:hi].T @ rows[lo:hi])
+            np.matmul(self.word[k], inner[:, lo:hi], out=more[:, lo:hi])
+            np.matmul(h[:, lo:hi], inner[:, lo:hi].T, out=change[k])
+        back += more
+        change *= rate / n
+        self.word -= change
         self.word_bias[[k for k, _, _ in runs]] -= rate / n * np.add.reduceat(inner, [lo for _, lo, _ in runs], axis=1).T
-        self.group -= rate / n * (level @ h).T
+        self.group -= rate / n * (h @ level.T)
         self.group_bias -= rate / n * level.sum(1)
-        back = np.ascontiguousarray((back * ((1 - h * h) * (rate / n))).T)
+        np.multiply(h, h, out=h)
+        np.subtract(1, h, out=h)
+        h *= rate / n
+        back *= h
         self.bias -= back.sum(1)
         # every embedding is moved by the sum over the rows that it stands in, one width after the other
         at = (context + SIZE * np.arange(2 * SIDE)[:, None]).ravel()
-        moved = np.empty((WIDTH, 2 * SIDE * SIZE))
-        for k, b in enumerate(np.tile(back.astype(float), 2 * SIDE)):
-            moved[k] = np.bincount(at, b, 2 * SIDE * SIZE)
+        moved, weights = self.room("moved", WIDTH, 2 * SIDE * SIZE), self.room("weights", 2 * SIDE, n, kind=float)
+        for k in range(WIDTH):
+            weights[...] = back[k]
+            moved[k] = np.bincount(at, weights.ravel(), 2 * SIDE * SIZE)
         self.place -= moved.T.reshape(self.place.shape)
 
 
@@ -195,17 +259,18 @@ def _by_group(target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _log_sum(x: np.ndarray) -> np.ndarray:
-    """Logarithm of the sum of exponentials of every column."""
+    """Logarithm of the sum of exponentials of every column; ``x`` is used up."""
     top = x.max(axis=0)
-    return top + np.log(np.exp(x - top).sum(axis=0))
+    x -= top
+    np.exp(x, out=x)
+    return top + np.log(x.sum(axis=0))
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    """Shares of the classes (rows) in every column."""
-    x = x - x.max(axis=0)
+def _softmax(x: np.ndarray) -> None:
+    """Logits become shares of the classes (rows) in every column."""
+    x -= x.max(axis=0)
     np.exp(x, out=x)
     x /= x.sum(axis=0)
-    return x
 
 
 def train(docs: DataFrame, rounds: int = 2, mask: int = 8, batch: int = 2048, rate: float = 1.0,
@@ -231,13 +296,20 @@ def train(docs: DataFrame, rounds: int = 2, mask: int = 8, batch: int = 2048, ra
 
             for part in batches:
                 every, ends, _, _ = encode_all(part.column(0), numbers)
-                for text, (begin_at, end_at) in zip(part.column(0).to_pylist(), ends):
-                    ids = every[begin_at:end_at]
-                    for lo in range(0, len(ids), STRETCH):
-                        at = np.arange(lo, min(lo + STRETCH, len(ids)))
-                        held.append((net.contexts(ids, at), ids[at], masks(text, at, turn, mask)))
-                        size += len(at)
-                        seen += len(at)
+                sizes = np.array([hi - lo for lo, hi in ends], np.int64)
+                seeds = np.array([seed_of(t, turn) for t in as_list(part.column(0).cast(pa.binary()))], np.uint64)
+                first = 0
+                for k, (_, end) in enumerate(ends):
+                    size += int(sizes[k])
+                    if size < mask * batch and k + 1 < len(ends):
+                        continue
+                    some, lo = sizes[first:k + 1], ends[first][0]
+                    if end > lo:
+                        padded, at = edged(every[lo:end], some)
+                        places = np.arange(end - lo) - np.repeat(np.cumsum(some) - some, some)
+                        held.append((around(padded, at), every[lo:end], dealt(places, np.repeat(seeds[first:k + 1], some), mask)))
+                        seen += end - lo
+                    first = k + 1
                     if size >= mask * batch:
                         take()
                         held, size = [], 0
@@ -273,47 +345,46 @@ def score(docs: DataFrame, known: dict[str, int], weights: np.ndarray, counts: D
     bounded_batches(docs.sparkSession)
     own = (word_counts(docs) if counts is None else counts).where(~F.col("w").isin(list(known)))
     sums = own.groupBy((F.crc32(F.col("w").cast("binary")) % BUCKETS).alias("b")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words"))
-    # what a word of a bucket has before its own count is known; the join adds log(count + 1)
-    base = np.zeros(SIZE)
+    # what a word of a bucket has before its own count is known, to which log(count + 1) is added
+    base, every_n = np.zeros(SIZE), 0
     for r in sums.collect():
         base[WORDS + r["b"]] = -np.log(r["n"] + r["words"] + 1)
+        every_n += r["n"]
+    # frequent words bring their counts along, the many others get them by a join
+    often = F.col("n") >= -(-every_n // HEADS)
+    sent = own.where(often).select(F.col("w").cast("binary").alias("w"), "n").toArrow()
+    head_words, head_gains = sent["w"].combine_chunks(), np.log(sent["n"].to_numpy() + 1.0)
     numbers = {w.encode("utf-8", "replace"): i for w, i in known.items()}
 
-    def total(texts):
-        net = Network.start().load(weights)
-        for series in texts:
-            every, ends, words, which = encode_all(pa.array(series, pa.string()), numbers)
-            hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in words], np.uint64).view(np.int64)
-            ids = [every[lo:hi] for lo, hi in ends]
-            rare = [hashes[which[lo:hi][x >= WORDS]] for x, (lo, hi) in zip(ids, ends)]
-            n = np.array([len(x) for x in ids])
-            sums = np.array([base[x].sum() for x in ids])
-            held, size = [], 0
-
-            def flush() -> None:
-                value = net.log_probs(np.concatenate([c for _, c, _ in held], axis=1), np.concatenate([t for _, _, t in held]))
-                at = 0
-                for row, _, target in held:
-                    sums[row] += value[at:at + len(target)].sum(dtype=float)
-                    at += len(target)
-
-            for row, x in enumerate(ids):
-                for lo in range(0, len(x), STRETCH):
-                    at = np.arange(lo, min(lo + STRETCH, len(x)))
-                    held.append((row, net.contexts(x, at), x[at]))
-                    size += len(at)
-                    if size >= STRETCH:
-                        flush()
-                        held, size = [], 0
-            if held:
-                flush()
-            yield pd.DataFrame({"n_tokens": n, "log_prob": sums, "rare": rare})
-
-    total.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net, heads = Network.start().load(weights), dict(zip(as_list(head_words), head_gains.tolist()))
+        for batch in batches:
+            words, which, begins = distinct_words(pc.ascii_lower(batch.column(1)))
+            ids, sizes = encode(words, numbers), np.diff(begins)
+            gains = np.array([heads.get(w, -1.0) for w in words])
+            rare = (gains < 0) & (ids >= WORDS)
+            own_share = base[ids] + np.maximum(gains, 0)
+            hashes = np.zeros(len(words), np.uint64)
+            hashes[rare] = [xxhash.xxh64_intdigest(words[k], 42) for k in np.flatnonzero(rare).tolist()]
+            every, row = ids.astype(np.int16)[which], np.repeat(np.arange(len(sizes)), sizes)
+            padded, at = edged(every, sizes)
+            values = own_share[which]
+            for lo in range(0, len(every), STRETCH):
+                values[lo:lo + STRETCH] += net.log_probs(around(padded, at[lo:lo + STRETCH]), every[lo:lo + STRETCH])
+            tail = rare[which]
+            cuts = np.concatenate([[0], np.cumsum(np.bincount(row[tail], minlength=len(sizes)))])
+            lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(hashes.view(np.int64)[which[tail]]))
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), pa.array(sizes, pa.int64()), pa.array(np.bincount(row, values, len(sizes))), lists],
+                names=["doc_id", "n_tokens", "log_prob", "rare"])
+
+    shape = StructType([StructField("doc_id", docs.schema["doc_id"].dataType)])
+    for name, kind in (("n_tokens", LongType()), ("log_prob", DoubleType()), ("rare", ArrayType(LongType()))):
+        shape = shape.add(name, kind)
     # the row key is written once, so that it is the same in every later task
-    scored = F.pandas_udf(total, "n_tokens bigint, log_prob double, rare array<bigint>")(F.coalesce("text", F.lit("")))
-    rows = stored(docs.select("doc_id", scored.alias("s")).select(F.monotonically_increasing_id().alias("key"), "doc_id", "s.*"), "scored")
-    gains = own.groupBy(F.xxhash64("w").alias("h")).agg(F.log(F.sum("n") + F.lit(1.0)).alias("gain"))
+    scored = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(total, shape)
+    rows = stored(scored.select(F.monotonically_increasing_id().alias("key"), "*"), "scored")
+    gains = own.where(~often).groupBy(F.xxhash64("w").alias("h")).agg(F.log(F.sum("n") + F.lit(1.0)).alias("gain"))
     met = rows.select("key", F.explode("rare").alias("h")).join(gains, "h")
     found = stored(met.groupBy("key").agg(F.sum("gain").alias("gain")), "gains")
     whole = F.col("log_prob") + F.coalesce("gain", F.lit(0.0))

@@ -260,6 +260,64 @@ def test_words_of_a_bucket_have_their_own_share(spark):
     assert math.isclose(got[1], expected("w1 unseen"), rel_tol=1e-4) and math.isclose(got[2], expected("neverseen w299 w7"), rel_tol=1e-4)
 
 
+def test_frequent_words_need_no_join(spark, monkeypatch):
+    """Only words that are no large part of the corpus go through the join with all counts; the scores are the same."""
+    rng = random.Random(13)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(rng.choices(words, [1 / (k + 1) for k in range(400)], k=80))) for i in range(60)] + [(None, None), (7, "w399 other")]
+    corpus = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    counts, start = masked_lm.word_counts(corpus), masked_lm.Network.start().flat()
+    known = {f"w{i}": i for i in range(10)}
+    joined = []
+    plain = masked_lm.stored
+
+    def seen(df, name):
+        out = plain(df, name)
+        if name == "scored":
+            joined.append(out.selectExpr("sum(size(rare))").first()[0])
+        return out
+
+    monkeypatch.setattr(masked_lm, "stored", seen)
+    got = []
+    for heads in (1 << 19, 200, 1):
+        monkeypatch.setattr(masked_lm, "HEADS", heads)
+        got.append(sorted((r.doc_id or -1, r.n_tokens, r.log_prob) for r in masked_lm.score(corpus, known, start, counts).collect()))
+    others = sum(w not in known for _, text in rows for w in (text or "").split())
+    assert joined[0] == 0 < joined[1] < others and joined[2] == others
+    assert all(np.allclose(g, got[0], rtol=1e-9) for g in got[1:])
+
+
+def test_steps_use_their_arrays_again():
+    """A step and a block of scores allocate less than one fresh array of a batch's hidden values for each of their stages."""
+    import tracemalloc
+
+    rng = np.random.default_rng(8)
+    net = masked_lm.Network.start()
+    context, target = rng.integers(0, masked_lm.SIZE, (4, 2048)), rng.integers(0, masked_lm.SIZE, 2048)
+    net.step(context, target, 0.1)
+    tracemalloc.start()
+    net.step(context, target, 0.1)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 600_000
+
+
+def test_texts_side_by_side():
+    """The words around every place of several texts are those of each text alone, and so are the masks."""
+    rng = np.random.default_rng(9)
+    sizes = np.array([0, 3, 1, 0, 40, 2, 0])
+    ids, net = rng.integers(0, masked_lm.EDGE, sizes.sum()), masked_lm.Network.start()
+    padded, at = masked_lm.edged(ids, sizes)
+    ends = np.cumsum(sizes)
+    alone = [net.contexts(ids[hi - n:hi], np.arange(n)) for n, hi in zip(sizes, ends)]
+    assert (masked_lm.around(padded, at) == np.concatenate(alone, axis=1)).all()
+    texts = [f"text {k} \u00e9" for k in range(len(sizes))]
+    seeds = np.array([masked_lm.seed_of(t.encode(), 1) for t in texts], np.uint64)
+    places = np.arange(len(ids)) - np.repeat(ends - sizes, sizes)
+    want = np.concatenate([masked_lm.masks(t, np.arange(n), 1, 8) for t, n in zip(texts, sizes)])
+    assert (masked_lm.dealt(places, np.repeat(seeds, sizes), 8) == want).all()
+
+
 def test_gradient():
     """A step moves the loss as its gradient says."""
     rng = np.random.default_rng(1)
