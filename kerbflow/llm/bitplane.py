@@ -80,7 +80,7 @@ class WordEncoder:
     those stay that a later group of texts asked for. Pieces lie in two dictionaries: a full one takes the place of the older.
     """
 
-    def __init__(self, path: str, words: int = 500_000, pieces: int = 100_000):
+    def __init__(self, path: str, words: int = 250_000, pieces: int = 50_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -181,7 +181,7 @@ class WordEncoder:
         return [bytes(data[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
-def in_groups(encoder: WordEncoder, texts: list[str] | pa.Array, most: int = 4_000_000) -> Iterator[bytes]:
+def in_groups(encoder: WordEncoder, texts: list[str] | pa.Array, most: int = 2_000_000) -> Iterator[bytes]:
     """The ids of every text, encoded in groups of about ``most`` bytes."""
     texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
     size = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)
