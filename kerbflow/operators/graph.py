@@ -335,7 +335,7 @@ def top_origins(counts: DataFrame, k: int = 15, level: int = 2) -> DataFrame:
 def nearest_node(points: DataFrame, nodes: DataFrame) -> DataFrame:
     """Nearest node of each point (``point_id, lat, lon``), by great-circle distance, smallest id on ties."""
     targets = nodes.select("osmid", F.col("y").alias("t_lat"), F.col("x").alias("t_lon"))
-    return geo.nearest(points, targets, ["point_id"], ["osmid"], ["osmid"])
+    return geo.nearest_of_all(points, targets, ["point_id"], ["osmid"], ["osmid"])
 
 
 def grid_points(nodes: DataFrame, n: int) -> DataFrame:

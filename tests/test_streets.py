@@ -3,9 +3,12 @@
 import json
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from kerbflow.functions import geo
 from kerbflow.operators import graph as gr
 from kerbflow.operators import streets as st
 from kerbflow.operators import stress
@@ -242,6 +245,68 @@ def test_nearest_against_brute_force(spark):
     assert {x.point_id: x.distance for x in got.collect()} == pytest.approx(want)
 
 
+def test_nearest_of_equal_distances_is_the_smallest_id(spark):
+    """Two nodes as far north as south of a point are a tie, though the last bits of their distances differ."""
+    points, nodes = [], []
+    for k in range(40):
+        lon = -71.1 + k * 0.3
+        points.append((k, 42.29 + (11 + 2 * k) * 0.001, lon))
+        nodes += [(2 * k, lon, 42.3 + k * 0.002), (2 * k + 1, lon, 42.3 + (k + 1) * 0.002)]
+    places, asked = spark.createDataFrame(nodes, "osmid int, x double, y double"), spark.createDataFrame(points, "point_id int, lat double, lon double")
+    turned = places.withColumn("osmid", F.col("osmid").bitwiseXOR(F.lit(1)))
+    for df in (places, turned):  # whichever side the smaller id is on
+        assert {x.point_id: x.osmid for x in gr.nearest_node(asked, df).collect()} == {k: 2 * k for k in range(40)}
+
+
+def test_nearest_compares_few_pairs(spark, monkeypatch):
+    """Points inside a dense town and far from it meet a few of its nodes, not all."""
+    seen, real = spark.sparkContext.accumulator(0), geo.haversine_m
+
+    @F.pandas_udf("double")
+    def counted(d: pd.Series) -> pd.Series:
+        seen.add(len(d))
+        return d
+
+    monkeypatch.setattr(geo, "haversine_m", lambda *a: counted(real(*a)))
+    nodes = spark.range(3000).select(F.col("id").alias("osmid"), (42.3 + F.col("id") * 37 % 3000 * 3e-7).alias("y"),
+                                     (-71.1 + F.col("id") * 53 % 2999 * 3e-7).alias("x"))
+    n = F.col("id")
+    points = spark.range(400).select(n.alias("point_id"), (42.3 + n % 20 * F.when(n < 200, 4e-5).otherwise(0.03)).alias("lat"),
+                                     (-71.1 + F.floor(n / 20) * F.when(n < 200, 9e-5).otherwise(0.02)).alias("lon"))
+    assert len(gr.nearest_node(points, nodes).collect()) == 400
+    assert seen.value < 20 * 400
+
+
+def test_nearest_over_many_blocks(spark):
+    """Blocks of 32 nodes and points dealt to several tasks give what comparing all pairs gives, also across longitude 180."""
+    rng = np.random.default_rng(5)
+    town = np.stack([42.3 + rng.random(400) * 0.01, -71.1 + rng.random(400) * 0.01], axis=1)
+    world = np.stack([rng.random(400) * 180 - 90, rng.random(400) * 360 - 180], axis=1)
+    edge = np.stack([rng.random(100) * 2, 180 - rng.random(100) * 0.5], axis=1)
+    targets = np.concatenate([town, world, edge, town[:50]]).tolist()
+    asked = np.concatenate([town[::4] + 0.0003, rng.random((200, 2)) * 0.03 + [42.29, -71.11], world[::4] * 0.99,
+                            edge[::4] * [1, -1], [[90.0, 0.0], [-90.0, 5.0]], town[:3]]).tolist()
+    points = [(i, *p) for i, p in enumerate(asked)]
+    odd = [(-1, None, 1.0), (-2, 1.0, None), (-3, float("nan"), 1.0)]
+    got = geo.nearest_of_all(
+        spark.createDataFrame(points + points[:9] + odd, "point_id int, lat double, lon double"),
+        spark.createDataFrame([(i, *p) for i, p in enumerate(targets)] + odd, "osmid int, t_lat double, t_lon double"),
+        ["point_id"], ["osmid"], ["osmid"], block_bits=5)
+    la, lo = np.radians(np.array(targets)).T
+    want = {}
+    for i, lat, lon in points:
+        a, b = np.radians(lat), np.radians(lon)
+        h = np.sin((la - a) / 2) ** 2 + np.cos(a) * np.cos(la) * np.sin((lo - b) / 2) ** 2
+        d = 2 * 6371000 * np.arctan2(np.sqrt(h), np.sqrt(1 - h))
+        k = int(np.flatnonzero(np.round(d, 6) == np.round(d, 6).min())[0])
+        want[i] = (k, round(float(d[k]), 5))
+    rows = got.collect()
+    assert len(rows) == len(points)
+    assert {x.point_id: (x.osmid, round(x.distance, 5)) for x in rows} == want
+    nothing = spark.createDataFrame([], "osmid int, t_lat double, t_lon double")
+    assert geo.nearest_of_all(got.select("point_id", "lat", "lon"), nothing, ["point_id"], ["osmid"], ["osmid"]).count() == 0
+
+
 def test_only_largest_part_of_each_level(spark):
     roads = spark.createDataFrame([(1, 2, 100.0, 1), (2, 3, 100.0, 1), (8, 9, 100.0, 1), (3, 8, 100.0, 3)],
                                   "u bigint, v bigint, length double, LTS int")
